@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, topk
+from tidemark.llm import bpe, chat, licenses, rules, topk
 from tidemark.llm.common import table
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -18,14 +22,20 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_conversations(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_rules": op3_rules,
     "op6_topk": op6_topk,
     "op7_bpe": op7_bpe,
+    "op9_licenses": op9_licenses,
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {"op6_topk": topk.SQL, "op10_chat": chat.SQL}
+ORACLES: dict[str, str] = {"op3_rules": rules.SQL, "op6_topk": topk.SQL, "op9_licenses": licenses.SQL, "op10_chat": chat.SQL}
