@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, licenses, neardup, rules, topk
+from tidemark.llm import bpe, chat, langid, licenses, neardup, rules, topk
 from tidemark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -37,6 +41,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rules": op3_rules,
     "op4_neardup": op4_neardup,
+    "op5_langid": op5_langid,
     "op6_topk": op6_topk,
     "op7_bpe": op7_bpe,
     "op9_licenses": op9_licenses,
