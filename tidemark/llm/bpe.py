@@ -25,6 +25,8 @@ from tidemark.llm.common import pick
 
 #: Words remembered by a task; the memory is emptied when full.
 CACHE_WORDS = 150_000
+#: Pairs remembered by a task, likewise.
+PAIRS = 400_000
 #: Byte levels of the vocabulary's alphabet; the second half ends a word.
 WORD_END = "</w>"
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -56,7 +58,6 @@ class Encoder:
         # A symbol with the word-end mark is one letter of the automaton's alphabet.
         letters = sorted(k for k in vocab if len(k) == 1)
         self.end = {c: chr(0xE000 + i) for i, c in enumerate(letters)}
-        show = {v: c + WORD_END for c, v in self.end.items()}
         inner = lambda k: k[: -len(WORD_END) - 1] + self.end[k[-len(WORD_END) - 1]] if k.endswith(WORD_END) and len(k) > len(WORD_END) else k
         self.text = {v: inner(k) for k, v in vocab.items()}
         self.ids = {s: i for i, s in self.text.items()}
@@ -75,6 +76,7 @@ class Encoder:
             self.automaton.add_word(self.text[i], (i, len(self.text[i])))
         self.automaton.make_automaton()
         kept = set(usable)
+        self.size = {i: len(x) for i, x in self.text.items()}
         self.shorter: dict[int, int] = {}
         for i in usable:
             s = self.text[i]
@@ -84,32 +86,21 @@ class Encoder:
                     self.shorter[i] = j
                     break
         self.fits: dict[tuple[int, int], bool] = {}
-        self.bytes_to = [self._byte_letter(b) for b in range(256)]
         shown = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for k, v in [*vocab.items(), *self.special.items()]:
             shown[v] = k
         self.table, self.offset = "".join(shown), [0]
         for s in shown:
             self.offset.append(self.offset[-1] + len(s))
-        del show
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    @staticmethod
-    def _byte_letter(b: int) -> str:
-        """The visible letter of a byte in byte-level vocabularies: itself if
-        printable, else the next free code point from 256 on."""
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        return chr(b) if b in printable else chr(256 + sum(1 for x in range(b) if x not in printable))
+        self.words: dict[str, tuple[int, bytes, bytes]] = {}
+        self.old: dict[str, tuple[int, bytes, bytes]] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves left and right side by side: no merge
-        across their boundary comes before the merges that made them."""
-        key = (left, right)
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 500_000:
-                self.fits.clear()
-            known = self.fits[key] = self._compatible(left, right)
+        across their boundary comes before the merges that made them. Remembered."""
+        if len(self.fits) > PAIRS:
+            self.fits.clear()
+        known = self.fits[left, right] = self._compatible(left, right)
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -130,60 +121,69 @@ class Encoder:
 
     def pretoken(self, word: str) -> tuple[int, ...]:
         """Token ids of one pre-token, given as byte letters with the marked end."""
-        n = len(word)
-        longest = [-1] * n
-        for stop, (token, size) in self.automaton.iter(word):
-            longest[stop - size + 1] = token  # later matches from a start are longer
+        n, fits, matches = len(word), self.fits, self.automaton.iter_long
         out: list[int] = []
-        dead = bytearray(n + 1)  # positions from which no continuation fits
-        at, token = 0, longest[0]
+        dead: set[int] = set()  # positions from which no continuation fits
+        at, before, token = 0, -1, next(matches(word))[1][0]
         while True:
             while token >= 0:
-                stop = at + len(self.text[token])
-                if not dead[stop] and (not out or self.compatible(out[-1], token)):
+                stop = at + self.size[token]
+                if stop not in dead and (before < 0 or (fits[before, token] if (before, token) in fits else self.compatible(before, token))):
                     break
                 token = self.shorter.get(token, -1)
             if token >= 0:
                 out.append(token)
-                at = stop
+                at, before = stop, token
                 if at == n:
                     return tuple(out)
-                token = longest[at]
+                token = next(matches(word, at))[1][0]
             else:
-                dead[at] = 1
+                dead.add(at)
                 last = out.pop()
-                at -= len(self.text[last])
+                before = out[-1] if out else -1
+                at -= self.size[last]
                 token = self.shorter.get(last, -1)
 
-    def letters(self, piece: str) -> str:
-        """Byte letters of a pre-token, the last one marked."""
-        s = "".join([self.bytes_to[b] for b in piece.encode()])
-        return s[:-1] + self.end[s[-1]]
-
-    def word(self, raw: str) -> tuple[int, ...]:
-        """Token ids of a run without white space."""
-        out: list[int] = []
+    def pieces(self, raw: str) -> list[str]:
+        """The pre-tokens of a run without white space, as byte letters with the
+        end marked; a special token as itself."""
+        out: list[str] = []
         for part in self.cut.split(raw) if self.cut and "<|" in raw else [raw]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(part)
             elif part.isascii() and part.isprintable():
-                for p in _PLAIN.findall(part.lower()):
-                    out.extend(self._piece(self.letters(p)))
+                out += [p[:-1] + self.end[p[-1]] for p in _PLAIN.findall(part.lower())]
             elif part:
-                for s, _ in self.outer.pre_tokenizer.pre_tokenize_str(self.outer.normalizer.normalize_str(part)):
-                    out.extend(self._piece(s[:-1] + self.end[s[-1]]))
-        return tuple(out)
+                out += [p[:-1] + self.end[p[-1]] for p, _ in self.outer.pre_tokenizer.pre_tokenize_str(self.outer.normalizer.normalize_str(part))]
+        return out
+
+    def ids_of(self, piece: str) -> tuple[int, ...]:
+        special = self.special.get(piece)
+        return self.pretoken(piece) if special is None else (special,)
 
-    def _piece(self, s: str) -> tuple[int, ...]:
-        known = self.words.get(s)
+    def piece(self, piece: str) -> tuple[int, bytes, bytes]:
+        """(number of ids, ids as text, decoded text) of a piece, remembered: a full
+        memory becomes the old one, from which what is asked for again is kept."""
+        known = self.words.get(piece)
         if known is None:
+            known = self.old.get(piece)
+            if known is None:
+                ids = self.ids_of(piece)
+                known = (len(ids), " ".join([str(i) for i in ids]).encode(), self.decode(ids).encode())
             if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            known = self.words[s] = self.pretoken(s)
+                self.old, self.words = self.words, {}
+            self.words[piece] = known
         return known
 
+    def word(self, raw: str) -> tuple[int, bytes, bytes]:
+        """What piece() gives, of a run without white space."""
+        got = [self.piece(p) for p in self.pieces(raw)]
+        if len(got) == 1:
+            return got[0]
+        return sum([g[0] for g in got]), b" ".join([g[1] for g in got]), b" ".join([g[2] for g in got])
+
     def encode(self, text: str) -> list[int]:
-        return [i for w in text.encode().split() for i in self.word(w.decode())]
+        return [i for w in text.encode().split() for p in self.pieces(w.decode()) for i in self.ids_of(p)]
 
     def decode(self, ids) -> str:
         """Token texts, joined by a blank: the tokenizer names no decoder."""
@@ -203,13 +203,16 @@ def digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(source.value)
         seen: dict[bytes, tuple[int, bytes, bytes]] = {}
+        old: dict[bytes, tuple[int, bytes, bytes]] = {}
 
         def learn(w: bytes) -> tuple[int, bytes, bytes]:
-            ids = enc.word(w.decode())
+            nonlocal seen, old, get
+            known = old.get(w) or enc.word(w.decode())
             if len(seen) >= CACHE_WORDS:
-                seen.clear()
-            seen[w] = out = (len(ids), " ".join(map(str, ids)).encode(), enc.decode(ids).encode())
-            return out
+                old, seen = seen, {}
+                get = seen.get
+            seen[w] = known
+            return known
 
         get = seen.get
         for batch in batches:
