@@ -30,6 +30,8 @@ from tidemark.llm.quality import labelled
 SAMPLE, LEXICON = 16_000, 240
 #: Bytes of a stem; least toxic texts, least rate against clean texts, least log-likelihood ratio.
 STEM, SUPPORT, RATIO, EVIDENCE = (4, 5, 6, 7), 4, 20.0, 15.0
+#: Toxic texts with a stem, against those with its most frequent extension.
+WIDER = 1.3
 #: Shortest word that may be misspelt, in bytes; words around a hit that are its context.
 FUZZY, WINDOW = 5, 8
 
@@ -126,6 +128,13 @@ def lexicon(rows: DataFrame) -> list[tuple[bytes, int]]:
         llr = 2 * (x1 * np.log(x1 / ((x1 + x0) * base)) + np.where(x0 > 0, x0 * np.log(x0 / ((x1 + x0) * (1 - base))), 0))
     good = np.flatnonzero((r1 >= RATIO * r0) & (llr >= EVIDENCE))
     kinds = seen["kind"].to_numpy()
+    # a stem has to stand for several words: more texts than its most frequent extension
+    best: dict[bytes, float] = {}
+    for i in good:
+        for k in STEM:
+            if len(terms[i]) > k or (kinds[i] == 0 and len(terms[i]) == k):
+                best[terms[i][:k]] = max(best.get(terms[i][:k], 0), x1[i])
+    good = [i for i in good if kinds[i] == 0 or x1[i] >= WIDER * best.get(terms[i], 0)]
     stems: list[bytes] = []
     out = []
     for i in sorted(good, key=lambda i: (kinds[i] == 0, kinds[i], -llr[i], terms[i])):
