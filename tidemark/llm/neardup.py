@@ -11,8 +11,11 @@ and the full sets confirm the rest exactly.
 Only components are asked for, so a bucket's pairs are never listed. Equal sets
 collapse first (one class, one representative). Then every bucket member is
 compared with the bucket's smallest id; links join components. What may still
-be missing are links inside a bucket between different components: only there the
-members outside the bucket's largest component meet the others.
+be missing are links inside a bucket between different components. For the sets in
+such buckets, the items that stand in no other of them are counted: two sets have
+at most the smaller of their other items in common, an exact bound. A second star
+goes around the member with the fewest items of its own, and what the bound then
+leaves possible between components is compared in full.
 """
 
 from __future__ import annotations
@@ -135,22 +138,9 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "regs").mapInArrow(run, "cid long, band long")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the distinct pairs (a, b) those whose full sets are linked."""
-    size = classes.select("cid", "n_shingles", "regs")
-    side = lambda x: size.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {LIMIT} * greatest(na, nb)")
-
-    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (4, 5))
-                j = estimate(a, b, batch.column(2).to_numpy().astype(float), batch.column(3).to_numpy().astype(float))
-                yield batch.select(["a", "b"]).filter(pa.array(j >= LIMIT / 100 - SLACK))
-
-    near = written(near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(hopeful, "a long, b long"))
-    # full sets of the classes in question, from their representatives' texts
-    asked = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
+def full_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(cid, items): the whole sets of the classes asked for, from their
+    representatives' texts (one shuffle of the texts)."""
     asked = classes.join(asked, "cid").select("cid", "rep", "f1", "f2")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +154,38 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(raw, pa.binary())], names=["cid", "items"])
 
     found = pick(docs, rep="doc_id", text="text").join(asked, "rep").select("cid", "text", "f1", "f2").mapInArrow(full, "cid long, items binary")
-    sets = written(found.filter("items IS NOT NULL").dropDuplicates(["cid"]))
+    return found.filter("items IS NOT NULL").dropDuplicates(["cid"])
+
+
+def common_sizes(sets: DataFrame) -> DataFrame:
+    """(cid, shared): how many of a set's items stand in another of these sets too.
+    No pair of them can have more in common than the smaller of its two numbers."""
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), cid))], names=["item", "cid"])
+
+    lone = sets.mapInArrow(items, "item long, cid long").groupBy("item").agg(F.min("cid").alias("cid"), F.count("*").alias("n")).filter("n = 1")
+    lone = lone.groupBy("cid").agg(F.count("*").alias("alone"))
+    return sets.select("cid", F.expr("octet_length(items) DIV 8").alias("size")).join(lone, "cid", "left").select("cid", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
+
+def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the distinct pairs (a, b) those whose full sets are linked."""
+    size = classes.select("cid", "n_shingles", "regs")
+    side = lambda x: size.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {LIMIT} * greatest(na, nb)")
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (4, 5))
+                j = estimate(a, b, batch.column(2).to_numpy().astype(float), batch.column(3).to_numpy().astype(float))
+                yield batch.select(["a", "b"]).filter(pa.array(j >= LIMIT / 100 - SLACK))
+
+    near = written(near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(hopeful, "a long, b long"))
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -199,6 +219,18 @@ def components(links: DataFrame) -> DataFrame:
         label = step.select("node", F.col("new").alias("comp"))
 
 
+def mixed(keys: DataFrame, comp: DataFrame) -> DataFrame:
+    """(band, cid, comp) of the buckets that hold several components."""
+    at = keys.join(comp, F.col("cid") == F.col("node"), "left").select("band", "cid", F.coalesce("comp", "cid").alias("comp"))
+    several = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("band")
+    return at.join(several, "band")
+
+
+def possible(size: str, shared: str, other_size: str, other_shared: str):
+    """Whether two sets can be linked, as at most the smaller shared number is in both."""
+    return F.expr(f"100 * least({shared}, {other_shared}) >= {LIMIT} * ({size} + {other_size} - least({shared}, {other_shared}))")
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
@@ -217,23 +249,32 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keys = written(bands(classes))
     first = keys.groupBy("band").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = written(keys.join(first, "band"))
+    sets = written(full_sets(d, classes, shared.select("cid").distinct()))
     star = written(shared.filter("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct())
-    links = confirmed(star, classes, d)
+    links = confirmed(star, classes, sets)
     # rows that share an id are one document
     twice = member.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a < z").select("doc_id", "a")
     links = written(links.union(member.join(twice, "doc_id").filter("a < cid").select("a", F.col("cid").alias("b")).distinct()))
-    comp = components(links)
-    # buckets that still hold several components: all links between those
-    at = shared.join(comp, F.col("cid") == F.col("node"), "left").select("band", "cid", F.coalesce("comp", "cid").alias("comp"))
-    mixed = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("band")
-    at = written(at.join(mixed, "band"))
+    at = written(mixed(shared.select("band", "cid"), components(links)))
+    # what a set shares with any other bounds its similarity to each of them
+    held = written(common_sizes(sets.join(at.select("cid").distinct(), "cid")))
+    at = at.join(held, "cid")
+    # second stars: around the member with the least of its own
+    lead = at.groupBy("band").agg(F.min(F.struct((F.col("size") - F.col("shared")).alias("own"), "cid", "size", "shared", "comp")).alias("m"))
+    lead = lead.select("band", F.col("m.cid").alias("p"), F.col("m.size").alias("ps"), F.col("m.shared").alias("pc"), F.col("m.comp").alias("pp"))
+    near = at.join(lead, "band").filter("comp <> pp").filter(possible("size", "shared", "ps", "pc"))
+    second = written(near.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    links = written(links.union(confirmed(second, classes, sets)))
+    at = mixed(at.select("band", "cid"), components(links)).join(held, "cid")
+    # all that may still be linked inside a bucket, between its components
+    at = written(at)
     sizes = at.groupBy("band", "comp").agg(F.count("*").alias("n"))
     major = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m")).select("band", F.col("m.comp").alias("major"))
-    minor = at.join(major, "band").filter("comp <> major").select("band", F.col("cid").alias("p"), F.col("comp").alias("pc"), "major")
-    other = at.select("band", F.col("cid").alias("q"), F.col("comp").alias("qc"))
-    rest = minor.join(other, "band").filter("pc <> qc AND (qc = major OR p < q)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")  # the lead has the smaller id
-    every = written(links.union(confirmed(written(rest), classes, d)))
+    minor = at.join(major, "band").filter("comp <> major").select("band", F.col("cid").alias("p"), F.col("comp").alias("pp"), "major", F.col("size").alias("ps"), F.col("shared").alias("pc"))
+    minor = minor.filter(f"100 * pc >= {LIMIT} * ps")  # else nothing is near enough, whatever its size
+    rest = minor.join(at, "band").filter(F.expr("pp <> comp AND (comp = major OR p < cid)") & possible("size", "shared", "ps", "pc"))
+    rest = rest.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct().join(star, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+    every = written(links.union(confirmed(written(rest), classes, sets)))
     comp = components(every)
     least = comp.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     least = least.join(least.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select(F.col("node").alias("cid"), "least")
