@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, langid, licenses, neardup, quality, rules, topk, toxicity
+from tidemark.llm import bpe, chat, langid, licenses, neardup, packing, quality, rules, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_langid": op5_langid,
     "op6_topk": op6_topk,
     "op7_bpe": op7_bpe,
+    "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
     "op10_chat": op10_chat,
 }
