@@ -94,6 +94,8 @@ class Encoder:
             self.offset.append(self.offset[-1] + len(s))
         self.words: dict[str, tuple[int, bytes, bytes]] = {}
         self.old: dict[str, tuple[int, bytes, bytes]] = {}
+        self.raw: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.raw_old: dict[bytes, tuple[int, bytes, bytes]] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves left and right side by side: no merge
@@ -191,6 +193,17 @@ class Encoder:
         return " ".join([t[o[i] : o[i + 1]] for i in ids])
 
 
+_held: dict[str, Encoder] = {}
+
+
+def encoder(source: str) -> Encoder:
+    """The encoder of a vocabulary; a Python worker keeps it for its next tasks."""
+    if source not in _held:
+        _held.clear()
+        _held[source] = Encoder(source)
+    return _held[source]
+
+
 def digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text.
 
@@ -201,16 +214,15 @@ def digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_i
     source = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(source.value)
-        seen: dict[bytes, tuple[int, bytes, bytes]] = {}
-        old: dict[bytes, tuple[int, bytes, bytes]] = {}
+        enc = encoder(source.value)
+        seen, old = enc.raw, enc.raw_old
 
         def learn(w: bytes) -> tuple[int, bytes, bytes]:
             nonlocal seen, old, get
             known = old.get(w) or enc.word(w.decode())
             if len(seen) >= CACHE_WORDS:
                 old, seen = seen, {}
-                get = seen.get
+                enc.raw, enc.raw_old, get = seen, old, seen.get
             seen[w] = known
             return known
 
