@@ -20,7 +20,7 @@ SELECT symbol, '{interval}' AS "interval", CAST(date_trunc('{UNITS[interval]}',
 
 
 def brand(k: str) -> str:
-    return f"CAST(((({k}) % 25) // 5 + 1) * 10 + ({k}) % 5 + 1 AS VARCHAR)"
+    return f"CAST({k} % 25 + 1 AS VARCHAR)"
 
 
 RULES = f"""rules AS (SELECT c_custkey AS rule_id, c_custkey AS user_id, 'Brand#' || {brand('c_custkey')} AS symbol,

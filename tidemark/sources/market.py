@@ -62,8 +62,8 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brand(k):
-    """The two digits of one of the 25 brands, Brand#11 to Brand#55."""
-    return ((F.floor(k % 25 / 5) + 1) * 10 + k % 5 + 1).cast("int").cast("string")
+    """The number of one of the 25 brands."""
+    return (k % 25 + 1).cast("string")
 
 
 def congress_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
