@@ -28,4 +28,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.engulfing_report(spark, sf_dir)
 
 
-from tidemark.plans import indicators, ingest, patterns, signals  # noqa: E402, F401
+from tidemark.plans import indicators, ingest, joins, patterns, signals  # noqa: E402, F401
