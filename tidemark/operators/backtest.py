@@ -23,10 +23,10 @@ def signed(direction: Column, change: Column) -> Column:
 
 def with_future(bars: DataFrame, fwd: int) -> DataFrame:
     """exit_ts, exit_close, best_high, worst_low over the next fwd bars; null when fewer remain."""
-    ahead = W.rowsBetween(1, fwd)
-    full = F.lead("ts", fwd).over(W).isNotNull()
+    ahead = W().rowsBetween(1, fwd)
+    full = F.lead("ts", fwd).over(W()).isNotNull()
     return bars.withColumns({
-        "exit_ts": F.lead("ts", fwd).over(W), "exit_close": F.lead("close", fwd).over(W),
+        "exit_ts": F.lead("ts", fwd).over(W()), "exit_close": F.lead("close", fwd).over(W()),
         "max_high": F.when(full, F.max("high").over(ahead)), "min_low": F.when(full, F.min("low").over(ahead)),
     })
 

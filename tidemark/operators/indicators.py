@@ -22,16 +22,18 @@ PROFILES = {
 }
 PROFILE_BINS, VALUE_AREA = 24, 0.70
 
-W = Window.partitionBy("symbol", "interval").orderBy("ts")
+def W():
+    """A symbol's bars of an interval, in order of time."""
+    return Window.partitionBy("symbol", "interval").orderBy("ts")
 
 
 def last(n: int):
-    return W.rowsBetween(-(n - 1), 0)
+    return W().rowsBetween(-(n - 1), 0)
 
 
 def indexed(bars: DataFrame) -> DataFrame:
     """Adds idx, from 1."""
-    return bars.withColumn("idx", F.row_number().over(W))
+    return bars.withColumn("idx", F.row_number().over(W()))
 
 
 def gated(value: Column, least: int) -> Column:
@@ -66,7 +68,7 @@ def with_emas(df: DataFrame, **periods: int) -> DataFrame:
 
 
 def with_rsi(df: DataFrame, n: int) -> DataFrame:
-    move = F.coalesce(F.col("close") - F.lag("close").over(W), F.lit(0.0))
+    move = F.coalesce(F.col("close") - F.lag("close").over(W()), F.lit(0.0))
     df = df.withColumn("_gain", F.greatest(move, F.lit(0.0))).withColumn("_loss", F.greatest(-move, F.lit(0.0)))
     df = df.withColumn("_g", recent(F.col("_gain"))).withColumn("_l", recent(F.col("_loss")))
     df = df.withColumn("_g", fold(F.col("_g"), 1.0 / n)).withColumn("_l", fold(F.col("_l"), 1.0 / n))
@@ -94,7 +96,7 @@ def with_cci(df: DataFrame, n: int) -> DataFrame:
 
 
 def with_atr(df: DataFrame, n: int) -> DataFrame:
-    before = F.lag("close").over(W)
+    before = F.lag("close").over(W())
     span = F.col("high") - F.col("low")
     df = df.withColumn("_tr", F.coalesce(F.greatest(span, F.abs(F.col("high") - before), F.abs(F.col("low") - before)), span))
     df = df.withColumn("_trs", recent(F.col("_tr")))
@@ -182,7 +184,7 @@ def middle(values: Column) -> Column:
 
 def body_baseline(df: DataFrame, k: int) -> DataFrame:
     """median_body_k, median_range_k, enough_k of up to 20 bars before a pattern of k bars."""
-    w = W.rowsBetween(-k - 19, -k)
+    w = W().rowsBetween(-k - 19, -k)
     df = df.withColumns({"_bodies": F.collect_list("body").over(w), "_ranges": F.collect_list("range").over(w)})
     df = df.withColumns({f"median_body_{k}": middle(F.col("_bodies")), f"median_range_{k}": middle(F.col("_ranges")), f"_n{k}": F.size("_bodies")}).drop("_bodies", "_ranges")
     return df.withColumn(f"enough_{k}", (F.col(f"_n{k}") >= 3) & (F.col(f"median_body_{k}") > 0) & (F.col(f"median_range_{k}") > 0)).drop(f"_n{k}")
@@ -195,15 +197,15 @@ def trend_at(df: DataFrame) -> DataFrame:
     """
     w = last(5)
     close, high, low = F.col("close"), F.col("high"), F.col("low")
-    pc, ph, pl = (F.lag(c).over(W) for c in ("close", "high", "low"))
+    pc, ph, pl = (F.lag(c).over(W()) for c in ("close", "high", "low"))
     df = df.withColumns({
         "_up": (close > pc).cast("int"), "_dn": (close < pc).cast("int"), "_hh": ((high > ph) & (low > pl)).cast("int"),
         "_ll": ((high < ph) & (low < pl)).cast("int"), "_mv": F.abs(close - pc),
     })
-    steps = W.rowsBetween(-3, 0)
+    steps = W().rowsBetween(-3, 0)
     total = {k: F.sum(f"_{k}").over(steps) for k in ("up", "dn", "hh", "ll", "mv")}
     df = df.withColumns({f"_s{k}": F.coalesce(c, F.lit(0)) for k, c in total.items()} | {"_c": F.count("close").over(w), "_first": F.first("close").over(w), "_top": F.max("high").over(w), "_bottom": F.min("low").over(w)})
-    pe = F.lag("ema_fast").over(W)
+    pe = F.lag("ema_fast").over(W())
     for name, sign in (("_emaup", 1), ("_emadn", -1)):
         side = (close - F.col("ema_fast")) * sign > 0
         df = df.withColumn(name, F.coalesce(F.when(F.col("ema_fast").isNull(), False).when(~side | pe.isNull(), side).otherwise((F.col("ema_fast") - pe) * sign > 0), F.lit(False)))
@@ -229,4 +231,4 @@ def trend_at(df: DataFrame) -> DataFrame:
 
 def prior_trend(df: DataFrame, k: int) -> DataFrame:
     """trend_k and trend_points_k before a pattern of k bars; needs trend_at."""
-    return df.withColumns({f"trend_{k}": F.coalesce(F.lag("t_dir", k).over(W), F.lit("NONE")), f"trend_points_{k}": F.coalesce(F.lag("t_points", k).over(W), F.lit(0))})
+    return df.withColumns({f"trend_{k}": F.coalesce(F.lag("t_dir", k).over(W()), F.lit("NONE")), f"trend_points_{k}": F.coalesce(F.lag("t_points", k).over(W()), F.lit(0))})

@@ -144,7 +144,7 @@ def universe(bars: DataFrame, least_bars: int, least_days: int) -> DataFrame:
 
 def latest_quote(bars: DataFrame) -> DataFrame:
     """Newest close per symbol and its change in per cent against the close before (its own open, if alone)."""
-    before = F.lag("close").over(W)
-    newest = F.lead("ts").over(W).isNull()
+    before = F.lag("close").over(W())
+    newest = F.lead("ts").over(W()).isNull()
     df = bars.withColumns({"_b": F.coalesce(before, F.col("open")), "_new": newest}).filter("_new")
     return df.select("symbol", "interval", "ts", "close", F.round((F.col("close") - F.col("_b")) / F.col("_b") * 100, 6).alias("change"))

@@ -30,7 +30,7 @@ def prepared(bars: DataFrame, interval: str) -> DataFrame:
     for k in (1, 2, 3):
         df = I.body_baseline(I.prior_trend(df, k), k)
     bar = F.struct(*_KEPT)
-    return df.withColumns({"c0": bar, "c1": F.lag(bar, 1).over(W), "c2": F.lag(bar, 2).over(W)})
+    return df.withColumns({"c0": bar, "c1": F.lag(bar, 1).over(W()), "c2": F.lag(bar, 2).over(W())})
 
 
 def _shape() -> dict[str, tuple[Column, str]]:
@@ -173,7 +173,7 @@ def with_levels(prepared: DataFrame) -> DataFrame:
     """For patterns of k bars: the lows and highs of up to 20 bars before, and the pattern's extremes."""
     df = prepared
     for k in (1, 2, 3):
-        w = W.rowsBetween(-k - 19, -k)
+        w = W().rowsBetween(-k - 19, -k)
         df = df.withColumns({f"_lows_{k}": F.collect_list("low").over(w), f"_highs_{k}": F.collect_list("high").over(w), f"_min_{k}": F.min("low").over(I.last(k)), f"_max_{k}": F.max("high").over(I.last(k))})
     return df
 

@@ -190,8 +190,8 @@ def suggestion_merge(spark, sf_dir):
 @query("ten_bar_outcome", S.over(*Q.PREP, Q.DETECTED, body="""SELECT symbol, ts, pattern, round(CASE WHEN direction = 'BUY' THEN mx - close ELSE close - mn END / close * 100, 6) AS best, round(CASE WHEN direction = 'BUY' THEN e - close ELSE close - e END / close * 100, 6) AS final FROM d JOIN (
   SELECT symbol, ts, max(close) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS mx, min(close) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS mn, lead(close, 10) OVER w AS e FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts)) USING (symbol, ts) WHERE direction <> 'HOLD' AND e IS NOT NULL"""))
 def ten_bar_outcome(spark, sf_dir):
-    ahead = I.W.rowsBetween(1, 10)
-    p = P.prepared(M.bars(spark, sf_dir), "1wk").withColumns({"mx": F.max("close").over(ahead), "mn": F.min("close").over(ahead), "e": F.lead("close", 10).over(I.W)})
+    ahead = I.W().rowsBetween(1, 10)
+    p = P.prepared(M.bars(spark, sf_dir), "1wk").withColumns({"mx": F.max("close").over(ahead), "mn": F.min("close").over(ahead), "e": F.lead("close", 10).over(I.W())})
     buy, c = F.col("direction") == "BUY", F.col("close")
     s = P.detected(p, hold=False).filter("e IS NOT NULL")
     return s.select("symbol", "ts", "pattern", F.round(F.when(buy, F.col("mx") - c).otherwise(c - F.col("mn")) / c * 100, 6).alias("best"), F.round(F.when(buy, F.col("e") - c).otherwise(c - F.col("e")) / c * 100, 6).alias("final"))

@@ -197,8 +197,8 @@ def forward_bars(spark, sf_dir):
 @query("result_path", S.over(*Q.PREP, Q.DETECTED, body="""SELECT d.symbol, d.ts, pattern, CAST(n.idx - d.idx AS INTEGER) AS "offset", round(CASE WHEN direction = 'BUY' THEN (n.close - d.close) / d.close * 100 ELSE -((n.close - d.close) / d.close * 100) END, 6) + 0.0::DOUBLE AS change, round(n.close - d.close, 6) AS difference
 FROM d JOIN b n ON n.symbol = d.symbol AND n.idx BETWEEN d.idx AND d.idx + 10 JOIN (SELECT symbol, max(idx) AS last FROM b GROUP BY symbol) z ON z.symbol = d.symbol AND d.idx + 10 <= z.last WHERE direction <> 'HOLD'"""))
 def result_path(spark, sf_dir):
-    p = P.prepared(M.bars(spark, sf_dir), "1wk").withColumn("tenth", F.lead("ts", 10).over(I.W))
-    path = F.collect_list("close").over(I.W.rowsBetween(0, 10))
+    p = P.prepared(M.bars(spark, sf_dir), "1wk").withColumn("tenth", F.lead("ts", 10).over(I.W()))
+    path = F.collect_list("close").over(I.W().rowsBetween(0, 10))
     s = P.detected(p.withColumn("path", path), hold=False).filter("tenth IS NOT NULL").select(*_ID, "close", F.posexplode("path").alias("offset", "c"))
     return s.select("symbol", "ts", "pattern", "offset", (F.round(B.signed(F.col("direction"), (F.col("c") - F.col("close")) / F.col("close") * 100), 6) + 0.0).alias("change"), F.round(F.col("c") - F.col("close"), 6).alias("difference"))
 
@@ -207,7 +207,7 @@ def result_path(spark, sf_dir):
 FROM (SELECT d.*, exit_ts, CASE WHEN direction = 'BUY' THEN (exit_close - close) / close * 100 ELSE -((exit_close - close) / close * 100) END AS r, max(idx) OVER (PARTITION BY symbol) AS q FROM d JOIN fu USING (symbol, ts)) d
 JOIN (SELECT symbol, max(idx) AS last FROM b GROUP BY symbol) z USING (symbol) WHERE d.idx > z.last - 104 AND direction <> 'HOLD'"""))
 def historical_scan(spark, sf_dir):
-    newest = I.W.rowsBetween(0, 104)
+    newest = I.W().rowsBetween(0, 104)
     p = future(spark, sf_dir).withColumn("_left", F.count("*").over(newest))
     r = B.signed(F.col("direction"), (F.col("exit_close") - F.col("close")) / F.col("close") * 100)
     s = P.detected(p, hold=False).filter("_left <= 104")
