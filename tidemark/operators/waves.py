@@ -39,7 +39,12 @@ def swings(high: np.ndarray, low: np.ndarray, close: np.ndarray, reach: np.ndarr
         if (ahead[i] - ahead[best]) * side >= 0:
             best = i
         if (ahead[best] - back[i]) * side >= reach[best] and (best < i or (close[i] - mid[i]) * side <= 0):
-            if out[-1] != (best, -side) and out[-1][0] != best:
+            at, sign = out[-1]
+            if sign == side:
+                # the turn between was dropped: the more extreme of two like ones stays
+                if (ahead[best] - ahead[at]) * side > 0:
+                    out[-1] = (best, side)
+            elif at != best:
                 out.append((best, side))
             side, best = -side, i
     return out
