@@ -245,3 +245,27 @@ for _to, _label in (("1wk", "first"), ("1mo", "last")):
 @query("bars_in_window", S.over(S.TICKS, S.bars(), body="SELECT symbol, \"interval\", count(*) AS n FROM bars WHERE ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1998-01-01' GROUP BY ALL"))
 def bars_in_window(spark, sf_dir):
     return M.bars(spark, sf_dir).filter("ts >= '1997-01-01' AND ts < '1998-01-01'").groupBy("symbol", "interval").agg(F.count("*").alias("n"))
+
+
+@query("scan_profile", S.over(S.TICKS, S.bars(), body="SELECT symbol, \"interval\", 104 AS lookback, 4 AS forward, 4.0::DOUBLE AS move, count(*) AS held FROM bars GROUP BY ALL"))
+def scan_profile(spark, sf_dir):
+    dim = spark.createDataFrame([("1d", 60, 10, 3.0), ("1wk", 104, 4, 4.0), ("1mo", 120, 3, 6.0)], "interval string, lookback int, forward int, move double")
+    return M.bars(spark, sf_dir).groupBy("symbol", "interval").agg(F.count("*").alias("held")).join(F.broadcast(dim), "interval").select("symbol", "interval", "lookback", "forward", "move", "held")
+
+
+@query("executable_timing", S.over(*Q.PREP, Q.DETECTED, body=f"""SELECT d.symbol, d.ts, pattern, entry_ts, entry, round(CASE WHEN direction = 'BUY' THEN (x - entry) / entry * 100 ELSE -((x - entry) / entry * 100) END, 6) + 0.0::DOUBLE AS change,
+  round(CASE WHEN direction = 'BUY' THEN mx - entry ELSE entry - mn END / entry * 100, 6) AS mfe, round(CASE WHEN direction = 'BUY' THEN mn - entry ELSE entry - mx END / entry * 100, 6) AS mae
+FROM d JOIN (SELECT symbol, ts, lead(ts) OVER w AS entry_ts, lead(open) OVER w AS entry, lead(close, {FWD}) OVER w AS x, max(high) OVER (w ROWS BETWEEN 1 FOLLOWING AND {FWD} FOLLOWING) AS mx, min(low) OVER (w ROWS BETWEEN 1 FOLLOWING AND {FWD} FOLLOWING) AS mn FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts)) f ON f.symbol = d.symbol AND f.ts = d.ts
+WHERE direction <> 'HOLD' AND x IS NOT NULL"""))
+def executable_timing(spark, sf_dir):
+    p = future(spark, sf_dir).withColumns({"entry_ts": F.lead("ts").over(I.W()), "entry": F.lead("open").over(I.W())})
+    s, e, buy = P.detected(p, hold=False).filter("exit_close IS NOT NULL"), F.col("entry"), F.col("direction") == "BUY"
+    change = F.round(B.signed(F.col("direction"), (F.col("exit_close") - e) / e * 100), 6) + 0.0
+    mfe, mae = F.when(buy, F.col("max_high") - e).otherwise(e - F.col("min_low")), F.when(buy, F.col("min_low") - e).otherwise(e - F.col("max_high"))
+    return s.select("symbol", "ts", "pattern", "entry_ts", "entry", change.alias("change"), F.round(mfe / e * 100, 6).alias("mfe"), F.round(mae / e * 100, 6).alias("mae"))
+
+
+@query("stage_stats", ora(f"SELECT size AS bars, least_points, {MEASURES} FROM (SELECT *, {Q.TREND} AS points, unnest([0, 5, 10, 15]) AS least_points FROM tr) WHERE points >= least_points GROUP BY size, least_points"))
+def stage_stats(spark, sf_dir):
+    t = weekly_trades(spark, sf_dir).withColumn("points", P.score_trend()).withColumn("least_points", F.explode(F.array(*[F.lit(x) for x in (0, 5, 10, 15)])))
+    return B.report(t.filter("points >= least_points").withColumn("bars", F.col("size")), "bars", "least_points")
