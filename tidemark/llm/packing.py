@@ -11,8 +11,10 @@ powers of two, which need no padding; so there is no padding at all.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,48 @@ SHARD_DOCS, QUERY, NEIGHBOURS = 2000, 24, 48
 #: BM25.
 K1, B = 1.2, 0.75
 #: Words remembered by a Python worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 _ROWS = "shard long, doc_id long, start long, length long, ids binary, crc long, doc_tokens long"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+# A word of plain and Western European letters, digits and signs; its pre-tokens.
+_EASY = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile("\x01|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9\x01]+")
+
+
+class Ids:
+    """Keys and their ids, in flat arrays."""
+
+    def __init__(self):
+        self.known: dict = {}
+        self.flat, self.at, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def add(self, keys: list, ids: np.ndarray, size: np.ndarray) -> None:
+        n, first = len(ids), len(self.known)
+        while self.used + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + len(keys) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.flat[self.used : self.used + n] = ids
+        self.at[first + 1 : first + len(keys) + 1] = self.used + np.cumsum(size)
+        self.used += n
+        self.known.update(zip(keys, range(first, first + len(keys)), strict=True))
+
+    def index(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+
+    def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the keys one after another, offsets)."""
+        size = self.at[index + 1] - self.at[index]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.repeat(self.at[index] - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
 class Tokens:
     """Ids of texts. The tokenizer never joins over white space, so each distinct
     word goes through it once and is then looked up."""
@@ -50,38 +88,61 @@ class Tokens:
         self.outer = Tokenizer.from_str(source)
         self.outer.no_padding()
         self.outer.no_truncation()
+        vocabulary = self.outer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        (self.mark,) = self.outer.encode("\x01", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.at, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.clear()
-        got = [x.ids for x in self.outer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        size = np.array([len(x) for x in got], np.int64)
-        n, first = int(size.sum()), len(self.known)
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(words) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.flat[self.used : self.used + n] = [i for x in got for i in x]
-        self.at[first + 1 : first + len(words) + 1] = self.used + np.cumsum(size)
-        self.used += n
-        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        self.words, self.pieces = Ids(), Ids()
+        self.pieces.add(["\x01"], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def outright(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number per word): many words in one call, with a mark of one id between them."""
+        ids = self.ids(" \x01 ".join(words) + " \x01")
+        return ids[ids != self.mark], np.diff(np.flatnonzero(ids == self.mark), prepend=-1) - 1
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.outer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn(self, new: list[bytes]) -> None:
+        words = [w.decode() for w in new]
+        easy = [i for i, w in enumerate(words) if _EASY.fullmatch(w) and "<|" not in w]
+        if easy:
+            # words fall into pieces (letters, digit, signs), of which fewer are new
+            pieces = _PIECE.findall(" \x01 ".join([words[i] for i in easy]).lower() + " \x01")
+            unknown = list(set(pieces).difference(self.pieces.known))
+            if unknown:
+                # each is one pre-token, so its last id, and no other, ends a word
+                ids = self.ids(" ".join(unknown))
+                self.pieces.add(unknown, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+            index = self.pieces.index(pieces)
+            ids, upto = self.pieces.gather(index)
+            ends = upto[1:][index == 0]
+            self.words.add([new[i] for i in easy], ids, np.diff(ends, prepend=0))
+        taken = set(easy)
+        rest = [i for i in range(len(words)) if i not in taken and "\x01" not in words[i]]
+        if rest:
+            self.words.add([new[i] for i in rest], *self.outright([words[i] for i in rest]))
+        for i in sorted(set(range(len(words))) - taken - set(rest)):
+            ids = np.array(self.outer.encode(words[i], add_special_tokens=False).ids, np.uint32)
+            self.words.add([new[i]], ids, np.array([len(ids)]))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each ended by END; offsets)."""
         split = [t.split() for t in texts]
         words = [w for s in split for w in s]
-        new = set(words).difference(self.known)
-        if new:
-            self.learn(sorted(new) if len(self.known) + len(new) <= CACHE_WORDS else sorted(set(words)))
-        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        size = self.at[index + 1] - self.at[index]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.at[index] - upto[:-1], size) + np.arange(upto[-1])]
+        index = np.fromiter(map(self.words.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
+            new = {words[i] for i in missing}
+            if len(self.words) + len(new) > CACHE_WORDS:
+                self.clear()
+                new, missing = set(words), np.arange(len(words))
+            self.learn(list(new))
+            index[missing] = self.words.index([words[i] for i in missing])
+        ids, upto = self.words.gather(index)
         ends = upto[np.cumsum([len(s) for s in split], dtype=np.int64)] if split else np.zeros(0, np.int64)
         return np.insert(ids, ends, END), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
 
@@ -143,21 +204,21 @@ class Index:
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / size.mean()))
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
-        self.first = np.concatenate([[0], np.cumsum(df)])
+        self.first = np.concatenate([[0], np.cumsum(df)]).tolist()
         # a piece's query: its heaviest tokens that another piece has too
         shared = df[term] > 1
         o, t, w = owner[shared], term[shared], weight[shared]
         by = np.lexsort((t, -w, o))
         o, t = o[by], t[by]
         begin = np.searchsorted(o, np.arange(n + 1))
-        self.query = [t[x : min(x + QUERY, y)] for x, y in zip(begin[:-1], begin[1:], strict=True)]
+        self.query = [t[x : min(x + QUERY, y)].tolist() for x, y in zip(begin[:-1], begin[1:], strict=True)]
 
     def neighbours(self, piece: int, unused: np.ndarray) -> np.ndarray:
         """The best unused pieces, best first, ties in order."""
-        score = np.zeros(len(unused))
-        for t in self.query[piece]:
-            a, b = self.first[t], self.first[t + 1]
-            score[self.owner[a:b]] += self.weight[a:b]
+        spans = [slice(self.first[t], self.first[t + 1]) for t in self.query[piece]]
+        if not spans:
+            return np.zeros(0, np.int64)
+        score = np.bincount(np.concatenate([self.owner[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), len(unused))
         score *= unused
         found = np.flatnonzero(score)
         if len(found) > NEIGHBOURS:
