@@ -9,13 +9,13 @@ registers (with the known set sizes) drops hopeless ones far below the limit,
 and the full sets confirm the rest exactly.
 
 Only components are asked for, so a bucket's pairs are never listed. Equal sets
-collapse first (one class, one representative). Then every bucket member is
-compared with the bucket's smallest id; links join components. What may still
-be missing are links inside a bucket between different components. For the sets in
-such buckets, the items that stand in no other of them are counted: two sets have
-at most the smaller of their other items in common, an exact bound. A second star
-goes around the member with the fewest items of its own, and what the bound then
-leaves possible between components is compared in full.
+collapse first (one class, one representative). For the sets that share a bucket,
+the items that stand in no other of them are counted: two sets have at most the
+smaller of their other items in common, an exact bound. In a few rounds every
+bucket member within it is compared with one centre, first the member with the
+fewest items of its own, then one of the bucket's largest component; links join
+components. What the bound leaves possible between a bucket's components after
+that is compared in full.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ BANDS, ROWS = 20, 4
 BASE, RATE = 1.001, 20.0
 #: Per cent of the union that links two sets.
 LIMIT = 85
+#: Rounds in which every bucket has one centre to compare with.
+STARS = 3
 #: Estimates this far below the limit (over six standard errors) need no full comparison.
 SLACK = 0.27
 
@@ -172,8 +174,8 @@ def common_sizes(sets: DataFrame) -> DataFrame:
     return sets.select("cid", F.expr("octet_length(items) DIV 8").alias("size")).join(lone, "cid", "left").select("cid", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the distinct pairs (a, b) those whose full sets are linked."""
+def compared(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the distinct pairs (a, b) the hopeful ones: how many items their full sets share, and whether they are linked."""
     size = classes.select("cid", "n_shingles", "regs")
     side = lambda x: size.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {LIMIT} * greatest(na, nb)")
@@ -188,16 +190,17 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFram
     near = written(near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(hopeful, "a long, b long"))
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            share, ok = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.searchsorted(y, x)
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                share.append(both)
                 ok.append(100 * both >= LIMIT * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "both", "linked"])
 
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("items").alias(f"s{x}"))
-    return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(same, "a long, b long")
+    return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(same, "a long, b long, both long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,11 +229,23 @@ def mixed(keys: DataFrame, comp: DataFrame) -> DataFrame:
     return at.join(several, "band")
 
 
+def largest(at: DataFrame) -> DataFrame:
+    """(band, major): each bucket's component with most members."""
+    sizes = at.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    return sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m")).select("band", F.col("m.comp").alias("major"))
+
+
 def possible(size: str, shared: str, other_size: str, other_shared: str):
     """Whether two sets can be linked, as at most the smaller shared number is in both."""
     return F.expr(f"100 * least({shared}, {other_shared}) >= {LIMIT} * ({size} + {other_size} - least({shared}, {other_shared}))")
 
 
+def possible_beside():
+    """The same, knowing what both share with a third set: in common are at most the
+    smaller part inside it and the smaller shared part outside it."""
+    return F.expr(f"coalesce(100 * (least(both, pb) + least(shared - both, pc - pb)) >= {LIMIT} * (size + ps - least(both, pb) - least(shared - both, pc - pb)), true)")
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
@@ -247,34 +262,40 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
     member = written(real.select("doc_id", *same).join(classes.select("cid", *same), same).select("doc_id", "cid"))
     keys = written(bands(classes))
-    first = keys.groupBy("band").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     shared = written(keys.join(first, "band"))
     sets = written(full_sets(d, classes, shared.select("cid").distinct()))
-    star = written(shared.filter("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct())
-    links = confirmed(star, classes, sets)
+    # what a set shares with any other bounds its similarity to each of them
+    held = written(common_sizes(sets))
     # rows that share an id are one document
     twice = member.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a < z").select("doc_id", "a")
-    links = written(links.union(member.join(twice, "doc_id").filter("a < cid").select("a", F.col("cid").alias("b")).distinct()))
-    at = written(mixed(shared.select("band", "cid"), components(links)))
-    # what a set shares with any other bounds its similarity to each of them
-    held = written(common_sizes(sets.join(at.select("cid").distinct(), "cid")))
-    at = at.join(held, "cid")
-    # second stars: around the member with the least of its own
-    lead = at.groupBy("band").agg(F.min(F.struct((F.col("size") - F.col("shared")).alias("own"), "cid", "size", "shared", "comp")).alias("m"))
-    lead = lead.select("band", F.col("m.cid").alias("p"), F.col("m.size").alias("ps"), F.col("m.shared").alias("pc"), F.col("m.comp").alias("pp"))
-    near = at.join(lead, "band").filter("comp <> pp").filter(possible("size", "shared", "ps", "pc"))
-    second = written(near.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    links = written(links.union(confirmed(second, classes, sets)))
-    at = mixed(at.select("band", "cid"), components(links)).join(held, "cid")
+    links = written(member.join(twice, "doc_id").filter("a < cid").select("a", F.col("cid").alias("b")).distinct())
+    at, tested = shared.join(held, "cid").withColumn("comp", F.col("cid")), None
+    for star in range(STARS):
+        # the centre: first whoever has the least of its own, then the same, or any one, of the bucket's largest component
+        rank = F.xxhash64("cid") if star == STARS - 1 else F.col("size") - F.col("shared")
+        held_by = at if star == 0 else at.join(largest(at), "band").filter("comp = major")
+        centre = held_by.groupBy("band").agg(F.min(F.struct(rank.alias("rank"), "cid", "size", "shared", "comp")).alias("m"))
+        centre = centre.select("band", *[F.col(f"m.{x}").alias(y) for x, y in (("cid", "p"), ("size", "ps"), ("shared", "pc"), ("comp", "pp"))])
+        near = at.filter(f"100 * shared >= {LIMIT} * size").join(centre, "band").filter((F.col("comp") != F.col("pp")) & possible("size", "shared", "ps", "pc"))
+        pairs = near.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.union(pairs)
+        seen = written(compared(pairs, classes, sets))
+        links = written(links.union(seen.filter("linked").select("a", "b")))
+        if star == 0:
+            # what each member shares with its bucket's first centre
+            known = near.select("band", "cid", F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).join(seen, ["a", "b"]).select("band", "cid", "both")
+            known = written(known.union(centre.select("band", F.col("p").alias("cid"), F.col("pc").alias("both"))))
+        at = written(mixed(shared, components(links)).join(held, "cid"))
     # all that may still be linked inside a bucket, between its components
-    at = written(at)
-    sizes = at.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m")).select("band", F.col("m.comp").alias("major"))
-    minor = at.join(major, "band").filter("comp <> major").select("band", F.col("cid").alias("p"), F.col("comp").alias("pp"), "major", F.col("size").alias("ps"), F.col("shared").alias("pc"))
+    major = largest(at)
+    at = at.join(known, ["band", "cid"], "left").withColumn("both", F.least("both", "shared"))
+    minor = at.join(major, "band").filter("comp <> major").select("band", F.col("cid").alias("p"), F.col("comp").alias("pp"), "major", F.col("size").alias("ps"), F.col("shared").alias("pc"), F.col("both").alias("pb"))
     minor = minor.filter(f"100 * pc >= {LIMIT} * ps")  # else nothing is near enough, whatever its size
-    rest = minor.join(at, "band").filter(F.expr("pp <> comp AND (comp = major OR p < cid)") & possible("size", "shared", "ps", "pc"))
-    rest = rest.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct().join(star, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    every = written(links.union(confirmed(written(rest), classes, sets)))
+    rest = minor.join(at, "band").filter(F.expr("pp <> comp AND (comp = major OR p < cid)") & possible("size", "shared", "ps", "pc") & possible_beside())
+    rest = rest.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    every = written(links.union(compared(written(rest), classes, sets).filter("linked").select("a", "b")))
     comp = components(every)
     least = comp.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     least = least.join(least.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select(F.col("node").alias("cid"), "least")
