@@ -229,7 +229,7 @@ def test_levenshtein_automaton():
     raw = [w.encode() for w in words]
     at = np.concatenate([[0], np.cumsum([len(w) for w in raw])])
     got = toxicity.matches(m, np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:])
-    assert got.tolist() == [1, 2, 2, 2, 2, 0, 0, 1, 0, 0, 2, 0][: len(words)] or got.tolist() == [1, 2, 2, 2, 2, 2, 0, 1, 0, 0, 2, 0]
+    assert got.tolist() == [1, 2, 2, 2, 2, 0, 0, 1, 0, 0, 2, 0]
 
 
 def test_classifiers_hold_out(spark):
