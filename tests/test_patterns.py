@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tidemark.operators import backtest as B
 from tidemark.operators import indicators as I
 from tidemark.operators import patterns as P
-from tidemark.plans import sql as S  # noqa: F401
 
 
 def bars(spark, rows, symbol="T"):
