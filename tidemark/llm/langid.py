@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import mix, pick, remainder, steps, text_buffers
+from tidemark.llm.common import pick, remainder, steps, text_buffers
 
 #: Buckets of n-gram hashes; n-grams of up to three letters, with word edges.
-BUCKETS = 1 << 15
+BITS = 15
+BUCKETS = 1 << BITS
 #: Labelled rows (at most about) that train the model, taken by hash over the whole table.
 SAMPLE = 8000
 #: Log-likelihood cost of a switch.
@@ -91,7 +92,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     starts = np.flatnonzero(letter & (~before | new[:-1]))
     ends = np.flatnonzero(letter & (~after | new[1:])) + 1
     word = np.zeros(len(points) + 2, np.int32)
-    np.add.at(word, starts, 1)
+    word[starts] = 1
     word = np.cumsum(word)
     word[:-2][~letter] = 0
     word[-2:] = 0
@@ -102,7 +103,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
         for x in letters:
             h = (h + x) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        return (mix(h) % np.uint64(BUCKETS)).astype(np.int32)
+        return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int32)
 
     none = np.int32(BUCKETS)
     w0, w1, w2 = word[:-2], word[1:-1], word[2:]
