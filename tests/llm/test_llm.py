@@ -200,6 +200,40 @@ def test_license_scan_finds_reordered_and_partial_notices(spark):
     assert (got[3].base_labels, got[3].n_base, got[3].first_word, got[3].last_word) == ("gpl,mit", 2, 0, 3)
 
 
+def test_license_scan_finds_wrapped_notices(spark):
+    texts = [
+        "int x;\n# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the x)\n",
+        "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following conditions\n// are met:",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is\nhereby granted",
+        " ".join(w + " and so it went on until the evening of a long day" for w in "this is free and unencumbered software released into the public domain".split()),
+    ]
+    r = random.Random(9)
+    vocabulary = [*{w for ws in licenses.template_words(licenses.TEMPLATES).values() for w in ws}]
+    for t in [*licenses.TEMPLATES] * 6:
+        w = t.split()
+        for _ in range(r.randint(0, 7)):
+            w[r.randrange(len(w))] = r.choice([*vocabulary, "other"])
+        for _ in range(r.randint(0, 6)):
+            w.insert(r.randrange(len(w) + 1), r.choice([*vocabulary, "other", "\n"]))
+        texts.append(" ".join([*r.choices([*vocabulary, "other"], k=30), *w, *r.choices([*vocabulary, "\n"], k=30)]))
+    want = []
+    for t in texts:
+        w, labels, best = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower()), set(), 0.0
+        for template, ws in licenses.template_words(licenses.TEMPLATES).items():
+            n = -(-len(template.split()) * 100 // licenses.THRESHOLD)
+            c = max(len(set(w[i : i + n]) & set(ws)) for i in range(len(w)))
+            if 100 * c >= licenses.THRESHOLD * len(ws):
+                labels.add(licenses.TEMPLATES[template])
+                best = max(best, c / len(ws))
+        want.append((labels, best))
+    got = {x.doc_id: x for x in licenses.scan(docs(spark, texts)).collect()}
+    assert [got[i].labels for i in range(4)] == ["mit", "bsd", "isc", ""]
+    for i, (labels, best) in enumerate(want):
+        base = {x for x in got[i].base_labels.split(",") if x}
+        assert {x for x in got[i].labels.split(",") if x} == labels | base
+        assert got[i].score == (1.0 if base else pytest.approx(best))
+
+
 def test_paths_equal_viterbi():
     r = np.random.default_rng(3)
     sizes = [1, 2, 30, 200, 80, 0, 5]

@@ -1,15 +1,17 @@
 """License scans: an exact set-similarity join of text blocks with license
 templates, in DataFrame functions only.
 
-A block is a line of a text, a set of words. A template matches a block that
-holds at least THRESHOLD per cent of the template's distinct words. The join is a
+A block is a window of consecutive words, whatever line breaks or comment signs
+stand between them. A template matches a block of 100 / THRESHOLD times its own
+length that holds at least THRESHOLD per cent of its distinct words. The join is a
 prefix-filter join: words are ordered by their frequency in the whole corpus, and
 a block that meets the threshold must hold one of the template's rarest
-|T| - need + 1 words (prefix). Pairs then have to pass the length filter (the block
-has at least `need` of the templates' words) and the positional filter (what
-remains behind the first common word suffices), before the overlap is counted.
-The texts are read once; a line's words outside all templates can't add to any
-overlap and are dropped at once.
+|T| - need + 1 words (prefix). Blocks are formed only around these words. They then
+have to pass the length filter (the words around hold at least `need` of the
+template's) and the positional filter (the prefix word counts as the block's rarest,
+so only what follows it in the order adds), before each block's overlap is counted.
+The texts are read once; a text without enough words of any template is dropped at
+once, and words outside all templates only count as places.
 """
 
 from __future__ import annotations
@@ -57,15 +59,22 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: in
     words = template_words(templates)
     vocabulary = sorted({w for ws in words.values() for w in ws})
     need = {t: -(-threshold * len(ws) // 100) for t, ws in words.items()}
-    least = min(need.values(), default=1)
+    span = {t: -(-100 * len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)) // threshold) for t in words}
     d = pick(docs, doc_id="doc_id", text="text").withColumn("low", F.lower(F.coalesce("text", F.lit("")))).drop("text")
-    d = d.withColumn("by_line", F.transform(F.split("low", "\n"), lambda x: F.array_remove(F.split(x, _BREAK), "")))
-    known = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
+    d = d.withColumn("all", F.array_remove(F.split("low", _BREAK), ""))
+    listed = lambda ws: F.array(*[F.lit(w) for w in ws]) if ws else F.array().cast("array<string>")
+    known = listed(vocabulary)
+    d = d.withColumn("held", F.array_intersect("all", known))
+    enough = F.lit(False)
+    for t, ws in words.items():
+        enough = enough | (F.size(F.array_intersect("held", listed(ws))) >= need[t])
+    # places of the templates' words, by their number in the vocabulary
+    numbered = F.transform("all", lambda x, i: F.struct(i.alias("i"), (F.array_position(known, x) - 1).cast("int").alias("k")))
     d = d.select(
         "doc_id",
-        F.aggregate("by_line", F.lit(0).cast("long"), lambda a, x: a + F.size(x)).alias("n_words"),
-        F.when(F.col("low").contains("license"), F.flatten("by_line")).alias("w"),
-        F.filter(F.transform("by_line", lambda x: F.array_intersect(x, known)), lambda x: F.size(x) >= least).alias("held"),
+        F.size("all").cast("long").alias("n_words"),
+        F.when(F.col("low").contains("license"), F.col("all")).alias("w"),
+        F.when(enough, F.filter(numbered, lambda e: e["k"] >= 0)).alias("held"),
     )
     w = F.col("w")
     d = d.withColumn("spots", F.filter(F.transform(w, lambda x, i: F.when(x == "license", i)), lambda x: x.isNotNull()))
@@ -81,24 +90,28 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: in
     d = d.select("doc_id", "n_words", "held", starts.alias("starts"), F.array_sort(base).alias("base"))
     d = written(d.withColumn("row", F.monotonically_increasing_id()))
 
-    # global word frequencies, over all documents
-    seen = d.select(F.explode(F.array_distinct(F.flatten("held"))).alias("word")).groupBy("word").count()
-    frequency = {r["word"]: r["count"] for r in seen.collect()}  # at most the templates' words
-    order = {x: k for k, x in enumerate(sorted(vocabulary, key=lambda x: (frequency.get(x, 0), x)))}
+    # global word frequencies, over all documents that can match
+    seen = d.select(F.explode(F.array_distinct(F.col("held.k"))).alias("k")).groupBy("k").count()
+    frequency = {r["k"]: r["count"] for r in seen.collect()}  # at most the templates' words
+    number = {x: k for k, x in enumerate(vocabulary)}
     index = []
     for t, ws in words.items():
-        ranked = sorted(ws, key=order.get)
-        index += [(ranked[i], i, len(ranked), need[t], templates[t], ranked) for i in range(len(ranked) - need[t] + 1)]
+        ranked = sorted((number[x] for x in ws), key=lambda k: (frequency.get(k, 0), k))
+        index += [(ranked[i], len(ranked), need[t], span[t], templates[t], ranked[i:]) for i in range(len(ranked) - need[t] + 1)]
     spark = docs.sparkSession
-    prefixes = spark.createDataFrame(index, "word string, i int, size int, need int, label string, words array<string>")
-    # both sides in the global order: a line's words by rank
-    rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv]) if order else F.create_map().cast("map<string,int>")
-    lines = d.select("row", F.explode("held").alias("held")).withColumn("sorted", F.array_sort(F.transform("held", lambda x: F.struct(F.element_at(rank, x).alias("k"), x.alias("x")))))
-    lines = lines.select("row", "held", F.size("held").alias("n"), F.posexplode("sorted").alias("j", "e")).select("row", "held", "n", "j", F.col("e.x").alias("word"))
-    pairs = lines.join(F.broadcast(prefixes), "word")
-    # length filter, then positional filter
-    pairs = pairs.filter("n >= need AND 1 + least(size - i - 1, n - j - 1) + least(i, j) >= need")
-    pairs = pairs.withColumn("common", F.size(F.array_intersect("held", "words"))).filter("common >= need")
+    prefixes = spark.createDataFrame(index, "k int, size int, need int, span int, label string, words array<int>")
+    # the words around each prefix word, as far as a block reaches
+    anchors = F.array(*[F.lit(k) for k in sorted({r[0] for r in index})]).cast("array<int>")
+    far = max(span.values(), default=1)
+    around = lambda e, at: F.when(F.array_contains(anchors, e["k"]), F.struct(e["i"].alias("i"), e["k"].alias("k"), F.slice("held", F.greatest(at - far + 2, F.lit(1)), 2 * far - 1).alias("near")))
+    spots = d.select("row", F.explode(F.array_compact(F.transform("held", around))).alias("e")).select("row", "e.i", "e.k", "e.near")
+    pairs = spots.join(F.broadcast(prefixes), "k")
+    pairs = pairs.withColumn("near", F.filter("near", lambda e: (e["i"] > F.col("i") - F.col("span")) & (e["i"] < F.col("i") + F.col("span")) & F.array_contains("words", e["k"])))
+    # length and positional filter, then every block that holds the prefix word
+    pairs = pairs.filter(F.size(F.array_distinct(F.col("near.k"))) >= F.col("need"))
+    block = lambda s: F.filter("near", lambda e: (e["i"] >= s["i"]) & (e["i"] < s["i"] + F.col("span")))
+    overlap = F.transform(F.filter("near", lambda s: s["i"] <= F.col("i")), lambda s: F.size(F.array_distinct(F.transform(block(s), lambda e: e["k"]))))
+    pairs = pairs.withColumn("common", F.array_max(overlap)).filter("common >= need")
     found = pairs.groupBy("row").agg(F.collect_set("label").alias("more"), F.max(F.col("common") / F.col("size")).alias("best"))
     out = d.drop("held").join(found, "row", "left")
     none = F.array().cast("array<string>")
