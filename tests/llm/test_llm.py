@@ -91,6 +91,32 @@ def test_packing_keeps_every_id_once(spark):
         assert at == packing.WINDOW or at & (at - 1) == 0
 
 
+def test_packing_lets_relatives_meet_across_shards(spark, monkeypatch):
+    """Families of 8 documents among 24 shards' worth: frequencies are the corpus's, relatives share shards."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("bcdfghklmnprstvwxz") for _ in range(n))
+    common, own = [word(4) for _ in range(60)], [[word(9) for _ in range(12)] for _ in range(60)]
+    order = [k % 60 for k in range(480)]
+    texts = [" ".join(r.choices(common, k=20) + own[k] * 2) for k in order]
+    pieces = packing.packed(docs(spark, texts)).collect()
+    shard = {p.doc_id: p.sequence_id >> 24 for p in pieces}
+    assert len(set(shard.values())) > 12 and max(Counter(shard.values()).values()) < 100
+    together = [Counter(shard[i] for i in range(480) if order[i] == k).most_common(1)[0][1] for k in range(60)]
+    assert sum(together) / 480 > 0.8
+
+
+def test_packing_asks_again_and_counts_the_corpus():
+    """More than NEIGHBOURS short relatives are all used before a stranger that stands first."""
+    ids = [np.array([7, 8, 9, 1])] + [np.array([30 + k, 31 + k]) for k in range(0, 40, 2)] + [np.array([7, 8, 200 + k]) for k in range(200)]
+    df = np.bincount(np.concatenate([np.unique(p) for p in ids]))
+    c = packing.Corpus(len(ids), sum(map(len, ids)), df)
+    first = list(dict.fromkeys(k for w in packing.fill(ids, c) for k, _, _ in w))
+    assert set(first[:201]) == {0, *range(21, 221)}
+    rare = packing.Corpus(10**6, 3 * 10**6, np.where(np.arange(len(df)) == 8, 2, np.maximum(df, 10**5)))
+    assert packing.Index(ids, rare).query[0][0] == 8
+
+
 def brute_groups(texts):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []

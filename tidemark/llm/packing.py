@@ -2,9 +2,14 @@
 
 Documents become token ids. Full windows of a long document stand alone; what is
 left of each document (less than a window) goes to one of many shards of bounded
-size. A shard is one BM25 index over its pieces' tokens: a seed piece opens a
-window, its own rarest tokens query the index, and the unused neighbours fill the
-window, best first. What fits whole is preferred; else the best neighbour is cut
+size. Shards are ranges of pieces ordered by their rarest shared tokens, so pieces
+that share these meet, and a hot token's pieces are split by the next rarest. A
+shard is one BM25 index over its pieces' tokens, with document frequencies and mean
+length of the whole corpus: a seed piece opens a window, its own rarest tokens
+query the index, and the unused neighbours fill the window, best first. A used-up
+list is asked for again, at last with all of the seed's tokens; only where no unused
+piece of the shard shares any does the next in order follow. What fits whole is
+preferred; else the best neighbour is cut
 and its rest is the next seed. The last, unfilled window of a shard is cut at
 powers of two, which need no padding; so there is no padding at all.
 """
@@ -23,19 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import read_vocabulary
-from tidemark.llm.common import mix, pick, steps, text_buffers
+from tidemark.llm.common import mix, pick, steps, text_buffers, written
 
 WINDOW = 2048
 #: Id that ends a document.
 END = 1
 #: Documents of a shard (on average); tokens of a query; neighbours looked at.
 SHARD_DOCS, QUERY, NEIGHBOURS = 2000, 24, 48
+#: Tokens of the order that shards are ranges of; pieces of each shard looked at for its bounds.
+ORDER, BOUNDS = 3, 50
 #: BM25.
 K1, B = 1.2, 0.75
 #: Words remembered by a Python worker.
 CACHE_WORDS = 1_000_000
 
-_ROWS = "shard long, doc_id long, start long, length long, ids binary, crc long, doc_tokens long"
+_ROWS = "place long, doc_id long, start long, length long, ids binary, crc long, doc_tokens long"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -162,8 +169,8 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def cut(docs: DataFrame, shards: int, source) -> DataFrame:
-    """Full windows (finished: ids null) and the rest of each document, by shard."""
+def cut(docs: DataFrame, source) -> DataFrame:
+    """Full windows (finished: ids null) and the rest of each document, with their place in the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, done = tokens(source.value), TaskContext.get().partitionId() << 40
@@ -180,19 +187,108 @@ def cut(docs: DataFrame, shards: int, source) -> DataFrame:
                     rows += [(doc_ids[a + i], s, WINDOW, None, crc(x[s : s + WINDOW]), n) for s in range(0, full, WINDOW)]
                     if full < n:
                         rows.append((doc_ids[a + i], full, n - full, x[full:].astype("<u4").tobytes() if x.max() > 65535 else x[full:].astype("<u2").tobytes(), None, n))
-                shard = (mix(np.arange(done, done + len(rows), dtype=np.uint64)) % np.uint64(shards)).astype(np.int64)
+                place = np.arange(done, done + len(rows))
                 done += len(rows)
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(shard), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["shard", "doc_id", "start", "length", "ids", "crc", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(place), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["place", "doc_id", "start", "length", "ids", "crc", "doc_tokens"])
 
     return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, _ROWS)
 
 
+def tokens_of(ids: bytes, length: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * length else "<u4")
+
+
+class Corpus:
+    """Number and mean length of all pieces, and how many hold each token."""
+
+    def __init__(self, n: int, total: int, df: np.ndarray):
+        self.n, self.mean, self.df = n, total / max(n, 1), df
+        shared = np.flatnonzero(df > 1)
+        self.rank = np.full(len(df), 0xFFFF, np.int64)
+        self.rank[shared[np.lexsort((shared, df[shared]))]] = np.minimum(np.arange(len(shared)), 0xFFFE)
+
+    def keys(self, pieces: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+        """The rarest shared tokens of each piece (never empty), then a hash of its place."""
+        first = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        rank, key = self.rank[np.concatenate(pieces)], np.zeros(len(pieces), np.int64)
+        for _ in range(ORDER):
+            least = np.minimum.reduceat(rank, first[:-1])
+            key = key << 16 | least
+            rank[rank == np.repeat(least, np.diff(first))] = 0xFFFF
+        return key << 15 | (mix(place.astype(np.uint64)) >> np.uint64(49)).astype(np.int64)
+
+
+def pieces_of(batch: pa.RecordBatch, size: int = 500) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """First row and token ids of up to `size` unfinished pieces at a time."""
+    at, n = batch.schema.get_field_index("ids"), batch.schema.get_field_index("length")
+    for a in range(0, batch.num_rows, size):
+        part = batch.slice(a, size)
+        yield a, [tokens_of(x, k) for x, k in zip(part.column(at).to_pylist(), part.column(n).to_pylist(), strict=True)]
+
+
+def corpus(pieces: DataFrame) -> Corpus:
+    """What comes to the driver is one row a token of the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(1 << 16, np.int64), 0, 0
+        for batch in batches:
+            for _, ids in pieces_of(batch):
+                size = [len(p) for p in ids]
+                term = np.concatenate(ids).astype(np.int64)
+                span = int(term.max()) + 1
+                count = np.bincount(np.unique(np.repeat(np.arange(len(ids)), size) * span + term) % span, minlength=len(df))
+                count[: len(df)] += df
+                df, n, total = count, n + len(ids), total + len(term)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at.tolist()], pa.int64()), pa.array([n, total, *df[at].tolist()], pa.int64())], names=["term", "n"])
+
+    rows = {r["term"]: r["n"] for r in pieces.select("length", "ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, total = rows.pop(-2, 0), rows.pop(-1, 0)
+    df = np.zeros(max(rows, default=0) + 1, np.int64)
+    df[list(rows)] = list(rows.values())
+    return Corpus(n, total, df)
+
+
+def keyed(pieces: DataFrame, shared) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            keys = [shared.value.keys(ids, place[a : a + len(ids)]) for a, ids in pieces_of(batch)]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["key"])
+
+    return pieces.select("place", "length", "ids").mapInArrow(run, "key long")
+
+
+def dealt(rows: DataFrame, shards: int, shared) -> DataFrame:
+    """Rows with their shard: pieces by the range of their key, full windows by place."""
+    held = rows.filter("ids IS NOT NULL")
+    if shards > 1:
+        share = min(1.0, BOUNDS * shards / max(shared.value.n, 1))
+        sample = held.filter(F.pmod(F.xxhash64("place"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+        seen = np.sort(np.array([r["key"] for r in keyed(sample, shared).collect()], np.int64))
+        bounds = seen[np.arange(1, shards) * len(seen) // shards] if len(seen) else np.zeros(0, np.int64)
+    else:
+        bounds = np.zeros(0, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            for a, ids in pieces_of(batch):
+                part = batch.slice(a, len(ids))
+                shard = np.searchsorted(bounds, shared.value.keys(ids, place[a : a + len(ids)]), "right")
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), *part.columns[1:]], names=["shard", *part.schema.names[1:]])
+
+    full = rows.filter("ids IS NULL").withColumn("place", F.pmod(F.xxhash64("place"), F.lit(shards))).withColumnRenamed("place", "shard")
+    return held.mapInArrow(run, _ROWS.replace("place", "shard")).unionByName(full)
+
+
 class Index:
     """BM25 over the pieces of a shard."""
 
-    def __init__(self, pieces: list[np.ndarray]):
+    def __init__(self, pieces: list[np.ndarray], corpus: Corpus):
         n = len(pieces)
         size = np.array([len(p) for p in pieces], np.float64)
         owner, term = np.repeat(np.arange(n), size.astype(np.int64)), np.concatenate(pieces).astype(np.int64)
@@ -200,22 +296,27 @@ class Index:
         key, tf = np.unique(owner * span + term, return_counts=True)
         owner, term = key // span, key % span
         df = np.bincount(term, minlength=span)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / size.mean()))
+        idf = np.log1p((corpus.n - corpus.df[:span] + 0.5) / (corpus.df[:span] + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / corpus.mean))
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
         self.first = np.concatenate([[0], np.cumsum(df)]).tolist()
-        # a piece's query: its heaviest tokens that another piece has too
+        # a piece's query: its tokens that another piece has too, heaviest first
         shared = df[term] > 1
         o, t, w = owner[shared], term[shared], weight[shared]
         by = np.lexsort((t, -w, o))
         o, t = o[by], t[by]
         begin = np.searchsorted(o, np.arange(n + 1))
-        self.query = [t[x : min(x + QUERY, y)].tolist() for x, y in zip(begin[:-1], begin[1:], strict=True)]
+        self.query = [t[x:y] for x, y in zip(begin[:-1], begin[1:], strict=True)]
 
     def neighbours(self, piece: int, unused: np.ndarray) -> np.ndarray:
-        """The best unused pieces, best first, ties in order."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.query[piece]]
+        """The best unused pieces, best first, ties in order: by the heaviest
+        tokens, or by all where those have none left."""
+        found = self.asked(self.query[piece][:QUERY], unused)
+        return found if len(found) else self.asked(self.query[piece][QUERY:], unused)
+
+    def asked(self, query: np.ndarray, unused: np.ndarray) -> np.ndarray:
+        spans = [slice(self.first[t], self.first[t + 1]) for t in query.tolist()]
         if not spans:
             return np.zeros(0, np.int64)
         score = np.bincount(np.concatenate([self.owner[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), len(unused))
@@ -226,10 +327,10 @@ class Index:
         return found[np.lexsort((found, -score[found]))]
 
 
-def fill(pieces: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+def fill(pieces: list[np.ndarray], corpus: Corpus) -> list[list[tuple[int, int, int]]]:
     """Windows of (piece, from, to)."""
     unused = np.ones(len(pieces), bool)
-    index, windows, window, room, rest, turn = Index(pieces), [], [], WINDOW, None, 0
+    index, windows, window, room, rest, turn = Index(pieces, corpus), [], [], WINDOW, None, 0
     size = [len(p) for p in pieces]
     while True:
         if rest is None:
@@ -243,8 +344,10 @@ def fill(pieces: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
         rest = None
         window.append((seed, at, size[seed]))
         room = WINDOW - (size[seed] - at)
-        near = index.neighbours(seed, unused).tolist() if room else []
+        near: list[int] = []
         while room:
+            if not near:
+                near = index.neighbours(seed, unused).tolist()
             k = next((k for k in near if size[k] <= room), near[0] if near else None)
             if k is None:
                 while turn < len(pieces) and not unused[turn]:
@@ -280,7 +383,7 @@ def fill(pieces: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
     return windows
 
 
-def pack(table: pa.Table) -> pa.Table:
+def pack(table: pa.Table, corpus: Corpus) -> pa.Table:
     """The pieces of one shard."""
     table = table.combine_chunks()
     shard = table.column("shard")[0].as_py() if table.num_rows else 0
@@ -291,8 +394,8 @@ def pack(table: pa.Table) -> pa.Table:
         out.append((d, start, length, c, n, sequence, 0))
         sequence += 1
     if held:
-        ids = [np.frombuffer(r[3], "<u2" if len(r[3]) == 2 * r[2] else "<u4") for r in held]
-        for window in fill(ids):
+        ids = [tokens_of(r[3], r[2]) for r in held]
+        for window in fill(ids, corpus):
             offset = 0
             for k, a, b in window:
                 out.append((held[k][0], held[k][1] + a, b - a, crc(ids[k][a:b]), held[k][5], sequence, offset))
@@ -308,10 +411,11 @@ def packed(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     Null and empty texts are the end id alone. Rows with a null or repeated id are
     packed each (their pieces carry that id). An empty table has no pieces. The
-    number of shards follows the rows, so a shard stays small at any size; rows
-    go to shards by their place in the input, whatever their ids.
+    number of shards follows the rows, so a shard stays small at any size; pieces
+    go to shards by their tokens, equal ones by their place in the input.
     """
     spark = docs.sparkSession
     shards = max(1, -(-docs.count() // SHARD_DOCS))
-    rows = cut(docs, shards, spark.sparkContext.broadcast(read_vocabulary(vocabulary)))
-    return rows.groupBy("shard").applyInArrow(pack, _PIECES)
+    rows = written(cut(docs, spark.sparkContext.broadcast(read_vocabulary(vocabulary))))
+    shared = spark.sparkContext.broadcast(corpus(rows.filter("ids IS NOT NULL")))
+    return dealt(rows, shards, shared).groupBy("shard").applyInArrow(lambda table: pack(table, shared.value), _PIECES)
