@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import langid, neardup, packing, quality
 from tidemark.llm.common import table, written
 
-#: Least score of the predicted language.
+#: Least sureness of the languages of a text's spans.
 LANGUAGE_SCORE = 0.4
 
 
@@ -24,12 +24,13 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language (null, empty, no letter) or in no clear one."""
+    """Drops texts without a language (null, empty, no letter) or whose spans are in no
+    clear one; a text in several clear languages stays."""
     model = langid.trained(docs)
     plain, names = _plain(docs)
     text = plain.columns[names.index("text")]
     judged = langid.labelled(plain, model, tuple(plain.columns), text)
-    return judged.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LANGUAGE_SCORE)).select(*plain.columns).toDF(*names)
+    return judged.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("sure") >= LANGUAGE_SCORE)).select(*plain.columns).toDF(*names)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

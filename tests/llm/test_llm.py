@@ -283,6 +283,22 @@ def test_language_spans(spark):
     assert p.filter("lang = lang_pred").count() / p.count() > 0.9
 
 
+def test_pipeline_keeps_clean_mixed_texts(spark, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.trained(d)
+    monkeypatch.setattr(langid, "trained", lambda docs: model)
+    # a little more of the first, so that the main language's lead is small
+    part = [d.filter(f"lang = '{x}' AND n_chars BETWEEN 900 AND 4000").orderBy("doc_id").first().text for x in model.langs[:3]]
+    two, three = part[0][:410] + " " + part[1][:400], " ".join(p[:300] for p in part)
+    texts = [two, three, " ".join([three] * 3), part[0], None, "", "12 34 !"]
+    got = {x.doc_id for x in pipeline.language(spark, docs(spark, texts), SF).collect()}
+    assert got == {0, 1, 2, 3}
+    blank = langid.Model(model.langs, np.zeros_like(model.weights), np.ones_like(model.uses))
+    monkeypatch.setattr(langid, "trained", lambda docs: blank)
+    assert pipeline.language(spark, docs(spark, texts), SF).count() == 0
+
+
 def test_levenshtein_automaton():
     m = toxicity.automaton([(b"idiot", 0), (b"moron", 0), (b"gruml", 5)])
     words = ["idiot", "idi0t", "idit", "iidiot", "idiots", "idots", "ideits", "grumling", "grulm", "moronic", "mron", "x"]

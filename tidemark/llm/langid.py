@@ -241,11 +241,13 @@ def paths(s: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> tuple[np.
 
 
 def labelled(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", switch: float = SWITCH) -> DataFrame:
-    """The columns `keep`, lang_pred, score and spans (start, end, lang; in code points).
+    """The columns `keep`, lang_pred, score, spans (start, end, lang; in code points) and sure.
 
-    `und`, score 0 and no spans where the text is null or has no letter, or no
+    `und`, score and sure 0 and no spans where the text is null or has no letter, or no
     language was learned. The score is the share of letters in the predicted
-    language times how clearly its words favour it over the next language.
+    language times how clearly its words favour it over the next language. `sure` is how
+    likely the spans' languages are among all learned ones (log likelihood over the
+    square root of a span's words), by their letters: whatever the languages' shares.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -257,10 +259,11 @@ def labelled(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
         for batch in batches:
             data, offsets = text_buffers(batch.column(batch.num_columns - 1))
             for a, b in steps(offsets):
-                pred, score, spans = [UNDETERMINED] * (b - a), [0.0] * (b - a), [[] for _ in range(b - a)]
+                pred, score, spans, clear = [UNDETERMINED] * (b - a), [0.0] * (b - a), [[] for _ in range(b - a)], np.zeros(b - a)
                 w = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if m.langs and len(w.starts):
-                    path, total = paths(m.scores(w), w.first, switch)
+                    words = m.scores(w)
+                    path, total = paths(words, w.first, switch)
                     length = (w.ends - w.starts).astype(np.float64)
                     n = np.diff(w.first)
                     doc = np.repeat(np.arange(b - a), n)
@@ -272,16 +275,20 @@ def labelled(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                     share = held.max(1) / np.maximum(held.sum(1), 1)
                     turn = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])]))
                     last = np.concatenate([turn[1:], [len(path)]]) - 1
+                    fit = np.add.reduceat(words, turn, axis=0) / np.sqrt(last - turn + 1)[:, None]
+                    odds = np.exp(fit - fit.max(1, keepdims=True))
+                    odds = odds[np.arange(len(turn)), path[turn]] / odds.sum(1)
+                    clear = np.bincount(doc[turn], odds * np.add.reduceat(length, turn), b - a) / np.maximum(held.sum(1), 1)
                     for x, y in zip(turn, last, strict=True):
                         i = doc[x]
                         spans[i].append({"start": int(w.starts[x] - w.at[i]), "end": int(w.ends[y] - w.at[i]), "lang": m.langs[path[x]]})
                     for i in np.flatnonzero(n):
                         pred[i], score[i] = m.langs[lang[i]], float(share[i] * sure[i])
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(span))], names=[*keep, "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(span)), pa.array(clear)], names=[*keep, "lang_pred", "score", "spans", "sure"])
 
     out = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep])
     out = out.add("lang_pred", "string").add("score", "double")
-    out.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("lang", "string")))
+    out.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("lang", "string"))).add("sure", "double")
     return held.mapInArrow(run, out)
 
 
