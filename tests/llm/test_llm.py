@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("tidemark.llm")
-from tidemark.llm import bpe, chat, langid, licenses, neardup, packing, quality, rules, topk, toxicity  # noqa: E402
+from tidemark.llm import bpe, chat, common, langid, licenses, neardup, packing, quality, rules, topk, toxicity  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, lang_pred string"
 SF = "/root/testdata/sf0.001"
@@ -161,6 +161,30 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got.values())
 
 
+def test_hashes_tell_structured_words_apart(spark):
+    """Thue-Morse words, which polynomial hashes modulo a power of two confuse, and long words that differ in one letter."""
+    morse = "a"
+    while len(morse) < 2048:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    words = [morse[:k] for k in (32, 64, 65, 1024, 2048)] + [morse[:k].translate(str.maketrans("ab", "ba")) for k in (32, 64, 65, 1024, 2048)]
+    words += ["x" * 70 + c for c in "abc"] + ["q" * k for k in range(1, 80)]
+    raw = [w.encode() for w in words]
+    at = np.concatenate([[0], np.cumsum([len(w) for w in raw])])
+    h = common.span_hashes(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:], families=2)
+    assert len(set(h[0].tolist())) == len(set(h[1].tolist())) == len(words)
+    up = common.span_hashes(np.frombuffer(b"".join(raw).upper(), np.uint8), at[:-1], at[1:], fold=True, families=2)
+    assert (up == h).all()
+    got = {x.doc_id: x.component_id for x in neardup.grouped(docs(spark, [morse, morse.translate(str.maketrans("ab", "ba"))])).collect()}
+    assert got == {0: 0, 1: 1}
+
+
+def test_common_items_are_counted_exactly():
+    one = np.array([[1, 2, 2, 5], [9, 3, 4, 0]], np.uint64)
+    two = np.array([[1, 2, 2, 5], [9, 4, 7, 1]], np.uint64)
+    assert neardup.in_common(one, two) == 2
+    assert neardup.in_common(one[:, [0, 1, 3]], two[:, [0, 1, 3]]) == 1
+
+
 def test_registers_merge_and_estimate():
     r = np.random.default_rng(1)
     x = r.integers(0, 2**63, 1500, dtype=np.int64).astype(np.uint64)
@@ -189,6 +213,24 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert topk.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_is_exact_at_any_size(spark):
+    """Components near 1e6, 1e9, 1e30 and beyond double's integers, negative ones, clashing columns, repeats."""
+    r = random.Random(6)
+    sizes = [1.0, 1.0, 1e4, 1e6, 1e9, 1e15, 1e30]
+    rows = [(i, [r.uniform(-1, 1) * r.choice(sizes) for _ in range(3)], i, "x", 0.5, -1) for i in range(260)]
+    rows += [(500, [1e6 + 1, 1e6, 1e6], 0, "", 0.0, 0), (501, [1e6, 1e6, 1e6 + 1], 0, "", 0.0, 0), (501, [1e6, 1e6, 1e6 + 1], 0, "", 0.0, 0), (550, [1.7e308, 1.0, 1.0], 0, "", 0.0, 0)]
+    rows += [(None, [1.0, 1.0, 1.0], None, None, None, None), (600, [], None, None, None, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id long, q string, score double, rank int")
+    q = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, *_ in rows if i is not None and i < 550]
+    want = Counter()
+    for i, v in q:
+        if i % 50 == 0:
+            clip = lambda s: max(-topk.TOP, min(topk.TOP, s))
+            best = sorted((-clip(sum(a * b for a, b in zip(v, w, strict=True))), j) for j, w in q if j != i)[:5]
+            want += Counter((i, n + 1, j, -s) for n, (s, j) in enumerate(best))
+    assert Counter(tuple(x) for x in topk.nearest(frame).collect()) == want
+
+
 def test_chat_round_trip(spark):
     bits = ["\\", "###", "</turn>", ":", "\n", "### Assistant: ", "a", "#", "<", "</tur"]
     r = random.Random(4)

@@ -8,6 +8,9 @@ task's memory follows its largest single text, not its partition.
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,14 +46,18 @@ _own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a temporary folder only
-    where the session names none (tests)."""
+    """The shared folder that spark.checkpoint.dir names. Only a local master, where
+    one machine is all there is (tests, benches), may do without: it gets a folder
+    that goes with the process. A cluster that names none is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
-    app = spark.sparkContext.applicationId
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return _own[app]
 
 
@@ -126,40 +133,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-_P = 0x9E3779B97F4A7C15
-_Q = pow(_P, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Bytes of a word that are hashed by table; a longer word takes a cryptographic hash.
+TABLED = 64
+_tables: dict[int, np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        x = np.full(max(n, CHUNK_BYTES + 4096), base, np.uint64)
-        x[0] = 1
-        have = _powers[base] = np.multiply.accumulate(x)
-    return have[:n]
+def _table(family: int) -> np.ndarray:
+    """Random values by place and byte (TABLED x 256, flat)."""
+    if family not in _tables:
+        _tables[family] = mix(np.arange(TABLED * 256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(np.array([family + 1], np.uint64)))
+    return _tables[family]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
-    """64-bit hash of each span of bytes: differences of one running polynomial
-    sum. Handled in pieces, so scratch stays within a few CHUNK_BYTES even for
-    one very long text."""
-    out = np.empty(len(starts), np.uint64)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, families: int = 1) -> np.ndarray:
+    """64-bit hash of each span of bytes, by `families` independent functions
+    (spans, or families x spans); `fold` lower-cases A-Z.
+
+    Tabulation: the sum of one random value per place and byte, so two different
+    spans of up to TABLED bytes are alike with probability 2^-64 whatever their
+    form; longer ones take BLAKE2b. Handled in pieces of about CHUNK_BYTES.
+    """
+    out = np.empty((families, len(starts)), np.uint64)
+    size = ends - starts
+    upto = np.concatenate([[0], np.cumsum(size)])
     a = 0
     while a < len(starts):
-        at = starts[a]
-        b = max(a + 1, int(np.searchsorted(ends, at + CHUNK_BYTES, "right")))
-        part = data[at : ends[b - 1]]
-        run = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(values[part] * powers(_P, len(part)), out=run[1:])
-        s = starts[a:b] - at
-        out[a:b] = mix((run[ends[a:b] - at] - run[s]) * powers(_Q, len(part) + 1)[s] + (ends[a:b] - starts[a:b]).astype(np.uint64))
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + CHUNK_BYTES, "right")) - 1)
+        n = np.minimum(size[a:b], TABLED)
+        begin = np.concatenate([[0], np.cumsum(n)])
+        place = np.arange(begin[-1], dtype=np.int32) - np.repeat(begin[:-1].astype(np.int32), n)
+        letter = data[np.repeat(starts[a:b], n) + place]
+        at = (place << 8) + (LOWER[letter] if fold else letter)
+        run = np.zeros(len(at) + 1, np.uint64)
+        for k in range(families):
+            np.cumsum(_table(k)[at], out=run[1:])
+            out[k, a:b] = mix(run[begin[1:]] - run[begin[:-1]] + size[a:b].astype(np.uint64))
         a = b
-    return out
-
-
-LOWER_BYTE = _BYTE[LOWER]
+    for i in np.flatnonzero(size > TABLED):
+        x = data[starts[i] : ends[i]]
+        digest = hashlib.blake2b((LOWER[x] if fold else x).tobytes(), digest_size=8 * families).digest()
+        out[:, i] = np.frombuffer(digest, "<u8")
+    return out if families > 1 else out[0]
 
 
 def crc_remainder(column: pa.Array, k: int) -> np.ndarray:

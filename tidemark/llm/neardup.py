@@ -6,7 +6,8 @@ the set, kept as its truncated logarithm to a base near 1. Registers merge by
 maximum and are locality-sensitive. Bands of register values find candidates, a
 maximum-likelihood estimate from the joint counts of larger, smaller and equal
 registers (with the known set sizes) drops hopeless ones far below the limit,
-and the full sets confirm the rest exactly.
+and the full sets confirm the rest exactly. A set's items are 128-bit hashes of
+the shingles' words, and equal sets are told by a digest of all of them.
 
 Only components are asked for, so a bucket's pairs are never listed. Equal sets
 collapse first (one class, one representative). For the sets that share a bucket,
@@ -20,6 +21,7 @@ that is compared in full.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_BYTE, mix, pick, span_hashes, steps, text_buffers, word_spans, written
+from tidemark.llm.common import mix, pick, span_hashes, steps, text_buffers, word_spans, written
 
 WORDS = 5
 #: Bands x rows = registers. A pair at 0.85 shares no band with probability 4e-7.
@@ -38,6 +40,8 @@ BASE, RATE = 1.001, 20.0
 LIMIT = 85
 #: Rounds in which every bucket has one centre to compare with.
 STARS = 3
+#: Members of a bucket that one task meets at once; a larger bucket is dealt to several.
+PART, FIRST_SALTS = 500, 64
 #: Estimates this far below the limit (over six standard errors) need no full comparison.
 SLACK = 0.27
 
@@ -46,26 +50,32 @@ _SEED = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes of all texts, their offsets). A text of
-    fewer than five words has its whole sequence as one shingle; none without words."""
+    """(128-bit hashes of the distinct shingles of all texts, 2 x items, each text's
+    sorted; their offsets). A text of fewer than five words has its whole sequence
+    as one shingle; none without words."""
     starts, ends, first = word_spans(data, offsets)
-    h = span_hashes(data, starts, ends, LOWER_BYTE)
+    h = span_hashes(data, starts, ends, fold=True, families=2)
     n = np.diff(first)
-    full = np.zeros(max(len(h) - WORDS + 1, 0), np.uint64)
+    full = np.zeros((2, max(h.shape[1] - WORDS + 1, 0)), np.uint64)
     for k in range(WORDS):
-        full += h[k : len(h) - WORDS + 1 + k] * _STEP[k] if len(full) else np.uint64(0)
+        full += h[:, k : h.shape[1] - WORDS + 1 + k] * _STEP[k] if full.size else np.uint64(0)
     full = mix(full)
     parts, sizes = [], np.zeros(len(n), np.int64)
     for d in np.flatnonzero(n):
         if n[d] >= WORDS:
-            s = np.sort(full[first[d] : first[d + 1] - WORDS + 1])
-            s = s[np.concatenate([[True], s[1:] != s[:-1]])]
+            s = full[:, first[d] : first[d + 1] - WORDS + 1]
+            s = s[:, np.argsort(s[0])]
+            like = s[0, 1:] == s[0, :-1]
+            if (s[1, 1:] != s[1, :-1])[like].any():  # half of the hash may stand for several shingles
+                s = s[:, np.lexsort((s[1], s[0]))]
+                like = s[0, 1:] == s[0, :-1]
+            s = s[:, np.concatenate([[True], ~like | (s[1, 1:] != s[1, :-1])])]
         else:
-            w = h[first[d] : first[d + 1]]
-            s = mix(np.array([(w * _STEP[: len(w)]).sum() + np.uint64(len(w))], np.uint64))
+            w = h[:, first[d] : first[d + 1]]
+            s = mix((w * _STEP[: w.shape[1]]).sum(1, keepdims=True) + np.uint64(w.shape[1]))
         parts.append(s)
-        sizes[d] = len(s)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
+        sizes[d] = s.shape[1]
+    return (np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def registers(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -95,13 +105,31 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return at
 
 
+def packed(items: np.ndarray) -> bytes:
+    """A set of 128-bit hashes: all first halves, then all second ones."""
+    return items.tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64).reshape(2, -1)
+
+
 def prints(items: np.ndarray) -> tuple[int, int]:
-    """128-bit fingerprint of a set."""
-    return mix(items + np.uint64(1)).sum(), mix(items ^ np.uint64(0x5851F42D4C957F2D)).sum()
+    """128-bit digest of a set."""
+    d = hashlib.blake2b(packed(items), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sets of 128-bit hashes."""
+    if (x[0, 1:] == x[0, :-1]).any() or (y[0, 1:] == y[0, :-1]).any():
+        return len(set(zip(*x.tolist(), strict=True)) & set(zip(*y.tolist(), strict=True)))
+    at = np.minimum(np.searchsorted(y[0], x[0]), y.shape[1] - 1)
+    return int(((y[0, at] == x[0]) & (y[1, at] == x[1])).sum())
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (128-bit fingerprint of the set), regs."""
+    """doc_id, n_shingles, f1, f2 (128-bit digest of the set), regs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,14 +139,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets, bounds = shingles(part, offsets[a : b + 1] - offsets[a])
                 n = np.diff(bounds)
                 has = np.flatnonzero(n)
-                f1, f2, regs = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64), [b""] * (b - a)
+                f, regs = np.zeros((b - a, 2), np.int64), [b""] * (b - a)
                 if len(has):
                     tight = np.concatenate([bounds[:-1][has], bounds[-1:]])
-                    f1[has] = np.add.reduceat(mix(sets + np.uint64(1)), tight[:-1])
-                    f2[has] = np.add.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), tight[:-1])
-                    for d, r in zip(has, registers(sets, tight), strict=True):
-                        regs[d] = r.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "regs"])
+                    for d, r in zip(has, registers(sets[0], tight), strict=True):
+                        f[d], regs[d] = prints(sets[:, bounds[d] : bounds[d + 1]]), r.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "regs"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, regs binary")
 
@@ -148,11 +174,11 @@ def full_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFram
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            f1, f2 = (batch.column(i).to_numpy().view(np.uint64) for i in (2, 3))
+            f1, f2 = (batch.column(i).to_numpy() for i in (2, 3))
             for a, b in steps(offsets):
                 sets, bounds = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 # an id may stand on several rows: take the one with the class's set
-                raw = [x.tobytes() if prints(x) == (f1[a + i], f2[a + i]) else None for i, x in enumerate(np.split(sets, bounds[1:-1]))]
+                raw = [packed(x) if prints(x) == (f1[a + i], f2[a + i]) else None for i, x in enumerate(np.split(sets, bounds[1:-1], axis=1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(raw, pa.binary())], names=["cid", "items"])
 
     found = pick(docs, rep="doc_id", text="text").join(asked, "rep").select("cid", "text", "f1", "f2").mapInArrow(full, "cid long, items binary")
@@ -166,12 +192,12 @@ def common_sizes(sets: DataFrame) -> DataFrame:
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cid, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(x.as_buffer(), np.int64)
+                x = unpacked(x.as_buffer())[0].view(np.int64)  # a half: alike by chance only widens the bound
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), cid))], names=["item", "cid"])
 
     lone = sets.mapInArrow(items, "item long, cid long").groupBy("item").agg(F.min("cid").alias("cid"), F.count("*").alias("n")).filter("n = 1")
     lone = lone.groupBy("cid").agg(F.count("*").alias("alone"))
-    return sets.select("cid", F.expr("octet_length(items) DIV 8").alias("size")).join(lone, "cid", "left").select("cid", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    return sets.select("cid", F.expr("octet_length(items) DIV 16").alias("size")).join(lone, "cid", "left").select("cid", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
 def compared(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -188,15 +214,15 @@ def compared(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
                 yield batch.select(["a", "b"]).filter(pa.array(j >= LIMIT / 100 - SLACK))
 
     near = written(near.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(hopeful, "a long, b long"))
+
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             share, ok = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
+                both = in_common(x, y)
                 share.append(both)
-                ok.append(100 * both >= LIMIT * (len(x) + len(y) - both))
+                ok.append(100 * both >= LIMIT * (x.shape[1] + y.shape[1] - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "both", "linked"])
 
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("items").alias(f"s{x}"))
@@ -222,17 +248,32 @@ def components(links: DataFrame) -> DataFrame:
         label = step.select("node", F.col("new").alias("comp"))
 
 
+def salted(keys: DataFrame) -> DataFrame:
+    """band, cid, parts, salt of the buckets with several members: a bucket is dealt
+    to `parts` tasks by the salt, so no task gets a hot bucket whole."""
+    deal = keys.withColumn("s0", F.pmod(F.xxhash64("cid"), F.lit(FIRST_SALTS)))
+    some = deal.groupBy("band", "s0").agg(F.count("*").alias("n"))
+    all_ = some.groupBy("band").agg(F.sum("n").alias("n")).filter("n > 1")
+    parts = some.select("band", "s0").join(all_, "band").select("band", "s0", F.ceil(F.col("n") / PART).alias("parts"))
+    return deal.join(parts, ["band", "s0"]).select("band", "cid", "parts", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts")).alias("salt"))
+
+
+def per_part(buckets: DataFrame) -> DataFrame:
+    """One row a bucket -> one a part of it (band, salt), to meet its members."""
+    return buckets.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+
+
 def mixed(keys: DataFrame, comp: DataFrame) -> DataFrame:
-    """(band, cid, comp) of the buckets that hold several components."""
-    at = keys.join(comp, F.col("cid") == F.col("node"), "left").select("band", "cid", F.coalesce("comp", "cid").alias("comp"))
-    several = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("band")
-    return at.join(several, "band")
+    """The members of the buckets that hold several components, with theirs."""
+    at = keys.join(comp, F.col("cid") == F.col("node"), "left").select("band", "cid", "parts", "salt", F.coalesce("comp", "cid").alias("comp"))
+    several = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.first("parts").alias("parts")).filter("x < y").select("band", "parts")
+    return at.join(per_part(several), ["band", "salt"])
 
 
 def largest(at: DataFrame) -> DataFrame:
-    """(band, major): each bucket's component with most members."""
-    sizes = at.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    return sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m")).select("band", F.col("m.comp").alias("major"))
+    """(band, salt, major): each bucket's component with most members."""
+    sizes = at.groupBy("band", "comp").agg(F.count("*").alias("n"), F.first("parts").alias("parts"))
+    return per_part(sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m"), F.first("parts").alias("parts")).select("band", "parts", F.col("m.comp").alias("major")))
 
 
 def possible(size: str, shared: str, other_size: str, other_shared: str):
@@ -262,8 +303,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
     member = written(real.select("doc_id", *same).join(classes.select("cid", *same), same).select("doc_id", "cid"))
     keys = written(bands(classes))
-    first = keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    shared = written(keys.join(first, "band"))
+    shared = written(salted(keys))
     sets = written(full_sets(d, classes, shared.select("cid").distinct()))
     # what a set shares with any other bounds its similarity to each of them
     held = written(common_sizes(sets))
@@ -274,10 +314,10 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     for star in range(STARS):
         # the centre: first whoever has the least of its own, then the same, or any one, of the bucket's largest component
         rank = F.xxhash64("cid") if star == STARS - 1 else F.col("size") - F.col("shared")
-        held_by = at if star == 0 else at.join(largest(at), "band").filter("comp = major")
-        centre = held_by.groupBy("band").agg(F.min(F.struct(rank.alias("rank"), "cid", "size", "shared", "comp")).alias("m"))
-        centre = centre.select("band", *[F.col(f"m.{x}").alias(y) for x, y in (("cid", "p"), ("size", "ps"), ("shared", "pc"), ("comp", "pp"))])
-        near = at.filter(f"100 * shared >= {LIMIT} * size").join(centre, "band").filter((F.col("comp") != F.col("pp")) & possible("size", "shared", "ps", "pc"))
+        held_by = at if star == 0 else at.join(largest(at), ["band", "salt"]).filter("comp = major")
+        centre = held_by.groupBy("band").agg(F.min(F.struct(rank.alias("rank"), "cid", "size", "shared", "comp")).alias("m"), F.first("parts").alias("parts"))
+        centre = centre.select("band", "parts", *[F.col(f"m.{x}").alias(y) for x, y in (("cid", "p"), ("size", "ps"), ("shared", "pc"), ("comp", "pp"))])
+        near = at.filter(f"100 * shared >= {LIMIT} * size").join(per_part(centre), ["band", "salt"]).filter((F.col("comp") != F.col("pp")) & possible("size", "shared", "ps", "pc"))
         pairs = near.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.union(pairs)
@@ -291,9 +331,9 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # all that may still be linked inside a bucket, between its components
     major = largest(at)
     at = at.join(known, ["band", "cid"], "left").withColumn("both", F.least("both", "shared"))
-    minor = at.join(major, "band").filter("comp <> major").select("band", F.col("cid").alias("p"), F.col("comp").alias("pp"), "major", F.col("size").alias("ps"), F.col("shared").alias("pc"), F.col("both").alias("pb"))
+    minor = at.join(major, ["band", "salt"]).filter("comp <> major").select("band", "parts", F.col("cid").alias("p"), F.col("comp").alias("pp"), "major", F.col("size").alias("ps"), F.col("shared").alias("pc"), F.col("both").alias("pb"))
     minor = minor.filter(f"100 * pc >= {LIMIT} * ps")  # else nothing is near enough, whatever its size
-    rest = minor.join(at, "band").filter(F.expr("pp <> comp AND (comp = major OR p < cid)") & possible("size", "shared", "ps", "pc") & possible_beside())
+    rest = per_part(minor).join(at, ["band", "salt"]).filter(F.expr("pp <> comp AND (comp = major OR p < cid)") & possible("size", "shared", "ps", "pc") & possible_beside())
     rest = rest.select(F.least("p", "cid").alias("a"), F.greatest("p", "cid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     every = written(links.union(compared(written(rest), classes, sets).filter("linked").select("a", "b")))
     comp = components(every)

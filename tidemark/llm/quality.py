@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER_BYTE, mix, pick, remainder, span_hashes, steps, text_buffers, word_spans
+from tidemark.llm.common import mix, pick, remainder, span_hashes, steps, text_buffers, word_spans
 
 #: Hashed weights.
 DIMENSIONS = 1 << 18
@@ -51,7 +51,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, first = word_spans(data, offsets)
     texts = len(offsets) - 1
     doc = np.repeat(np.arange(texts), np.diff(first))
-    word, shape = span_hashes(data, starts, ends, LOWER_BYTE), _classes(data, starts, ends)
+    word, shape = span_hashes(data, starts, ends, fold=True), _classes(data, starts, ends)
     pair = doc[1:] == doc[:-1] if len(doc) else np.zeros(0, bool)
     two = mix(word[:-1] * np.uint64(3) + word[1:])[pair]
     shapes = mix(shape[:-1] * np.uint64(5) + shape[1:])[pair]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import LOWER, LOWER_BYTE, pick, remainder, span_hashes, steps, text_buffers, word_spans
+from tidemark.llm.common import LOWER, pick, remainder, span_hashes, steps, text_buffers, word_spans
 from tidemark.llm.quality import labelled
 
 #: Labelled rows (about) to learn from; lexicon entries at most, the best by ratio.
@@ -73,7 +73,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndar
     for kind in (0, *STEM):
         ok = (ends - starts >= max(kind, 3)) if kind else (ends - starts >= 3)
         s, e, d = starts[ok], (starts + kind if kind else ends)[ok], doc[ok]
-        h = span_hashes(data, s, e, LOWER_BYTE) * np.uint64(31) + np.uint64(kind)
+        h = span_hashes(data, s, e, fold=True) * np.uint64(31) + np.uint64(kind)
         order = np.lexsort((h, d))
         new = np.ones(len(order), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (d[order][1:] != d[order][:-1])
@@ -103,7 +103,7 @@ def lexicon(rows: DataFrame) -> list[tuple[bytes, int]]:
         return []
     terms = [bytes(t) for t in seen["term"]]
     joined, bounds = np.frombuffer(b"".join(terms), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in terms])])
-    keys = span_hashes(joined, bounds[:-1], bounds[1:], LOWER_BYTE) * np.uint64(31) + seen["kind"].to_numpy(np.uint64)
+    keys = span_hashes(joined, bounds[:-1], bounds[1:], fold=True) * np.uint64(31) + seen["kind"].to_numpy(np.uint64)
     order = np.argsort(keys)
     shared = rows.sparkSession.sparkContext.broadcast(keys[order])
 
@@ -249,7 +249,7 @@ class Model:
 def _word_set(words: list[str]) -> np.ndarray:
     raw = [w.encode() for w in words]
     at = np.concatenate([[0], np.cumsum([len(w) for w in raw])])
-    return np.sort(span_hashes(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:], LOWER_BYTE))
+    return np.sort(span_hashes(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:], fold=True))
 
 
 def hits(m: Matcher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -266,7 +266,7 @@ def hits(m: Matcher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
             ok = (near >= first[doc]) & (near < first[doc + 1]) & (d != 0)
             if not ok.any():
                 continue
-            h = span_hashes(data, starts[near[ok]], ends[near[ok]], LOWER_BYTE) if (np.diff(near[ok]) > 0).all() else np.array([], np.uint64)
+            h = span_hashes(data, starts[near[ok]], ends[near[ok]], fold=True) if (np.diff(near[ok]) > 0).all() else np.array([], np.uint64)
             quoted[ok] |= np.isin(h, report)
             directed[ok] |= np.isin(h, address)
         # quotation marks on both sides, within a few words
