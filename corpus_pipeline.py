@@ -15,6 +15,8 @@ from tidemark.llm.common import table, written
 
 #: Least sureness of the languages of a text's spans.
 LANGUAGE_SCORE = 0.4
+#: Least quality score.
+QUALITY_SCORE = 0.5
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -25,20 +27,22 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language (null, empty, no letter) or whose spans are in no
-    clear one; a text in several clear languages stays."""
+    clear one; a text in several clear languages stays. Repeated rows and rows with
+    null ids are judged each by their text; an empty table stays empty."""
     model = langid.trained(docs)
     plain, names = _plain(docs)
     text = plain.columns[names.index("text")]
-    judged = langid.labelled(plain, model, tuple(plain.columns), text)
-    return judged.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("sure") >= LANGUAGE_SCORE)).select(*plain.columns).toDF(*names)
+    return langid.labelled(plain, model, tuple(plain.columns), text, least=LANGUAGE_SCORE).toDF(*names)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts that the quality classifier scores below one half."""
+    """Drops texts that the quality classifier scores below one half. Null and empty
+    texts are scored by the intercept alone; repeated rows and rows with null ids
+    are judged each; an empty table stays empty."""
     weights = quality.trained(quality.labelled(docs, table(spark, sf_dir, "labels"), "quality", 3, 1))
     plain, names = _plain(docs)
     text = plain.columns[names.index("text")]
-    return quality.scored(plain, weights, tuple(plain.columns), text).filter("score >= 0.5").select(*plain.columns).toDF(*names)
+    return quality.scored(plain, weights, tuple(plain.columns), text, least=QUALITY_SCORE).toDF(*names)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +57,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all texts into sequences."""
+    """Packs all texts into sequences; null and empty texts are their end mark alone,
+    repeated rows and rows with null ids are packed each, an empty table has no piece."""
     return packing.packed(docs)
 
 
@@ -64,6 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of what all stages keep of documents (an empty table: none)."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

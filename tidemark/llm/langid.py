@@ -83,8 +83,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     at = lead[offsets]
     plane = np.minimum(points, 0xFFFF)
     letter, c = alpha[plane], lower[plane].astype(np.uint64)
-    for i in np.flatnonzero(points > 0xFFFF):
-        letter[i], c[i] = chr(points[i]).isalpha(), points[i]
+    far = np.flatnonzero(points > 0xFFFF)
+    if len(far):
+        kinds, which = np.unique(points[far], return_inverse=True)
+        letter[far], c[far] = np.array([chr(x).isalpha() for x in kinds])[which], points[far]
     new = np.zeros(len(points) + 1, bool)
     new[at] = True
     before = np.concatenate([[False], letter[:-1]]) if len(letter) else letter
@@ -240,7 +242,7 @@ def paths(s: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> tuple[np.
     return path, total
 
 
-def labelled(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+def labelled(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", switch: float = SWITCH, least: float | None = None) -> DataFrame:
     """The columns `keep`, lang_pred, score, spans (start, end, lang; in code points) and sure.
 
     `und`, score and sure 0 and no spans where the text is null or has no letter, or no
@@ -248,16 +250,20 @@ def labelled(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     language times how clearly its words favour it over the next language. `sure` is how
     likely the spans' languages are among all learned ones (log likelihood over the
     square root of a span's words), by their letters: whatever the languages' shares.
+
+    With `least`, only the columns `keep` of the rows that have a language and are at
+    least so sure come back from the workers, so a text travels once each way.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    held = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    sent = keep if text_col in keep else (*keep, text_col)
+    held, text_at = docs.select(*[F.col(f"`{c}`") for c in sent]), sent.index(text_col)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            data, offsets = text_buffers(batch.column(batch.num_columns - 1))
+            data, offsets = text_buffers(batch.column(text_at))
             for a, b in steps(offsets):
                 pred, score, spans, clear = [UNDETERMINED] * (b - a), [0.0] * (b - a), [[] for _ in range(b - a)], np.zeros(b - a)
                 w = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -279,14 +285,22 @@ def labelled(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                     odds = np.exp(fit - fit.max(1, keepdims=True))
                     odds = odds[np.arange(len(turn)), path[turn]] / odds.sum(1)
                     clear = np.bincount(doc[turn], odds * np.add.reduceat(length, turn), b - a) / np.maximum(held.sum(1), 1)
-                    for x, y in zip(turn, last, strict=True):
-                        i = doc[x]
-                        spans[i].append({"start": int(w.starts[x] - w.at[i]), "end": int(w.ends[y] - w.at[i]), "lang": m.langs[path[x]]})
-                    for i in np.flatnonzero(n):
-                        pred[i], score[i] = m.langs[lang[i]], float(share[i] * sure[i])
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(span)), pa.array(clear)], names=[*keep, "lang_pred", "score", "spans", "sure"])
+                    if least is None:
+                        for x, y in zip(turn, last, strict=True):
+                            i = doc[x]
+                            spans[i].append({"start": int(w.starts[x] - w.at[i]), "end": int(w.ends[y] - w.at[i]), "lang": m.langs[path[x]]})
+                        for i in np.flatnonzero(n):
+                            pred[i], score[i] = m.langs[lang[i]], float(share[i] * sure[i])
+                own = [c.slice(a, b - a) for c in batch.columns[: len(keep)]]
+                if least is not None:
+                    known = np.diff(w.first) > 0 if m.langs else np.zeros(b - a, bool)
+                    yield pa.RecordBatch.from_arrays(own, names=list(keep)).filter(pa.array(known & (clear >= least)))
+                    continue
+                yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(span)), pa.array(clear)], names=[*keep, "lang_pred", "score", "spans", "sure"])
 
     out = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep])
+    if least is not None:
+        return held.mapInArrow(run, out)
     out = out.add("lang_pred", "string").add("score", "double")
     out.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("lang", "string"))).add("sure", "double")
     return held.mapInArrow(run, out)

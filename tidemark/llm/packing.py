@@ -39,8 +39,8 @@ SHARD_DOCS, QUERY, NEIGHBOURS = 2000, 24, 48
 ORDER, BOUNDS = 3, 50
 #: BM25.
 K1, B = 1.2, 0.75
-#: Words remembered by a Python worker.
-CACHE_WORDS = 1_000_000
+#: Words and parts of words remembered by a Python worker, at most; their bytes, at most.
+CACHE_WORDS, CACHE_BYTES = 600_000, 1 << 26
 
 _ROWS = "place long, doc_id long, start long, length long, ids binary, crc long, doc_tokens long"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -56,7 +56,7 @@ class Ids:
 
     def __init__(self):
         self.known: dict = {}
-        self.flat, self.at, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+        self.flat, self.at, self.used, self.held = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
 
     def __len__(self) -> int:
         return len(self.known)
@@ -70,6 +70,7 @@ class Ids:
         self.flat[self.used : self.used + n] = ids
         self.at[first + 1 : first + len(keys) + 1] = self.used + np.cumsum(size)
         self.used += n
+        self.held += 4 * n + sum(map(len, keys))
         self.known.update(zip(keys, range(first, first + len(keys)), strict=True))
 
     def index(self, keys: list) -> np.ndarray:
@@ -144,7 +145,7 @@ class Tokens:
         missing = np.flatnonzero(index < 0)
         if len(missing):
             new = {words[i] for i in missing}
-            if len(self.words) + len(new) > CACHE_WORDS:
+            if len(self.words) + len(self.pieces) + len(new) > CACHE_WORDS or self.words.held + self.pieces.held > CACHE_BYTES:
                 self.clear()
                 new, missing = set(words), np.arange(len(words))
             self.learn(list(new))

@@ -136,9 +136,10 @@ def hash_of(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
-def scored(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", least: float | None = None) -> DataFrame:
     """The columns `keep` and score (0 to 1) of every whole text; a null or empty
-    text is scored by the intercept alone."""
+    text is scored by the intercept alone. With `least`, only the columns `keep` of
+    the rows with at least that score come back from the workers."""
     from pyspark.sql import types as T
 
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -146,15 +147,21 @@ def scored(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            data, offsets = text_buffers(batch.column(batch.num_columns - 1))
+            data, offsets = text_buffers(batch.column(text_at))
             for a, b in steps(offsets):
                 d, f, v = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 z = np.bincount(d, w[f] * v, b - a) + w[-1]
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-1]], pa.array(score)], names=[*keep, "score"])
-
-    held = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
-    return held.mapInArrow(run, T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep]).add("score", "double"))
+                own = [c.slice(a, b - a) for c in batch.columns[: len(keep)]]
+                if least is None:
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(score)], names=[*keep, "score"])
+                else:
+                    yield pa.RecordBatch.from_arrays(own, names=list(keep)).filter(pa.array(score >= least))
+
+    sent = keep if text_col in keep else (*keep, text_col)
+    held, text_at = docs.select(*[F.col(f"`{c}`") for c in sent]), sent.index(text_col)
+    shape = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep])
+    return held.mapInArrow(run, shape.add("score", "double") if least is None else shape)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, out: int, sample: int = SAMPLE) -> DataFrame:
