@@ -107,14 +107,16 @@ LOWER[65:91] += 32
 def word_spans(data: np.ndarray, offsets: np.ndarray, split: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first word of each text; len = texts + 1) of the runs of
     bytes outside `split`; a run never crosses a text's end."""
-    keep = ~split[data]
-    edge = np.empty(len(data) + 1, bool)
+    return runs(~split[data], offsets)
+
+
+def runs(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first run of each text) of the runs of True that no text's end crosses."""
+    edge = np.zeros(len(keep) + 1, bool)
     edge[1:-1] = keep[1:] != keep[:-1]
-    if len(data):
+    if len(keep):
         edge[0], edge[-1] = keep[0], keep[-1]
-    else:
-        edge[:] = False
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    inner = offsets[(offsets > 0) & (offsets < len(keep))]
     inner = inner[keep[inner] & keep[inner - 1]] if len(inner) else inner
     cuts = np.flatnonzero(edge)
     if len(inner):
@@ -123,6 +125,33 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, split: np.ndarray = SPACE)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_plane: list[np.ndarray] = []
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of some texts' UTF-8, and the offset of each text in them."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    return points, np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+
+
+def letters(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point: is it a letter; is it a letter or digit; its single-letter lower case."""
+    if not _plane:
+        chars = [chr(i) for i in range(0x10000)]
+        _plane.append(np.array([c.isalpha() for c in chars]))
+        _plane.append(np.array([c.isalnum() for c in chars]))
+        _plane.append(np.array([ord(x) if len(x := c.lower()) == 1 else i for i, c in enumerate(chars)], np.uint32))
+    near = np.minimum(points, 0xFFFF)
+    alpha, alnum, lower = (t[near] for t in _plane)
+    far = np.flatnonzero(points > 0xFFFF)
+    if len(far):
+        kinds, which = np.unique(points[far], return_inverse=True)
+        alpha[far] = np.array([chr(x).isalpha() for x in kinds])[which]
+        alnum[far] = np.array([chr(x).isalnum() for x in kinds])[which]
+        lower[far] = points[far]
+    return alpha, alnum, lower
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (multiply and xor-shift)."""
     x = x ^ (x >> np.uint64(30))

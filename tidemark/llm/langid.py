@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import pick, remainder, steps, text_buffers
+from tidemark.llm.common import code_points, letters, pick, remainder, steps, text_buffers
 
 #: Buckets of n-gram hashes; n-grams of up to three letters, with word edges.
 BITS = 15
@@ -51,17 +51,6 @@ SCRIPTS = sorted({s for _, s in _SCRIPTS})
 _FROM = np.array([a for a, _ in _SCRIPTS])
 _WHICH = np.array([SCRIPTS.index(s) for _, s in _SCRIPTS])
 
-_tables: list[np.ndarray] = []
-
-
-def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """For the first plane: is it a letter; its single-letter lower case."""
-    if not _tables:
-        chars = [chr(i) for i in range(0x10000)]
-        _tables.append(np.array([c.isalpha() for c in chars]))
-        _tables.append(np.array([ord(x) if len(x := c.lower()) == 1 else i for i, c in enumerate(chars)], np.uint32))
-    return _tables[0], _tables[1]
-
 
 @dataclass
 class Words:
@@ -77,16 +66,9 @@ class Words:
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    alpha, lower = _letters()
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    at = lead[offsets]
-    plane = np.minimum(points, 0xFFFF)
-    letter, c = alpha[plane], lower[plane].astype(np.uint64)
-    far = np.flatnonzero(points > 0xFFFF)
-    if len(far):
-        kinds, which = np.unique(points[far], return_inverse=True)
-        letter[far], c[far] = np.array([chr(x).isalpha() for x in kinds])[which], points[far]
+    points, at = code_points(data, offsets)
+    letter, _, lower = letters(points)
+    c = lower.astype(np.uint64)
     new = np.zeros(len(points) + 1, bool)
     new[at] = True
     before = np.concatenate([[False], letter[:-1]]) if len(letter) else letter
@@ -100,9 +82,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     word[-2:] = 0
     c2 = np.concatenate([c, np.zeros(2, np.uint64)])
 
-    def bucket(kind: int, *letters: np.ndarray) -> np.ndarray:
-        h = np.full(len(letters[0]), kind, np.uint64)
-        for x in letters:
+    def bucket(kind: int, *gram: np.ndarray) -> np.ndarray:
+        h = np.full(len(gram[0]), kind, np.uint64)
+        for x in gram:
             h = (h + x) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int32)

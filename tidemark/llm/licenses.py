@@ -39,18 +39,19 @@ TEMPLATES = {
 THRESHOLD = 80
 #: Phrases of the base labels.
 PHRASES = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
-    return {t: list(dict.fromkeys(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()))) for t in templates}
+    return {t: list(dict.fromkeys(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(str.maketrans(UPPER, UPPER.lower()))))) for t in templates}
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and
     score (the best containment of a matching template; 1 with a base phrase; else 0).
 
-    Null texts are empty: no words, no labels (empty strings), null positions.
+    A-Z alone are lower-cased. Null texts are empty: no words, no labels (empty strings), null positions.
     Each row gets its own result, repeated and null ids too; columns other than
     doc_id and text are not read. The templates are a parameter of the caller
     (a fixed list), so their index is small whatever the corpus holds.
@@ -60,7 +61,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: in
     vocabulary = sorted({w for ws in words.values() for w in ws})
     need = {t: -(-threshold * len(ws) // 100) for t, ws in words.items()}
     span = {t: -(-100 * len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)) // threshold) for t in words}
-    d = pick(docs, doc_id="doc_id", text="text").withColumn("low", F.lower(F.coalesce("text", F.lit("")))).drop("text")
+    d = pick(docs, doc_id="doc_id", text="text").withColumn("low", F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower())).drop("text")
     d = d.withColumn("all", F.array_remove(F.split("low", _BREAK), ""))
     listed = lambda ws: F.array(*[F.lit(w) for w in ws]) if ws else F.array().cast("array<string>")
     known = listed(vocabulary)
@@ -130,7 +131,7 @@ def _sql() -> str:
         f"list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i:i+{len(p) - 1}] = {list(p)!r}), lambda i: {{'at': i - 1, 'label': '{k}'}})" for k, p in PHRASES.items()
     )
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents),
 b AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
 p AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, {starts} AS s FROM b),
 tpl(label, ws) AS (VALUES {rows}),

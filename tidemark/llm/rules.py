@@ -5,8 +5,10 @@ a character). Per language and source, the metrics are summarised by quantile
 sketches: counts per step, which merge by addition, have a fixed number of
 entries and no rounding error. A group's cutoff for a metric is its third
 quartile plus a multiple of its interquartile range (plus a least margin), so it
-follows what is normal for that language and source. A group of few documents
-takes its language's merged sketch. The cutoffs are joined back to the documents.
+follows what is normal for that language and source. A group's quartiles are drawn
+towards its language's (from the merged sketch) as if the language lent it PRIOR
+documents, so few documents of its own count little, and many count alone. The
+cutoffs are joined back to the documents.
 """
 
 from __future__ import annotations
@@ -17,16 +19,19 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import pick, written
 
 #: name: (least margin above the third quartile, least words for the rule)
-METRICS = {"symbols": (50, 1), "repeats": (200, 1), "lines": (400, 1), "length": (15, 20)}
-SPREAD, SMALL_GROUP, TOP = 5, 200, 1000
+METRICS = {"symbols": (50, 1), "repeats": (50, 1), "lines": (400, 1), "length": (15, 20)}
+SPREAD, PRIOR = 5, 200
+#: Word lengths (in tenths) from the first number on are counted in steps of the second.
+COARSE = {1_000: 100, 100_000: 10_000, 10_000_000: 1_000_000}
+#: Cutoff rows that are broadcast, at most; more are joined by salted keys.
+BROADCAST, SALTS = 50_000, 32
 _WHITE = "[\\x20\\x09-\\x0D]+"
 
 
 def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang, source and the base counts of every whole text.
 
-    Windows of five words are compared by 64-bit hashes (a false match within
-    one text of a million words: under 1 in 10^7).
+    Windows of five words that share a 64-bit hash are compared by their words.
     """
     d = pick(docs, doc_id=id_col, lang="lang", source="source", text=text_col)
     t = F.coalesce("text", F.lit(""))
@@ -42,32 +47,47 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.size("w").cast("long").alias("n_words"),
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
+        F.transform("w", lambda x: F.xxhash64(x)).alias("h"), "w",
     )
     h = F.col("h")
     window = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 4, F.lit(0))), lambda x, i: F.xxhash64(x, h[i + 1], h[i + 2], h[i + 3], h[i + 4]))
     d = d.withColumn("v", window).drop("h")
     # only texts with a repeated window are looked at closer
-    v = F.col("v")
-    d = d.withColumn("s", F.when(F.size(F.array_distinct(v)) < F.size(v), F.sort_array(F.transform(v, lambda x, i: F.struct(x.alias("x"), i.alias("i")))))).drop("v")
-    s = F.col("s")
-    again = F.filter(s, lambda e, i: F.coalesce(e["x"] == F.get(s, i - 1)["x"], F.lit(False)) | F.coalesce(e["x"] == F.get(s, i + 1)["x"], F.lit(False)))
-    d = d.withColumn("p", F.sort_array(F.transform(again, lambda e: e["i"].cast("long")))).drop("s")
+    v, w = F.col("v"), F.col("w")
+    repeats = F.size(F.array_distinct(v)) < F.size(v)
+    d = d.withColumn("s", F.when(repeats, F.sort_array(F.transform(v, lambda x, i: F.struct(x.alias("x"), i.alias("i")))))).withColumn("w", F.when(repeats, w)).drop("v")
+    d = d.withColumn("s", _again("s")).withColumn("s", F.sort_array(F.transform("s", lambda e: F.struct(F.array_join(F.slice(w, e["i"] + 1, 5), " ").alias("x"), e["i"].alias("i"))))).drop("w")
+    d = d.withColumn("p", F.sort_array(F.transform(_again("s"), lambda e: e["i"].cast("long")))).drop("s")
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-5).cast("long").alias("at"))
     covered = F.aggregate("p", start, lambda a, i: F.struct((a["n"] + F.least(F.lit(5).cast("long"), i - a["at"])).alias("n"), i.alias("at")), lambda a: a["n"])
     return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("p")
 
 
+def _again(entries: str) -> Column:
+    """Of a list of (x, i) sorted by x, those whose x stands there twice or more."""
+    s = F.col(entries)
+    beside = lambda e, i: F.coalesce(e["x"] == F.get(s, i)["x"], F.lit(False))
+    return F.filter(s, lambda e, i: beside(e, i - 1) | beside(e, i + 1))
+
+
 def _steps() -> dict[str, Column]:
     share = lambda a, b: F.floor(F.lit(1000) * F.col(a) / F.greatest(F.col(b), F.lit(1)))
     return {
         "symbols": share("n_symbols", "word_chars"),
         "repeats": share("n_repeat_words", "n_words"),
         "lines": share("n_dup_lines", "n_lines"),
-        "length": F.least(F.floor(F.lit(10) * F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))), F.lit(TOP)),
+        "length": _coarse(F.floor(F.lit(10) * F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)))),
     }
 
 
+def _coarse(v: Column) -> Column:
+    """Steps that grow with the value, so a sketch has few entries at any length."""
+    out = v
+    for least, step in COARSE.items():
+        out = F.when(v >= least, v - v % step).otherwise(out)
+    return out
+
+
 def cutoffs(features: DataFrame) -> DataFrame:
     """lang, source (null-free keys kl, ks) and one cutoff per metric."""
     kl, ks = F.coalesce(F.col("lang"), F.lit("\x00")), F.coalesce(F.col("source"), F.lit("\x00"))
@@ -85,7 +105,7 @@ def cutoffs(features: DataFrame) -> DataFrame:
 
     own, merged = quartiles(fine, "kl", "ks"), quartiles(by_lang, "kl").select("kl", "metric", F.col("q1").alias("l1"), F.col("q3").alias("l3"))
     both = own.join(merged, ["kl", "metric"], "left")
-    q1, q3 = (F.when(F.col("docs") >= SMALL_GROUP, F.col(a)).otherwise(F.col(b)) for a, b in (("q1", "l1"), ("q3", "l3")))
+    q1, q3 = (F.expr(f"(docs * {a} + {PRIOR} * {b}) DIV (docs + {PRIOR})") for a, b in (("q1", "l1"), ("q3", "l3")))
     margin = F.create_map(*[F.lit(x) for k, (m, _) in METRICS.items() for x in (k, m)])[F.col("metric")]
     both = both.withColumn("cut", q3 + F.greatest(margin.cast("long"), SPREAD * (q3 - q1)))
     return both.groupBy("kl", "ks").agg(*[F.max(F.when(F.col("metric") == k, F.col("cut"))).alias(f"cut_{k}") for k in METRICS])
@@ -100,9 +120,14 @@ def judged(docs: DataFrame) -> DataFrame:
     other than doc_id, text, lang and source are not read.
     """
     features = written(base_features(docs))
-    cut = cutoffs(features).select(F.col("kl").alias("_kl"), F.col("ks").alias("_ks"), *[f"cut_{k}" for k in METRICS])
+    cut = written(cutoffs(features)).select(F.col("kl").alias("_kl"), F.col("ks").alias("_ks"), *[f"cut_{k}" for k in METRICS])
     f = features.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    f = f.join(cut, (F.coalesce("lang", F.lit("\x00")) == F.col("_kl")) & (F.coalesce("source", F.lit("\x00")) == F.col("_ks")), "left")
+    same = (F.coalesce("lang", F.lit("\x00")) == F.col("_kl")) & (F.coalesce("source", F.lit("\x00")) == F.col("_ks"))
+    if cut.count() <= BROADCAST:
+        f = f.join(F.broadcast(cut), same, "left")
+    else:
+        f = f.withColumn("_salt", F.monotonically_increasing_id() % SALTS)
+        f = f.join(cut.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("_salt") == F.col("_part")), "left")
     over = [F.coalesce((step > F.col(f"cut_{k}")) & (F.col("n_words") >= METRICS[k][1]), F.lit(False)) for k, step in _steps().items()]
     bad = over[0] | over[1] | over[2] | over[3]
     return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"))
@@ -111,6 +136,7 @@ def judged(docs: DataFrame) -> DataFrame:
 def _sql() -> str:
     margin = "CASE metric " + " ".join(f"WHEN '{k}' THEN {m}" for k, (m, _) in METRICS.items()) + " END"
     cut = ", ".join(f"max(CASE WHEN metric = '{k}' THEN cut END) AS cut_{k}" for k in METRICS)
+    coarse = "CASE " + " ".join(f"WHEN tenths >= {k} THEN tenths - tenths % {v}" for k, v in reversed(COARSE.items())) + " ELSE tenths END"
     bad = " OR ".join(f"coalesce({k} > cut_{k} AND n_words >= {w}, false)" for k, (_, w) in METRICS.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -125,12 +151,13 @@ f AS (SELECT d.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
 m AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats,
-  1000 * n_dup_lines // greatest(n_lines, 1) AS lines, least(10 * word_chars // greatest(n_words, 1), {TOP}) AS length FROM f),
+  1000 * n_dup_lines // greatest(n_lines, 1) AS lines, {coarse} AS length
+  FROM (SELECT *, 10 * word_chars // greatest(n_words, 1) AS tenths FROM f)),
 u AS (SELECT lang, source, metric, step FROM (SELECT lang, source, n_words, symbols, repeats, lines, length FROM m WHERE n_words > 0)
   UNPIVOT (step FOR metric IN (symbols, repeats, lines, length))),
 q AS (SELECT lang, source, metric, count(*) AS docs, quantile_disc(step, 0.25) AS q1, quantile_disc(step, 0.75) AS q3 FROM u GROUP BY ALL),
 ql AS (SELECT lang, metric, quantile_disc(step, 0.25) AS l1, quantile_disc(step, 0.75) AS l3 FROM u GROUP BY ALL),
-c AS (SELECT q.lang, q.source, q.metric, CASE WHEN docs >= {SMALL_GROUP} THEN q1 ELSE l1 END AS a, CASE WHEN docs >= {SMALL_GROUP} THEN q3 ELSE l3 END AS b
+c AS (SELECT q.lang, q.source, q.metric, (docs * q1 + {PRIOR} * l1) // (docs + {PRIOR}) AS a, (docs * q3 + {PRIOR} * l3) // (docs + {PRIOR}) AS b
   FROM q JOIN ql ON q.lang IS NOT DISTINCT FROM ql.lang AND q.metric = ql.metric),
 cuts AS (SELECT lang, source, {cut} FROM (SELECT *, b + greatest({margin}, {SPREAD} * (b - a)) AS cut FROM c) GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({bad}) AS kept

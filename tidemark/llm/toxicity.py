@@ -2,18 +2,22 @@
 
 Lexicon: from labelled training rows, whole words and word beginnings (stems) that
 stand in many toxic texts and hardly any clean one, by document counts and a
-log-likelihood ratio. Matching: whole words accept one edit. The Levenshtein
-automaton is run over the lexicon's trie (states: trie node and edits so far) and
-made deterministic once; all words of a batch then walk its table together, one
-byte a step, most of them dying after a few bytes. Context: each hit looks at the
-words around it; quotation marks and reporting words mark it as quoted, address
-in the second person as directed. A small logistic model over the counts of plain,
-misspelt, quoted and directed hits gives the score; fixed prior weights stand
-where the training rows say nothing.
+log-likelihood ratio; evidence alone decides how many there are. Matching: one
+edit of a letter is accepted. The Levenshtein automaton is run over the lexicon's
+trie (states: trie node and edits so far) and made deterministic once; all words of
+a batch then walk its table together, one lower-cased letter a step, most of them
+dying after a few. Context: each hit looks at the words around it. A hit inside a
+pair of quotation marks, or near a word that reports speech, is quoted; one near a
+word in the second person is directed; a near hit of a short entry counts only
+beside another hit or a directed word. A small logistic model over the counts of
+plain, misspelt, quoted and directed hits gives the score; fixed prior weights
+stand where the training rows say nothing.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,128 +27,134 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import LOWER, pick, remainder, span_hashes, steps, text_buffers, word_spans
+from tidemark.llm.common import code_points, letters, pick, remainder, runs, steps, text_buffers, written
 from tidemark.llm.quality import labelled
 
-#: Labelled rows (about) to learn from; lexicon entries at most, the best by ratio.
-SAMPLE, LEXICON = 16_000, 240
-#: Bytes of a stem; least toxic texts, least rate against clean texts, least log-likelihood ratio.
+#: Labelled rows (about) to learn from.
+SAMPLE = 16_000
+#: Letters of a stem; least toxic texts, least rate against clean texts, least log-likelihood ratio.
 STEM, SUPPORT, RATIO, EVIDENCE = (4, 5, 6, 7), 4, 20.0, 15.0
 #: Toxic texts with a stem, against those with its most frequent extension.
 WIDER = 1.3
-#: Shortest word that may be misspelt, in bytes; words around a hit that are its context.
-FUZZY, WINDOW = 5, 8
+#: Letters from which a word, or a stem, may be misspelt anywhere, and from which only in context.
+FUZZY_WORD, SHORT_WORD, FUZZY_STEM, SHORT_STEM = 5, 4, 6, 5
+#: Words around a hit that are its context; letters that a quotation spans at most.
+WINDOW, QUOTATION = 8, 400
+EXACT, MISSPELT, IN_CONTEXT = 1, 2, 3
 
 # Words that report speech and words that address someone.
-REPORTING = "said says say called calls quote quoted quotes word words term wrote wort wörter sagte sagt nannte zitat mot mots dit disait cite palabra palabras dijo dice cita".split()
-ADDRESS = "you your yours youre du dich dir dein deine ihr euch vous votre vos tu toi ton ta tú tus eres usted ustedes".split()
-_QUOTES = np.isin(np.arange(256), [ord('"'), 0xAB, 0xBB, 0x9C, 0x9D, 0x9E])  # last bytes of « » “ ” „ and the plain mark
+REPORTING = set("said says say called calls quote quoted quotes word words term wrote wort wörter sagte sagt nannte zitat mot mots dit disait cite palabra palabras dijo dice cita".split())
+ADDRESS = set("you your yours youre du dich dir dein deine ihr euch vous votre vos tu toi ton ta tú tus eres usted ustedes".split())
+# Quotation marks, and what closes each.
+CLOSES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "›": "‹", "”": "”", "「": "」", "『": "』"}
+_MARKS = np.array(sorted({ord(c) for k, v in CLOSES.items() for c in k + v}), np.uint32)
 #: Prior weights: intercept; plain, misspelt, quoted, directed hits.
 PRIOR = np.array([-4.0, 5.0, 2.5, 1.0, 1.0])
 
-_WORD = np.ones(256, bool)  # bytes that end a word
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), *b"*@$'"]] = False
-_LOOSE = np.isin(np.arange(256), list(b"*@$'"))
+_LOOSE = np.array([ord(c) for c in "*@$'"], np.uint32)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word spans: letters and digits, with * @ $ ' inside only."""
-    starts, ends, first = word_spans(data, offsets, _WORD)
-    for _ in range(64):
-        loose = (starts < ends) & _LOOSE[data[np.minimum(starts, len(data) - 1)]] if len(starts) else np.zeros(0, bool)
-        if not loose.any():
-            break
-        starts = starts + loose
-    for _ in range(64):
-        loose = (starts < ends) & _LOOSE[data[np.maximum(ends - 1, 0)]] if len(starts) else np.zeros(0, bool)
-        if not loose.any():
-            break
-        ends = ends - loose
-    return starts, np.maximum(ends, starts), first
+@dataclass
+class Tokens:
+    """Words of some texts: letters and digits, with * @ $ ' inside only."""
+
+    points: np.ndarray  # code points
+    lower: np.ndarray
+    at: np.ndarray  # code point offset of each text
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray  # first word of each text; len = texts + 1
+
+    def word(self, k: int) -> str:
+        return self.lower[self.starts[k] : self.ends[k]].tobytes().decode("utf-32-le")
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
+    points, at = code_points(data, offsets)
+    _, tight, lower = letters(points)
+    starts, ends, first = runs(tight | np.isin(points, _LOOSE), at)
+    if len(starts):
+        # the nearest tight letter from each place on, and up to it
+        place = np.arange(len(points))
+        ahead = np.minimum.accumulate(np.where(tight, place, len(points))[::-1])[::-1]
+        back = np.maximum.accumulate(np.where(tight, place, -1))
+        starts = np.minimum(ahead[starts], ends)
+        ends = np.maximum(back[ends - 1] + 1, starts)
+    return Tokens(points, lower, at, starts, ends, first)
 
 
 # ------------------------------------------------------------------ lexicon
 
 
-def _terms(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For whole words (kind 0) and stems of k bytes (kind k): doc, hash, start, end of each distinct one per text."""
-    starts, ends, first = tokens(data, offsets)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    for kind in (0, *STEM):
-        ok = (ends - starts >= max(kind, 3)) if kind else (ends - starts >= 3)
-        s, e, d = starts[ok], (starts + kind if kind else ends)[ok], doc[ok]
-        h = span_hashes(data, s, e, fold=True) * np.uint64(31) + np.uint64(kind)
-        order = np.lexsort((h, d))
-        new = np.ones(len(order), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (d[order][1:] != d[order][:-1])
-        at = order[new]
-        yield kind, d[at], h[at], s[at], e[at]
+_WORD = re.compile(r"[^\W_](?:[^\W_]|[*@$'])*")
+
+
+def _terms(text: str) -> set[tuple[str, int]]:
+    """Whole words (kind 0) and stems of k letters (kind k) of a text, each once."""
+    out = set()
+    low = text.lower() if text.isascii() else "".join([x if len(x := c.lower()) == 1 else c for c in text])
+    for w in {m.rstrip("*@$'") for m in _WORD.findall(low)}:
+        if len(w) >= 3:
+            out.add((w, 0))
+            out.update((w[:k], k) for k in STEM if len(w) >= k)
+    return out
 
 
-def lexicon(rows: DataFrame) -> list[tuple[bytes, int]]:
-    """(term, kind) from training rows (doc_id, text, y): kind 0 a whole word, else a stem."""
+def lexicon(rows: DataFrame) -> list[tuple[str, int]]:
+    """(term, kind) from training rows (doc_id, text, y): kind 0 a whole word, else a stem.
+    What comes to the driver are terms of toxic rows of the bounded sample."""
     toxic, clean = rows.filter("y = 1"), rows.filter("y <> 1")
     n1, n0 = toxic.count(), clean.count()
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            for a, b in steps(offsets):
-                part = data[offsets[a] : offsets[b]]
-                raw = LOWER[part].tobytes()
-                for kind, _, h, s, e in _terms(part, offsets[a : b + 1] - offsets[a]):
-                    _, at, n = np.unique(h, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([raw[s[i] : e[i]] for i in at], pa.binary()), pa.array(np.full(len(at), kind)), pa.array(n)], names=["term", "kind", "n"])
+    def counter(known):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: Counter = Counter()
+            for batch in batches:
+                for text in batch.column(0):
+                    found = _terms(text.as_py() or "")
+                    total.update(found if known is None else found & known.value)
+            for part in _chunks(list(total.items()), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array([t for (t, _), _ in part], pa.string()), pa.array([k for (_, k), _ in part], pa.int64()), pa.array([n for _, n in part], pa.int64())], names=["term", "kind", "n"])
+
+        return run
 
+    count = lambda side, known: side.select("text").mapInArrow(counter(known), "term string, kind long, n long").groupBy("term", "kind").agg(F.sum("n").alias("n"))
     least = max(SUPPORT, n1 // 400)
-    seen = toxic.select("text").mapInArrow(found, "term binary, kind long, n long").groupBy("term", "kind").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    seen = seen.toPandas()  # a sample's terms: bounded by the sample
+    seen = count(toxic, None).filter(F.col("n") >= least).toPandas()
     if not len(seen):
         return []
-    terms = [bytes(t) for t in seen["term"]]
-    joined, bounds = np.frombuffer(b"".join(terms), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in terms])])
-    keys = span_hashes(joined, bounds[:-1], bounds[1:], fold=True) * np.uint64(31) + seen["kind"].to_numpy(np.uint64)
-    order = np.argsort(keys)
-    shared = rows.sparkSession.sparkContext.broadcast(keys[order])
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        total = np.zeros(len(known), np.int64)
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            for a, b in steps(offsets):
-                for _, _, h, _, _ in _terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    total += np.bincount(at[known[at] == h], minlength=len(known))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
-
-    against = clean.select("text").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    x1, x0 = seen["n"].to_numpy(float), np.zeros(len(terms))
-    x0[order[against["at"].to_numpy(np.int64)]] = against["n"].to_numpy()
+    terms = list(zip(seen["term"], seen["kind"].tolist(), strict=True))
+    against = count(clean, rows.sparkSession.sparkContext.broadcast(set(terms))).toPandas()
+    rare = {(t, k): n for t, k, n in zip(against["term"], against["kind"].tolist(), against["n"].tolist(), strict=True)}
+    x1, x0 = seen["n"].to_numpy(float), np.array([rare.get(t, 0) for t in terms], float)
     r1, r0 = x1 / max(n1, 1), (x0 + 0.5) / (n0 + 1)
     base = n1 / max(n1 + n0, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         llr = 2 * (x1 * np.log(x1 / ((x1 + x0) * base)) + np.where(x0 > 0, x0 * np.log(x0 / ((x1 + x0) * (1 - base))), 0))
     good = np.flatnonzero((r1 >= RATIO * r0) & (llr >= EVIDENCE))
-    kinds = seen["kind"].to_numpy()
     # a stem has to stand for several words: more texts than its most frequent extension
-    best: dict[bytes, float] = {}
+    best: dict[str, float] = {}
     for i in good:
+        t, kind = terms[i]
         for k in STEM:
-            if len(terms[i]) > k or (kinds[i] == 0 and len(terms[i]) == k):
-                best[terms[i][:k]] = max(best.get(terms[i][:k], 0), x1[i])
-    good = [i for i in good if kinds[i] == 0 or x1[i] >= WIDER * best.get(terms[i], 0)]
-    stems: list[bytes] = []
+            if len(t) > k or (kind == 0 and len(t) == k):
+                best[t[:k]] = max(best.get(t[:k], 0), x1[i])
+    good = [i for i in good if terms[i][1] == 0 or x1[i] >= WIDER * best.get(terms[i][0], 0)]
+    stems: set[str] = set()
     out = []
-    for i in sorted(good, key=lambda i: (kinds[i] == 0, kinds[i], -llr[i], terms[i])):
-        t, kind = terms[i], int(kinds[i])
-        covered = any(t.startswith(p) for p in stems)
+    for i in sorted(good, key=lambda i: (terms[i][1] == 0, terms[i][1], -llr[i], terms[i][0])):
+        t, kind = terms[i]
+        covered = any(t[:k] in stems for k in STEM)
         if kind and not covered:
-            stems.append(t)
-        if (kind and not covered) or (kind == 0 and (not covered or len(t) >= FUZZY)):
-            out.append((llr[i], t, kind))
-    return [(t, k) for _, t, k in sorted(out, key=lambda x: (-x[0], x[1], x[2]))[:LEXICON]]
+            stems.add(t)
+        if (kind and not covered) or (kind == 0 and (not covered or len(t) >= SHORT_WORD)):
+            out.append((-llr[i], t, kind))
+    return [(t, k) for _, t, k in sorted(out)]
+
+
+def _chunks(items: list, size: int) -> Iterator[list]:
+    for a in range(0, len(items), size):
+        yield items[a : a + size]
 
 
 # ---------------------------------------------------------------- automaton
@@ -152,15 +162,15 @@ def lexicon(rows: DataFrame) -> list[tuple[bytes, int]]:
 
 @dataclass
 class Matcher:
-    classes: np.ndarray  # byte -> letter class
+    letters: np.ndarray  # code points in the lexicon, sorted; letter k has class k + 1, all others 0
     table: np.ndarray  # state x class -> state; 0 is dead, 1 accepts whatever follows
-    accept: np.ndarray  # state -> 0 no, 1 exact, 2 misspelt
+    accept: np.ndarray  # state -> 0 no, EXACT, MISSPELT or IN_CONTEXT
 
 
-def automaton(entries: list[tuple[bytes, int]]) -> Matcher:
+def automaton(entries: list[tuple[str, int]]) -> Matcher:
     """The lexicon's trie under a Levenshtein automaton of one edit, made deterministic."""
-    trie: list[dict[int, int]] = [{}]
-    word_end, stem_end, may_err = {}, set(), {0}
+    trie: list[dict[str, int]] = [{}]
+    word_end, stem_end, may_err = {}, {}, {0}  # ends: node -> mark of a near match, or 0
     for term, kind in entries:
         node, path = 0, [0]
         for c in term:
@@ -168,65 +178,70 @@ def automaton(entries: list[tuple[bytes, int]]) -> Matcher:
             if node == len(trie):
                 trie.append({})
             path.append(node)
-        if kind:
-            stem_end.add(node)
-        else:
-            word_end[node] = True
-            if len(term) >= FUZZY:
-                may_err.update(path)
-    long_end = {n for n in word_end if n in may_err}
-    letters = sorted({c for t in trie for c in t})
-    classes = np.zeros(256, np.int64)  # class 0: a byte in no entry
-    for k, c in enumerate(letters):
-        classes[c] = k + 1
-        if 97 <= c <= 122:
-            classes[c - 32] = k + 1
-
-    def step(states: frozenset, c: int | None) -> frozenset:
+        sure, short = (FUZZY_STEM, SHORT_STEM) if kind else (FUZZY_WORD, SHORT_WORD)
+        mark = MISSPELT if len(term) >= sure else IN_CONTEXT if len(term) >= short else 0
+        (stem_end if kind else word_end)[node] = mark
+        if mark:
+            may_err.update(path)
+    alphabet = sorted({c for t in trie for c in t})
+
+    def step(states: frozenset, c: str | None) -> frozenset:
         out = set()
         for node, err in states:
             if c in trie[node]:
                 out.add((trie[node][c], err))
             if err == 0 and node in may_err:
-                out.add((node, 1))  # an extra byte
+                out.add((node, 1))  # an extra letter
                 for child in trie[node].values():
                     if child in may_err:
-                        out.add((child, 1))  # another byte
+                        out.add((child, 1))  # another letter
                         if c in trie[child]:
-                            out.add((trie[child][c], 1))  # a missing byte
+                            out.add((trie[child][c], 1))  # a missing letter
         return frozenset(x for x in out if x[1] == 0 or x[0] in may_err)
 
-    def accepts(states: frozenset) -> int:
+    def near_ends(ends: dict[int, int], states: frozenset) -> list[int]:
+        """Marks of the ends reached with one edit (a last letter may be missing)."""
+        return [m for node, err in states for n in ([node] if err else trie[node].values()) if (m := ends.get(n, 0))]
+
+    def accepts(states: frozenset, begun: int) -> int:
         if any(err == 0 and node in word_end for node, err in states):
-            return 1
-        near = any((err == 1 and node in long_end) or (err == 0 and any(x in long_end for x in trie[node].values())) for node, err in states)
-        return 2 if near else 0
-
-    start = frozenset({(0, 0)})
-    ids, rows, marks, todo = {start: 2}, [[0] * (len(letters) + 1), [1] * (len(letters) + 1)], [0, 1], [start]
-    while todo:
-        s = todo.pop(0)
+            return EXACT
+        return min([m for m in (*near_ends(word_end, states), begun) if m], default=0)
+
+    # a state: trie nodes with their edits, and the mark of a near stem already passed
+    start = (frozenset({(0, 0)}), 0)
+    ids, rows, marks, todo = {start: 2}, [[0] * (len(alphabet) + 1), [1] * (len(alphabet) + 1)], [0, EXACT], [start]
+    at = 0
+    while at < len(todo):
+        states, begun = todo[at]
+        at += 1
         row = []
-        for c in [None, *letters]:
-            t = step(s, c)
-            if not t:
-                row.append(0)
-            elif any(err == 0 and node in stem_end for node, err in t):
+        for c in [None, *alphabet]:
+            t = step(states, c)
+            if any(err == 0 and node in stem_end for node, err in t):
                 row.append(1)
-            else:
-                if t not in ids:
-                    ids[t] = len(ids) + 2
-                    todo.append(t)
-                row.append(ids[t])
+                continue
+            now = min([m for m in (begun, *(stem_end.get(node, 0) for node, err in t if err)) if m], default=0)
+            if not t and not now:
+                row.append(0)
+                continue
+            if (t, now) not in ids:
+                ids[t, now] = len(ids) + 2
+                todo.append((t, now))
+            row.append(ids[t, now])
         rows.append(row)
-        marks.append(accepts(s))
-    return Matcher(classes, np.array(rows, np.int32), np.array(marks, np.int8))
+        marks.append(accepts(states, begun))
+    return Matcher(np.array([ord(c) for c in alphabet], np.uint32), np.array(rows, np.int32), np.array(marks, np.int8))
 
 
-def matches(m: Matcher, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """0, 1 (exact) or 2 (misspelt) for each word."""
+def matches(m: Matcher, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """0, EXACT, MISSPELT or IN_CONTEXT for each word."""
     state = np.full(len(starts), 2, np.int32)
-    letter = m.classes[data]
+    if len(m.letters):
+        at = np.minimum(np.searchsorted(m.letters, lower), len(m.letters) - 1)
+        letter = np.where(m.letters[at] == lower, at + 1, 0)
+    else:
+        letter = np.zeros(len(lower), np.int64)
     live, k = np.flatnonzero(ends > starts), 0
     state[ends <= starts] = 0
     while len(live):
@@ -243,39 +258,47 @@ def matches(m: Matcher, data: np.ndarray, starts: np.ndarray, ends: np.ndarray)
 class Model:
     matcher: Matcher
     weights: np.ndarray
-    terms: list[tuple[bytes, int]]
-
-
-def _word_set(words: list[str]) -> np.ndarray:
-    raw = [w.encode() for w in words]
-    at = np.concatenate([[0], np.cumsum([len(w) for w in raw])])
-    return np.sort(span_hashes(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:], fold=True))
+    terms: list[tuple[str, int]]
+
+
+def quotations(points: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of the pairs of quotation marks in one text: an opening mark and the
+    next one that closes it, at most QUOTATION letters on. A plain mark opens only
+    before, and closes only behind, a letter or sign."""
+    out, opened, begin = [], "", 0
+    blank = lambda i: not 0 <= i < len(points) or chr(points[i]).isspace()
+    for i in np.flatnonzero(np.isin(points, _MARKS)).tolist():
+        c = chr(points[i])
+        closes = opened and c in CLOSES[opened] and i - begin <= QUOTATION and not (c == '"' and blank(i - 1))
+        if closes:
+            out.append((begin, i))
+            opened = ""
+        elif c in CLOSES and not (c == '"' and blank(i + 1)):
+            opened, begin = c, i
+    return out
 
 
 def hits(m: Matcher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, start, end, misspelt, quoted, directed) of each hit."""
-    starts, ends, first = tokens(data, offsets)
-    kind = matches(m, data, starts, ends)
+    """(text, start, end, misspelt, quoted, directed) of each hit; start and end in
+    code points of the text."""
+    t = tokens(data, offsets)
+    kind = matches(m, t.lower, t.starts, t.ends)
     at = np.flatnonzero(kind)
-    doc = np.searchsorted(first, at, "right") - 1
-    quoted, directed = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    if len(at):
-        report, address = _word_set(REPORTING), _word_set(ADDRESS)
-        for d in range(-WINDOW, WINDOW + 1):
-            near = at + d
-            ok = (near >= first[doc]) & (near < first[doc + 1]) & (d != 0)
-            if not ok.any():
-                continue
-            h = span_hashes(data, starts[near[ok]], ends[near[ok]], fold=True) if (np.diff(near[ok]) > 0).all() else np.array([], np.uint64)
-            quoted[ok] |= np.isin(h, report)
-            directed[ok] |= np.isin(h, address)
-        # quotation marks on both sides, within a few words
-        mark = np.concatenate([[0], np.cumsum(_QUOTES[data])])
-        lo, hi = np.maximum(at - 3, first[doc]), np.minimum(at + 3, first[doc + 1] - 1)
-        left = mark[starts[at]] - mark[np.maximum(starts[lo] - 3, offsets[doc])]
-        right = mark[np.minimum(ends[hi] + 3, offsets[doc + 1])] - mark[ends[at]]
-        quoted |= (left > 0) & (right > 0)
-    return doc, starts[at] - offsets[doc], ends[at] - offsets[doc], kind[at] == 2, quoted, directed
+    doc = np.searchsorted(t.first, at, "right") - 1
+    quoted, directed, counts = np.zeros(len(at), bool), np.zeros(len(at), bool), np.ones(len(at), bool)
+    pairs: dict[int, list[tuple[int, int]]] = {}
+    for i, (k, d) in enumerate(zip(at.tolist(), doc.tolist(), strict=True)):
+        near = range(max(k - WINDOW, t.first[d]), min(k + WINDOW + 1, t.first[d + 1]))
+        around = {t.word(j) for j in near if j != k}
+        if d not in pairs:
+            pairs = {d: quotations(t.points[t.at[d] : t.at[d + 1]])}
+        begin = t.starts[k] - t.at[d]
+        quoted[i] = bool(around & REPORTING) or any(a < begin < b for a, b in pairs[d])
+        directed[i] = bool(around & ADDRESS)
+        if kind[k] == IN_CONTEXT:
+            counts[i] = directed[i] or any(0 < kind[j] < IN_CONTEXT for j in near)
+    at, doc, quoted, directed = at[counts], doc[counts], quoted[counts], directed[counts]
+    return doc, t.starts[at] - t.at[doc], t.ends[at] - t.at[doc], kind[at] > EXACT, quoted, directed
 
 
 def _evidence(found: tuple[np.ndarray, ...], texts: int) -> np.ndarray:
@@ -302,7 +325,7 @@ def fitted(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """doc_id, score, evidence and hits (start, end in bytes, misspelt, quoted, directed)."""
+    """doc_id, score, evidence and hits (start, end in code points, misspelt, quoted, directed)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     hit = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("misspelt", pa.bool_()), ("quoted", pa.bool_()), ("directed", pa.bool_())])
 
@@ -326,6 +349,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def trained(rows: DataFrame) -> Model:
     """Lexicon, automaton and weights of a bounded sample of rows (doc_id, text, y)."""
+    rows = written(rows)
     terms = lexicon(rows)
     first = Model(automaton(terms), PRIOR, terms)
     seen = scored(rows, first).select("doc_id", "evidence").join(F.broadcast(rows.select("doc_id", "y").dropDuplicates(["doc_id"])), "doc_id")
@@ -340,8 +364,8 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
     Null and empty texts have no hit and the lowest score. A null id is not held
-    out. Repeated rows are scored each. Without labels the prior weights and an
-    empty lexicon score all texts alike.
+    out. Repeated rows are scored each; an id labelled twice counts by its highest
+    label. Without labels the prior weights and an empty lexicon score all texts alike.
     """
     model = trained(labelled(docs, labels, "toxic", 5, 0, SAMPLE))
     s = scored(pick(docs, doc_id="doc_id", text="text"), model)
