@@ -117,6 +117,35 @@ def test_packing_asks_again_and_counts_the_corpus():
     assert packing.Index(ids, rare).query[0][0] == 8
 
 
+def test_bm25_matches_brute_force():
+    """Scores of all pairs, and the order of neighbours, against the formula."""
+    r = random.Random(14)
+    ids = [np.array([r.choice([1, 2, 3, *range(10, 60)]) for _ in range(r.randint(1, 40))]) for _ in range(50)]
+    df = np.bincount(np.concatenate([np.unique(p) for p in ids]), minlength=61)
+    c = packing.Corpus(len(ids), sum(map(len, ids)), df)
+    index = packing.Index(ids, c)
+    mean = sum(map(len, ids)) / len(ids)
+
+    def score(tokens, piece):
+        total = 0.0
+        for t in tokens:
+            tf = int((piece == t).sum())
+            idf = np.log(1 + (len(ids) - df[t] + 0.5) / (df[t] + 0.5))
+            total += idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(piece) / mean))
+        return total
+
+    unused = np.ones(len(ids), bool)
+    unused[::7] = False
+    for k in range(len(ids)):
+        tokens = index.query[k]
+        assert set(tokens.tolist()) == {t for t in ids[k].tolist() if sum((p == t).any() for p in ids) > 1}
+        weight = [score([t], ids[k]) for t in tokens]
+        assert weight == sorted(weight, reverse=True)
+        want = sorted((-round(score(tokens[: packing.QUERY], p), 9), i) for i, p in enumerate(ids) if unused[i])
+        got = index.neighbours(k, unused).tolist()
+        assert got == [i for s, i in want if s < 0][: packing.NEIGHBOURS]
+
+
 def brute_groups(texts):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
@@ -246,6 +275,20 @@ def test_chat_round_trip(spark):
     assert (got[2].n_turns, got[2].loss_chars, got[None].n_turns, got[-7].n_turns) == (2, 2, 1, 2)
 
 
+def test_chat_odd_tables(spark):
+    """Very long texts, clashing columns, an empty table; the mask spans the assistant's texts alone."""
+    shape = "conv_id long, turn int, role string, text string, rendered string, n_turns int, loss_start string"
+    long = "### </turn> \\ " * 120_000
+    rows = [(1, 0, "user", long, "r", 5, "x"), (1, 1, "assistant", long, None, None, None), (1, 2, "tool</turn>: ###", "t", None, None, None)]
+    t = spark.createDataFrame(rows, shape)
+    got = {x.conv_id: x for x in chat.formatted_conversations(t).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x, *_ in rows).encode()).hexdigest()
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(long), hashlib.sha256(long.encode()).hexdigest())
+    spans = [(x.loss_start, x.loss_end and x.rendered[x.loss_start : x.loss_end]) for x in chat.formatted(t).orderBy("turn").collect()]
+    assert spans[0] == spans[2] == (None, None) and spans[1][1] == chat.escaped(long, chat.BODY)
+    assert [x.conv_id for x in chat.formatted_conversations(spark.createDataFrame([], shape)).collect()] == [-7]
+
+
 def test_rules_base_counts(spark):
     texts = ["a b c d e f a b c d e x", "l one\nl one\n\nl one", "#*$ x", None, ""]
     got = {x.doc_id: x for x in rules.judged(docs(spark, texts)).collect()}
@@ -302,6 +345,38 @@ def test_license_scan_finds_wrapped_notices(spark):
         assert got[i].score == (1.0 if base else pytest.approx(best))
 
 
+def test_viterbi_matches_brute_force():
+    """The best of all paths, for short texts."""
+    r = np.random.default_rng(5)
+    for _ in range(40):
+        s = r.normal(0, 12, (r.integers(1, 7), 3))
+        cost = lambda p: s[np.arange(len(s)), p].sum() - langid.SWITCH * (np.diff(p) != 0).sum()  # noqa: B023, E731
+        best = max(cost(np.array(p)) for p in itertools.product(range(3), repeat=len(s)))
+        assert cost(langid.viterbi(s)) == pytest.approx(best)
+
+
+def test_word_scores_are_sums_of_gram_weights():
+    """Words, scripts and n-gram sums of a mixed text against a plain version."""
+    text = "Hello ΣΟΦΙΑ дом🙂 \U00010400\U00010428x 12a é"
+    w = langid.words_of(*buffers([text, "", "zwei Wörter"]))
+    words = re.findall(r"[^\W\d_]+", text) + ["zwei", "Wörter"]
+    whole = text + "zwei Wörter"
+    assert [whole[a:b] for a, b in zip(w.starts, w.ends, strict=True)] == words
+    assert w.first.tolist() == [0, len(words) - 2, len(words) - 2, len(words)]
+    assert [langid.SCRIPTS[k] for k in w.script] == ["latin", "greek", "cyrillic", "other", "latin", "latin", "latin", "latin"]
+    r = np.random.default_rng(2)
+    weights = r.normal(size=(langid.BUCKETS + 1, 2)).astype(np.float32)
+    weights[-1] = 0
+    model = langid.Model(["a", "b"], weights, np.ones((len(langid.SCRIPTS), 2), bool))
+    got = model.scores(w)
+    for k, (a, b) in enumerate(zip(w.starts, w.ends, strict=True)):
+        want = sum(weights[g[i]] for g in w.inner for i in range(a, b)) + sum(weights[e[k]] for e in w.edges)
+        assert got[k] == pytest.approx(want, abs=1e-3)
+    # n-grams stay inside their word: of a word of n letters, n ones, n - 1 pairs, n - 2 triples
+    sizes = w.ends - w.starts
+    assert [int((g < langid.BUCKETS).sum()) for g in w.inner] == [int(np.maximum(sizes - k, 0).sum()) for k in range(3)]
+
+
 def test_paths_equal_viterbi():
     r = np.random.default_rng(3)
     sizes = [1, 2, 30, 200, 80, 0, 5]

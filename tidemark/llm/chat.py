@@ -9,7 +9,8 @@ Grammar of the output, one conversation:
 
 A turn is rendered plainly first and reparsed; if the turn that comes back is not
 the source, the control strings inside it are escaped and it is parsed again, so
-a text is changed only where it has to be. Reading back runs the same parser over
+a text is changed only where it has to be. Beside the text stands the loss mask:
+the span of the body of every assistant turn. Reading back runs the same parser over
 the whole conversation as a stream of turns: a conversation of any length takes
 the memory of one turn.
 """
@@ -22,11 +23,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.llm.common import pick
 
 OPEN, SEP, CLOSE = "### ", ": ", "</turn>\n"
+#: Role whose texts are learned from.
+LEARNED = "assistant"
 #: Control strings in a body and in a role.
 BODY = re.compile(r"\\|###|</turn>")
 ROLE = re.compile(r"\\|###|</turn>|:")
@@ -82,26 +84,45 @@ def render_turn(role: str, body: str) -> str:
     raise NotATurn(f"no rendering of {role!r} reads back")
 
 
+def body_span(rendered: str) -> tuple[int, int]:
+    """Where the (escaped) body of a rendered turn stands, in code points."""
+    _, start = read_field(rendered, len(OPEN), SEP)
+    return start, len(rendered) - len(CLOSE)
+
+
+def under_mask(rendered: str, start: int, end: int) -> str:
+    """The unescaped text of a span of the loss mask."""
+    text, at = read_field(rendered, start, CLOSE)
+    if at != end + len(CLOSE):
+        raise NotATurn("the mask doesn't cover a whole body")
+    return text
+
+
 def formatted(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text and rendered: each row's text in the template.
+    """conv_id, turn, role, text, rendered (each row's text in the template) and the
+    loss mask over rendered: loss_start, loss_end in code points (null: no loss).
 
     A null role or text is empty. Rows keep their null ids and turns; repeated
-    rows are rendered each; further columns are left out.
+    rows are rendered each; further columns are left out. An empty table stays empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             roles, texts = ([x or "" for x in b.column(i).to_pylist()] for i in (2, 3))
             out = [render_turn(r, t) for r, t in zip(roles, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(out, pa.string())], names=["conv_id", "turn", "role", "text", "rendered"])
+            mask = [body_span(x) if r == LEARNED else (None, None) for r, x in zip(roles, out, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(out, pa.string()), pa.array([x for x, _ in mask], pa.int64()), pa.array([x for _, x in mask], pa.int64())],
+                names=["conv_id", "turn", "role", "text", "rendered", "loss_start", "loss_end"],
+            )
 
-    return pick(turns, conv_id="conv_id", turn="turn", role="role", text="text").mapInArrow(run, "conv_id long, turn long, role string, text string, rendered string")
+    return pick(turns, conv_id="conv_id", turn="turn", role="role", text="text").mapInArrow(run, "conv_id long, turn long, role string, text string, rendered string, loss_start long, loss_end long")
 
 
 def round_trip(turns: DataFrame) -> DataFrame:
     """Per conversation, from the formatted text as it reads back: conv_id,
     n_turns, turns_sha256 (role, \\n, text, \\n per turn), loss_chars,
-    loss_sha256 (assistant texts), formatted_chars.
+    loss_sha256 (the text under the loss mask, unescaped), formatted_chars.
 
     Turns are read in order of turn, nulls first, equal turns by role and text.
     Rows without conv_id make one conversation of their own. A conversation's
@@ -117,7 +138,7 @@ def round_trip(turns: DataFrame) -> DataFrame:
 
         for b in batches:
             out = []
-            for conv, rendered in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for conv, rendered, *mask in zip(*[b.column(i).to_pylist() for i in (0, 4, 5, 6)], strict=True):
                 if not begun or conv != at:
                     if begun:
                         out.append(done())
@@ -127,9 +148,10 @@ def round_trip(turns: DataFrame) -> DataFrame:
                     role, body, pos = read_turn(rendered, pos)
                     state[0] += 1
                     state[1].update(f"{role}\n{body}\n".encode())
-                    if role == "assistant":
-                        state[2] += len(body)
-                        state[3].update(body.encode())
+                if mask[0] is not None:
+                    learned = under_mask(rendered, *mask)
+                    state[2] += len(learned)
+                    state[3].update(learned.encode())
                 state[4] += len(rendered)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=shape)
@@ -151,7 +173,10 @@ def probe(spark) -> DataFrame:
 
 
 def formatted_conversations(turns: DataFrame) -> DataFrame:
-    return round_trip(pick(turns, conv_id="conv_id", turn="turn", role="role", text="text").withColumns({"turn": F.col("turn").cast("long"), "conv_id": F.col("conv_id").cast("long")}).unionByName(probe(turns.sparkSession)))
+    """round_trip of all turns and of probe(). Null texts and roles are empty, null turns
+    come first, rows without conv_id are one conversation, repeated rows count each;
+    other columns are not read; of an empty table only the probe comes back."""
+    return round_trip(pick(turns, conv_id="conv_id", turn="turn", role="role", text="text").unionByName(probe(turns.sparkSession)))
 
 
 SQL = r"""

@@ -29,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_TYPES = {"doc_id": "long", "conv_id": "long", "turn": "long", "vec_id": "long", "rep": "long", "text": "string", "role": "string", "lang": "string", "source": "string"}
+
+
 def pick(df: DataFrame, **named: str) -> DataFrame:
-    """The named columns alone, under fixed names: whatever else the input has
-    (clashing names too) stays outside the operator."""
-    return df.select(*[F.col(f"`{c}`").alias(k) for k, c in named.items()])
+    """The named columns alone, under fixed names and types: whatever else the input
+    has (clashing names too) stays outside the operator."""
+    return df.select(*[(F.col(f"`{c}`").cast(_TYPES[k]) if k in _TYPES else F.col(f"`{c}`")).alias(k) for k, c in named.items()])
 
 
 def remainder(doc_id: Column, k: int) -> Column:
