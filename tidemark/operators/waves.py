@@ -157,18 +157,24 @@ def quality(correction: bool) -> Column:
 
 
 def with_context(counts: DataFrame, enriched: DataFrame) -> DataFrame:
-    """atr_mean over each count, and origin: joined from the symbol's bars, gathered once per symbol."""
+    """atr_mean over each count, from running sums at its two ends, and origin: how far
+    price stood beyond the first point on the bars before it (at least eight, or half
+    the impulse), joined by bar number. No history is gathered."""
+    keys = ["symbol", "interval", "sensitivity", "seq"]
+    w = Window.partitionBy("symbol", "interval").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     true = F.greatest(F.col("high") - F.col("low"), F.lit(0.000001))
-    per = enriched.groupBy("symbol", "interval").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce(F.when(F.col("atr") > 0, F.col("atr")), true).alias("a"), "low", "high"))).alias("bars"))
-    df = counts.join(per, ["symbol", "interval"])
+    bars = enriched.select("symbol", "interval", "idx", "low", "high", F.sum(F.coalesce(F.when(F.col("atr") > 0, F.col("atr")), true)).over(w).alias("upto"))
     first, last = _i(0), F.element_at("p", -1)["idx"]
-    span = F.slice("bars", first.cast("int"), (last - first + 1).cast("int"))
+    sums = lambda name, shift: bars.select("symbol", "interval", (F.col("idx") + shift).alias(f"{name}_idx"), F.col("upto").alias(name))
+    df = counts.withColumns({"until_idx": last, "before_idx": first})
+    df = df.join(sums("until", 0), ["symbol", "interval", "until_idx"]).join(sums("before", 1), ["symbol", "interval", "before_idx"], "left")
+    df = df.withColumn("atr_mean", (F.col("until") - F.coalesce("before", F.lit(0.0))) / (last - first + 1)).drop("until", "until_idx", "before", "before_idx")
     look = F.greatest(F.lit(8), F.floor((_i(5) - first) / 2))
-    start = F.greatest(F.lit(1), first - look)
-    before = F.slice("bars", start.cast("int"), (first - start + 1).cast("int"))
+    near = counts.select(*keys, F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), first - look), first)).alias("idx"))
+    near = near.join(bars.select("symbol", "interval", "idx", "low", "high"), ["symbol", "interval", "idx"]).groupBy(*keys).agg(F.min("low").alias("lowest"), F.max("high").alias("highest"))
     price = F.get("p", F.lit(0))["price"]
-    beyond = F.when(F.col("direction") == "BULLISH", price - F.array_min(F.transform(before, lambda x: x["low"]))).otherwise(F.array_max(F.transform(before, lambda x: x["high"])) - price)
-    return df.withColumns({"atr_mean": F.aggregate(F.transform(span, lambda x: x["a"]), F.lit(0.0), lambda a, x: a + x) / F.size(span), "origin": F.greatest(F.lit(0.0), beyond)}).drop("bars")
+    beyond = F.when(F.col("direction") == "BULLISH", price - F.col("lowest")).otherwise(F.col("highest") - price)
+    return df.join(near, keys).withColumn("origin", F.greatest(F.lit(0.0), beyond)).drop("lowest", "highest")
 
 
 def structures(pivots: DataFrame, enriched: DataFrame) -> DataFrame:

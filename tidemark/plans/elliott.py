@@ -1,5 +1,5 @@
-"""Queries of swing pivots and wave counts, on weekly bars. Pivots are a
-sequential fold, so these have no SQL; tests hold them to their invariants."""
+"""Queries of swing pivots and wave counts, on weekly bars. Their SQL builds the
+pivots, a sequential fold, as a recursive view."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as I
 from tidemark.operators import waves as V
+from tidemark.plans import elliott_sql as Q
 from tidemark.plans.registry import query
 from tidemark.sources import market as M
 
@@ -20,33 +21,34 @@ def counted(spark, sf_dir):
     return V.structures(V.zigzag_pivots(e), e)
 
 
-@query("zigzag_pivots")
+@query("zigzag_pivots", Q.over(body="""SELECT symbol, '1wk' AS "interval", sensitivity, seq, idx, ts, kind, price FROM pv"""))
 def zigzag_pivots(spark, sf_dir):
     return V.zigzag_pivots(enriched(spark, sf_dir))
 
 
-@query("wave_sequences")
+@query("wave_sequences", Q.over(Q.runs(6), body="SELECT symbol, sensitivity, seq, direction, p[1].ts AS first_ts, p[-1].ts AS last_ts FROM q6"))
 def wave_sequences(spark, sf_dir):
     s = V.sequences(zigzag_pivots(spark, sf_dir), 6)
     return s.select("symbol", "sensitivity", "seq", "direction", F.element_at("p", 1)["ts"].alias("first_ts"), F.element_at("p", -1)["ts"].alias("last_ts"))
 
 
-@query("impulse_rules")
+@query("impulse_rules", Q.over(Q.runs(6), body=f"SELECT symbol, sensitivity, seq, direction FROM q6 WHERE {Q.IMPULSE}"))
 def impulse_rules(spark, sf_dir):
     return V.sequences(zigzag_pivots(spark, sf_dir), 6).filter(V.impulse_complete()).select("symbol", "sensitivity", "seq", "direction")
 
 
-@query("correction_rules")
+@query("correction_rules", Q.over(Q.runs(9), body=f"SELECT symbol, sensitivity, seq, direction, {Q.VARIANT} AS variant FROM q9 WHERE {Q.CORRECTION}"))
 def correction_rules(spark, sf_dir):
     return V.sequences(zigzag_pivots(spark, sf_dir), 9).filter(V.correction_complete()).select("symbol", "sensitivity", "seq", "direction", V.variant().alias("variant"))
 
 
-@query("structure_quality")
+@query("structure_quality", Q.over(Q.STRUCTURES, body="""SELECT symbol, "interval", sensitivity, direction, stage, quality, variant, cycle_key, start_idx, end_idx, end_ts, end_price FROM st"""))
 def structure_quality(spark, sf_dir):
     return counted(spark, sf_dir).drop("p")
 
 
-@query("latest_structure")
+@query("latest_structure", Q.over(Q.STRUCTURES, body=f"""SELECT symbol, "interval", direction, stage, quality, cycle_key, end_ts FROM st WHERE quality >= {V.QUALITY}
+QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY end_idx DESC, quality DESC, end_idx - start_idx DESC, cycle_key DESC) = 1"""))
 def latest_structure(spark, sf_dir):
     return V.latest_structure(counted(spark, sf_dir))
 
@@ -56,18 +58,19 @@ def historical_structures(spark, sf_dir):
     return V.historical_structures(counted(spark, sf_dir))
 
 
-@query("wave_confirmation")
+@query("wave_confirmation", Q.over(Q.STRUCTURES, Q.CONFIRMATION, body="SELECT * FROM cf"))
 def wave_confirmation(spark, sf_dir):
     e = enriched(spark, sf_dir)
     return V.confirmation(V.structures(V.zigzag_pivots(e), e), e)
 
 
-@query("elliott_boundaries")
+@query("elliott_boundaries", Q.over(Q.STRUCTURES, Q.BOUNDARIES, body="SELECT symbol, direction, stage, cycle_key, end_ts, side, trigger, invalidation, high, low FROM bd"))
 def elliott_boundaries(spark, sf_dir):
     return V.boundaries(counted(spark, sf_dir)).select("symbol", "direction", "stage", "cycle_key", "end_ts", "side", "trigger", "invalidation", "high", "low")
 
 
-@query("elliott_lifecycle")
+@query("elliott_lifecycle", Q.over(Q.STRUCTURES, Q.BOUNDARIES, Q.LIFECYCLE, body="""SELECT *, CASE WHEN broken_at <= coalesce(confirmed_at, 10) THEN 'INVALIDATED' WHEN confirmed_at IS NOT NULL THEN 'CONFIRMED'
+  WHEN seen >= 10 THEN 'EXPIRED' ELSE 'DETECTED' END AS status FROM lc"""))
 def elliott_lifecycle(spark, sf_dir):
     e = enriched(spark, sf_dir)
     return V.lifecycle(V.boundaries(V.structures(V.zigzag_pivots(e), e)), e)
