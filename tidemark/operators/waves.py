@@ -50,21 +50,29 @@ def swings(high: np.ndarray, low: np.ndarray, close: np.ndarray, reach: np.ndarr
     return out
 
 
+def volatility(high: np.ndarray, low: np.ndarray, close: np.ndarray, atr: np.ndarray) -> np.ndarray:
+    """The average true range, or where it is missing the mean of the last 14 bars' ranges."""
+    lacks = ~(atr > 0)
+    if not lacks.any():
+        return atr
+    before = np.concatenate([[close[0]], close[:-1]])
+    true = np.maximum(np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before))), 1e-6)
+    used, out = np.where(lacks, true, atr), atr.copy()
+    for i in np.flatnonzero(lacks):
+        out[i] = used[max(0, i - 13) : i + 1].mean()
+    return out
+
+
 def zigzag_pivots(enriched: DataFrame, sensitivities: tuple[float, ...] = SENSITIVITIES) -> DataFrame:
     """One row per pivot and sensitivity; sensitivities with the same pivots count once (the smallest)."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")
         h, lo, c = (rows[x].to_numpy(float) for x in ("high", "low", "close"))
-        before = np.concatenate([[c[0]], c[:-1]])
-        true = np.maximum(np.maximum(h - lo, np.maximum(np.abs(h - before), np.abs(lo - before))), 1e-6)
-        atr = rows["atr"].to_numpy(float)
-        used = np.where(atr > 0, atr, true)
-        mean = np.array([used[max(0, i - 13) : i + 1].mean() for i in range(len(used))])
-        volatility = np.where(atr > 0, atr, mean)
+        reach = volatility(h, lo, c, rows["atr"].to_numpy(float))
         out, seen = [], set()
         for s in sensitivities:
-            found = swings(h, lo, c, np.maximum(volatility * s, np.abs(c) * 0.0125 * s))
+            found = swings(h, lo, c, np.maximum(reach * s, np.abs(c) * 0.0125 * s))
             if len(found) < 5 or tuple(found) in seen:
                 continue
             seen.add(tuple(found))
@@ -81,16 +89,23 @@ def sequences(pivots: DataFrame, n: int) -> DataFrame:
     """Every run of n consecutive pivots: array p of (idx, ts, price), and direction by its first kind."""
     w = Window.partitionBy("symbol", "interval", "sensitivity").orderBy("seq")
     df = pivots.withColumn("p", F.collect_list(F.struct("idx", "ts", "price")).over(w.rowsBetween(0, n - 1)))
-    return df.filter(F.size("p") == n).select("symbol", "interval", "sensitivity", "seq", F.when(F.col("kind") == "LOW", "BULLISH").otherwise("BEARISH").alias("direction"), "p")
+    return pointed(df.filter(F.size("p") == n).select("symbol", "interval", "sensitivity", "seq", F.when(F.col("kind") == "LOW", "BULLISH").otherwise("BEARISH").alias("direction"), "p"))
 
 
 def _p(i: int) -> Column:
     """Price of point i, turned around for bearish counts."""
-    return F.get("p", F.lit(i))["price"] * F.when(F.col("direction") == "BULLISH", 1.0).otherwise(-1.0)
+    return F.col(f"q{i}")
 
 
 def _i(i: int) -> Column:
-    return F.get("p", F.lit(i))["idx"]
+    return F.col(f"i{i}")
+
+
+def pointed(counts: DataFrame) -> DataFrame:
+    """Adds the points of p as columns: q0.. turned prices, i0.. bar numbers; null beyond the last."""
+    sign = F.when(F.col("direction") == "BULLISH", 1.0).otherwise(-1.0)
+    at = lambda k: F.get("p", F.lit(k))
+    return counts.withColumns({f"q{k}": at(k)["price"] * sign for k in range(9)} | {f"i{k}": at(k)["idx"] for k in range(9)})
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -128,34 +143,108 @@ def _unit(c: Column) -> Column:
     return F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0)))
 
 
+def _over(a: Column, b: Column, most: int) -> Column:
+    """Rounded share of `most` points."""
+    return _half_up(_unit(a / b) * most)
+
+
+# Points taken for what is unusual.
+
+
+def two_penalty(two: Column) -> Column:
+    return F.when((two > TWO[3]) & (two < 1), 8 + _over(two - TWO[3], F.lit(1 - TWO[3]), 12)).when(two < TWO[0], 6).otherwise(0)
+
+
+def three_penalty(r: Column) -> Column:
+    return F.when(r >= 0.8, 0).otherwise(6 + _over(0.8 - F.greatest(F.lit(0.0), r), F.lit(0.8), 8))
+
+
+def four_penalty(four: Column) -> Column:
+    return F.when(four < FOUR[0], 6 + _over(FOUR[0] - four, F.lit(FOUR[0]), 4)).when(four > FOUR[3], 8 + _over(four - FOUR[3], F.lit(1 - FOUR[3]), 8)).otherwise(0)
+
+
+def span_penalty(span: Column) -> Column:
+    return F.when(span >= SPAN, 0).otherwise(F.least(F.lit(10), F.greatest(F.lit(1), (SPAN - span) * 2)))
+
+
+def back_penalty(back: Column) -> Column:
+    lo, hi = CORRECTION
+    return F.when(back < lo, 6 + _over(lo - back, F.lit(lo), 4)).when(back > hi, 8 + _over(back - hi, F.lit(1 - hi), 10)).otherwise(0)
+
+
+def c_to_a_penalty(ca: Column) -> Column:
+    lo, hi = C_TO_A[0], C_TO_A[3]
+    return F.when(ca < lo, 6 + _over(lo - ca, F.lit(lo), 4)).when(ca > hi, 8 + F.least(F.lit(8), _half_up((ca - hi) * 4))).otherwise(0)
+
+
+def variant_penalty(kind: Column) -> Column:
+    return F.when(kind == "EXPANDED_FLAT", 4).when(kind == "RUNNING_FLAT", 14).otherwise(0)
+
+
+TRUNCATION = 18
+
+
+def measured(counts: DataFrame) -> DataFrame:
+    """Adds lengths and ratios of a count's waves, as m_ columns (those of a correction
+    are null for fewer than nine points)."""
+    one, three = _p(1) - _p(0), _p(3) - _p(2)
+    all_ = {
+        "one": one, "three": three, "five": _p(5) - _p(4), "two": ratio(_p(1) - _p(2), one), "four": ratio(_p(3) - _p(4), three), "three_to_one": ratio(three, one),
+        "back": ratio(_p(5) - _p(8), _p(5) - _p(0)), "c_to_a": ratio(_p(7) - _p(8), _p(5) - _p(6)),
+    }
+    return counts.withColumns({f"m_{k}": c for k, c in all_.items()})
+
+
+MEASURES = ("one", "three", "five", "two", "four", "three_to_one", "back", "c_to_a")
+
+
+def measures() -> dict[str, Column]:
+    return {k: F.col(f"m_{k}") for k in MEASURES}
+
+
 def quality(correction: bool) -> Column:
     """0 to 100: move, span, third wave, retracement zones, alternation and origin, less penalties.
 
     Needs `atr_mean` (over the count) and `origin` (how far price stood beyond the origin before it)."""
-    one, three, five = _p(1) - _p(0), _p(3) - _p(2), _p(5) - _p(4)
-    two, four = ratio(_p(1) - _p(2), one), ratio(_p(3) - _p(4), three)
+    m = measures()
+    one, three, five, two, four = (m[k] for k in ("one", "three", "five", "two", "four"))
     atr, span = F.greatest(F.col("atr_mean"), F.lit(0.000001)), _i(5) - _i(0)
     s = F.lit(55) + _half_up(F.least(F.lit(12.0), (_p(5) - _p(0)) / atr))
-    s = s + F.when(span >= SPAN, F.least(F.lit(8), F.floor((span - SPAN) / 5))).otherwise(-F.least(F.lit(10), F.greatest(F.lit(1), (SPAN - span) * 2)))
-    s = s + F.when((three >= one) & (three >= five), 7).otherwise(0)
-    r = ratio(three, one)
-    s = s - F.when(r >= 0.8, 0).otherwise(6 + _half_up(_unit((0.8 - F.greatest(F.lit(0.0), r)) / 0.8) * 8))
-    s = s + F.when(two.between(TWO[1], TWO[2]), 5).otherwise(0)
-    s = s - F.when((two > TWO[3]) & (two < 1), 8 + _half_up(_unit((two - TWO[3]) / (1 - TWO[3])) * 12)).when(two < TWO[0], 6).otherwise(0)
-    s = s + F.when(four.between(FOUR[1], FOUR[2]), 5).otherwise(0)
-    s = s - F.when(four < FOUR[0], 6 + _half_up(_unit((FOUR[0] - four) / FOUR[0]) * 4)).when(four > FOUR[3], 8 + _half_up(_unit((four - FOUR[3]) / (1 - FOUR[3])) * 8)).otherwise(0)
-    s = s - F.when(_p(5) <= _p(3), 18).otherwise(0) + F.when(F.abs(two - four) >= 0.08, 3).otherwise(0)
+    s = s + F.when(span >= SPAN, F.least(F.lit(8), F.floor((span - SPAN) / 5))).otherwise(-span_penalty(span))
+    s = s + F.when((three >= one) & (three >= five), 7).otherwise(0) - three_penalty(m["three_to_one"])
+    s = s + F.when(two.between(TWO[1], TWO[2]), 5).otherwise(0) - two_penalty(two)
+    s = s + F.when(four.between(FOUR[1], FOUR[2]), 5).otherwise(0) - four_penalty(four)
+    s = s - F.when(_p(5) <= _p(3), TRUNCATION).otherwise(0) + F.when(F.abs(two - four) >= 0.08, 3).otherwise(0)
     off = F.col("origin") / atr
     s = s + F.when(off <= 0.75, 8).when(off <= 1.5, 3).otherwise(-F.least(F.lit(18), _half_up(off * 3.0)))
     if correction:
-        back, ca = ratio(_p(5) - _p(8), _p(5) - _p(0)), ratio(_p(7) - _p(8), _p(5) - _p(6))
-        lo, hi = CORRECTION
-        s = s + 4 + F.when(back.between(lo, hi), 4).when(back < lo, -(6 + _half_up(_unit((lo - back) / lo) * 4))).otherwise(-(8 + _half_up(_unit((back - hi) / (1 - hi)) * 10)))
-        s = s + F.when(ca.between(C_TO_A[1], C_TO_A[2]), 5).when(ca.between(C_TO_A[0], C_TO_A[3]), 0).when(ca < C_TO_A[0], -(6 + _half_up(_unit((C_TO_A[0] - ca) / C_TO_A[0]) * 4))).otherwise(-(8 + F.least(F.lit(8), _half_up((ca - C_TO_A[3]) * 4))))
-        s = s - F.when(variant() == "EXPANDED_FLAT", 4).when(variant() == "RUNNING_FLAT", 14).otherwise(0)
+        back, ca = m["back"], m["c_to_a"]
+        s = s + 4 + F.when(back.between(*CORRECTION), 4).otherwise(-back_penalty(back))
+        s = s + F.when(ca.between(C_TO_A[1], C_TO_A[2]), 5).otherwise(-c_to_a_penalty(ca)) - variant_penalty(variant())
     return F.greatest(F.lit(0), F.least(F.lit(100), s)).cast("int")
 
 
+def _percent(c: Column) -> Column:
+    return F.concat((_half_up(c * 1000) / 10).cast("string"), F.lit("%"))
+
+
+def warnings() -> Column:
+    """What lowers a structure's quality, in words (for pointed and measured structures)."""
+    m, span, c = measures(), _i(5) - _i(0), F.col("stage") == "C"
+    less = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit(" — reduced confidence"))
+    flags = [
+        F.when(two_penalty(m["two"]) > 0, less(F.when(m["two"] > TWO[3], "Deep").otherwise("Shallow"), " Wave II ", _percent(m["two"]))),
+        F.when(m["three_to_one"] < 0.8, less("Wave III is ", _percent(m["three_to_one"]), " of Wave I")),
+        F.when(four_penalty(m["four"]) > 0, less(F.when(m["four"] > FOUR[3], "Deep").otherwise("Shallow"), " Wave IV ", _percent(m["four"]))),
+        F.when(span < SPAN, less("Compressed ", span.cast("string"), "-candle impulse")),
+        F.when(_p(5) <= _p(3), less("Truncated Wave V")),
+        F.when(c & (back_penalty(m["back"]) > 0), less("A–B–C retracement ", _percent(m["back"]))),
+        F.when(c & (c_to_a_penalty(m["c_to_a"]) > 0), less("Wave C is ", (_half_up(m["c_to_a"] * 100) / 100).cast("string"), "× Wave A")),
+        F.when(F.col("variant") == "EXPANDED_FLAT", less("Expanded-flat candidate")).when(F.col("variant") == "RUNNING_FLAT", less("Running-flat candidate")),
+    ]
+    return F.array_compact(F.array(*flags))
+
+
 def with_context(counts: DataFrame, enriched: DataFrame) -> DataFrame:
     """atr_mean over each count, from running sums at its two ends, and origin: how far
     price stood beyond the first point on the bars before it (at least eight, or half
@@ -181,7 +270,7 @@ def structures(pivots: DataFrame, enriched: DataFrame) -> DataFrame:
     """Valid impulses (to V) and corrections (to C) with quality, variant, cycle key and end."""
     out = None
     for n, rule, label in ((6, impulse_complete(), "V"), (9, correction_complete(), "C")):
-        df = with_context(sequences(pivots, n).filter(rule), enriched)
+        df = measured(with_context(sequences(pivots, n).filter(rule), enriched))
         end = F.element_at("p", -1)
         key = F.concat_ws(":", F.col("direction"), *[F.unix_timestamp(F.get("p", F.lit(k))["ts"]).cast("string") for k in range(5)])
         df = df.select("symbol", "interval", "sensitivity", "direction", F.lit(label).alias("stage"), quality(label == "C").alias("quality"), (variant() if label == "C" else F.when(_p(5) <= _p(3), "TRUNCATED").otherwise("FULL")).alias("variant"), key.alias("cycle_key"), _i(0).alias("start_idx"), end["idx"].alias("end_idx"), end["ts"].alias("end_ts"), end["price"].alias("end_price"), "p")
@@ -250,3 +339,72 @@ def confirmation(structures: DataFrame, bars: DataFrame) -> DataFrame:
     rises = (F.col("stage") == "C") == (F.col("direction") == "BULLISH")
     hit = F.when(rises, F.col("close") > F.col("ph")).otherwise(F.col("close") < F.col("pl"))
     return f.filter(hit).groupBy("symbol", "interval", "direction", "stage", "cycle_key", "end_idx").agg(F.min("offset").alias("lag"))
+
+
+def confirmed(structures: DataFrame, bars: DataFrame) -> DataFrame:
+    """Structures with confirm_idx and confirm_ts of their timely confirmation (others drop out)."""
+    keys = ["symbol", "interval", "direction", "stage", "cycle_key", "end_idx"]
+    found = structures.join(confirmation(structures, bars), keys).withColumn("confirm_idx", F.col("end_idx") + F.col("lag")).drop("lag")
+    return found.join(bars.select("symbol", "interval", F.col("idx").alias("confirm_idx"), F.col("ts").alias("confirm_ts")), ["symbol", "interval", "confirm_idx"])
+
+
+def structure_for_signal(structures: DataFrame, signals: DataFrame) -> DataFrame:
+    """signals (symbol, interval, direction, stage, variant, ts) with the structure of
+    their kind that was confirmed last, up to the signal (then by quality and span).
+
+    An as-of join by one window over both, so no pair of a signal and an older
+    structure is formed."""
+    kind = ["symbol", "interval", "direction", "stage", "variant"]
+    span = (F.col("end_idx") - F.col("start_idx")).alias("span")
+    held = F.struct("cycle_key", "quality", "end_ts", "confirm_ts").alias("found")
+    s = structures.select(*kind, F.col("confirm_ts").alias("ts"), F.lit(0).alias("asks"), "quality", span, held)
+    none = F.lit(None).cast(s.schema["found"].dataType)
+    q = signals.select(*kind, "ts", F.lit(1).alias("asks"), F.lit(None).cast("int").alias("quality"), F.lit(None).cast("long").alias("span"), none.alias("found"))
+    w = Window.partitionBy(*kind).orderBy("ts", "asks", "quality", "span", F.col("found.cycle_key")).rowsBetween(Window.unboundedPreceding, 0)
+    return s.unionByName(q).withColumn("found", F.last("found", ignorenulls=True).over(w)).filter("asks = 1").select(*kind, "ts", "found.*")
+
+
+def structure_for_cycle(structures: DataFrame, cycles: DataFrame) -> DataFrame:
+    """For each (symbol, interval, cycle_key, stage): its structure with the latest end,
+    then the latest confirmation, then the best quality."""
+    good = structures.filter(F.col("quality") >= QUALITY)
+    best = good.groupBy("symbol", "interval", "cycle_key", "stage").agg(
+        F.max(F.struct("end_ts", "confirm_ts", "quality", "end_price")).alias("s")
+    )
+    return cycles.join(best, ["symbol", "interval", "cycle_key", "stage"]).select("symbol", "interval", "cycle_key", "stage", "s.*")
+
+
+def revised(bounded: DataFrame) -> DataFrame:
+    """Per cycle and stage the boundaries first recorded and those in force: a later
+    endpoint of the same cycle and stage replaces them, an earlier or equal one never."""
+    by = ["symbol", "interval", "cycle_key", "stage"]
+    what = F.struct("end_idx", F.col("quality"), "end_ts", "end_price", "trigger", "invalidation", "high", "low")
+    g = bounded.groupBy(*by).agg(F.min(what).alias("first"), F.max(what).alias("latest"), F.count_distinct("end_idx").alias("endpoints"))
+    later = F.col("latest.end_idx") > F.col("first.end_idx")
+    now = lambda c: F.when(later, F.col(f"latest.{c}")).otherwise(F.col(f"first.{c}")).alias(c)
+    return g.select(*by, "endpoints", later.alias("revised"), F.col("first.end_ts").alias("anchor_ts"), *[now(c) for c in ("end_ts", "end_price", "trigger", "invalidation", "high", "low")])
+
+
+# Bars held and move that decides, by horizon; least qualities.
+STAGE_HORIZONS = ((4, 4.0), (8, 8.0))
+STAGE_QUALITIES = (75, 80, 85, 90)
+
+
+def stage_stats(confirmed: DataFrame, bars: DataFrame) -> DataFrame:
+    """Per horizon, least quality and stage (V, C and ALL): counts, precision and average
+    return of confirmed ends, entered at the confirmation's close and left the horizon later."""
+    c = confirmed.select("symbol", "interval", "direction", "stage", "cycle_key", "quality", F.col("confirm_idx").alias("idx")).distinct()
+    close = bars.select("symbol", "interval", "idx", "close")
+    c = c.join(close.withColumnRenamed("close", "entry"), ["symbol", "interval", "idx"])
+    c = c.withColumn("h", F.explode(F.array(*[F.struct(F.lit(n).alias("bars"), F.lit(m).alias("move")) for n, m in STAGE_HORIZONS])))
+    c = c.withColumn("idx", F.col("idx") + F.col("h.bars")).join(close.withColumnRenamed("close", "left"), ["symbol", "interval", "idx"])
+    rises = (F.col("stage") == "C") == (F.col("direction") == "BULLISH")
+    change = (F.col("left") - F.col("entry")) / F.col("entry") * 100.0
+    c = c.withColumn("change", F.when(rises, change).otherwise(-change))
+    c = c.withColumn("least", F.explode(F.array(*[F.lit(q) for q in STAGE_QUALITIES]))).filter("quality >= least")
+    c = c.withColumn("stage", F.explode(F.array(F.col("stage"), F.lit("ALL"))))
+    won, lost = F.count_if(F.col("change") >= F.col("h.move")), F.count_if(F.col("change") <= -F.col("h.move"))
+    return c.groupBy("interval", F.col("h.bars").alias("bars"), "least", "stage").agg(
+        F.count("*").alias("signals"), won.alias("successes"), lost.alias("failures"),
+        F.round(F.when(won + lost > 0, won * 100.0 / (won + lost)), 6).alias("precision"), F.round(F.avg("change"), 6).alias("average_return"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import elliott as L
 from tidemark.operators import indicators as I
 from tidemark.operators import waves as V
 from tidemark.plans import elliott_sql as Q
@@ -74,3 +75,104 @@ def elliott_boundaries(spark, sf_dir):
 def elliott_lifecycle(spark, sf_dir):
     e = enriched(spark, sf_dir)
     return V.lifecycle(V.boundaries(V.structures(V.zigzag_pivots(e), e)), e)
+
+
+# ------------------------------------------------------------------ signals
+
+
+def weekly_signals(spark, sf_dir):
+    return L.signals(I.enrich(M.bars(spark, sf_dir), "1wk"))
+
+
+_SIGNAL = ["symbol", "interval", "ts", "pattern", "side", "eligibility", "price"]
+
+
+@query("impulse_breakout")
+def impulse_breakout(spark, sf_dir):
+    return weekly_signals(spark, sf_dir).filter("kind = 'IMPULSE'").select(*_SIGNAL, (F.col("idx") - F.col("turn")).alias("age"), F.get("p", F.lit(3))["price"].alias("level"))
+
+
+@query("wave_v_end")
+def wave_v_end(spark, sf_dir):
+    return weekly_signals(spark, sf_dir).filter("kind = 'V'").select(*_SIGNAL, (F.col("idx") - F.col("turn")).alias("age"), "end_idx", "end_price")
+
+
+@query("correction_end")
+def correction_end(spark, sf_dir):
+    return weekly_signals(spark, sf_dir).filter("kind = 'C'").select(*_SIGNAL, (F.col("idx") - F.col("turn")).alias("age"), "end_idx", "end_price")
+
+
+@query("elliott_v1_score")
+def elliott_v1_score(spark, sf_dir):
+    return weekly_signals(spark, sf_dir).select(*_SIGNAL)
+
+
+@query("elliott_v2_score")
+def elliott_v2_score(spark, sf_dir):
+    return weekly_signals(spark, sf_dir).drop("p", "sensitivity", "kind")
+
+
+@query("elliott_alerts")
+def elliott_alerts(spark, sf_dir):
+    return L.alerts(weekly_signals(spark, sf_dir)).select(*_SIGNAL, "score", "strength")
+
+
+@query("elliott_alerts_daily")
+def elliott_alerts_daily(spark, sf_dir):
+    return L.alerts(L.signals(I.enrich(M.bars(spark, sf_dir, "1d"), "1d"))).select(*_SIGNAL, "score", "strength")
+
+
+# --------------------------------------------------------------- structures
+
+
+@query("quality_warnings", Q.over(Q.STRUCTURES, body=f"""SELECT symbol, sensitivity, stage, cycle_key, end_ts, array_to_string({Q.WARNINGS}, '; ') AS warnings FROM st"""))
+def quality_warnings(spark, sf_dir):
+    return V.measured(V.pointed(counted(spark, sf_dir))).select("symbol", "sensitivity", "stage", "cycle_key", "end_ts", F.array_join(V.warnings(), "; ").alias("warnings"))
+
+
+@query("correction_variant", Q.over(Q.STRUCTURES, body="SELECT symbol, sensitivity, cycle_key, stage, end_ts, variant FROM st"))
+def correction_variant(spark, sf_dir):
+    return counted(spark, sf_dir).select("symbol", "sensitivity", "cycle_key", "stage", "end_ts", "variant")
+
+
+@query("cycle_key", Q.over(Q.STRUCTURES, body="SELECT symbol, cycle_key, count(*) AS structures, count(*) FILTER (stage = 'C') AS corrections, max(end_ts) AS end_ts FROM st GROUP BY ALL"))
+def cycle_key(spark, sf_dir):
+    return counted(spark, sf_dir).groupBy("symbol", "cycle_key").agg(F.count("*").alias("structures"), F.count_if(F.col("stage") == "C").alias("corrections"), F.max("end_ts").alias("end_ts"))
+
+
+def with_confirmation(spark, sf_dir):
+    e = enriched(spark, sf_dir)
+    return V.confirmed(V.structures(V.zigzag_pivots(e), e), e)
+
+
+@query("structure_for_signal", Q.over(Q.STRUCTURES, Q.CONFIRMATION, Q.CONFIRMED, body="""SELECT a.symbol, a."interval", a.direction, a.stage, a.variant, a.at AS ts, c.cycle_key, c.quality, c.end_ts, c.confirm_ts
+FROM (SELECT DISTINCT symbol, "interval", direction, stage, variant, confirm_ts + INTERVAL 30 DAY AS at FROM cs) a
+JOIN cs c ON c.symbol = a.symbol AND c.direction = a.direction AND c.stage = a.stage AND c.variant = a.variant AND c.confirm_ts <= a.at
+QUALIFY row_number() OVER (PARTITION BY a.symbol, a.direction, a.stage, a.variant, a.at ORDER BY c.confirm_ts DESC, c.quality DESC, c.end_idx - c.start_idx DESC, c.cycle_key DESC) = 1"""))
+def structure_for_signal(spark, sf_dir):
+    """Signals: every kind of structure, asked for 30 days after each of its confirmations."""
+    s = with_confirmation(spark, sf_dir)
+    asks = s.select("symbol", "interval", "direction", "stage", "variant", (F.col("confirm_ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).distinct()
+    return V.structure_for_signal(s, asks)
+
+
+@query("structure_for_cycle", Q.over(Q.STRUCTURES, Q.CONFIRMATION, Q.CONFIRMED, body=f"""SELECT symbol, "interval", cycle_key, stage, end_ts, confirm_ts, quality, end_price FROM cs WHERE quality >= {V.QUALITY}
+QUALIFY row_number() OVER (PARTITION BY symbol, cycle_key, stage ORDER BY end_ts DESC, confirm_ts DESC, quality DESC, end_price DESC) = 1"""))
+def structure_for_cycle(spark, sf_dir):
+    s = with_confirmation(spark, sf_dir)
+    return V.structure_for_cycle(s, s.select("symbol", "interval", "cycle_key", "stage").distinct())
+
+
+@query("elliott_revise", Q.over(Q.STRUCTURES, Q.BOUNDARIES, body="""SELECT symbol, "interval", cycle_key, stage, count(DISTINCT end_idx) AS endpoints, max(end_idx) > min(end_idx) AS revised, min(end_ts) AS anchor_ts, max(end_ts) AS end_ts,
+  arg_max(end_price, {'e': end_idx, 'q': CASE WHEN lo < hi THEN quality ELSE -quality END}) AS end_price, arg_max(trigger, {'e': end_idx, 'q': CASE WHEN lo < hi THEN quality ELSE -quality END}) AS trigger,
+  arg_max({'v': invalidation}, {'e': end_idx, 'q': CASE WHEN lo < hi THEN quality ELSE -quality END}).v AS invalidation, arg_max(high, {'e': end_idx, 'q': CASE WHEN lo < hi THEN quality ELSE -quality END}) AS high, arg_max(low, {'e': end_idx, 'q': CASE WHEN lo < hi THEN quality ELSE -quality END}) AS low
+FROM (SELECT *, min(end_idx) OVER c AS lo, max(end_idx) OVER c AS hi FROM bd WINDOW c AS (PARTITION BY symbol, cycle_key, stage)) GROUP BY symbol, "interval", cycle_key, stage"""))
+def elliott_revise(spark, sf_dir):
+    return V.revised(V.boundaries(counted(spark, sf_dir)))
+
+
+@query("stage_stats", Q.over(Q.STRUCTURES, Q.CONFIRMATION, Q.CONFIRMED, Q.STAGES, body="SELECT * FROM stages"))
+def stage_stats(spark, sf_dir):
+    """Confirmed wave ends by horizon, least quality and stage: what followed the confirmation."""
+    e = enriched(spark, sf_dir)
+    return V.stage_stats(V.confirmed(V.structures(V.zigzag_pivots(e), e), e), e)

@@ -144,3 +144,28 @@ lc AS (SELECT symbol, "interval", direction, stage, cycle_key, end_idx, side, tr
 CONFIRMATION = f"""cf AS (SELECT st.symbol, st."interval", direction, stage, cycle_key, end_idx, min(r.idx - end_idx) AS lag
   FROM st JOIN (SELECT *, lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM b {PI.WIN}) r ON r.symbol = st.symbol AND r.idx BETWEEN end_idx + 1 AND end_idx + {V.LAG}
     AND CASE WHEN (stage = 'C') = (direction = 'BULLISH') THEN r.close > ph ELSE r.close < pl END GROUP BY ALL)"""
+
+
+def _percent(x: str) -> str:
+    return f"(CAST({up(f'{x} * 1000')} / 10 AS VARCHAR) || '%')"
+
+
+_LESS = "' — reduced confidence'"
+_RATIO = ratio(THREE, ONE)
+_UNUSUAL = {
+    f"{TWO} > {V.TWO[3]} AND {TWO} < 1": f"'Deep Wave II ' || {_percent(TWO)}", f"{TWO} < {V.TWO[0]}": f"'Shallow Wave II ' || {_percent(TWO)}",
+    f"{_RATIO} < 0.8": f"'Wave III is ' || {_percent(_RATIO)} || ' of Wave I'",
+    f"{FOUR} > {V.FOUR[3]}": f"'Deep Wave IV ' || {_percent(FOUR)}", f"{FOUR} < {V.FOUR[0]}": f"'Shallow Wave IV ' || {_percent(FOUR)}",
+    f"{X(5)} - {X(0)} < {V.SPAN}": f"'Compressed ' || CAST({X(5)} - {X(0)} AS VARCHAR) || '-candle impulse'", f"{P(5)} <= {P(3)}": "'Truncated Wave V'",
+    f"stage = 'C' AND NOT {BACK} BETWEEN {V.CORRECTION[0]} AND {V.CORRECTION[1]}": f"'A–B–C retracement ' || {_percent(BACK)}",
+    f"stage = 'C' AND NOT {C_TO_A} BETWEEN {V.C_TO_A[0]} AND {V.C_TO_A[3]}": f"'Wave C is ' || CAST({up(f'{C_TO_A} * 100')} / 100 AS VARCHAR) || '× Wave A'",
+    "variant = 'EXPANDED_FLAT'": "'Expanded-flat candidate'", "variant = 'RUNNING_FLAT'": "'Running-flat candidate'",
+}
+WARNINGS = "list_filter([" + ", ".join(f"CASE WHEN {k} THEN {v} || {_LESS} END" for k, v in _UNUSUAL.items()) + "], lambda x: x IS NOT NULL)"
+CONFIRMED = """cs AS (SELECT st.*, st.end_idx + lag AS confirm_idx, b.ts AS confirm_ts FROM st JOIN cf USING (symbol, direction, stage, cycle_key, end_idx) JOIN b ON b.symbol = st.symbol AND b.idx = st.end_idx + lag)"""
+STAGES = f"""stages AS (SELECT '1wk' AS "interval", bars, least, stage, count(*) AS signals, count(*) FILTER (change >= move) AS successes, count(*) FILTER (change <= -move) AS failures,
+  round(CASE WHEN count(*) FILTER (abs(change) >= move) > 0 THEN count(*) FILTER (change >= move) * 100.0::DOUBLE / count(*) FILTER (abs(change) >= move) END, 6) AS precision, round(avg(change), 6) AS average_return
+  FROM (SELECT hz.bars, hz.move, least, unnest([stage, 'ALL']) AS stage, CASE WHEN (stage = 'C') = (direction = 'BULLISH') THEN 1 ELSE -1 END * ((x.close - e.close) / e.close * 100.0::DOUBLE) AS change
+    FROM (SELECT DISTINCT symbol, direction, stage, cycle_key, quality, confirm_idx FROM cs) c JOIN b e ON e.symbol = c.symbol AND e.idx = confirm_idx
+    CROSS JOIN (VALUES {', '.join(f'({n}, {m}::DOUBLE)' for n, m in V.STAGE_HORIZONS)}) hz(bars, move) CROSS JOIN (VALUES {', '.join(f'({q})' for q in V.STAGE_QUALITIES)}) q(least)
+    JOIN b x ON x.symbol = c.symbol AND x.idx = confirm_idx + hz.bars WHERE quality >= least) GROUP BY ALL)"""

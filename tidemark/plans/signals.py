@@ -263,9 +263,3 @@ def executable_timing(spark, sf_dir):
     change = F.round(B.signed(F.col("direction"), (F.col("exit_close") - e) / e * 100), 6) + 0.0
     mfe, mae = F.when(buy, F.col("max_high") - e).otherwise(e - F.col("min_low")), F.when(buy, F.col("min_low") - e).otherwise(e - F.col("max_high"))
     return s.select("symbol", "ts", "pattern", "entry_ts", "entry", change.alias("change"), F.round(mfe / e * 100, 6).alias("mfe"), F.round(mae / e * 100, 6).alias("mae"))
-
-
-@query("stage_stats", ora(f"SELECT size AS bars, least_points, {MEASURES} FROM (SELECT *, {Q.TREND} AS points, unnest([0, 5, 10, 15]) AS least_points FROM tr) WHERE points >= least_points GROUP BY size, least_points"))
-def stage_stats(spark, sf_dir):
-    t = weekly_trades(spark, sf_dir).withColumn("points", P.score_trend()).withColumn("least_points", F.explode(F.array(*[F.lit(x) for x in (0, 5, 10, 15)])))
-    return B.report(t.filter("points >= least_points").withColumn("bars", F.col("size")), "bars", "least_points")
