@@ -23,7 +23,8 @@ WINDOW, LEAST, BREAKOUT, PRESENT = 100, 34, 1.003, 1
 ALERT, STRONG = 75, 85
 #: Current bars of a task's chunk.
 CHUNK = 200
-_FOUND = "symbol string, interval string, now long, sensitivity double, kind string, direction string, turn long, p array<struct<idx: long, price: double>>"
+_POINTS = [f"{x}{k}" for k in range(9) for x in "qi"]  # turned prices and bar numbers of the points; null beyond the last
+_FOUND = "symbol string, interval string, now long, sensitivity double, kind string, direction string, turn long, end_idx long, end_price double, third double, " + ", ".join(f"{c} {'double' if c[0] == 'q' else 'long'}" for c in _POINTS)
 
 
 def _present(high, low, close, found: list[tuple[int, int]], now: int) -> list[tuple[str, int, int, list[tuple[int, float]]]]:
@@ -77,9 +78,10 @@ def present_counts(enriched: DataFrame, sensitivities: tuple[float, ...] = V.SEN
                     continue
                 seen.add(tuple(found))
                 for kind, sign, turn, points in _present(h, lo, c, found, k - a):
-                    where = [{"idx": int(idx[a + i]), "price": p} for i, p in points]
-                    out.append((rows["symbol"].iloc[0], rows["interval"].iloc[0], int(idx[k]), s, kind, "BULLISH" if sign > 0 else "BEARISH", int(idx[a + turn]), where))
-        return pd.DataFrame(out, columns=["symbol", "interval", "now", "sensitivity", "kind", "direction", "turn", "p"])
+                    flat = [x for i, p in points for x in (p * sign, int(idx[a + i]))]
+                    end, price = points[-1]
+                    out.append((rows["symbol"].iloc[0], rows["interval"].iloc[0], int(idx[k]), s, kind, "BULLISH" if sign > 0 else "BEARISH", int(idx[a + turn]), int(idx[a + end]), price, points[3][1], *flat, *[None] * (18 - len(flat))))
+        return pd.DataFrame(out, columns=["symbol", "interval", "now", "sensitivity", "kind", "direction", "turn", "end_idx", "end_price", "third", *_POINTS]).astype({c: "float64" if c[0] == "q" else "Int64" for c in _POINTS})
 
     own = F.floor((F.col("idx") - 1) / CHUNK)
     near = F.floor((F.col("idx") + WINDOW - 2) / CHUNK)  # the chunk whose first bar still sees this one
@@ -92,8 +94,8 @@ _BAR = ["ts", "open", "high", "low", "close", "volume", "ema_fast", "ema_slow",
 
 def with_bars(counts: DataFrame, enriched: DataFrame) -> DataFrame:
     """The bars a score looks at, by number: c (current), b (before), e (three before), t (last point), r (point III or A)."""
-    compare = F.when(F.col("kind") == "C", F.get("p", F.lit(6))["idx"]).otherwise(F.get("p", F.lit(3))["idx"])
-    at = {"c": F.col("now"), "b": F.col("now") - 1, "e": F.col("now") - 3, "t": F.element_at("p", -1)["idx"], "r": compare}
+    compare = F.when(F.col("kind") == "C", F.col("i6")).otherwise(F.col("i3"))
+    at = {"c": F.col("now"), "b": F.col("now") - 1, "e": F.col("now") - 3, "t": F.col("end_idx"), "r": compare}
     for name, where in at.items():
         bar = enriched.select("symbol", "interval", F.col("idx").alias("_at"), F.struct(*_BAR).alias(name))
         counts = counts.withColumn("_at", where).join(bar, ["symbol", "interval", "_at"], "left" if name == "e" else "inner").drop("_at")
@@ -104,7 +106,7 @@ def follows() -> Column:
     """A turn stands on the current bar, or the current bar follows it through."""
     rises = _buys()
     more = F.when(rises, (F.col("c.close") >= F.col("b.close")) | (F.col("c.high") > F.col("b.high"))).otherwise((F.col("c.close") <= F.col("b.close")) | (F.col("c.low") < F.col("b.low")))
-    level = F.get("p", F.lit(3))["price"]
+    level = F.col("third")
     still = F.when(F.col("kind") != "IMPULSE", True).when(rises, F.col("c.close") > level * BREAKOUT).otherwise(F.col("c.close") < level / BREAKOUT)
     return (F.col("turn") == F.col("now")) | (more & still)
 
@@ -214,7 +216,7 @@ def name() -> Column:
 def signals(enriched: DataFrame) -> DataFrame:
     """All signals of every bar, the best (by eligibility) of each kind and side, with the
     scores of both models: eligibility, score and its families, strength."""
-    found = V.measured(with_bars(V.pointed(present_counts(enriched)).filter(valid()), enriched).filter(follows()))
+    found = V.measured(with_bars(present_counts(enriched).filter(valid()), enriched).filter(follows()))
     found = found.withColumns({"eligibility": eligibility(), "side": F.when(_buys(), "BUY").otherwise("SELL"), "pattern": name()})
     parts = families()
     found = found.withColumns({k: F.when(F.col("kind") != "IMPULSE", v).otherwise(0) for k, v in parts.items()})
@@ -222,7 +224,7 @@ def signals(enriched: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol", "interval", "now", "kind", "side").orderBy(F.desc("eligibility"), "sensitivity")
     best = found.withColumn("score", total).withColumn("_n", F.row_number().over(w)).filter("_n = 1")
     strength = F.when(F.col("score") < ALERT, "LOW_CONFIDENCE").when(F.col("score") >= STRONG, "HIGH_CONFIDENCE").otherwise("MEDIUM_CONFIDENCE")
-    return best.select("symbol", "interval", F.col("now").alias("idx"), F.col("c.ts").alias("ts"), "kind", "pattern", "direction", "side", "turn", "sensitivity", "eligibility", "score", *parts, strength.alias("strength"), F.col("c.close").alias("price"), F.element_at("p", -1)["idx"].alias("end_idx"), F.element_at("p", -1)["price"].alias("end_price"), "p")
+    return best.select("symbol", "interval", F.col("now").alias("idx"), F.col("c.ts").alias("ts"), "kind", "pattern", "direction", "side", "turn", "sensitivity", "eligibility", "score", *parts, strength.alias("strength"), F.col("c.close").alias("price"), "end_idx", "end_price", "third")
 
 
 def alerts(signals: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ _SIGNAL = ["symbol", "interval", "ts", "pattern", "side", "eligibility", "price"
 
 @query("impulse_breakout")
 def impulse_breakout(spark, sf_dir):
-    return weekly_signals(spark, sf_dir).filter("kind = 'IMPULSE'").select(*_SIGNAL, (F.col("idx") - F.col("turn")).alias("age"), F.get("p", F.lit(3))["price"].alias("level"))
+    return weekly_signals(spark, sf_dir).filter("kind = 'IMPULSE'").select(*_SIGNAL, (F.col("idx") - F.col("turn")).alias("age"), F.col("third").alias("level"))
 
 
 @query("wave_v_end")
@@ -109,7 +109,7 @@ def elliott_v1_score(spark, sf_dir):
 
 @query("elliott_v2_score")
 def elliott_v2_score(spark, sf_dir):
-    return weekly_signals(spark, sf_dir).drop("p", "sensitivity", "kind")
+    return weekly_signals(spark, sf_dir).drop("third", "sensitivity", "kind")
 
 
 @query("elliott_alerts")
@@ -117,11 +117,6 @@ def elliott_alerts(spark, sf_dir):
     return L.alerts(weekly_signals(spark, sf_dir)).select(*_SIGNAL, "score", "strength")
 
 
-@query("elliott_alerts_daily")
-def elliott_alerts_daily(spark, sf_dir):
-    return L.alerts(L.signals(I.enrich(M.bars(spark, sf_dir, "1d"), "1d"))).select(*_SIGNAL, "score", "strength")
-
-
 # --------------------------------------------------------------- structures
 
 
