@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import company_key
+
 
 def match_rules(signals: DataFrame, rules: DataFrame, recorded: DataFrame) -> DataFrame:
     """Signals of active rules on symbol, interval and side, without those recorded (rule, pattern, ts)."""
@@ -30,10 +32,13 @@ def followed_trades(trades: DataFrame, tracked: DataFrame, since: str) -> DataFr
     return trades.filter(F.col("disclosed") >= F.lit(since).cast("date")).join(tracked.select("symbol").distinct(), "symbol", "left_semi")
 
 
-def latest_close_asof(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """Return of each trade to its symbol's newest positive close on or after it
-    (per cent, two decimals half up; the sign turned for sales)."""
-    close = bars.filter("close > 0").groupBy("symbol").agg(F.max_by("close", "ts").alias("close"), F.max("ts").cast("date").alias("asof"))
+def latest_close_asof(trades: DataFrame, bars: DataFrame, asof: str, look: int = 10) -> DataFrame:
+    """Return of each trade to its symbol's newest positive close among the last
+    `look` daily bars completed before `asof`, where that is on or after the trade
+    (per cent, two decimals half up; the sign turned for sales; else null)."""
+    w = Window.partitionBy("symbol").orderBy(F.desc("ts"))
+    last = bars.filter(F.col("ts") < F.lit(asof).cast("timestamp")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= look)
+    close = last.filter("close > 0").groupBy("symbol").agg(F.max_by("close", "ts").alias("close"), F.max("ts").cast("date").alias("asof"))
     df = trades.join(close, "symbol")
     ratio = F.round((F.col("close").cast("decimal(24,6)") - F.col("price")) / F.col("price"), 8)
     change = F.round(ratio * 100, 2) * F.when(F.col("code") == "S", -1).otherwise(1)
@@ -69,13 +74,43 @@ def search(assets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query", "place", "symbol", "rank")
 
 
+# Ranks of an exact symbol, of the symbol with a venue's suffix, of the same
+# company (plus ticker distance, at most FAR); penalties of secondary venues.
+EXACT, SUFFIXED, COMPANY, FAR = 0, 10, 20, 20
+VENUES = {"PNK": 40, "IOB": 25, "FRA": 10, "DUS": 10, "MUN": 10, "STU": 10, "BER": 10, "HAM": 10}
+
+
+def venue_penalty(venue: Column) -> Column:
+    v = F.upper(F.trim(venue))
+    named = F.coalesce(*[F.when(v == k, n) for k, n in VENUES.items()])
+    return F.when(v.contains("OTC") | v.contains("PINK"), 40).when(v.contains("INTERNATIONAL ORDERBOOK"), 25).otherwise(F.coalesce(named, F.lit(0)))
+
+
+def ticker_root(symbol: Column) -> Column:
+    return F.regexp_replace(F.substring_index(symbol, ".", 1), "[^A-Z0-9]", "")
+
+
 def candidate_rank(requests: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per request the nearest candidate of the same first letter: exact, then edit distance, then key."""
-    r = requests.withColumn("start", F.substring("name", 1, 1))
-    c = candidates.select(F.col("name").alias("candidate"), F.substring("name", 1, 1).alias("start"))
-    w = Window.partitionBy("request_id").orderBy("distance", "candidate")
-    df = r.join(c, "start").withColumn("distance", F.levenshtein("name", "candidate")).withColumn("_n", F.row_number().over(w))
-    return df.filter("_n = 1").select("request_id", "name", "candidate", "distance")
+    """Listing of each request (request_id, symbol, company, suffix) among candidates
+    (symbol, company, venue): the same symbol, the symbol before a dot, or the same
+    company at the expected suffix by ticker distance; then the smaller symbol.
+
+    Both sides are keyed by symbol prefixes and company, so only what can match meets;
+    requests without a candidate have no row.
+    """
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    company = company_key(F.col("company"))
+    parts = F.split("symbol", "\\.")
+    stems = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: key("symbol", F.array_join(F.slice(parts, F.lit(1), n), ".")))
+    c = candidates.select(F.col("symbol").alias("candidate"), "venue", F.explode(F.concat(stems, F.array(key("company", company)))).alias("k"))
+    r = requests.select("request_id", "symbol", "suffix", F.explode(F.array(key("symbol", F.col("symbol")), key("company", company))).alias("k"))
+    met = r.select("request_id", "symbol", "suffix", "k.kind", "k.key").join(c.select("candidate", "venue", "k.kind", "k.key"), ["kind", "key"]).filter("key <> ''")
+    met = met.filter((F.col("kind") == "symbol") | F.col("candidate").endswith(F.coalesce("suffix", F.lit(""))))
+    a, b = ticker_root(F.col("symbol")), ticker_root(F.col("candidate"))
+    distance = F.when((a == "") | (b == ""), FAR).otherwise(F.least(F.lit(FAR), F.levenshtein(a, b)))
+    rank = F.when(F.col("kind") == "company", COMPANY + distance + venue_penalty(F.col("venue"))).when(F.col("symbol") == F.col("candidate"), EXACT).otherwise(SUFFIXED)
+    best = met.groupBy("request_id", "symbol").agg(F.min(F.struct(rank.alias("rank"), "candidate")).alias("m"))
+    return best.select("request_id", "symbol", "m.candidate", "m.rank")
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int = 50) -> DataFrame:

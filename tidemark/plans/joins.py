@@ -35,31 +35,31 @@ def event_dim_join(spark, sf_dir):
 
 
 @query("congress_fanout", S.over(S.CONGRESS, S.SUBSCRIPTIONS, body="""SELECT trade_id, user_id FROM congress t JOIN subscriptions s ON t.symbol = s.symbol AND active AND baseline IS NOT NULL AND disclosed + 1 >= baseline AND disclosed >= activated
-WHERE t.disclosed >= DATE '1998-06-01' AND NOT (trade_id % 3 = 0 AND user_id % 2 = 0)"""))
+WHERE NOT (trade_id % 3 = 0 AND user_id % 2 = 0)"""))
 def congress_fanout(spark, sf_dir):
-    t = M.congress_trades(spark, sf_dir).filter("disclosed >= '1998-06-01'").withColumn("first_seen", F.date_add("disclosed", 1))
+    t = M.congress_trades(spark, sf_dir).withColumn("first_seen", F.date_add("disclosed", 1))
     s = M.subscriptions(spark, sf_dir)
     done = t.filter("trade_id % 3 = 0").select("trade_id", "symbol").join(s.filter("user_id % 2 = 0").select("user_id", "symbol"), "symbol").select("trade_id", "user_id")
     return J.congress_fanout(t, s, done)
 
 
-@query("insider_fanout", S.over(S.TICKS, S.FLAGS, S.INSIDERS, S.SUBSCRIPTIONS, body="SELECT trade_id, user_id FROM insiders t JOIN subscriptions s ON t.symbol = s.symbol AND active AND baseline IS NOT NULL WHERE filed >= DATE '2001-10-01' AND user_id % 5 <> 0"))
+@query("insider_fanout", S.over(S.TICKS, S.FLAGS, S.INSIDERS, S.SUBSCRIPTIONS, body="SELECT trade_id, user_id FROM insiders t JOIN subscriptions s ON t.symbol = s.symbol AND active AND baseline IS NOT NULL WHERE user_id % 5 <> 0"))
 def insider_fanout(spark, sf_dir):
-    t, s = M.insider_trades(spark, sf_dir).filter("filed >= '2001-10-01'"), M.subscriptions(spark, sf_dir)
+    t, s = M.insider_trades(spark, sf_dir), M.subscriptions(spark, sf_dir)
     done = t.select("trade_id", "symbol").join(s.filter("user_id % 5 = 0").select("user_id", "symbol"), "symbol").select("trade_id", "user_id")
     return J.insider_fanout(t, s, done)
 
 
-@query("followed_trades", S.over(S.CONGRESS, S.SUBSCRIPTIONS, body="SELECT trade_id, member, symbol, disclosed FROM congress WHERE disclosed >= DATE '1998-01-01' AND symbol IN (SELECT symbol FROM subscriptions WHERE active AND user_id % 50 = 3)"))
+@query("followed_trades", S.over(S.CONGRESS, S.SUBSCRIPTIONS, body="SELECT trade_id, member, symbol, disclosed FROM congress WHERE disclosed >= DATE '1998-01-01' AND symbol IN (SELECT symbol FROM subscriptions WHERE active)"))
 def followed_trades(spark, sf_dir):
-    s = M.subscriptions(spark, sf_dir).filter("active AND user_id % 50 = 3")
+    s = M.subscriptions(spark, sf_dir).filter("active")
     return J.followed_trades(M.congress_trades(spark, sf_dir), s, "1998-01-01").select("trade_id", "member", "symbol", "disclosed")
 
 
-@query("latest_close_asof", S.over(*B, S.FLAGS, S.INSIDERS, body="""SELECT trade_id, i.symbol, code, CASE WHEN upto >= filed THEN CAST(round(CAST(round((CAST(close AS DECIMAL(24,6)) - price) / price, 8) AS DECIMAL(24,8)) * 100, 2) * CASE WHEN code = 'S' THEN -1 ELSE 1 END AS DOUBLE) END AS change
-FROM insiders i JOIN (SELECT symbol, arg_max(close, ts) AS close, CAST(max(ts) AS DATE) AS upto FROM bars GROUP BY symbol) c ON c.symbol = i.symbol"""))
+@query("latest_close_asof", S.over(S.TICKS, S.bars("1d"), S.FLAGS, S.INSIDERS, body="""SELECT trade_id, i.symbol, code, CASE WHEN upto >= filed THEN CAST(round(CAST(round((CAST(close AS DECIMAL(24,6)) - price) / price, 8) AS DECIMAL(24,8)) * 100, 2) * CASE WHEN code = 'S' THEN -1 ELSE 1 END AS DOUBLE) END AS change
+FROM insiders i JOIN (SELECT symbol, arg_max(close, ts) AS close, CAST(max(ts) AS DATE) AS upto FROM (SELECT * FROM bars WHERE ts < TIMESTAMP '2000-06-01' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 10) WHERE close > 0 GROUP BY symbol) c ON c.symbol = i.symbol"""))
 def latest_close_asof(spark, sf_dir):
-    return J.latest_close_asof(M.insider_trades(spark, sf_dir), M.bars(spark, sf_dir))
+    return J.latest_close_asof(M.insider_trades(spark, sf_dir), M.bars(spark, sf_dir, "1d"), "2000-06-01")
 
 
 @query("parity_check", S.over(*Q.PREP, Q.DETECTED, body="SELECT symbol, ts, pattern, 'left' AS side FROM d WHERE direction = 'BUY' AND size = 1"))
@@ -118,7 +118,8 @@ def alert_state_matrix(spark, sf_dir):
     return r.groupBy("symbol", "family", "side").agg(*[F.bool_or(F.col("interval") == k).alias(n) for k, n in (("1d", "daily"), ("1wk", "weekly"), ("1mo", "monthly"))])
 
 
-@query("archive_page", SG.ora("SELECT symbol, ts, pattern, outcome, round(close_return, 6) AS close_return, CAST(row_number() OVER o AS INTEGER) AS place FROM tr QUALIFY place BETWEEN 51 AND 100 WINDOW o AS (ORDER BY round(close_return, 6) DESC NULLS LAST, ts DESC, symbol, pattern)").replace("QUALIFY place BETWEEN 51 AND 100 WINDOW o AS (ORDER BY round(close_return, 6) DESC NULLS LAST, ts DESC, symbol, pattern)", "WINDOW o AS (ORDER BY round(close_return, 6) DESC NULLS LAST, ts DESC, symbol, pattern) QUALIFY place BETWEEN 51 AND 100"))
+@query("archive_page", SG.ora("""SELECT symbol, ts, pattern, outcome, round(close_return, 6) AS close_return, CAST(row_number() OVER o AS INTEGER) AS place FROM tr
+WINDOW o AS (ORDER BY round(close_return, 6) DESC NULLS LAST, ts DESC, symbol, pattern) QUALIFY place BETWEEN 51 AND 100"""))
 def archive_page(spark, sf_dir):
     t = SG.weekly_trades(spark, sf_dir).select("symbol", "ts", "pattern", "outcome", F.round("close_return", 6).alias("close_return"))
     return J.page(t, [F.desc_nulls_last("close_return"), F.desc("ts"), F.col("symbol"), F.col("pattern")], 1)
@@ -152,11 +153,22 @@ def index_search(spark, sf_dir):
     return M.assets(spark, sf_dir).filter(s.contains("2")).select("symbol", "company", F.when(s == "Brand#2", 0).when(s.startswith("Brand#2"), 1).otherwise(2).alias("rank"))
 
 
-@query("candidate_rank", "WITH r AS (SELECT s_suppkey AS request_id, upper(s_name) AS name FROM supplier), c AS (SELECT DISTINCT upper(c_name) AS candidate FROM customer UNION SELECT upper(s_name) || 'X' FROM supplier) SELECT request_id, name, candidate, CAST(levenshtein(name, candidate) AS INTEGER) AS distance FROM r JOIN c ON substr(name, 1, 1) = substr(candidate, 1, 1) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY levenshtein(name, candidate), candidate) = 1")
+@query("candidate_rank", """WITH r AS (SELECT s_suppkey AS request_id, 'S' || s_suppkey AS symbol, CASE WHEN s_suppkey % 4 = 0 THEN '.N' || s_nationkey ELSE '' END AS suffix FROM supplier),
+c AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'S' || c_custkey WHEN 1 THEN 'S' || c_custkey || '.N' || c_nationkey ELSE 'X' || c_custkey || '.N' || c_nationkey END AS candidate, c_custkey // 10 AS company,
+  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 40 WHEN 'BUILDING' THEN 25 WHEN 'FURNITURE' THEN 10 ELSE 0 END AS penalty FROM customer),
+m AS (SELECT request_id, symbol, candidate, CASE WHEN candidate = symbol THEN 0 WHEN starts_with(candidate, symbol || '.') THEN 10 ELSE 20 + least(20, levenshtein(symbol, split_part(candidate, '.', 1))) + penalty END AS rank
+  FROM r JOIN c ON candidate = symbol OR starts_with(candidate, symbol || '.') OR (company = request_id AND ends_with(candidate, suffix)))
+SELECT request_id, symbol, candidate, CAST(rank AS INTEGER) AS rank FROM m QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY rank, candidate) = 1""")
 def candidate_rank(spark, sf_dir):
     s, c = M.table(spark, sf_dir, "supplier"), M.table(spark, sf_dir, "customer")
-    names = c.select(F.upper("c_name").alias("name")).union(s.select(F.concat(F.upper("s_name"), F.lit("X")))).distinct()
-    return J.candidate_rank(s.select(F.col("s_suppkey").alias("request_id"), F.upper("s_name").alias("name")), names)
+    k, n = F.col("c_custkey").cast("string"), F.concat(F.lit(".N"), F.col("c_nationkey").cast("string"))
+    symbol = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("S"), k)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("S"), k, n)).otherwise(F.concat(F.lit("X"), k, n))
+    company = F.concat(F.lit("Supplier#"), F.lpad(F.expr("c_custkey DIV 10").cast("string"), 9, "0"), F.lit(" Inc."))
+    segment = F.col("c_mktsegment")
+    venue = F.when(segment == "AUTOMOBILE", "OTC Markets").when(segment == "BUILDING", "IOB").when(segment == "FURNITURE", "FRA").otherwise("NYQ")
+    suffix = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit(".N"), F.col("s_nationkey").cast("string"))).otherwise("")
+    requests = s.select(F.col("s_suppkey").alias("request_id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), F.col("s_name").alias("company"), suffix.alias("suffix"))
+    return J.candidate_rank(requests, c.select(symbol.alias("symbol"), company.alias("company"), venue.alias("venue")))
 
 
 @query("work_candidates", S.over(S.RULES, S.SUBSCRIPTIONS, body="SELECT symbol, \"interval\" FROM rules WHERE active UNION SELECT symbol, '1d' FROM subscriptions WHERE active"))
