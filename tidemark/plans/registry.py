@@ -28,4 +28,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.engulfing_report(spark, sf_dir)
 
 
-from tidemark.plans import elliott, indicators, ingest, joins, live, patterns, signals  # noqa: E402, F401
+from tidemark.plans import alerts, elliott, indicators, ingest, joins, live, patterns, signals  # noqa: E402, F401
