@@ -40,6 +40,7 @@ CHOSEN = [
     "completed_bar_filter", "parse_score_reason", "changed_bars_upsert", "bars_from_array_json", "match_rules", "congress_fanout", "latest_close_asof", "ticker_search", "avp_bins", "daily_budget",
     "insider_fanout", "followed_trades", "candidate_rank", "archive_page", "stream_bars", "stream_dedupe", "stream_lifecycle", "stream_changed_bars", "stream_rule_match", "stream_fanout", "horizon_guidance",
     "load_adjusted_csv", "avp_select", "avp_freeze", "calibration_points", "observed_outcome", "signal_excursion", "write_trades", "write_signals",
+    "ind_volume_profile", "setup_score", "threshold_sweep", "avp_value_area",
 ]
 
 

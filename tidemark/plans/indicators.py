@@ -109,7 +109,22 @@ def ind_vwap(spark, sf_dir):
     return shown(weekly(spark, sf_dir).withColumn("vwap", I.vwap(P["vwap"])), "vwap")
 
 
-@query("ind_volume_profile")
+_BIN = lambda p: f"greatest(0, least({I.PROFILE_BINS - 1}, CAST(floor((q.{p} - lo) / w) AS INTEGER)))"
+_LAST = I.PROFILE_BINS - 1
+PROFILE = f"""vp0 AS (SELECT symbol, ts, idx, list(struct_pack(low := low, high := high, v := CAST(greatest(volume, 0) AS DOUBLE))) OVER u AS held, min(low) OVER u AS lo, max(high) OVER u AS hi, sum(CAST(greatest(volume, 0) AS DOUBLE)) OVER u AS total, (max(high) OVER u - min(low) OVER u) / {I.PROFILE_BINS}.0::DOUBLE AS w
+  FROM b WINDOW u AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {P['profile'] - 1} PRECEDING AND CURRENT ROW)),
+vp1 AS (SELECT *, list_transform(held, lambda q: struct_pack(a := {_BIN('low')}, z := {_BIN('high')}, v := q.v)) AS spans FROM vp0 WHERE w > 0),
+vp2 AS (SELECT *, list_transform(range(0, {I.PROFILE_BINS}), lambda k: list_reduce(list_transform(spans, lambda q: CASE WHEN q.a <= k AND q.z >= k THEN q.v / (q.z - q.a + 1) ELSE 0.0::DOUBLE END), lambda s, q: s + q)) AS vol FROM vp1),
+vp3 AS (SELECT *, CAST(list_position(vol, list_max(vol)) - 1 AS INTEGER) AS top FROM vp2),
+vg AS (SELECT symbol, ts, top AS l, top AS h, vol[top + 1] AS v, vol, total FROM vp3 UNION ALL
+  SELECT symbol, ts, CASE WHEN above > below THEN l ELSE l - 1 END, CASE WHEN above > below THEN h + 1 ELSE h END, v + greatest(above, below), vol, total
+  FROM (SELECT *, CASE WHEN l > 0 THEN vol[l] ELSE -1 END AS below, CASE WHEN h < {_LAST} THEN vol[h + 2] ELSE -1 END AS above FROM vg WHERE v < total * {I.VALUE_AREA}::DOUBLE AND (l > 0 OR h < {_LAST}))),
+ve AS (SELECT symbol, ts, min(l) AS l, max(h) AS h FROM vg GROUP BY symbol, ts),
+vp AS (SELECT vp0.symbol, vp0.ts, CASE WHEN enough THEN CASE WHEN vp0.w = 0 THEN vp0.lo ELSE vp0.lo + (top + 0.5::DOUBLE) * vp0.w END END AS poc, CASE WHEN enough THEN CASE WHEN vp0.w = 0 THEN vp0.lo ELSE vp0.lo + l * vp0.w END END AS value_low, CASE WHEN enough THEN CASE WHEN vp0.w = 0 THEN vp0.hi ELSE vp0.lo + (h + 1.0::DOUBLE) * vp0.w END END AS value_high
+  FROM (SELECT *, idx >= {P['profile']} AND total > 0 AS enough FROM vp0) vp0 LEFT JOIN vp3 USING (symbol, ts) LEFT JOIN ve USING (symbol, ts))"""
+
+
+@query("ind_volume_profile", S.over(*BASE, PROFILE, body=f'SELECT b.symbol, b."interval", b.ts, round(poc, 6) AS poc, round(value_low, 6) AS value_low, round(value_high, 6) AS value_high FROM b JOIN vp USING (symbol, ts)'))
 def ind_volume_profile(spark, sf_dir):
     return shown(I.with_volume_profile(weekly(spark, sf_dir), P["profile"]), "poc", "value_low", "value_high")
 

@@ -223,7 +223,16 @@ def avp_bins(spark, sf_dir):
     return p.select("symbol", "bin", *[F.round(c, 4).alias(c) for c in ("volume", "up", "down")])
 
 
-@query("avp_value_area")
+_AREA = """bv AS (SELECT symbol, anchor, lo, w, bin, round(sum(v), 6) AS v FROM sh GROUP BY ALL),
+vl AS (SELECT symbol, anchor, lo, w, list_transform(range(0, 48), lambda k: coalesce(map_from_entries(list((CAST(bin AS BIGINT), v)))[k], 0.0::DOUBLE)) AS vol, sum(v) AS total FROM bv GROUP BY symbol, anchor, lo, w),
+vt AS (SELECT *, CAST(list_position(vol, list_max(vol)) - 1 AS INTEGER) AS top FROM vl),
+vg AS (SELECT symbol, anchor, top AS l, top AS h, vol[top + 1] AS v, vol, total FROM vt UNION ALL
+  SELECT symbol, anchor, CASE WHEN below >= above THEN l - 1 ELSE l END, CASE WHEN above >= below THEN h + 1 ELSE h END, v + CASE WHEN above = below THEN above + below ELSE greatest(above, below) END, vol, total
+  FROM (SELECT *, CASE WHEN l > 0 THEN vol[l] ELSE -1 END AS below, CASE WHEN h < 47 THEN vol[h + 2] ELSE -1 END AS above FROM vg WHERE v < total * 0.7::DOUBLE AND (l > 0 OR h < 47))),
+ve AS (SELECT symbol, anchor, min(l) AS l, max(h) AS h FROM vg GROUP BY ALL)"""
+
+
+@query("avp_value_area", S.over(*B, _AVP, _AREA, body="SELECT symbol, anchor, round(lo + (top + 0.5::DOUBLE) * w, 6) AS poc, round(lo + l * w, 6) AS value_low, round(lo + (h + 1) * w, 6) AS value_high FROM vt JOIN ve USING (symbol, anchor)"))
 def avp_value_area(spark, sf_dir):
     b = M.bars(spark, sf_dir)
     return J.anchored_area(J.anchored_bins(b, b.select("symbol").distinct().withColumn("anchor", F.lit("1998-01-01").cast("timestamp"))))

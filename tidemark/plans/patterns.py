@@ -176,12 +176,26 @@ def score_higher_timeframe(spark, sf_dir):
     return df.select(*COLUMNS, P.score_higher("1wk").cast("int").alias("points"))
 
 
-@query("score_volume")
+_EDGE = f"abs(close - CASE WHEN direction = 'BUY' THEN value_low ELSE value_high END) / ({SCALE})"
+_RATIO = "CASE WHEN average_volume > 0 THEN volume / average_volume END"
+VOLUME = f"""CASE WHEN {_RATIO} >= 1.5::DOUBLE THEN 4 WHEN {_RATIO} >= 1.2::DOUBLE THEN 3 WHEN {_RATIO} >= 1 THEN 2 ELSE 0 END + {_pt(_to('close', 'vwap'), 2)} + {_pt(_to('vwap', 'p_vwap'), 1)}
+  + {_pt("CASE WHEN direction = 'BUY' THEN close <= poc ELSE close >= poc END", 1)} + CASE WHEN {_EDGE} <= 0.5::DOUBLE THEN 2 WHEN {_EDGE} <= 1 THEN 1 ELSE 0 END"""
+
+
+@query("score_volume", S.over(*PREP, DETECTED, X.PROFILE, body=f'SELECT symbol, "interval", ts, pattern, direction, CAST({VOLUME} AS INTEGER) AS points FROM d JOIN vp USING (symbol, ts) WHERE direction <> \'HOLD\''))
 def score_volume(spark, sf_dir):
     df = P.detected(prepared(spark, sf_dir), hold=False)
     return df.select(*COLUMNS, P.score_volume().cast("int").alias("points"))
 
 
-@query("setup_score")
+_HIGHER_POINTS = f"CASE WHEN coalesce(n, 0) < 4 THEN 0 ELSE {_pt(_to('last_close', 'cur'), 8)} + {_pt(_to('cur', 'prior'), 7)} END"
+_TENTHS = " + ".join(f"floor(greatest(0, least({'volume_points' if k == 'volume' else k}, {most})) * {tenth} / {most}.0::DOUBLE + 0.5::DOUBLE)" for k, (tenth, most) in P.FAMILIES.items())
+SETUP = f"""sp AS (SELECT dr.*, {QUALITY} AS quality, {TREND} AS trend, {_HIGHER_POINTS} AS higher, {MOMENTUM} AS momentum, {BANDS} AS bands, {LEVEL_POINTS} AS level, {VOLUME} AS volume_points
+  FROM dr LEFT JOIN hp USING (symbol, ts) LEFT JOIN vp USING (symbol, ts)),
+st AS (SELECT *, CAST(least(100, floor(({_TENTHS}) / 10.0::DOUBLE + 0.5::DOUBLE)) AS INTEGER) AS setup_score FROM sp)"""
+SCORED = (*PREP, LEVELS, DLEVEL, LEVEL, HIGHER, X.PROFILE, SETUP)
+
+
+@query("setup_score", S.over(*SCORED, body="""SELECT symbol, "interval", ts, pattern, direction, quality, trend, higher, momentum, bands, level, volume_points, setup_score, CASE WHEN setup_score < 75 THEN 'LOW' WHEN setup_score < 85 THEN 'MEDIUM' ELSE 'HIGH' END AS strength FROM st"""))
 def setup_score(spark, sf_dir):
     return P.scored(prepared(spark, sf_dir), "1wk").select(*COLUMNS, "quality", "trend", "higher", "momentum", "bands", "level", "volume_points", "setup_score", "strength")

@@ -35,10 +35,16 @@ def engulfing_report(spark, sf_dir):
 _A = f"ROWS BETWEEN 1 FOLLOWING AND {FWD} FOLLOWING"
 FUTURE = f"""fu AS (SELECT symbol, ts, lead(ts, {FWD}) OVER w AS exit_ts, lead(close, {FWD}) OVER w AS exit_close, max(high) OVER (w {_A}) AS max_high, min(low) OVER (w {_A}) AS min_low
   FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts))"""
-TRADES = f"""tr AS (SELECT *, CASE WHEN close_return >= {MOVE} THEN 'SUCCESS' WHEN close_return <= -{MOVE} THEN 'FAILURE' ELSE 'INCONCLUSIVE' END AS outcome FROM (
-  SELECT d.*, exit_ts, close AS entry_price, CASE WHEN direction = 'BUY' THEN (exit_close - close) / close * 100.0::DOUBLE ELSE -((exit_close - close) / close * 100.0::DOUBLE) END AS close_return,
+
+
+def trades_sql(signals: str) -> str:
+    return f"""tr AS (SELECT *, CASE WHEN close_return >= {MOVE} THEN 'SUCCESS' WHEN close_return <= -{MOVE} THEN 'FAILURE' ELSE 'INCONCLUSIVE' END AS outcome FROM (
+  SELECT {signals}.*, exit_ts, close AS entry_price, CASE WHEN direction = 'BUY' THEN (exit_close - close) / close * 100.0::DOUBLE ELSE -((exit_close - close) / close * 100.0::DOUBLE) END AS close_return,
     CASE WHEN direction = 'BUY' THEN max_high - close ELSE close - min_low END / close * 100.0::DOUBLE AS best_move, CASE WHEN direction = 'BUY' THEN min_low - close ELSE close - max_high END / close * 100.0::DOUBLE AS worst_move
-  FROM d JOIN fu USING (symbol, ts) WHERE direction <> 'HOLD' AND exit_ts IS NOT NULL AND idx >= {HISTORY}))"""
+  FROM {signals} JOIN fu USING (symbol, ts) WHERE direction <> 'HOLD' AND exit_ts IS NOT NULL AND idx >= {HISTORY}))"""
+
+
+TRADES = trades_sql("d")
 CTES = (*Q.PREP, Q.DETECTED, FUTURE, TRADES)
 N = "count(*) FILTER (outcome = '{}')"
 _S, _Fl, _In = N.format("SUCCESS"), N.format("FAILURE"), N.format("INCONCLUSIVE")
@@ -125,18 +131,22 @@ def equal_coverage_quartile(spark, sf_dir):
 _FILTERS = [(f"{a}-{b}", a, b) for a in (50, 60, 70, 75, 80, 85) for b in (79, 89, 100) if a < b]
 
 
-@query("threshold_sweep")
+_SCORED = (*Q.SCORED, FUTURE, trades_sql("st"), "filters(filter, least, most) AS (VALUES " + ", ".join(map(str, _FILTERS)) + ")")
+_SWEEP = f"""SELECT filters.filter, filters."least", filters."most", {MEASURES} FROM tr JOIN filters ON setup_score BETWEEN filters."least" AND filters."most" GROUP BY ALL"""
+
+
+@query("threshold_sweep", S.over(*_SCORED, body=_SWEEP))
 def threshold_sweep(spark, sf_dir):
     t = B.trades(P.scored(future(spark, sf_dir), "1wk"), HISTORY, MOVE)
     return B.threshold_sweep(t, spark.createDataFrame(_FILTERS, "filter string, least int, most int"))
 
 
-@query("best_runs")
+@query("best_runs", S.over(*_SCORED, body=f"SELECT * FROM ({_SWEEP}) WHERE signals >= 30 ORDER BY precision DESC NULLS LAST, signals DESC, filter LIMIT 10"))
 def best_runs(spark, sf_dir):
     return threshold_sweep(spark, sf_dir).filter("signals >= 30").orderBy(F.desc("precision"), F.desc("signals"), "filter").limit(10)
 
 
-@query("score_buckets")
+@query("score_buckets", S.over(*Q.SCORED, FUTURE, trades_sql("st"), body=f"""SELECT CASE WHEN setup_score < 50 THEN '0-49' WHEN setup_score < 60 THEN '50-59' WHEN setup_score < 70 THEN '60-69' WHEN setup_score < 80 THEN '70-79' ELSE '80-100' END AS bucket, {MEASURES} FROM tr GROUP BY bucket"""))
 def score_buckets(spark, sf_dir):
     t = B.trades(P.scored(future(spark, sf_dir), "1wk"), HISTORY, MOVE)
     return B.report(t.withColumn("bucket", B.score_bucket(F.col("setup_score"))), "bucket")

@@ -45,4 +45,4 @@ INSIDERS = """insiders AS (SELECT t.symbol, s_name AS insider, CASE WHEN mark =
 
 
 def over(*views: str, body: str) -> str:
-    return "WITH " + ",\n".join(views) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(views) + "\n" + body
