@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, langid, licenses, neardup, packing, quality, rules, topk, toxicity
+from tidemark.llm import audit, bpe, chat, langid, licenses, neardup, negatives, packing, quality, rules, tokenfiles, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -50,6 +51,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.documents(spark, tokenfiles.write(table(spark, sf_dir, "documents")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.prepared(table(spark, sf_dir, "embeddings"), label)
+    return negatives.mined(rows, rows.filter(F.col("vec_id") % 50 == 0), positives=5, negatives=3, low=50, high=95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -61,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
     "op10_chat": op10_chat,
+    "op11_token_files": op11_token_files,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op3_rules": rules.SQL, "op6_topk": topk.SQL, "op9_licenses": licenses.SQL, "op10_chat": chat.SQL}
+ORACLES: dict[str, str] = {"op3_rules": rules.SQL, "op6_topk": topk.SQL, "op9_licenses": licenses.SQL, "op10_chat": chat.SQL, "op12_filter_audit": audit.SQL, "op13_hard_negatives": negatives.SQL}
