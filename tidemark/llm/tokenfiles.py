@@ -5,8 +5,8 @@ A shard's ids are one run, cut into sequences of equal length. Its files are in
 Arrow file format (a stream of record batches, then a footer with their places); a
 row of `ids` and of `mask` is a fixed-size list, so sequence k lies at a place that
 arithmetic gives and is read from a memory map without a copy. The last sequence of a
-shard is filled up with zeros. `mask` says 1 for an id, 3 for a document's last id and 0
-for filling. Ids take two bytes where the vocabulary allows, else four.
+shard is filled up with zeros; `mask` holds a bit per place, set where an id is. Ids take
+two bytes where the vocabulary allows, else four.
 
 Beside them lies the shard's document file: doc_id, start in the shard, n_tokens.
 
@@ -21,9 +21,11 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import read_vocabulary
 from tidemark.llm.common import pick, scratch_dir, steps, text_buffers, written
-from tidemark.llm.packing import tokens
+from tidemark.llm.packing import Ids, Tokens
 
 #: Ids of a sequence; sequences of a record batch; record batches of a file.
 SEQUENCE, BATCH, FILE_BATCHES = 2048, 256, 16
@@ -39,7 +41,10 @@ SEQUENCE, BATCH, FILE_BATCHES = 2048, 256, 16
 END = 2
 #: Documents of a record batch of the document file.
 DOCS = 8192
-ID, LAST = 1, 3
+#: Bytes of text encoded at once (a longer text is one step).
+STEP_BYTES = 1 << 22
+#: Words that a generation of a worker's memory holds, at most; their bytes, at most.
+WORDS, WORD_BYTES = 250_000, 1 << 25
 
 _MANIFEST = "shard int, path string, n_files int, n_docs long, n_ids long, sequence int, batch int, file_batches int"
 _DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -57,6 +62,57 @@ def width(vocabulary: str) -> pa.DataType:
     return pa.uint16() if most < 1 << 16 else pa.uint32()
 
 
+class Remembered(Tokens):
+    """Ids of texts, each word encoded once. A full memory becomes the old one, from which
+    what is asked for again is taken over; so words that recur stay."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = Ids()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another; offsets). No text is null."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+        index = np.fromiter(map(self.words.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
+            if len(self.words) + len(missing) > WORDS or self.words.held > WORD_BYTES:
+                self.old, self.words = self.words, Ids()
+                missing = np.arange(len(words))
+            if len(self.pieces) > WORDS or self.pieces.held > WORD_BYTES:
+                kept = self.words, self.old
+                self.clear()
+                self.words, self.old = kept
+            known, new = self.old.known, [words[i] for i in missing]
+            again = [w for w in new if w in known]
+            if again:
+                ids, upto = self.old.gather(self.old.index(again))
+                self.words.add(again, ids, np.diff(upto))
+            self.learn([w for w in new if w not in known])
+            index[missing] = self.words.index(new)
+        ids, upto = self.words.gather(index[coded.indices.to_numpy()])
+        at = split.offsets.to_numpy()
+        return ids, upto[at - at[0]]
+
+
+_held: dict[str, Remembered] = {}
+
+
+def remembered(source: str) -> Remembered:
+    """The encoder of a vocabulary; a Python worker keeps it for its next tasks."""
+    if source not in _held:
+        _held.clear()
+        _held[source] = Remembered(source)
+    return _held[source]
+
+
+def ended(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with `end` after each document's, and their offsets."""
+    return np.insert(ids, offsets[1:], end), offsets + np.arange(len(offsets))
+
+
 class ShardWriter:
     """Writes one shard: runs of ids, and the documents they are made of. Holds at most a
     record batch and the run it is given."""
@@ -66,8 +122,8 @@ class ShardWriter:
         self.fs, self.place = located(path)
         self.fs.create_dir(self.place.rpartition("/")[0], recursive=True)
         self.kind = kind
-        self.schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
-        self.ids, self.mask = np.zeros(batch * sequence, kind.to_pandas_dtype()), np.zeros(batch * sequence, np.uint8)
+        self.schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+        self.ids = np.zeros(batch * sequence, kind.to_pandas_dtype())
         self.held = self.n_ids = self.n_docs = self.n_files = self.in_file = 0
         self.out = self.sink = None
         self.doc_sink = self.fs.open_output_stream(f"{self.place}-docs.arrow")
@@ -80,13 +136,10 @@ class ShardWriter:
         self.docs.append((doc_ids, self.n_ids + offsets[:-1], size))
         if sum(len(d[0]) for d in self.docs) >= DOCS:
             self._write_docs()
-        mask = np.full(len(ids), ID, np.uint8)
-        mask[offsets[1:][size > 0] - 1] = LAST
         at, full = 0, len(self.ids)
         while at < len(ids):
             n = min(full - self.held, len(ids) - at)
             self.ids[self.held : self.held + n] = ids[at : at + n]
-            self.mask[self.held : self.held + n] = mask[at : at + n]
             self.held, at = self.held + n, at + n
             if self.held == full:
                 self._write(self.batch)
@@ -104,10 +157,10 @@ class ShardWriter:
             self.out, self.in_file = pa.ipc.new_file(self.sink, self.schema), 0
             self.n_files += 1
         n = rows * self.sequence
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[:n]), self.sequence) for x in (self.ids, self.mask)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (self.ids[:n], np.arange(n) < self.held)]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.in_file, self.held = self.in_file + 1, 0
-        self.ids[:], self.mask[:] = 0, 0
+        self.ids[:] = 0
         if self.in_file == self.file_batches:
             self._end()
 
@@ -134,7 +187,7 @@ class Shard:
         self.sequence, self.batch, self.file_batches = sequence, batch, file_batches
         self.fs, self.place = located(path)
         self.at: tuple[int, object] = (-1, None)
-        self.got: tuple[int, np.ndarray | None, np.ndarray | None] = (-1, None, None)
+        self.got: tuple[int, np.ndarray | None, pa.BooleanArray | None] = (-1, None, None)
 
     def _open(self, name: str):
         path = f"{self.place}-{name}.arrow"
@@ -145,21 +198,21 @@ class Shard:
         for k in range(file.num_record_batches):
             yield file.get_batch(k)
 
-    def _batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """ids and mask of record batch k of the shard, as views."""
         if self.got[0] != k:
             f = k // self.file_batches
             if self.at[0] != f:
                 self.at = (f, self._open(f"{f:05d}"))
             b = self.at[1].get_batch(k % self.file_batches)
-            self.got = (k, *[c.flatten().to_numpy(zero_copy_only=True) for c in b.columns])
+            self.got = (k, b.column(0).flatten().to_numpy(zero_copy_only=True), b.column(1).flatten())
         return self.got[1], self.got[2]
 
-    def sequence_at(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence_at(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """(ids, mask) of sequence k, as views of the file."""
         ids, mask = self._batch(k // self.batch)
         a = k % self.batch * self.sequence
-        return ids[a : a + self.sequence], mask[a : a + self.sequence]
+        return ids[a : a + self.sequence], mask.slice(a, self.sequence)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids of the shard's run; a view unless they lie in several record batches."""
@@ -186,14 +239,13 @@ def write(docs: DataFrame, root: str | None = None, vocabulary: str | None = Non
     batch, file_batches = BATCH, FILE_BATCHES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, shard = tokens(source.value), None, TaskContext.get().partitionId()
+        enc, out, shard = remembered(source.value), None, TaskContext.get().partitionId()
         path = f"{root}/{shard:07d}-{uuid.uuid4().hex}"
         for rows in batches:
-            data, offsets = text_buffers(rows.column(1))
-            for a, b in steps(offsets):
+            texts = rows.column(1).fill_null("")
+            for a, b in steps(text_buffers(texts)[1], STEP_BYTES):
                 out = out or ShardWriter(path, kind, sequence, batch, file_batches)
-                ids, at = enc.encode([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)])
-                ids[at[1:] - 1] = end
+                ids, at = ended(*enc.encode(texts.slice(a, b - a)), end)
                 out.add(rows.column(0).slice(a, b - a), ids, at)
         if out:
             out.close()
