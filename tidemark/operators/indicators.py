@@ -1,9 +1,7 @@
 """Indicators and bar anatomy as window expressions.
 
 Everything runs over one window, per symbol and interval in order of time, so one
-exchange and one sort serve all. Recursive averages are folds over the last DEPTH
-bars: the weight of what is older is below double precision for the periods used,
-and a frame keeps a row's cost fixed however long the history.
+exchange serves all. Recursive averages take the whole history (see recursive).
 Values are null until enough bars exist.
 """
 
@@ -12,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bars that a recursive average looks back.
-DEPTH = 299
+from tidemark.operators.recursive import with_averages
+
 # Periods per interval.
 PROFILES = {
     "1d": {"rsi": 14, "fast": 20, "slow": 50, "sma": 200, "macd": (12, 26, 9), "cci": 20, "atr": 14, "band": 20, "volume": 20, "vwap": 20, "profile": 60},
@@ -22,6 +20,7 @@ PROFILES = {
 }
 PROFILE_BINS, VALUE_AREA = 24, 0.70
 
+
 def W():
     """A symbol's bars of an interval, in order of time."""
     return Window.partitionBy("symbol", "interval").orderBy("ts")
@@ -44,46 +43,71 @@ def sma(c: Column, n: int) -> Column:
     return gated(F.avg(c).over(last(n)), n)
 
 
-def fold(values: Column, alpha: float) -> Column:
-    """Recursive average of a list, begun with its first value."""
-    return F.aggregate(values, F.element_at(values, 1), lambda a, x: a + F.lit(alpha) * (x - a))
+def smoothing(n: int) -> float:
+    """Factor of an exponential average of n bars."""
+    return 2.0 / (n + 1)
 
 
-def recent(c: Column) -> Column:
-    return F.collect_list(c).over(last(DEPTH))
+def typical() -> Column:
+    return (F.col("high") + F.col("low") + F.col("close")) / F.lit(3.0)
 
 
-def ema(values: Column, n: int) -> Column:
-    return fold(values, 2.0 / (n + 1))
+# What averages are taken of.
 
 
-def typical() -> Column:
-    return (F.col("high") + F.col("low") + F.col("close")) / F.lit(3.0)
+def gain_and_loss() -> tuple[Column, Column]:
+    move = F.coalesce(F.col("close") - F.lag("close").over(W()), F.lit(0.0))
+    return F.greatest(move, F.lit(0.0)), F.greatest(-move, F.lit(0.0))
+
+
+def true_range() -> Column:
+    before, span = F.lag("close").over(W()), F.col("high") - F.col("low")
+    return F.coalesce(F.greatest(span, F.abs(F.col("high") - before), F.abs(F.col("low") - before)), span)
+
+
+def with_recursive(df: DataFrame, emas: dict[str, int] | None = None, rsi: int = 0, macd: tuple[int, int, int] | None = None, atr: int = 0) -> DataFrame:
+    """All averages of the close, rsi, macd and atr in one scan (macd's signal in a second one)."""
+    emas, series, close = emas or {}, {}, F.col("close")
+    if rsi:
+        gain, loss = gain_and_loss()
+        df = df.withColumns({"_gain": gain, "_loss": loss})
+        series |= {"_gains": (F.col("_gain"), 1.0 / rsi), "_losses": (F.col("_loss"), 1.0 / rsi)}
+    if atr:
+        df = df.withColumn("_range", true_range())
+        series["atr"] = (F.col("_range"), 1.0 / atr)
+    fast, slow, signal = macd or (0, 0, 0)
+    periods = dict.fromkeys([*emas.values(), *([fast, slow] if macd else [])])
+    series |= {f"_ema{n}": (close, smoothing(n)) for n in periods}
+    df = with_averages(df, series)
+    out = {k: gated(F.col(f"_ema{n}"), n) for k, n in emas.items()}
+    if atr:
+        out["atr"] = gated(F.col("atr"), atr + 1)
+    if rsi:
+        g, x = F.col("_gains"), F.col("_losses")
+        out["rsi"] = gated(F.when(x == 0, F.when(g == 0, 0.0).otherwise(100.0)).otherwise(100.0 - 100.0 / (1.0 + g / x)), rsi + 1)
+    if macd:
+        df = df.withColumn("_line", F.col(f"_ema{fast}") - F.col(f"_ema{slow}"))
+        df = with_averages(df, {"_signal": (F.col("_line"), smoothing(signal))})
+        line, least = F.col("_line"), slow + signal - 1
+        out |= {"macd": gated(line, slow), "macd_signal": gated(F.col("_signal"), least), "macd_histogram": gated(line - F.col("_signal"), least)}
+    return df.withColumns(out).drop("_gain", "_loss", "_range", "_gains", "_losses", "_line", "_signal", *[f"_ema{n}" for n in periods])
 
 
 def with_emas(df: DataFrame, **periods: int) -> DataFrame:
-    """Named exponential averages of the close, from one list."""
-    df = df.withColumn("_closes", recent(F.col("close")))
-    return df.withColumns({k: gated(ema(F.col("_closes"), n), n) for k, n in periods.items()}).drop("_closes")
+    """Named exponential averages of the close."""
+    return with_recursive(df, emas=periods)
 
 
 def with_rsi(df: DataFrame, n: int) -> DataFrame:
-    move = F.coalesce(F.col("close") - F.lag("close").over(W()), F.lit(0.0))
-    df = df.withColumn("_gain", F.greatest(move, F.lit(0.0))).withColumn("_loss", F.greatest(-move, F.lit(0.0)))
-    df = df.withColumn("_g", recent(F.col("_gain"))).withColumn("_l", recent(F.col("_loss")))
-    df = df.withColumn("_g", fold(F.col("_g"), 1.0 / n)).withColumn("_l", fold(F.col("_l"), 1.0 / n))
-    value = F.when(F.col("_l") == 0, F.when(F.col("_g") == 0, 0.0).otherwise(100.0)).otherwise(100.0 - 100.0 / (1.0 + F.col("_g") / F.col("_l")))
-    return df.withColumn("rsi", gated(value, n + 1)).drop("_gain", "_loss", "_g", "_l")
+    return with_recursive(df, rsi=n)
 
 
 def with_macd(df: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
-    df = df.withColumn("_closes", recent(F.col("close")))
-    df = df.withColumn("_line", ema(F.col("_closes"), fast) - ema(F.col("_closes"), slow)).drop("_closes")
-    df = df.withColumn("_lines", recent(F.col("_line"))).withColumn("_signal", ema(F.col("_lines"), signal))
-    return df.withColumns({
-        "macd": gated(F.col("_line"), slow), "macd_signal": gated(F.col("_signal"), slow + signal - 1),
-        "macd_histogram": gated(F.col("_line") - F.col("_signal"), slow + signal - 1),
-    }).drop("_line", "_lines", "_signal")
+    return with_recursive(df, macd=(fast, slow, signal))
+
+
+def with_atr(df: DataFrame, n: int) -> DataFrame:
+    return with_recursive(df, atr=n)
 
 
 def with_cci(df: DataFrame, n: int) -> DataFrame:
@@ -95,14 +119,6 @@ def with_cci(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("cci", gated(value, n)).drop("_tp", "_tps", "_mean", "_off")
 
 
-def with_atr(df: DataFrame, n: int) -> DataFrame:
-    before = F.lag("close").over(W())
-    span = F.col("high") - F.col("low")
-    df = df.withColumn("_tr", F.coalesce(F.greatest(span, F.abs(F.col("high") - before), F.abs(F.col("low") - before)), span))
-    df = df.withColumn("_trs", recent(F.col("_tr")))
-    return df.withColumn("atr", gated(fold(F.col("_trs"), 1.0 / n), n + 1)).drop("_tr", "_trs")
-
-
 def with_bands(df: DataFrame, n: int, width: float = 2.0) -> DataFrame:
     middle, off = F.avg("close").over(last(n)), F.stddev_pop("close").over(last(n))
     return df.withColumns({"band_middle": gated(middle, n), "band_upper": gated(middle + width * off, n), "band_lower": gated(middle - width * off, n)})
@@ -150,9 +166,9 @@ def with_volume_profile(df: DataFrame, n: int, bins: int = PROFILE_BINS, area: f
 def enrich(bars: DataFrame, interval: str, latest: int | None = None) -> DataFrame:
     """All indicators of the interval's profile, for one interval's bars."""
     p = PROFILES[interval]
-    df = with_emas(indexed(bars), ema_fast=p["fast"], ema_slow=p["slow"])
+    df = with_recursive(indexed(bars), {"ema_fast": p["fast"], "ema_slow": p["slow"]}, p["rsi"], p["macd"], p["atr"])
     df = df.withColumns({"sma_long": sma(F.col("close"), p["sma"]), "average_volume": sma(F.col("volume"), p["volume"]), "vwap": vwap(p["vwap"])})
-    df = with_bands(with_atr(with_cci(with_macd(with_rsi(df, p["rsi"]), *p["macd"]), p["cci"]), p["atr"]), p["band"])
+    df = with_bands(with_cci(df, p["cci"]), p["band"])
     df = with_volume_profile(df, p["profile"])
     if latest:
         newest = Window.partitionBy("symbol", "interval").orderBy(F.desc("ts"))

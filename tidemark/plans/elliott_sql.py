@@ -8,8 +8,8 @@ from tidemark.plans import indicators as PI
 from tidemark.plans import sql as S
 
 _N = 14  # bars of the average true range
-ATR = f"""a AS (SELECT *, CASE WHEN idx >= {_N + 1} THEN {PI.folded('trs', f"1.0::DOUBLE / {_N}")} END AS atr FROM (SELECT *, list(tr) OVER {PI.DEEP} AS trs FROM (
-  SELECT *, coalesce(CASE WHEN p IS NULL THEN NULL ELSE greatest(high - low, abs(high - p), abs(low - p)) END, high - low) AS tr FROM (SELECT *, lag(close) OVER w AS p FROM b {PI.WIN})) {PI.WIN}))"""
+ATR = f"""ra AS (SELECT symbol, idx, tr AS tra FROM rsteps WHERE idx = 1 UNION ALL SELECT q.symbol, q.idx, {PI.moved('ra.tra', f'(CAST(1.0 AS DOUBLE) / {_N})', 'q.tr')} FROM ra JOIN rsteps q ON q.symbol = ra.symbol AND q.idx = ra.idx + 1),
+a AS (SELECT b.*, rsteps.tr, CASE WHEN b.idx >= {_N + 1} THEN tra END AS atr FROM b JOIN rsteps USING (symbol, idx) JOIN ra USING (symbol, idx))"""
 REACH = f"""u AS (SELECT *, CASE WHEN atr > 0 THEN atr ELSE greatest(tr, 0.000001::DOUBLE) END AS used FROM a),
 vol AS (SELECT *, CASE WHEN atr > 0 THEN atr ELSE avg(used) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END AS volatility FROM u {PI.WIN}),
 z AS (SELECT symbol, CAST(s AS DOUBLE) AS s, idx, ts, high, low, close, greatest(volatility * s, abs(close) * 0.0125::DOUBLE * s) AS reach

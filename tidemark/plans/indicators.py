@@ -19,15 +19,26 @@ def frame(n: int) -> str:
 
 
 IDX = f"b AS (SELECT *, row_number() OVER w AS idx FROM bars {WIN})"
-DEEP = frame(I.DEPTH)
+# What averages are taken of, and all of them as one recursion, bar after bar.
+STEPS = f"""rsteps AS MATERIALIZED (SELECT symbol, idx, close, greatest(mv, 0) AS gain, greatest(-mv, 0) AS loss, tr FROM (
+  SELECT *, coalesce(close - p, 0) AS mv, coalesce(CASE WHEN p IS NULL THEN NULL ELSE greatest(high - low, abs(high - p), abs(low - p)) END, high - low) AS tr
+  FROM (SELECT *, lag(close) OVER w AS p FROM b {WIN})))"""
 
 
-def folded(values: str, alpha: str) -> str:
-    return f"list_reduce({values}, lambda a, x: a + CAST({alpha} AS DOUBLE) * (x - a))"
+def moved(now: str, alpha: str, x: str) -> str:
+    return f"({now} + CAST({alpha} AS DOUBLE) * ({x} - {now}))"
 
 
-def ema_sql(values: str, n: int) -> str:
-    return folded(values, f"(CAST(2.0 AS DOUBLE) / {n + 1})")
+def recursion(name: str, p: dict) -> str:
+    """ef, es, mf, ms, sg, ga, la, tra: the averages of a profile's periods at each bar."""
+    fast, slow, signal = p["macd"]
+    k = lambda n: f"(CAST(2.0 AS DOUBLE) / {n + 1})"
+    w = lambda n: f"(CAST(1.0 AS DOUBLE) / {n})"
+    mf, ms = moved("r.mf", k(fast), "q.close"), moved("r.ms", k(slow), "q.close")
+    return f"""{name} AS (SELECT symbol, idx, close AS ef, close AS es, close AS mf, close AS ms, 0.0::DOUBLE AS sg, gain AS ga, loss AS la, tr AS tra FROM rsteps WHERE idx = 1 UNION ALL
+  SELECT q.symbol, q.idx, {moved('r.ef', k(p['fast']), 'q.close')}, {moved('r.es', k(p['slow']), 'q.close')}, {mf}, {ms}, {moved('r.sg', k(signal), f'({mf} - {ms})')},
+    {moved('r.ga', w(p['rsi']), 'q.gain')}, {moved('r.la', w(p['rsi']), 'q.loss')}, {moved('r.tra', w(p['atr']), 'q.tr')}
+  FROM {name} r JOIN rsteps q ON q.symbol = r.symbol AND q.idx = r.idx + 1)"""
 
 
 def shown(df, *cols):
@@ -43,25 +54,19 @@ def weekly(spark, sf_dir):
 
 
 SMA = f"s AS (SELECT *, CASE WHEN idx >= {P['sma']} THEN avg(close) OVER {frame(P['sma'])} END AS sma_long, CASE WHEN idx >= {P['volume']} THEN avg(volume) OVER {frame(P['volume'])} END AS average_volume FROM b {WIN})"
-EMA = f"""e AS (SELECT *, CASE WHEN idx >= {P['fast']} THEN {ema_sql('l', P['fast'])} END AS ema_fast, CASE WHEN idx >= {P['slow']} THEN {ema_sql('l', P['slow'])} END AS ema_slow
-  FROM (SELECT *, list(close) OVER {DEEP} AS l FROM b {WIN}))"""
-RSI = f"""r AS (SELECT *, CASE WHEN idx >= {P['rsi'] + 1} THEN CASE WHEN la = 0 THEN CASE WHEN ga = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END ELSE 100.0::DOUBLE - 100.0::DOUBLE / (1.0::DOUBLE + ga / la) END END AS rsi FROM (
-  SELECT *, {folded('gl', f"1.0::DOUBLE / {P['rsi']}")} AS ga, {folded('ll', f"1.0::DOUBLE / {P['rsi']}")} AS la FROM (
-  SELECT *, list(g) OVER {DEEP} AS gl, list(x) OVER {DEEP} AS ll FROM (
-  SELECT *, greatest(m, 0) AS g, greatest(-m, 0) AS x FROM (SELECT *, coalesce(close - lag(close) OVER w, 0) AS m FROM b {WIN})) {WIN})))"""
+EMA = f"e AS (SELECT b.*, CASE WHEN idx >= {P['fast']} THEN ef END AS ema_fast, CASE WHEN idx >= {P['slow']} THEN es END AS ema_slow FROM b JOIN ravg USING (symbol, idx))"
+RSI = f"""r AS (SELECT b.*, CASE WHEN idx >= {P['rsi'] + 1} THEN CASE WHEN la = 0 THEN CASE WHEN ga = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END ELSE 100.0::DOUBLE - 100.0::DOUBLE / (1.0::DOUBLE + ga / la) END END AS rsi
+  FROM b JOIN ravg USING (symbol, idx))"""
 F_, S_, G_ = P["macd"]
-MACD = f"""m AS (SELECT *, CASE WHEN idx >= {S_} THEN line END AS macd, CASE WHEN idx >= {S_ + G_ - 1} THEN sig END AS macd_signal, CASE WHEN idx >= {S_ + G_ - 1} THEN line - sig END AS macd_histogram FROM (
-  SELECT *, {ema_sql('ls', G_)} AS sig FROM (SELECT *, list(line) OVER {DEEP} AS ls FROM (
-  SELECT *, {ema_sql('l', F_)} - {ema_sql('l', S_)} AS line FROM (SELECT *, list(close) OVER {DEEP} AS l FROM b {WIN})) {WIN})))"""
+MACD = f"""m AS (SELECT b.*, CASE WHEN idx >= {S_} THEN mf - ms END AS macd, CASE WHEN idx >= {S_ + G_ - 1} THEN sg END AS macd_signal, CASE WHEN idx >= {S_ + G_ - 1} THEN mf - ms - sg END AS macd_histogram FROM b JOIN ravg USING (symbol, idx))"""
 CCI = f"""c AS (SELECT *, CASE WHEN idx >= {P['cci']} THEN CASE WHEN off = 0 THEN 0.0::DOUBLE ELSE (tp - mean) / (0.015::DOUBLE * off) END END AS cci FROM (
   SELECT *, list_sum(list_transform(tps, lambda x: abs(x - mean))) / {P['cci']} AS off FROM (
   SELECT *, list(tp) OVER {frame(P['cci'])} AS tps, avg(tp) OVER {frame(P['cci'])} AS mean FROM (SELECT *, (high + low + close) / 3.0::DOUBLE AS tp FROM b) {WIN})))"""
-ATR = f"""a AS (SELECT *, CASE WHEN idx >= {P['atr'] + 1} THEN {folded('trs', f"1.0::DOUBLE / {P['atr']}")} END AS atr FROM (SELECT *, list(tr) OVER {DEEP} AS trs FROM (
-  SELECT *, coalesce(CASE WHEN p IS NULL THEN NULL ELSE greatest(high - low, abs(high - p), abs(low - p)) END, high - low) AS tr FROM (SELECT *, lag(close) OVER w AS p FROM b {WIN})) {WIN}))"""
+ATR = f"a AS (SELECT b.*, CASE WHEN idx >= {P['atr'] + 1} THEN tra END AS atr FROM b JOIN ravg USING (symbol, idx))"
 BANDS = f"""bb AS (SELECT *, CASE WHEN idx >= {P['band']} THEN md END AS band_middle, CASE WHEN idx >= {P['band']} THEN md + 2 * sd END AS band_upper, CASE WHEN idx >= {P['band']} THEN md - 2 * sd END AS band_lower FROM (
   SELECT *, avg(close) OVER {frame(P['band'])} AS md, stddev_pop(close) OVER {frame(P['band'])} AS sd FROM b {WIN}))"""
 VWAP = f"""v AS (SELECT *, CASE WHEN idx >= {P['vwap']} AND sum(volume) OVER {frame(P['vwap'])} > 0 THEN sum((high + low + close) / 3.0::DOUBLE * volume) OVER {frame(P['vwap'])} / sum(volume) OVER {frame(P['vwap'])} END AS vwap FROM b {WIN})"""
-BASE = (S.TICKS, S.bars(), IDX)
+BASE = (S.TICKS, S.bars(), IDX, STEPS, recursion("ravg", P))
 
 
 def ora(view: str, *cols: str) -> str:
