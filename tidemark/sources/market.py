@@ -6,9 +6,11 @@ close (double) and volume (long). Prices are built from integer cents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.chunked import moving_sums
+
 UNITS = {"1d": "day", "1wk": "week", "1mo": "month"}
 
 
@@ -16,20 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Trades whose steps add up to a price.
+STEPS = 200
+#: Line items from which they are numbered by the month and by the day, instead of by the year.
+BY_MONTH, BY_DAY = 50_000_000, 5_000_000_000
+
+
+def chunk_unit(rows: int) -> str:
+    """How finely a symbol's history is cut: a chunk should hold many more trades than STEPS, and fit a task."""
+    return "year" if rows < BY_MONTH else "month" if rows < BY_DAY else "day"
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, ts, k1..k4, volume, price, rn: one trade per line item, in order."""
-    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_extendedprice")
+    """symbol, ts, k1..k4, volume, flag, price, rn: one trade per line item, in order."""
+    line = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    t = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    order = Window.partitionBy("p_brand").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    step = F.round(F.col("l_extendedprice") * 100).cast("long") % 401 - 200
-    return t.select(
+    t = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_brand").alias("symbol"), F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("k1"),
         F.col("l_linenumber").alias("k2"), F.col("l_partkey").alias("k3"), F.col("l_suppkey").alias("k4"),
-        F.col("l_quantity").cast("long").alias("volume"),
-        ((F.lit(10000) + F.sum(step).over(order.rowsBetween(-199, 0))).cast("double") / F.lit(100.0)).alias("price"),
-        F.row_number().over(order).alias("rn"),
+        F.col("l_quantity").cast("long").alias("volume"), F.col("l_returnflag").alias("flag"),
+        (F.round(F.col("l_extendedprice") * 100).cast("long") % 401 - 200).alias("step"),
+        F.coalesce(F.date_trunc(chunk_unit(line.count()), "l_shipdate"), F.lit("0001-01-01").cast("timestamp")).alias("chunk"),
     )
+    t = moving_sums(t, "symbol", "chunk", ["ts", "k1", "k2", "k3", "k4"], "step", STEPS)
+    price = (F.lit(10000) + F.col("moving")).cast("double") / F.lit(100.0)
+    return t.select("symbol", "ts", "k1", "k2", "k3", "k4", "volume", "flag", price.alias("price"), "rn")
 
 
 def bars(spark: SparkSession, sf_dir: str, interval: str = "1wk") -> DataFrame:
@@ -79,9 +92,7 @@ def congress_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def insider_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ticks(spark, sf_dir).join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("k4") == F.col("s_suppkey"))
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"), F.col("l_partkey").alias("k3"), F.col("l_suppkey").alias("k4"), F.col("l_shipdate").alias("ts"), "l_returnflag")
-    flag = line.groupBy("k1", "k2", "k3", "k4", "ts").agg(F.min("l_returnflag").alias("flag"))
-    t = t.join(flag, ["k1", "k2", "k3", "k4", "ts"]).filter(F.col("flag").isin("A", "R"))
+    t = t.filter(F.col("flag").isin("A", "R"))
     return t.select(
         "symbol", F.col("s_name").alias("insider"), F.when(F.col("flag") == "A", "P").otherwise("S").alias("code"),
         F.to_date("ts").alias("filed"), F.col("volume").cast("decimal(24,6)").alias("shares"), F.col("price").cast("decimal(24,6)").alias("price"),
