@@ -9,6 +9,7 @@ from tidemark.operators import ingest as G
 from tidemark.plans import sql as S
 from tidemark.plans.registry import query
 from tidemark.sources import market as M
+from tidemark.sources import store
 
 B = (S.TICKS, S.bars())
 COLS = 'symbol, "interval", ts, open, high, low, close, volume'
@@ -26,7 +27,13 @@ RAW = f"""raw AS (SELECT {COLS}, epoch(ts)::BIGINT AS id FROM bars UNION ALL SEL
 
 @query("scan_bars", S.over(*B, body=f"SELECT {COLS} FROM bars WHERE symbol IN ('Brand#1', 'Brand#7') AND ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1999-01-01'"))
 def scan_bars(spark, sf_dir):
-    return G.scan_bars(M.bars(spark, sf_dir), ["Brand#1", "Brand#7"], "1wk", "1996-01-01", "1999-01-01")
+    held = store.read(spark, M.stored_bars(spark, sf_dir), M.BAR)
+    return G.scan_bars(held, ["Brand#1", "Brand#7"], "1wk", "1996-01-01", "1999-01-01")
+
+
+@query("store_bars", S.over(S.TICKS, S.bars("1d", "b1"), S.bars("1wk", "b2"), S.bars("1mo", "b3"), body=f"SELECT {COLS} FROM b1 UNION ALL SELECT {COLS} FROM b2 UNION ALL SELECT {COLS} FROM b3"))
+def store_bars(spark, sf_dir):
+    return store.read(spark, M.stored_bars(spark, sf_dir), M.BAR)
 
 
 @query("complete_price_filter", S.over(*B, RAW, body=f"SELECT {COLS} FROM raw WHERE close IS NOT NULL"))
@@ -144,7 +151,7 @@ def parse_score_reason(spark, sf_dir):
 
 @query("latest_n_per_key", S.over(*B, body=f"SELECT {COLS} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 20"))
 def latest_n_per_key(spark, sf_dir):
-    return G.latest_n(M.bars(spark, sf_dir), 20)
+    return G.latest_n(store.of_interval(spark, M.stored_bars(spark, sf_dir), "1wk").select(*M.BAR), 20)
 
 
 @query("keyset_page", S.over(*B, body=f"SELECT {COLS}, true AS has_more, min(ts) OVER () AS next_cursor FROM (SELECT * FROM bars WHERE symbol = 'Brand#3' AND ts < TIMESTAMP '2000-01-01' ORDER BY ts DESC LIMIT 50)"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,15 +15,22 @@ PRICES = "ticker string, date string, open double, high double, low double, clos
 TOLERANCE = 1e-9
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder where the driver and all executors can write. Only a local master
-    may do without spark.checkpoint.dir."""
+    may do without spark.checkpoint.dir; it gets a folder that goes with the process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        base = _own[app]
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 

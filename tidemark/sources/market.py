@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.chunked import moving_sums
+from tidemark.sources import store
 
 UNITS = {"1d": "day", "1wk": "week", "1mo": "month"}
 
@@ -45,13 +46,30 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("symbol", "ts", "k1", "k2", "k3", "k4", "volume", "flag", price.alias("price"), "rn")
 
 
+BAR = ["symbol", "interval", "ts", "open", "high", "low", "close", "volume"]
+
+
 def bars(spark: SparkSession, sf_dir: str, interval: str = "1wk") -> DataFrame:
-    at = F.date_trunc(UNITS[interval], "ts")
-    grouped = ticks(spark, sf_dir).groupBy("symbol", at.alias("at")).agg(
+    return _grouped(ticks(spark, sf_dir).withColumns({"interval": F.lit(interval), "at": F.date_trunc(UNITS[interval], "ts")}))
+
+
+def all_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of all intervals, from one pass over the trades."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("interval"), F.date_trunc(unit, "ts").alias("at")) for k, unit in UNITS.items()]))
+    return _grouped(ticks(spark, sf_dir).withColumn("b", each).select("symbol", "price", "rn", "volume", "b.*"))
+
+
+def _grouped(t: DataFrame) -> DataFrame:
+    grouped = t.groupBy("symbol", "interval", "at").agg(
         F.min_by("price", "rn").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", "rn").alias("close"), F.sum("volume").alias("volume"),
     )
-    return grouped.select("symbol", F.lit(interval).alias("interval"), F.col("at").alias("ts"), "open", "high", "low", "close", "volume")
+    return grouped.withColumnRenamed("at", "ts").select(*BAR)
+
+
+def stored_bars(spark: SparkSession, sf_dir: str) -> str:
+    """Builds the stored table of all intervals' bars and returns its name."""
+    return store.save(all_bars(spark, sf_dir), buckets=store.buckets_for(table(spark, sf_dir, "lineitem").count(), spark.sparkContext.defaultParallelism))
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
