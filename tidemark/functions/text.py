@@ -2,26 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# Accented letters and their plain forms; legal suffixes of company names.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUY"
-SUFFIXES = ["INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LIMITED", "PLC", "LLC", "LP", "SA", "NV", "AG", "SE", "SPA", "AB", "ASA", "OYJ", "HOLDING", "HOLDINGS", "GROUP", "THE", "ADR"]
+# Legal suffixes of company names; official hosts; index aliases.
+SUFFIXES = [
+    "PUBLIC LIMITED COMPANY", "SOCIETE ANONYME", "SOCIETA PER AZIONI", "NAAMLOZE VENNOOTSCHAP", "SPOLKA AKCYJNA", "S A", "N V", "B V", "S E",
+    "SA", "SE", "AG", "AKTIENGESELLSCHAFT", "NV", "PLC", "INC", "INCORPORATED", "CORP", "CORPORATION", "LTD", "LIMITED", "SPA", "SAS", "BV",
+]
 OFFICIAL_HOSTS = ["house.gov", "senate.gov", "sec.gov"]
 INDEX_ALIASES = {"DJI": "^DJI", "SPX": "^GSPC", "NDX": "^NDX", "RUT": "^RUT", "VIX": "^VIX"}
 
 
+@F.pandas_udf(StringType())
+def decomposed(c: pd.Series) -> pd.Series:
+    """Compatibility decomposition (NFKD), which no SQL function gives; null stays null."""
+    return c.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
+
+
+def unmarked(c: Column) -> Column:
+    """Decomposed and without combining marks, upper case."""
+    return F.upper(F.regexp_replace(decomposed(c), r"\p{M}+", ""))
+
+
 def search_key(c: Column) -> Column:
-    """Folded, upper case, & as AND, punctuation as single blanks."""
-    up = F.translate(F.upper(c), ACCENTED, PLAIN)
-    return F.trim(F.regexp_replace(F.replace(up, F.lit("&"), F.lit(" AND ")), "[^A-Z0-9]+", " "))
+    """unmarked(), & as AND, apostrophes dropped, other than letters, digits and ^ as single
+    blanks; null counts as empty."""
+    plain = F.regexp_replace(F.replace(unmarked(F.coalesce(c, F.lit(""))), F.lit("&"), F.lit(" AND ")), "['’]", "")
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}^]+", " "))
 
 
 def company_key(c: Column) -> Column:
-    """search_key without legal suffixes, as often as they stand at the end."""
-    return F.regexp_replace(search_key(c), "( (" + "|".join(SUFFIXES) + "))+$", "")
+    """unmarked() words of A-Z and digits, without legal suffixes, as often as they stand at the end."""
+    words = F.trim(F.regexp_replace(unmarked(F.coalesce(c, F.lit(""))), "[^A-Z0-9]+", " "))
+    return F.regexp_replace(words, "(?:(?:^| )(?:" + "|".join(SUFFIXES) + "))+$", "")
+
+
+def with_key(df: DataFrame, name: str, out: str, key=search_key) -> DataFrame:
+    """df with the key of a column, made once per distinct value."""
+    known = df.select(F.col(name).alias("_v")).distinct().withColumn(out, key(F.col("_v")))
+    return df.join(known, F.col(name).eqNullSafe(F.col("_v")), "left").drop("_v")
+
+
+def catalog_key(c: Column) -> Column:
+    """Upper case, & as AND, other than A-Z, digits and ^ as single blanks; null counts as empty."""
+    up = F.replace(F.upper(F.coalesce(c, F.lit(""))), F.lit("&"), F.lit(" AND "))
+    return F.trim(F.regexp_replace(up, "[^A-Z0-9^]+", " "))
 
 
 def interval_name(c: Column) -> Column:

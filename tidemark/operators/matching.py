@@ -58,22 +58,59 @@ def daily_budget(requests: DataFrame, cap: int) -> DataFrame:
     return requests.withColumn("place", F.row_number().over(w)).withColumn("over", F.col("place") > cap)
 
 
+#: Letters of the prefixes and grams by which keys are found; longer queries are verified.
+PREFIX, GRAM = 4, 3
+
+
+def prefixes(key: Column, most: int = PREFIX) -> Column:
+    """Every prefix of a key, up to `most` letters (none of an empty key)."""
+    size = F.least(F.length(key), F.lit(most))
+    return F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda n: F.substring(key, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
+
+
+def grams(key: Column, most: int = GRAM) -> Column:
+    """Every distinct part of a key of 1 to `most` letters."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1)))
+
+    def of(n: int) -> Column:
+        return F.filter(F.transform(at, lambda k: F.substring(key, k, F.lit(n))), lambda g: F.length(g) == n)
+
+    return F.array_distinct(F.concat(*[of(n) for n in range(1, most + 1)]))
+
+
 def search(assets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best k assets per query by prefix: exact ticker, ticker prefix, name prefix, word prefix.
+    """Best k assets per query by prefix: exact ticker (0), ticker prefix (1), prefix of the name or
+    of a word of it (2); then the shorter symbol, then the smaller.
 
-    Search keys are exploded and joined on their first two characters, so no
-    product of queries and keys is formed.
+    assets has symbol, ticker_key and name_key, queries has query (empty ones find nothing).
+    Keys are indexed under each of their first prefixes; a query meets the keys under its own
+    first PREFIX letters, so no product of queries and keys is formed, and a query of one
+    letter finds every key. A query's rows are cut to k before they are shuffled to it.
     """
-    words = F.transform(F.split("name_key", " "), lambda x: F.struct(x.alias("key"), F.lit(3).alias("rank")))
-    keys = F.concat(F.array(F.struct(F.col("ticker_key").alias("key"), F.lit(1).alias("rank")), F.struct(F.col("name_key").alias("key"), F.lit(2).alias("rank"))), words)
-    a = assets.select("symbol", F.length("symbol").alias("len"), F.explode(keys).alias("e")).select("symbol", "len", "e.key", "e.rank", F.substring("e.key", 1, 2).alias("start"))
-    q = queries.withColumn("start", F.substring("query", 1, 2))
+    named = F.concat(F.array(F.col("name_key")), F.split("name_key", " "))
+    keys = F.concat(F.array(F.struct(F.col("ticker_key").alias("key"), F.lit(1).alias("rank"))), F.transform(F.array_distinct(named), lambda x: F.struct(x.alias("key"), F.lit(2).alias("rank"))))
+    a = assets.select("symbol", F.explode(keys).alias("e")).select("symbol", "e.key", "e.rank").withColumn("start", F.explode(prefixes(F.col("key"))))
+    q = queries.select("query").distinct().withColumn("start", F.substring("query", 1, PREFIX))
     hit = q.join(a, "start").filter(F.col("key").startswith(F.col("query")))
-    best = hit.groupBy("query", "symbol", "len").agg(F.min(F.when((F.col("rank") == 1) & (F.col("key") == F.col("query")), 0).otherwise(F.col("rank"))).alias("rank"))
-    w = Window.partitionBy("query").orderBy("rank", "len", "symbol")
+    best = hit.groupBy("query", "symbol").agg(F.min(F.when((F.col("rank") == 1) & (F.col("key") == F.col("query")), 0).otherwise(F.col("rank"))).alias("rank"))
+    w = Window.partitionBy("query").orderBy("rank", F.length("symbol"), "symbol")
     return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("query", "place", "symbol", "rank")
 
 
+def catalog_search(catalog: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, symbol, rank of every entry (symbol, values: array of keys) of which a value equals (0),
+    begins with (1) or contains (2) the query (a key, too; empty ones find nothing).
+
+    Values are indexed by all their parts of up to GRAM letters; a query is looked up by its
+    first part and verified.
+    """
+    a = catalog.select("symbol", F.explode("values").alias("value")).withColumn("gram", F.explode(grams(F.col("value"))))
+    q = queries.select("query").distinct().filter("query <> ''").withColumn("gram", F.substring("query", 1, GRAM))
+    v, x = F.col("value"), F.col("query")
+    hit = q.join(a, "gram").filter(v.contains(x))
+    return hit.groupBy("query", "symbol").agg(F.min(F.when(v == x, 0).when(v.startswith(x), 1).otherwise(2)).alias("rank"))
+
+
 # Ranks of an exact symbol, of the symbol with a venue's suffix, of the same
 # company (plus ticker distance, at most FAR); penalties of secondary venues.
 EXACT, SUFFIXED, COMPANY, FAR = 0, 10, 20, 20

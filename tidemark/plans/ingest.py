@@ -98,16 +98,29 @@ def classify_trade(spark, sf_dir):
     return M.insider_trades(spark, sf_dir).select("trade_id", T.trade_type(F.col("code")).alias("trade_type"))
 
 
-@query("search_key", "SELECT p_partkey, trim(regexp_replace(replace(upper(p_name || ' & ' || p_type), '&', ' AND '), '[^A-Z0-9]+', ' ', 'g')) AS key FROM part")
+# Names with letters beyond A-Z, apostrophes, signs and suffixes, by a part's number.
+_ODD = ["Škoda Łódź AG", "Ørsted A/S", "O'Reilly & L’Oréal", "Straße ½ ﬁn ÅÉ", "^GSPC Zürich S.A.", "Unilever N.V. PLC", "Naamloze Vennootschap", "Žižkov Public Limited Company"]
+_ODD_SQL = "p_name || ' ' || [" + ", ".join("'" + x.replace("'", "''") + "'" for x in _ODD) + f"][CAST(p_partkey % {len(_ODD)} AS INTEGER) + 1]"
+# what compatibility decomposition adds to the canonical one, for the letters above
+_PLAIN_SQL = "upper(replace(replace(replace(strip_accents(n), '½', '1⁄2'), 'ﬁ', 'fi'), 'ß', 'SS'))"
+
+
+def _odd_names(spark, sf_dir):
+    odd = F.element_at(F.array(*[F.lit(x) for x in _ODD]), (F.col("p_partkey") % len(_ODD) + 1).cast("int"))
+    return M.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", odd).alias("n"))
+
+
+_LETTERS = r"[^\p{L}\p{N}^]+"
+
+
+@query("search_key", f"SELECT p_partkey, trim(regexp_replace(regexp_replace(replace({_PLAIN_SQL}, '&', ' AND '), '[''’]', '', 'g'), '{_LETTERS}', ' ', 'g')) AS key FROM (SELECT p_partkey, {_ODD_SQL} AS n FROM part)")
 def search_key(spark, sf_dir):
-    return M.table(spark, sf_dir, "part").select("p_partkey", T.search_key(F.concat_ws(" & ", "p_name", "p_type")).alias("key"))
+    return T.with_key(_odd_names(spark, sf_dir), "n", "key").drop("n")
 
 
-@query("company_key", "SELECT p_partkey, trim(regexp_replace(upper(p_name), '[^A-Z0-9]+', ' ', 'g')) AS key FROM part")
+@query("company_key", f"SELECT p_partkey, regexp_replace(trim(regexp_replace({_PLAIN_SQL}, '[^A-Z0-9]+', ' ', 'g')), '((^| )({'|'.join(T.SUFFIXES)}))+$', '') AS key FROM (SELECT p_partkey, {_ODD_SQL} AS n FROM part)")
 def company_key(spark, sf_dir):
-    k = F.col("p_partkey")
-    tail = F.when(k % 3 == 0, ", Inc.").when(k % 3 == 1, " Holdings Corp").otherwise(" Group PLC")
-    return M.table(spark, sf_dir, "part").select("p_partkey", T.company_key(F.concat("p_name", tail)).alias("key"))
+    return T.with_key(_odd_names(spark, sf_dir), "n", "key", T.company_key).drop("n")
 
 
 @query("official_url_filter", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 'https://disclosures.house.gov/' || o_orderkey WHEN o_orderkey % 4 = 2 THEN 'https://sec.gov/x?id=' || o_orderkey END AS link FROM orders")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
 from tidemark.operators import backtest as BT
 from tidemark.operators import indicators as I
 from tidemark.operators import matching as J
@@ -137,20 +138,28 @@ def latest_signals(spark, sf_dir):
 _NAMES = "SELECT p_partkey, upper(p_name) AS name_key, 'P' || p_partkey AS symbol FROM part"
 
 
-@query("ticker_search", f"""WITH a AS ({_NAMES}), k AS (SELECT symbol, length(symbol) AS len, symbol AS key, 1 AS rank FROM a UNION ALL SELECT symbol, length(symbol), name_key, 2 FROM a UNION ALL SELECT symbol, length(symbol), unnest(string_split(name_key, ' ')), 3 FROM a),
-q AS (SELECT DISTINCT substr(upper(c_mktsegment), 1, 2) AS query FROM customer UNION SELECT 'P1' UNION SELECT DISTINCT substr(upper(p_name), 1, 3) FROM part)
-SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY rank, len, symbol) AS INTEGER) AS place, symbol, CAST(rank AS INTEGER) AS rank FROM (SELECT query, symbol, len, min(CASE WHEN rank = 1 AND key = query THEN 0 ELSE rank END) AS rank FROM q JOIN k ON starts_with(key, query) GROUP BY ALL) QUALIFY place <= 8""")
+@query("ticker_search", f"""WITH a AS ({_NAMES}), k AS (SELECT symbol, length(symbol) AS len, symbol AS key, 1 AS rank FROM a UNION ALL SELECT symbol, length(symbol), name_key, 2 FROM a UNION ALL SELECT symbol, length(symbol), unnest(string_split(name_key, ' ')), 2 FROM a),
+q AS (SELECT DISTINCT substr(upper(c_mktsegment), 1, 2) AS query FROM customer UNION SELECT 'P1' UNION SELECT DISTINCT substr(upper(p_name), 1, 3) FROM part
+  UNION SELECT DISTINCT substr(upper(p_name), 1, 1) FROM part UNION SELECT 'P' UNION SELECT '' UNION SELECT DISTINCT substr(upper(p_name), 1, 7) FROM part)
+SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY rank, len, symbol) AS INTEGER) AS place, symbol, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT query, symbol, len, min(CASE WHEN rank = 1 AND key = query THEN 0 ELSE rank END) AS rank FROM q JOIN k ON query <> '' AND starts_with(key, query) GROUP BY ALL) QUALIFY place <= 8""")
 def ticker_search(spark, sf_dir):
     part, c = M.table(spark, sf_dir, "part"), M.table(spark, sf_dir, "customer")
-    a = part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), F.upper("p_name").alias("name_key")).withColumn("ticker_key", F.col("symbol"))
-    q = c.select(F.substring(F.upper("c_mktsegment"), 1, 2).alias("query")).union(part.select(F.lit("P1"))).union(part.select(F.substring(F.upper("p_name"), 1, 3))).distinct()
+    a = T.with_key(part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), "p_name"), "p_name", "name_key").withColumn("ticker_key", F.col("symbol"))
+    name = F.upper("p_name")
+    q = c.select(F.substring(F.upper("c_mktsegment"), 1, 2).alias("query")).union(part.select(F.explode(F.array(F.lit("P1"), F.lit("P"), F.lit(""), F.substring(name, 1, 1), F.substring(name, 1, 3), F.substring(name, 1, 7)))))
     return J.search(a, q, 8)
 
 
-@query("index_search", S.over(S.ASSETS, body="SELECT symbol, company, CAST(CASE WHEN symbol = 'Brand#2' THEN 0 WHEN starts_with(symbol, 'Brand#2') THEN 1 ELSE 2 END AS INTEGER) AS rank FROM assets WHERE contains(symbol, '2')"))
+@query("index_search", """WITH v AS (SELECT p_partkey AS symbol, unnest([upper(p_name), regexp_replace(upper(p_brand), '[^A-Z0-9^]+', ' ', 'g'), upper(p_type)]) AS value FROM part),
+q AS (SELECT DISTINCT trim(substr(upper(p_type), 3, n)) AS query FROM part, (SELECT unnest([1, 3, 8]) AS n) UNION SELECT DISTINCT regexp_replace(upper(p_brand), '[^A-Z0-9^]+', ' ', 'g') FROM part)
+SELECT query, symbol, CAST(min(CASE WHEN value = query THEN 0 WHEN starts_with(value, query) THEN 1 ELSE 2 END) AS INTEGER) AS rank FROM q JOIN v ON query <> '' AND contains(value, query) GROUP BY ALL""")
 def index_search(spark, sf_dir):
-    s = F.col("symbol")
-    return M.assets(spark, sf_dir).filter(s.contains("2")).select("symbol", "company", F.when(s == "Brand#2", 0).when(s.startswith("Brand#2"), 1).otherwise(2).alias("rank"))
+    """Entries by name, brand and kind; queries are pieces of kinds, and brands."""
+    part = M.table(spark, sf_dir, "part")
+    entries = part.select(F.col("p_partkey").alias("symbol"), F.array(*[T.catalog_key(F.col(c)) for c in ("p_name", "p_brand", "p_type")]).alias("values"))
+    pieces = [F.substring("p_type", 3, n) for n in (1, 3, 8)]
+    return J.catalog_search(entries, part.select(F.explode(F.array(*[T.catalog_key(x) for x in (*pieces, F.col("p_brand"))])).alias("query")))
 
 
 @query("candidate_rank", """WITH r AS (SELECT s_suppkey AS request_id, 'S' || s_suppkey AS symbol, CASE WHEN s_suppkey % 4 = 0 THEN '.N' || s_nationkey ELSE '' END AS suffix FROM supplier),

@@ -159,12 +159,12 @@ def component_cohorts(spark, sf_dir):
     return B.report(t.withColumn("part", F.explode(parts)).filter("part.earned > 0").withColumn("component", F.col("part.component")), "component")
 
 
-@query("coverage_stats", ora('SELECT "interval", count_if(n >= 139) AS sufficient, CAST(sum(n) AS BIGINT) AS bars, CAST(sum(CASE WHEN n >= 139 THEN n ELSE 0 END) AS BIGINT) AS analysed, CAST(sum(s) AS BIGINT) AS signals FROM (SELECT symbol, "interval", count(*) AS n FROM b GROUP BY ALL) JOIN (SELECT symbol, count(*) AS s FROM d GROUP BY symbol) USING (symbol) GROUP BY "interval"'))
+@query("coverage_stats", ora('SELECT "interval", count_if(n >= 139) AS sufficient, CAST(sum(n) AS BIGINT) AS bars, CAST(sum(CASE WHEN n >= 139 THEN n ELSE 0 END) AS BIGINT) AS analysed, CAST(coalesce(sum(s), 0) AS BIGINT) AS signals FROM (SELECT symbol, "interval", count(*) AS n FROM b GROUP BY ALL) LEFT JOIN (SELECT symbol, count(*) AS s FROM d GROUP BY symbol) USING (symbol) GROUP BY "interval"'))
 def coverage_stats(spark, sf_dir):
     p = P.prepared(M.bars(spark, sf_dir), "1wk")
-    s = P.detected(p).groupBy("symbol").agg(F.count("*").alias("s"))
-    n = p.groupBy("symbol", "interval").agg(F.count("*").alias("n")).join(s, "symbol")
-    return n.groupBy("interval").agg(F.count_if(F.col("n") >= 139).alias("sufficient"), F.sum("n").alias("bars"), F.sum(F.when(F.col("n") >= 139, F.col("n")).otherwise(0)).alias("analysed"), F.sum("s").alias("signals"))
+    s = P.detected(p).groupBy("symbol", "interval").agg(F.count("*").alias("s"))
+    n = p.groupBy("symbol", "interval").agg(F.count("*").alias("n")).join(s, ["symbol", "interval"], "left")
+    return n.groupBy("interval").agg(F.count_if(F.col("n") >= 139).alias("sufficient"), F.sum("n").alias("bars"), F.sum(F.when(F.col("n") >= 139, F.col("n")).otherwise(0)).alias("analysed"), F.sum(F.coalesce("s", F.lit(0).cast("long"))).alias("signals"))
 
 
 # ---------------------------------------------------------------- lifecycle
