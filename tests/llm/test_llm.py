@@ -9,7 +9,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,6 +340,10 @@ def test_license_scan_finds_wrapped_notices(spark):
                 best = max(best, c / len(ws))
         want.append((labels, best))
     got = {x.doc_id: x for x in licenses.scan(docs(spark, texts)).collect()}
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": range(len(texts)), "text": texts}))
+    for x in con.sql(licenses.SQL).to_arrow_table().to_pylist():
+        assert x == got[x["doc_id"]].asDict() | {"score": pytest.approx(got[x["doc_id"]].score)}
     assert [got[i].labels for i in range(4)] == ["mit", "bsd", "isc", ""]
     for i, (labels, best) in enumerate(want):
         base = {x for x in got[i].base_labels.split(",") if x}
@@ -572,16 +578,16 @@ def test_rules_match_brute_force(spark):
         tenths -= tenths % next((g for least, g in reversed(rules.COARSE.items()) if tenths >= least), 1)
         metrics.append({"symbols": 1000 * sum(t.count(c) for c in "#*$%&|<>") // chars, "repeats": 1000 * len(cover) // len(w), "lines": 1000 * (len(lines) - len(set(lines))) // len(lines), "length": tenths, "words": len(w), "covered": len(cover)})
 
-    def quartile(values, q):
-        return sorted(values)[-(-len(values) * q // 4) - 1]
+    def quantile(values, q):
+        return sorted(values)[-(-len(values) * q // 100) - 1]
 
     want = []
     for (_, _, lang, source), m in zip(rows, metrics, strict=True):
         own, merged = ([x for (_, _, l, s), x in zip(rows, metrics, strict=True) if l == lang and (s == source or not same)] for same in (True, False))
         ok = m["words"] >= 10 and not 100 * m["covered"] > 20 * m["words"]
-        for k, (margin, least) in rules.METRICS.items():
-            a, b = ((len(own) * quartile([x[k] for x in own], q) + rules.PRIOR * quartile([x[k] for x in merged], q)) // (len(own) + rules.PRIOR) for q in (1, 3))
-            ok &= not (m["words"] >= least and m[k] > b + max(margin, rules.SPREAD * (b - a)))
+        for k, least in rules.METRICS.items():
+            a, mid, b, far = ((len(own) * quantile([x[k] for x in own], q) + rules.PRIOR * quantile([x[k] for x in merged], q)) // (len(own) + rules.PRIOR) for q in (25, 50, 75, 99))
+            ok &= not (m["words"] >= least and m[k] > max(b + rules.SPREAD * (b - a), mid + (far - mid) // rules.REACH))
         want.append(ok)
     got = {x.doc_id: x for x in rules.judged(table).collect()}
     assert [got[i].kept for i in range(len(rows))] == want
@@ -590,6 +596,18 @@ def test_rules_match_brute_force(spark):
     assert sum(want) > 400
 
 
+def test_cutoffs_differ_between_groups(spark):
+    """Each source's cutoffs follow its own texts: one with many signs, one with long words, one plain."""
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    text = {"signs": lambda: " ".join(word(5) + "#" * r.choice([0, 0, 1]) for _ in range(60)), "long": lambda: " ".join(word(r.randint(9, 15)) for _ in range(60)), "plain": lambda: " ".join(word(5) for _ in range(60))}
+    rows = [(i, text[s](), "en", s) for i, s in enumerate([*text] * 400)]
+    f = rules.base_features(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    cut = {x.ks: x for x in rules.cutoffs(f).collect()}
+    assert cut["signs"].cut_symbols > cut["plain"].cut_symbols + 50
+    assert len({x.cut_length for x in cut.values()}) == 3
+
+
 def test_rules_join_many_groups_by_salted_keys(spark, monkeypatch):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     one = sorted(rules.judged(d).collect())

@@ -126,7 +126,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: in
 
 
 def _sql() -> str:
-    rows = ", ".join(f"('{label}', {ws!r})" for (t, label), ws in zip(TEMPLATES.items(), template_words(TEMPLATES).values(), strict=True))
+    words = template_words(TEMPLATES)
+    rows = ", ".join(f"('{label}', {words[t]!r}, {-(-100 * len(t.split()) // THRESHOLD)})" for t, label in TEMPLATES.items())
     starts = " || ".join(
         f"list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i:i+{len(p) - 1}] = {list(p)!r}), lambda i: {{'at': i - 1, 'label': '{k}'}})" for k, p in PHRASES.items()
     )
@@ -134,10 +135,10 @@ def _sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents),
 b AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
 p AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, {starts} AS s FROM b),
-tpl(label, ws) AS (VALUES {rows}),
-lines AS (SELECT r, list_distinct(regexp_extract_all(l, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
-hit AS (SELECT r, label, CAST(len(list_intersect(lines.ws, tpl.ws)) AS DOUBLE) / len(tpl.ws) AS c FROM lines, tpl
-  WHERE 100 * len(list_intersect(lines.ws, tpl.ws)) >= {THRESHOLD} * len(tpl.ws)),
+tpl(label, ws, span) AS (VALUES {rows}),
+cand AS (SELECT r, label, ws, span, w FROM b, tpl WHERE 100 * len(list_intersect(list_distinct(w), ws)) >= {THRESHOLD} * len(ws)),
+block AS (SELECT r, label, len(ws) AS m, len(list_intersect(list_distinct(w[i:i+span-1]), ws)) AS c FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM cand)),
+hit AS (SELECT r, label, CAST(c AS DOUBLE) / m AS c FROM block WHERE 100 * c >= {THRESHOLD} * m),
 h AS (SELECT r, list(DISTINCT label) AS ls, max(c) AS best FROM hit GROUP BY r)
 SELECT doc_id, n_words, CAST(len(s) AS BIGINT) AS n_base, list_min(list_transform(s, lambda x: x.at)) AS first_word,
   list_max(list_transform(s, lambda x: x.at)) AS last_word,

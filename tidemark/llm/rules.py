@@ -3,12 +3,13 @@
 Counts of each text become four metrics in whole steps (thousandths, or tenths of
 a character). Per language and source, the metrics are summarised by quantile
 sketches: counts per step, which merge by addition, have a fixed number of
-entries and no rounding error. A group's cutoff for a metric is its third
-quartile plus a multiple of its interquartile range (plus a least margin), so it
-follows what is normal for that language and source. A group's quartiles are drawn
-towards its language's (from the merged sketch) as if the language lent it PRIOR
-documents, so few documents of its own count little, and many count alone. The
-cutoffs are joined back to the documents.
+entries and no rounding error. A group's cutoff for a metric lies SPREAD interquartile
+ranges over its third quartile, or 1 / REACH of the way from its median to its far tail
+(the 99 % quantile), whichever is more: so it follows both what is normal and how far
+outliers lie for that language and source, by one rule for all metrics. A group's
+quantiles are drawn towards its language's (from the merged sketch) as if the language
+lent it PRIOR documents, so few documents of its own count little, and many count alone.
+The cutoffs are joined back to the documents.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import pick, written
 
-#: name: (least margin above the third quartile, least words for the rule)
-METRICS = {"symbols": (50, 1), "repeats": (50, 1), "lines": (400, 1), "length": (15, 20)}
-SPREAD, PRIOR = 5, 200
+#: name: least words for the rule
+METRICS = {"symbols": 1, "repeats": 1, "lines": 1, "length": 20}
+SPREAD, REACH, PRIOR = 5, 5, 200
+#: Quantiles of a sketch, in per cent.
+QUANTILES = {"q1": 25, "q2": 50, "q3": 75, "q9": 99}
 #: Word lengths (in tenths) from the first number on are counted in steps of the second.
 COARSE = {1_000: 100, 100_000: 10_000, 10_000_000: 1_000_000}
 #: Cutoff rows that are broadcast, at most; more are joined by salted keys.
@@ -96,18 +99,18 @@ def cutoffs(features: DataFrame) -> DataFrame:
     fine = fine.groupBy("kl", "ks", "m.metric", "m.step").agg(F.count("*").alias("n"))
     by_lang = fine.groupBy("kl", "metric", "step").agg(F.sum("n").alias("n"))
 
-    def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
         upto = Window.partitionBy(*keys, "metric").orderBy("step")
         whole = Window.partitionBy(*keys, "metric")
         c = sketch.withColumn("c", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(whole))
-        at = lambda q: F.min(F.when(F.col("c") * 4 >= F.col("all") * q, F.col("step")))
-        return c.groupBy(*keys, "metric").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("all").alias("docs"))
+        at = lambda q: F.min(F.when(F.col("c") * 100 >= F.col("all") * q, F.col("step")))
+        return c.groupBy(*keys, "metric").agg(*[at(q).alias(k) for k, q in QUANTILES.items()], F.max("all").alias("docs"))
 
-    own, merged = quartiles(fine, "kl", "ks"), quartiles(by_lang, "kl").select("kl", "metric", F.col("q1").alias("l1"), F.col("q3").alias("l3"))
+    own, merged = quantiles(fine, "kl", "ks"), quantiles(by_lang, "kl").select("kl", "metric", *[F.col(k).alias(f"l_{k}") for k in QUANTILES])
     both = own.join(merged, ["kl", "metric"], "left")
-    q1, q3 = (F.expr(f"(docs * {a} + {PRIOR} * {b}) DIV (docs + {PRIOR})") for a, b in (("q1", "l1"), ("q3", "l3")))
-    margin = F.create_map(*[F.lit(x) for k, (m, _) in METRICS.items() for x in (k, m)])[F.col("metric")]
-    both = both.withColumn("cut", q3 + F.greatest(margin.cast("long"), SPREAD * (q3 - q1)))
+    q1, q2, q3, q9 = (F.expr(f"(docs * {k} + {PRIOR} * l_{k}) DIV (docs + {PRIOR})") for k in QUANTILES)
+    both = both.withColumns({"q1": q1, "q2": q2, "q3": q3, "q9": q9})
+    both = both.withColumn("cut", F.greatest(F.expr(f"q3 + {SPREAD} * (q3 - q1)"), F.expr(f"q2 + (q9 - q2) DIV {REACH}")))
     return both.groupBy("kl", "ks").agg(*[F.max(F.when(F.col("metric") == k, F.col("cut"))).alias(f"cut_{k}") for k in METRICS])
 
 
@@ -115,7 +118,7 @@ def judged(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept for every row.
 
-    Null and empty texts have no words: base_failed, not kept. Null languages or
+    Null and empty texts have no words: base_failed, not kept. An empty table gives an empty result. Null languages or
     sources form a group of their own. Repeated rows are judged each. Columns
     other than doc_id, text, lang and source are not read.
     """
@@ -128,16 +131,17 @@ def judged(docs: DataFrame) -> DataFrame:
     else:
         f = f.withColumn("_salt", F.monotonically_increasing_id() % SALTS)
         f = f.join(cut.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("_salt") == F.col("_part")), "left")
-    over = [F.coalesce((step > F.col(f"cut_{k}")) & (F.col("n_words") >= METRICS[k][1]), F.lit(False)) for k, step in _steps().items()]
+    over = [F.coalesce((step > F.col(f"cut_{k}")) & (F.col("n_words") >= METRICS[k]), F.lit(False)) for k, step in _steps().items()]
     bad = over[0] | over[1] | over[2] | over[3]
     return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~bad).alias("kept"))
 
 
 def _sql() -> str:
-    margin = "CASE metric " + " ".join(f"WHEN '{k}' THEN {m}" for k, (m, _) in METRICS.items()) + " END"
+    quantiles = lambda c: ", ".join(f"quantile_disc(step, {q / 100}) AS {c}{k[1]}" for k, q in QUANTILES.items())
+    drawn = ", ".join(f"(docs * q{k[1]} + {PRIOR} * l{k[1]}) // (docs + {PRIOR}) AS c{k[1]}" for k in QUANTILES)
     cut = ", ".join(f"max(CASE WHEN metric = '{k}' THEN cut END) AS cut_{k}" for k in METRICS)
     coarse = "CASE " + " ".join(f"WHEN tenths >= {k} THEN tenths - tenths % {v}" for k, v in reversed(COARSE.items())) + " ELSE tenths END"
-    bad = " OR ".join(f"coalesce({k} > cut_{k} AND n_words >= {w}, false)" for k, (_, w) in METRICS.items())
+    bad = " OR ".join(f"coalesce({k} > cut_{k} AND n_words >= {w}, false)" for k, w in METRICS.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -155,11 +159,10 @@ m AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n
   FROM (SELECT *, 10 * word_chars // greatest(n_words, 1) AS tenths FROM f)),
 u AS (SELECT lang, source, metric, step FROM (SELECT lang, source, n_words, symbols, repeats, lines, length FROM m WHERE n_words > 0)
   UNPIVOT (step FOR metric IN (symbols, repeats, lines, length))),
-q AS (SELECT lang, source, metric, count(*) AS docs, quantile_disc(step, 0.25) AS q1, quantile_disc(step, 0.75) AS q3 FROM u GROUP BY ALL),
-ql AS (SELECT lang, metric, quantile_disc(step, 0.25) AS l1, quantile_disc(step, 0.75) AS l3 FROM u GROUP BY ALL),
-c AS (SELECT q.lang, q.source, q.metric, (docs * q1 + {PRIOR} * l1) // (docs + {PRIOR}) AS a, (docs * q3 + {PRIOR} * l3) // (docs + {PRIOR}) AS b
-  FROM q JOIN ql ON q.lang IS NOT DISTINCT FROM ql.lang AND q.metric = ql.metric),
-cuts AS (SELECT lang, source, {cut} FROM (SELECT *, b + greatest({margin}, {SPREAD} * (b - a)) AS cut FROM c) GROUP BY lang, source)
+q AS (SELECT lang, source, metric, count(*) AS docs, {quantiles('q')} FROM u GROUP BY ALL),
+ql AS (SELECT lang, metric, {quantiles('l')} FROM u GROUP BY ALL),
+c AS (SELECT q.lang, q.source, q.metric, {drawn} FROM q JOIN ql ON q.lang IS NOT DISTINCT FROM ql.lang AND q.metric = ql.metric),
+cuts AS (SELECT lang, source, {cut} FROM (SELECT *, greatest(c3 + {SPREAD} * (c3 - c1), c2 + (c9 - c2) // {REACH}) AS cut FROM c) GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({bad}) AS kept
 FROM (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, cuts.* EXCLUDE (lang, source)
   FROM m LEFT JOIN cuts ON m.lang IS NOT DISTINCT FROM cuts.lang AND m.source IS NOT DISTINCT FROM cuts.source)
