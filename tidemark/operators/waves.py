@@ -1,6 +1,6 @@
 """Swing pivots, wave counts and their lifecycles.
 
-Only the pivots need a sequential fold (a grouped map over one symbol's bars).
+Pivots come from a fold in chunks (see pivots).
 Everything after works on pivots as rows: counts are windows of consecutive
 pivots, rules are filters, confirmations are joins on the bar index.
 Bearish counts are bullish ones with prices turned around, so each rule is said once.
@@ -13,12 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.pivots import pivots
+
 # Swing sensitivities; zones of retracements and ratios.
 SENSITIVITIES = (0.75, 1.25, 2.0, 3.0)
 LEG, SPAN, LAG, QUALITY = 2, 15, 3, 68
 TWO, FOUR = (0.236, 0.382, 0.618, 0.786), (0.146, 0.236, 0.5, 0.618)
 CORRECTION, C_TO_A = (0.236, 0.786), (0.5, 0.8, 1.25, 2.0)
-PIVOTS = "symbol string, interval string, sensitivity double, seq int, idx long, ts timestamp, kind string, price double"
 
 
 def swings(high: np.ndarray, low: np.ndarray, close: np.ndarray, reach: np.ndarray) -> list[tuple[int, int]]:
@@ -64,25 +65,8 @@ def volatility(high: np.ndarray, low: np.ndarray, close: np.ndarray, atr: np.nda
 
 
 def zigzag_pivots(enriched: DataFrame, sensitivities: tuple[float, ...] = SENSITIVITIES) -> DataFrame:
-    """One row per pivot and sensitivity; sensitivities with the same pivots count once (the smallest)."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        h, lo, c = (rows[x].to_numpy(float) for x in ("high", "low", "close"))
-        reach = volatility(h, lo, c, rows["atr"].to_numpy(float))
-        out, seen = [], set()
-        for s in sensitivities:
-            found = swings(h, lo, c, np.maximum(reach * s, np.abs(c) * 0.0125 * s))
-            if len(found) < 5 or tuple(found) in seen:
-                continue
-            seen.add(tuple(found))
-            for k, (i, sign) in enumerate(found):
-                r = rows.iloc[i]
-                out.append((r["symbol"], r["interval"], s, k, int(r["idx"]), r["ts"], "HIGH" if sign > 0 else "LOW", h[i] if sign > 0 else lo[i]))
-        return pd.DataFrame(out, columns=["symbol", "interval", "sensitivity", "seq", "idx", "ts", "kind", "price"])
-
-    cols = enriched.select("symbol", "interval", "ts", "idx", "high", "low", "close", "atr")
-    return cols.groupBy("symbol", "interval").applyInPandas(fold, PIVOTS)
+    """One row per pivot and sensitivity; sensitivities with the same pivots count once (the smallest). A written table."""
+    return pivots(enriched, sensitivities)
 
 
 def sequences(pivots: DataFrame, n: int) -> DataFrame:

@@ -11,15 +11,21 @@ from tidemark.operators import waves as V
 from tidemark.plans import elliott_sql as Q
 from tidemark.plans.registry import query
 from tidemark.sources import market as M
+from tidemark.sources.files import written
 
 
 def enriched(spark, sf_dir):
-    return I.with_atr(I.indexed(M.bars(spark, sf_dir)), I.PROFILES["1d"]["atr"])
+    """Numbered bars with their average true range, written once: pivots and what is joined to them read it."""
+    return written(I.with_atr(I.indexed(M.bars(spark, sf_dir)), I.PROFILES["1d"]["atr"]), "bars")
+
+
+def structures(e):
+    """Wave counts of numbered bars, written once."""
+    return written(V.structures(V.zigzag_pivots(e), e), "structures")
 
 
 def counted(spark, sf_dir):
-    e = enriched(spark, sf_dir)
-    return V.structures(V.zigzag_pivots(e), e)
+    return structures(enriched(spark, sf_dir))
 
 
 @query("zigzag_pivots", Q.over(body="""SELECT symbol, '1wk' AS "interval", sensitivity, seq, idx, ts, kind, price FROM pv"""))
@@ -62,7 +68,7 @@ def historical_structures(spark, sf_dir):
 @query("wave_confirmation", Q.over(Q.STRUCTURES, Q.CONFIRMATION, body="SELECT * FROM cf"))
 def wave_confirmation(spark, sf_dir):
     e = enriched(spark, sf_dir)
-    return V.confirmation(V.structures(V.zigzag_pivots(e), e), e)
+    return V.confirmation(structures(e), e)
 
 
 @query("elliott_boundaries", Q.over(Q.STRUCTURES, Q.BOUNDARIES, body="SELECT symbol, direction, stage, cycle_key, end_ts, side, trigger, invalidation, high, low FROM bd"))
@@ -74,7 +80,7 @@ def elliott_boundaries(spark, sf_dir):
   WHEN seen >= 10 THEN 'EXPIRED' ELSE 'DETECTED' END AS status FROM lc"""))
 def elliott_lifecycle(spark, sf_dir):
     e = enriched(spark, sf_dir)
-    return V.lifecycle(V.boundaries(V.structures(V.zigzag_pivots(e), e)), e)
+    return V.lifecycle(V.boundaries(structures(e)), e)
 
 
 # ------------------------------------------------------------------ signals
@@ -137,7 +143,7 @@ def cycle_key(spark, sf_dir):
 
 def with_confirmation(spark, sf_dir):
     e = enriched(spark, sf_dir)
-    return V.confirmed(V.structures(V.zigzag_pivots(e), e), e)
+    return V.confirmed(structures(e), e)
 
 
 @query("structure_for_signal", Q.over(Q.STRUCTURES, Q.CONFIRMATION, Q.CONFIRMED, body="""SELECT a.symbol, a."interval", a.direction, a.stage, a.variant, a.at AS ts, c.cycle_key, c.quality, c.end_ts, c.confirm_ts
@@ -170,4 +176,4 @@ def elliott_revise(spark, sf_dir):
 def stage_stats(spark, sf_dir):
     """Confirmed wave ends by horizon, least quality and stage: what followed the confirmation."""
     e = enriched(spark, sf_dir)
-    return V.stage_stats(V.confirmed(V.structures(V.zigzag_pivots(e), e), e), e)
+    return V.stage_stats(V.confirmed(structures(e), e), e)

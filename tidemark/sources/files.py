@@ -34,6 +34,13 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, and not lost with an executor."""
+    path = shared_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def consistent() -> Column:
     """Positive finite prices, and high and low that enclose open and close."""
     fine = F.col("volume") >= 0
