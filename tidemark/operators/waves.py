@@ -8,6 +8,8 @@ Bearish counts are bullish ones with prices turned around, so each rule is said
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -269,22 +271,41 @@ def latest_structure(structures: DataFrame) -> DataFrame:
 
 def historical_structures(structures: DataFrame, overlap: float = 0.40) -> DataFrame:
     """Best per direction, stage and end, then greedily by quality those that
-    overlap no chosen one by more than 40 % of the shorter (per symbol)."""
+    overlap no chosen one by more than 40 % of the shorter.
+
+    Spans that touch no other, not even through a chain of overlaps, can't exclude each
+    other: a group is one such island, not a symbol.
+    """
     w = Window.partitionBy("symbol", "interval", "direction", "stage", "end_ts").orderBy(F.desc("quality"), "start_idx", "sensitivity")
     best = structures.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("symbol", "interval", "direction", "stage", "quality", "start_idx", "end_idx", "end_ts", "cycle_key")
+    along = Window.partitionBy("symbol", "interval").orderBy("start_idx", "end_idx", "direction", "stage")
+    reached = F.max("end_idx").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    dealt = best.withColumn("fresh", F.coalesce(F.col("start_idx") >= reached, F.lit(True)).cast("int"))
+    dealt = dealt.withColumn("island", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(span=rows["end_idx"] - rows["start_idx"]).sort_values(["quality", "stage", "span", "end_idx", "direction"], ascending=[False, True, False, True, True])
-        kept: list[tuple[int, int]] = []
-        take = []
-        for r in rows.itertuples():
-            clash = any(min(r.end_idx, b) - max(r.start_idx, a) > overlap * min(r.end_idx - r.start_idx, b - a) for a, b in kept)
-            take.append(not clash)
-            if not clash:
-                kept.append((r.start_idx, r.end_idx))
-        return rows[take].drop(columns="span")
-
-    return best.groupBy("symbol", "interval").applyInPandas(choose, best.schema)
+        kept = Spans(overlap)
+        return rows[[kept.add(a, b) for a, b in zip(rows["start_idx"].tolist(), rows["end_idx"].tolist(), strict=True)]].drop(columns=["span", "island"])
+
+    return dealt.groupBy("symbol", "interval", "island").applyInPandas(choose, best.schema)
+
+
+class Spans:
+    """Chosen spans in order of their starts; a new one is compared with those near it only."""
+
+    def __init__(self, overlap: float):
+        self.overlap, self.spans, self.longest = overlap, [], 0
+
+    def add(self, a: int, b: int) -> bool:
+        """Adds the span unless it overlaps a chosen one by more than the given part of the shorter."""
+        for k in range(bisect_left(self.spans, (a - self.longest, a)), bisect_left(self.spans, (b, b))):
+            x, y = self.spans[k]
+            if min(b, y) - max(a, x) > self.overlap * min(b - a, y - x):
+                return False
+        insort(self.spans, (a, b))
+        self.longest = max(self.longest, b - a)
+        return True
 
 
 def boundaries(structures: DataFrame) -> DataFrame:

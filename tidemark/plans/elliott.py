@@ -60,7 +60,7 @@ def latest_structure(spark, sf_dir):
     return V.latest_structure(counted(spark, sf_dir))
 
 
-@query("historical_structures")
+@query("historical_structures", Q.over(Q.STRUCTURES, Q.CHOSEN, body="""SELECT hb.symbol, hb."interval", direction, stage, quality, start_idx, end_idx, end_ts, cycle_key FROM hb JOIN (SELECT symbol, unnest(list_transform(kept, lambda x: x.k)) AS k FROM hg QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY hg.k DESC) = 1) c ON c.symbol = hb.symbol AND c.k = hb.k"""))
 def historical_structures(spark, sf_dir):
     return V.historical_structures(counted(spark, sf_dir))
 

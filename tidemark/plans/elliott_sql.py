@@ -141,6 +141,12 @@ LIFECYCLE = """f AS (SELECT bd.symbol, bd."interval", bd.direction, stage, cycle
   CASE WHEN side = 'BUY' THEN b.close > trigger ELSE b.close < trigger END AS confirmed
   FROM (SELECT DISTINCT symbol, "interval", direction, stage, cycle_key, end_idx, side, trigger, invalidation FROM bd) bd JOIN b ON b.symbol = bd.symbol AND b.idx BETWEEN end_idx + 1 AND end_idx + 10),
 lc AS (SELECT symbol, "interval", direction, stage, cycle_key, end_idx, side, trigger, invalidation, min(off) FILTER (broken) AS broken_at, min(off) FILTER (confirmed) AS confirmed_at, count(*) AS seen FROM f GROUP BY ALL)"""
+# the greedy choice, one structure after the other
+CHOSEN = """hb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY quality DESC, stage, end_idx - start_idx DESC, end_idx, direction) AS k FROM (
+  SELECT symbol, "interval", direction, stage, quality, start_idx, end_idx, end_ts, cycle_key FROM st QUALIFY row_number() OVER (PARTITION BY symbol, direction, stage, end_ts ORDER BY quality DESC, start_idx, sensitivity) = 1)),
+hg AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS k, []::STRUCT(a BIGINT, z BIGINT, k BIGINT)[] AS kept FROM hb UNION ALL
+  SELECT h.symbol, h.k, CASE WHEN len(list_filter(g.kept, lambda x: least(x.z, h.end_idx) - greatest(x.a, h.start_idx) > 0.4::DOUBLE * least(h.end_idx - h.start_idx, x.z - x.a))) > 0 THEN g.kept
+    ELSE list_append(g.kept, {'a': h.start_idx, 'z': h.end_idx, 'k': h.k}) END FROM hg g JOIN hb h ON h.symbol = g.symbol AND h.k = g.k + 1)"""
 CONFIRMATION = f"""cf AS (SELECT st.symbol, st."interval", direction, stage, cycle_key, end_idx, min(r.idx - end_idx) AS lag
   FROM st JOIN (SELECT *, lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM b {PI.WIN}) r ON r.symbol = st.symbol AND r.idx BETWEEN end_idx + 1 AND end_idx + {V.LAG}
     AND CASE WHEN (stage = 'C') = (direction = 'BULLISH') THEN r.close > ph ELSE r.close < pl END GROUP BY ALL)"""
