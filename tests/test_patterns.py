@@ -6,7 +6,6 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtest as B
 from tidemark.operators import indicators as I
 from tidemark.operators import patterns as P
 
@@ -55,16 +54,3 @@ def test_linear_series_has_its_averages(spark):
     assert last.sma_long == sum(range(20, 60)) / 40
     assert last.rsi == 100.0
     assert last.value_low <= last.poc <= last.value_high
-
-
-def test_bootstrap_does_not_depend_on_partitions(spark):
-    t = spark.range(400).select(F.concat(F.lit("s"), (F.col("id") % 13).cast("string")).alias("symbol"), (F.col("id") % 5).alias("year"), F.when(F.col("id") % 3 == 0, "SUCCESS").otherwise("FAILURE").alias("outcome"))
-    a, b = B.cluster_bootstrap(t.repartition(7), 200).first(), B.cluster_bootstrap(t.coalesce(1), 200).first()
-    assert a == b and a.low <= a.precision <= a.high
-
-
-def test_controls_are_used_once(spark):
-    rows = (DOWN + [(97, 98, 94, 95), (94.5, 99, 94, 98)]) * 6
-    p = P.prepared(bars(spark, rows), "1wk")
-    c = [r.control_idx for r in B.matched_controls(p, P.detected(p, hold=False)).collect()]
-    assert len(c) == len(set(c))

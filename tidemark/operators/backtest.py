@@ -125,80 +125,6 @@ def lifecycle_resolve(initial: DataFrame, bars: DataFrame, window: int = 3) -> D
     return df.select(*keys, status.alias("status"), F.coalesce("at", F.when(F.col("seen") >= window, F.lit(window))).alias("resolution_offset"))
 
 
-# ------------------------------------------------------------------ bootstrap
-
-
-def cluster_bootstrap(trades: DataFrame, replicates: int = 1000, seed: int = 0, axes: tuple[str, ...] = ("symbol", "year")) -> DataFrame:
-    """Percentile interval of the precision when whole clusters are resampled.
-
-    Trades are first summed per cell of the axes. A cluster's weight in a
-    replicate is Poisson(1) from a hash of (seed, replicate, axis, cluster): the
-    same however the data is partitioned. Cells and replicates are few; the
-    product is spread over tasks and summed per replicate.
-    """
-    s, f = F.count_if(F.col("outcome") == "SUCCESS"), F.count_if(F.col("outcome") == "FAILURE")
-    cells = trades.groupBy(*axes).agg(s.alias("s"), f.alias("f"))
-    draws = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    weight = F.lit(1)
-    for i, axis in enumerate(axes):
-        u = F.pmod(F.xxhash64(F.lit(seed), F.col("replicate"), F.lit(i), F.col(axis)), F.lit(1 << 30)) / float(1 << 30)
-        # inverse distribution function of Poisson(1)
-        steps, p, total = F, 0.36787944117144233, 0.0
-        for k in range(8):
-            total += p
-            steps = steps.when(u < total, k)
-            p /= k + 1
-        weight = weight * steps.otherwise(8)
-    per = draws.withColumn("w", weight).groupBy("replicate").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("f")).alias("f"))
-    per = per.filter("s + f > 0").select((F.col("s") * 100.0 / (F.col("s") + F.col("f"))).alias("p"))
-    whole = cells.agg(F.sum("s").alias("s"), F.sum("f").alias("f"))
-    bounds = per.agg(F.percentile("p", F.lit(0.025)).alias("low"), F.percentile("p", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))
-    few = F.col("s") + F.col("f") < 30
-    return whole.join(bounds).select("s", "f", (F.col("s") * 100.0 / F.nullif(F.col("s") + F.col("f"), F.lit(0))).alias("precision"), F.when(~few, F.col("low")).alias("low"), F.when(~few, F.col("high")).alias("high"), "replicates")
-
-
-def paired_bootstrap(pairs: DataFrame, replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """Interval of the mean difference of matched pairs (symbol, difference), symbols resampled."""
-    cells = pairs.groupBy("symbol").agg(F.sum("difference").alias("d"), F.count("*").alias("n"))
-    draws = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("replicate"), F.col("symbol")), F.lit(1 << 30)) / float(1 << 30)
-    steps, p, total = F, 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        steps = steps.when(u < total, k)
-        p /= k + 1
-    per = draws.withColumn("w", steps.otherwise(8)).groupBy("replicate").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
-    return per.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.5)).alias("middle"), F.percentile("m", F.lit(0.975)).alias("high"), F.count("m").alias("replicates"))
-
-
-def matched_controls(bars: DataFrame, signals: DataFrame, max_distance: int = 63) -> DataFrame:
-    """For each signal the nearest unused bar of its symbol with the same prior
-    trend: least trend-score gap, then distance, then index, without replacement.
-
-    The choice is sequential within a symbol and pattern, so it runs as a grouped
-    map over one symbol's history, which is bounded by its bars.
-    """
-    import pandas as pd
-
-    b = bars.select("symbol", "idx", F.col("trend_2").alias("trend"), F.col("trend_points_2").alias("points"), F.lit(None).cast("string").alias("pattern"))
-    s = signals.select("symbol", "idx", F.col("trend_2").alias("trend"), F.col("trend_points_2").alias("points"), "pattern")
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        asked = rows[rows["pattern"].notna()].sort_values(["idx", "pattern"])
-        pool = rows[rows["pattern"].isna() & ~rows["idx"].isin(asked["idx"])].sort_values("idx")
-        used, out = set(), []
-        for r in asked.itertuples():
-            near = pool[(pool["trend"] == r.trend) & ((pool["idx"] - r.idx).abs() <= max_distance) & ~pool["idx"].isin(used)]
-            if len(near):
-                key = list(zip((near["points"] - r.points).abs(), (near["idx"] - r.idx).abs(), near["idx"], strict=True))
-                k = min(key)
-                used.add(k[2])
-                out.append((r.symbol, r.pattern, r.idx, k[2], int(k[0]), int(k[1])))
-        return pd.DataFrame(out, columns=["symbol", "pattern", "idx", "control_idx", "gap", "distance"])
-
-    return b.unionByName(s).groupBy("symbol").applyInPandas(choose, "symbol string, pattern string, idx long, control_idx long, gap long, distance long")
-
-
 def resampled(bars: DataFrame, to: str, label: str = "first") -> DataFrame:
     """Daily bars to weeks or months; ts is the first or the last daily ts."""
     unit = {"1wk": "week", "1mo": "month"}[to]

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import backtest as B
+from tidemark.operators import bootstrap as BS
 from tidemark.operators import indicators as I
+from tidemark.operators import matched as MC
 from tidemark.operators import patterns as P
 from tidemark.plans import patterns as Q
 from tidemark.plans import sql as S
 from tidemark.plans.registry import query
 from tidemark.sources import market as M
+from tidemark.sources.files import written
 
 FWD, MOVE = B.HORIZONS["1wk"]
 HISTORY = 21
@@ -224,24 +227,65 @@ def historical_scan(spark, sf_dir):
     return s.select("symbol", "ts", "pattern", "direction", F.when(F.col("exit_ts").isNull(), "PENDING").otherwise(B.outcome(r, MOVE)).alias("outcome"))
 
 
-@query("cluster_bootstrap")
+# Bootstraps: draw d of replicate r on an axis is cluster md5(seed:r:axis:d) mod n
+REPLICATES = 1000
+_DRAW = "CAST(('0x' || substr(md5('0:' || r || ':{axis}:' || d), 1, 8)) AS BIGINT) % n"
+
+
+def drawn_sql(name: str, axis: int, clusters: str) -> str:
+    return f"""{name} AS (SELECT r, place, count(*) AS w FROM (SELECT r, {_DRAW.format(axis=axis)} AS place FROM (SELECT r, n, unnest(range(1, n + 1)) AS d FROM (SELECT unnest(range(1, {REPLICATES + 1})) AS r), (SELECT count(*) AS n FROM {clusters}))) GROUP BY ALL)"""
+
+
+@query("cluster_bootstrap", ora("""SELECT CAST(ts AS BIGINT) AS s, CAST(tf AS BIGINT) AS f, ts * 100.0::DOUBLE / nullif(ts + tf, 0) AS precision, CASE WHEN fine THEN low END AS low, CASE WHEN fine THEN high END AS high, replicates
+  FROM (SELECT *, ts + tf >= 30 AND replicates >= 950 AS fine FROM (SELECT quantile_cont(p, 0.025) AS low, quantile_cont(p, 0.975) AS high, count(*) AS replicates FROM bp), (SELECT sum(s) AS ts, sum(f) AS tf FROM bc))""",
+    "ba AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS place FROM (SELECT DISTINCT symbol FROM tr))", "by_ AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS place FROM (SELECT DISTINCT year(ts) AS y FROM tr))",
+    "bc AS (SELECT symbol, year(ts) AS y, count(*) FILTER (outcome = 'SUCCESS') AS s, count(*) FILTER (outcome = 'FAILURE') AS f FROM tr GROUP BY ALL)", drawn_sql("wa", 0, "ba"), drawn_sql("wy", 1, "by_"),
+    "bp AS (SELECT s * 100.0::DOUBLE / (s + f) AS p FROM (SELECT wa.r, sum(wa.w * wy.w * bc.s) AS s, sum(wa.w * wy.w * bc.f) AS f FROM bc JOIN ba USING (symbol) JOIN by_ USING (y) JOIN wa ON wa.place = ba.place JOIN wy ON wy.place = by_.place AND wy.r = wa.r GROUP BY wa.r) WHERE s + f > 0)"))
 def cluster_bootstrap(spark, sf_dir):
-    return B.cluster_bootstrap(weekly_trades(spark, sf_dir).withColumn("year", F.year("ts")), 1000)
+    return BS.cluster_bootstrap(weekly_trades(spark, sf_dir).withColumn("year", F.year("ts")), REPLICATES)
+
 
+# signal by signal: the first candidate in order that isn't taken
+MATCHED = """mf AS (SELECT y.symbol, y.idx, t.* FROM y, LATERAL (SELECT unnest([1, 2, 3]) AS size, unnest([trend_1, trend_2, trend_3]) AS trend, unnest([trend_points_1, trend_points_2, trend_points_3]) AS points) t
+  WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.direction <> 'HOLD' AND d.symbol = y.symbol AND d.idx = y.idx)),
+ms AS (SELECT symbol, pattern, size, idx, CASE size WHEN 1 THEN trend_1 WHEN 2 THEN trend_2 ELSE trend_3 END AS trend, CASE size WHEN 1 THEN trend_points_1 WHEN 2 THEN trend_points_2 ELSE trend_points_3 END AS points FROM d WHERE direction <> 'HOLD'),
+mc AS MATERIALIZED (SELECT symbol, pattern, idx, row_number() OVER (PARTITION BY symbol, pattern ORDER BY idx) AS k, list({'gap': gap, 'distance': distance, 'at': control} ORDER BY gap, distance, control) AS c FROM (
+  SELECT ms.symbol, ms.pattern, ms.idx, mf.idx AS control, abs(ms.points - mf.points) AS gap, abs(ms.idx - mf.idx) AS distance FROM ms JOIN mf ON mf.symbol = ms.symbol AND mf.size = ms.size AND mf.trend = ms.trend AND mf.idx BETWEEN ms.idx - 63 AND ms.idx + 63) GROUP BY symbol, pattern, idx),
+mg AS (SELECT symbol, pattern, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS idx, []::BIGINT[] AS used, CAST(NULL AS STRUCT(gap BIGINT, distance BIGINT, "at" BIGINT)) AS m FROM (SELECT DISTINCT symbol, pattern FROM mc) UNION ALL
+  SELECT symbol, pattern, k, idx, CASE WHEN m IS NULL THEN used ELSE list_append(used, m.at) END, m FROM (
+    SELECT mc.symbol, mc.pattern, mc.k, CAST(mc.idx AS BIGINT) AS idx, mg.used, CAST(list_filter(mc.c, lambda x: NOT list_contains(mg.used, x.at))[1] AS STRUCT(gap BIGINT, distance BIGINT, "at" BIGINT)) AS m FROM mg JOIN mc ON mc.symbol = mg.symbol AND mc.pattern = mg.pattern AND mc.k = mg.k + 1)),
+mm AS (SELECT symbol, pattern, idx, m.at AS control_idx, m.gap AS gap, m.distance AS distance FROM mg WHERE m IS NOT NULL)"""
 
-@query("matched_controls")
+
+@query("matched_controls", ora("SELECT * FROM mm", MATCHED))
 def matched_controls(spark, sf_dir):
-    p = P.prepared(M.bars(spark, sf_dir), "1wk")
-    return B.matched_controls(p, P.detected(p, hold=False).filter("size = 2"))
+    p = written(P.prepared(M.bars(spark, sf_dir), "1wk"), "bars")
+    return MC.matched_controls(p, P.detected(p, hold=False))
+
+
+PAIRS = f"""pr AS (SELECT mm.symbol, (a.exit_close - x.close) / x.close * 100.0::DOUBLE * sg AS sr, (b.exit_close - y2.close) / y2.close * 100.0::DOUBLE * sg AS cr FROM mm
+  JOIN (SELECT symbol, pattern, idx, ts, close, CASE WHEN direction = 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg FROM d WHERE direction <> 'HOLD') x USING (symbol, pattern, idx) JOIN b y2 ON y2.symbol = mm.symbol AND y2.idx = mm.control_idx
+  JOIN fu a ON a.symbol = mm.symbol AND a.ts = x.ts JOIN fu b ON b.symbol = mm.symbol AND b.ts = y2.ts WHERE a.exit_close IS NOT NULL AND b.exit_close IS NOT NULL),
+pc AS (SELECT symbol, count(*) AS n, sum(sr - cr) AS d, count(*) FILTER (sr >= {MOVE}) AS ss, count(*) FILTER (sr <= -{MOVE}) AS sf, count(*) FILTER (cr >= {MOVE}) AS cs, count(*) FILTER (cr <= -{MOVE}) AS cf FROM pr GROUP BY symbol),
+pa AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS place FROM pc)"""
+_UPLIFT = "d / n AS uplift, ss * 100.0::DOUBLE / nullif(ss + sf, 0) - cs * 100.0::DOUBLE / nullif(cs + cf, 0) AS precision"
+_ENDS = ", ".join(f"list_sort(list({c}) FILTER ({c} IS NOT NULL))[CAST(floor((count({c}) - 1) * 0.025::DOUBLE) AS BIGINT) + 1] AS {c}_low, list_sort(list({c}) FILTER ({c} IS NOT NULL))[CAST(ceil((count({c}) - 1) * 0.975::DOUBLE) AS BIGINT) + 1] AS {c}_high, count({c}) AS {c}_replicates" for c in ("uplift", "precision"))
+_PAIRED = ["uplift", "precision", "uplift_low", "uplift_high", "precision_low", "precision_high"]
 
 
-@query("paired_bootstrap")
+@query("paired_bootstrap", ora(f"SELECT pairs, {', '.join(f'round({c}, 6) AS {c}' for c in _PAIRED)}, uplift_replicates, precision_replicates FROM (SELECT CAST(n AS BIGINT) AS pairs, {_UPLIFT} FROM (SELECT sum(n) AS n, sum(d) AS d, sum(ss) AS ss, sum(sf) AS sf, sum(cs) AS cs, sum(cf) AS cf FROM pc)), (SELECT {_ENDS} FROM pb)",
+    MATCHED, PAIRS, drawn_sql("wp", 0, "pa"), f"pb AS (SELECT {_UPLIFT} FROM (SELECT r, sum(w * n) AS n, sum(w * d) AS d, sum(w * ss) AS ss, sum(w * sf) AS sf, sum(w * cs) AS cs, sum(w * cf) AS cf FROM pc JOIN pa USING (symbol) JOIN wp USING (place) GROUP BY r))"))
 def paired_bootstrap(spark, sf_dir):
-    p = future(spark, sf_dir)
-    m = B.matched_controls(p, P.detected(p, hold=False).filter("size = 2"))
-    r = p.select("symbol", "idx", ((F.col("exit_close") - F.col("close")) / F.col("close")).alias("r")).filter("r IS NOT NULL")
-    pairs = m.join(r.withColumnRenamed("r", "a"), ["symbol", "idx"]).join(r.withColumnsRenamed({"r": "b", "idx": "control_idx"}), ["symbol", "control_idx"])
-    return B.paired_bootstrap(pairs.select("symbol", (F.col("a") - F.col("b")).alias("difference")))
+    """Signals' returns and outcomes on their side, beside those of a position of the same side at the control."""
+    p = written(future(spark, sf_dir), "bars")
+    s = P.detected(p, hold=False)
+    sign = F.when(F.col("direction") == "BUY", 1.0).otherwise(-1.0)
+    moves = p.select("symbol", F.col("idx").cast("long").alias("idx"), ((F.col("exit_close") - F.col("close")) / F.col("close") * 100.0).alias("r")).filter("r IS NOT NULL")
+    m = MC.matched_controls(p, s).join(s.select("symbol", "pattern", F.col("idx").cast("long").alias("idx"), sign.alias("sign")), ["symbol", "pattern", "idx"])
+    pairs = m.join(moves.withColumnRenamed("r", "a"), ["symbol", "idx"]).join(moves.withColumnsRenamed({"r": "b", "idx": "control_idx"}), ["symbol", "control_idx"])
+    pairs = pairs.select("symbol", (F.col("a") * F.col("sign")).alias("signal_return"), (F.col("b") * F.col("sign")).alias("control_return"))
+    out = BS.paired_bootstrap(pairs.withColumns({"signal_outcome": B.outcome(F.col("signal_return"), MOVE), "control_outcome": B.outcome(F.col("control_return"), MOVE)}), REPLICATES)
+    return out.withColumns({c: F.round(c, 6) for c in _PAIRED})
 
 
 for _to, _label in (("1wk", "first"), ("1mo", "last")):
