@@ -51,9 +51,11 @@ def canonical_monthly(bars: DataFrame) -> DataFrame:
 def infer_interval(bars: DataFrame) -> DataFrame:
     """Per symbol the interval of its upper median gap: up to 4 days daily, up to 14 weekly, else monthly."""
     gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(Window.partitionBy("symbol").orderBy("ts")))
-    g = bars.select("symbol", gap.alias("gap")).filter("gap > 0").groupBy("symbol").agg(F.sort_array(F.collect_list("gap")).alias("g"))
-    m = F.element_at("g", (F.floor(F.size("g") / 2) + 1).cast("int"))
-    return g.select("symbol", m.alias("gap"), F.when(m <= 4 * 86400, "1d").when(m <= 14 * 86400, "1wk").otherwise("1mo").alias("interval"))
+    g = bars.select("symbol", gap.alias("gap")).filter("gap > 0").groupBy("symbol", "gap").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("symbol").orderBy("gap"))
+    g = g.withColumns({"upto": upto, "all": F.sum("n").over(Window.partitionBy("symbol"))})
+    m = g.groupBy("symbol").agg(F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("gap"))).alias("gap"))
+    return m.select("symbol", "gap", F.when(F.col("gap") <= 4 * 86400, "1d").when(F.col("gap") <= 14 * 86400, "1wk").otherwise("1mo").alias("interval"))
 
 
 def mixed_intervals(bars: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from tidemark.operators import profile as V
 from tidemark.plans import patterns as Q
 from tidemark.plans import signals as SG
 from tidemark.plans import sql as S
-from tidemark.plans.registry import query
+from tidemark.plans.catalog import query
 from tidemark.sources import files
 from tidemark.sources import market as M
 

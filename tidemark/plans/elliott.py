@@ -9,7 +9,7 @@ from tidemark.operators import elliott as L
 from tidemark.operators import indicators as I
 from tidemark.operators import waves as V
 from tidemark.plans import elliott_sql as Q
-from tidemark.plans.registry import query
+from tidemark.plans.catalog import query
 from tidemark.sources import market as M
 from tidemark.sources.files import written
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as I
 from tidemark.plans import sql as S
-from tidemark.plans.registry import query
+from tidemark.plans.catalog import query
 from tidemark.sources import market as M
 
 P = I.PROFILES["1wk"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import ingest as G
 from tidemark.plans import sql as S
-from tidemark.plans.registry import query
+from tidemark.plans.catalog import query
 from tidemark.sources import market as M
 from tidemark.sources import store
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import patterns as P
 from tidemark.plans import indicators as X
 from tidemark.plans import sql as S
-from tidemark.plans.registry import query
+from tidemark.plans.catalog import query
 from tidemark.sources import market as M
 
 _LAGS = [c for c in P._KEPT]

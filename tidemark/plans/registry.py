@@ -1,31 +1,12 @@
-"""Registered queries of the market-signal operators and their SQL."""
+"""All registered queries of the market-signal operators and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under a name, with its SQL."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
+from tidemark.plans import alerts, elliott, indicators, ingest, joins, live, patterns, signals  # noqa: F401
+from tidemark.plans.catalog import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.plans import signals
-
     return signals.engulfing_report(spark, sf_dir)
-
-
-from tidemark.plans import alerts, elliott, indicators, ingest, joins, live, patterns, signals  # noqa: E402, F401

@@ -11,7 +11,7 @@ from tidemark.operators import matched as MC
 from tidemark.operators import patterns as P
 from tidemark.plans import patterns as Q
 from tidemark.plans import sql as S
-from tidemark.plans.registry import query
+from tidemark.plans.catalog import query
 from tidemark.sources import market as M
 from tidemark.sources.files import written
 
