@@ -157,6 +157,27 @@ def page(df: DataFrame, order: list[Column], number: int, size: int = 50) -> Dat
     return top.withColumn("place", F.row_number().over(w)).filter(F.col("place") > number * size)
 
 
+#: Sorts of the archive and their columns.
+SORTS = {"date": "sent_at", "ticker": "symbol", "interval": "interval", "confidence": "confidence", "status": "status", "best-return": "best_return", "worst-return": "worst_return"}
+
+
+def archive_order(sort: str | None, direction: str | None) -> list[Column]:
+    """The archive's order: an unknown sort is by date, a direction other than asc is desc; missing
+    values come last either way; then the newest, then the largest id (by date, id follows the direction)."""
+    key = (sort or "").lower()
+    key, up = key if key in SORTS else "date", (direction or "").lower() == "asc"
+    first = F.asc_nulls_last(SORTS[key]) if up else F.desc_nulls_last(SORTS[key])
+    if key == "date":
+        return [first, F.asc("id") if up else F.desc("id")]
+    return [first, F.desc("sent_at"), F.desc("id")]
+
+
+def archive_page(events: DataFrame, sort: str | None = None, direction: str | None = None, number: int = 0, size: int = 50) -> DataFrame:
+    """Page `number` (from 0) of events (id, sent_at, symbol, interval, confidence, status, best_return,
+    worst_return) with each one's place."""
+    return page(events, archive_order(sort, direction), max(0, number), size)
+
+
 # ------------------------------------------------------------ anchored profile
 
 

@@ -14,6 +14,7 @@ from tidemark.plans import signals as SG
 from tidemark.plans import sql as S
 from tidemark.plans.catalog import query
 from tidemark.sources import market as M
+from tidemark.sources.files import written
 
 B = (S.TICKS, S.bars())
 
@@ -113,10 +114,18 @@ def daily_budget(spark, sf_dir):
     return J.daily_budget(M.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts"), 3)
 
 
-@query("alert_state_matrix", S.over(S.RULES, body="SELECT symbol, family, side, bool_or(\"interval\" = '1d') AS daily, bool_or(\"interval\" = '1wk') AS weekly, bool_or(\"interval\" = '1mo') AS monthly FROM rules WHERE active GROUP BY ALL"))
+_STATES = {"1d": "daily", "1wk": "weekly", "1mo": "monthly"}
+
+
+@query("alert_state_matrix", S.over(S.RULES, body="""SELECT s.symbol, f.family, d.side, coalesce(daily, false) AS daily, coalesce(weekly, false) AS weekly, coalesce(monthly, false) AS monthly
+  FROM (SELECT DISTINCT symbol FROM rules) s CROSS JOIN (SELECT unnest(['CANDLESTICK', 'ELLIOTT']) AS family) f CROSS JOIN (SELECT unnest(['BUY', 'SELL']) AS side) d
+  LEFT JOIN (SELECT symbol, family, side, bool_or("interval" = '1d') AS daily, bool_or("interval" = '1wk') AS weekly, bool_or("interval" = '1mo') AS monthly FROM rules WHERE active GROUP BY ALL) r ON r.symbol = s.symbol AND r.family = f.family AND r.side = d.side"""))
 def alert_state_matrix(spark, sf_dir):
-    r = M.rules(spark, sf_dir).filter("active")
-    return r.groupBy("symbol", "family", "side").agg(*[F.bool_or(F.col("interval") == k).alias(n) for k, n in (("1d", "daily"), ("1wk", "weekly"), ("1mo", "monthly"))])
+    """Every symbol, family and side, with the intervals that have an active rule."""
+    r = M.rules(spark, sf_dir)
+    live = r.filter("active").groupBy("symbol", "family", "side").agg(*[F.bool_or(F.col("interval") == k).alias(n) for k, n in _STATES.items()])
+    every = r.select("symbol").distinct().withColumn("family", F.explode(F.array(F.lit("CANDLESTICK"), F.lit("ELLIOTT")))).withColumn("side", F.explode(F.array(F.lit("BUY"), F.lit("SELL"))))
+    return every.join(live, ["symbol", "family", "side"], "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in _STATES.values()})
 
 
 @query("archive_page", SG.ora("""SELECT symbol, ts, pattern, outcome, round(close_return, 6) AS close_return, CAST(row_number() OVER o AS INTEGER) AS place FROM tr
@@ -126,6 +135,35 @@ def archive_page(spark, sf_dir):
     return J.page(t, [F.desc_nulls_last("close_return"), F.desc("ts"), F.col("symbol"), F.col("pattern")], 1)
 
 
+_EVENTS = """ev AS (SELECT symbol || '|' || pattern AS id, ts AS sent_at, symbol, "interval", CASE WHEN idx % 4 <> 0 THEN CAST(trend_points_1 AS INTEGER) END AS confidence, outcome AS status,
+  round(best_move, 6) AS best_return, CASE WHEN idx % 3 <> 0 THEN round(worst_move, 6) END AS worst_return FROM tr)"""
+
+
+def _archive_sql() -> str:
+    pages = []
+    for sort, column in J.SORTS.items():
+        for way in ("asc", "desc"):
+            then = f"id {way}" if sort == "date" else "sent_at DESC, id DESC"
+            pages.append(f"""SELECT '{sort}' AS sort, '{way}' AS direction, id, sent_at, CAST(row_number() OVER (ORDER BY "{column}" {way} NULLS LAST, {then}) AS INTEGER) AS place FROM ev QUALIFY place BETWEEN 51 AND 100""")
+    return SG.ora(" UNION ALL ".join(pages), _EVENTS)
+
+
+@query("archive_sorts", _archive_sql())
+def archive_sorts(spark, sf_dir):
+    """The second page of the archive by each of its sorts, in both directions."""
+    some = lambda c, n: F.when(F.col("idx") % n != 0, c)
+    t = SG.weekly_trades(spark, sf_dir)
+    events = written(t.select(
+        F.concat_ws("|", "symbol", "pattern").alias("id"), F.col("ts").alias("sent_at"), "symbol", "interval", some(F.col("trend_points_1"), 4).alias("confidence"),
+        F.col("outcome").alias("status"), F.round("best_move", 6).alias("best_return"), some(F.round("worst_move", 6), 3).alias("worst_return")), "events")
+    out = None
+    for sort in J.SORTS:
+        for way in ("asc", "desc"):
+            one = J.archive_page(events, sort, way, 1).select(F.lit(sort).alias("sort"), F.lit(way).alias("direction"), "id", "sent_at", "place")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("latest_signals", S.over(*Q.PREP, Q.DETECTED, S.RULES, body="SELECT user_id, d.symbol, d.ts, pattern FROM d JOIN rules r ON d.symbol = r.symbol AND d.direction = r.side WHERE active QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY d.ts DESC, pattern) <= 8"))
 def latest_signals(spark, sf_dir):
     from pyspark.sql import Window
