@@ -2,9 +2,9 @@
 ends of a correction, with their scores.
 
 A signal looks at the last WINDOW bars only, so pivots are folded anew for every
-bar. Bars are dealt into chunks that overlap by a window, which keeps a task small
-however long a symbol's history is. The fold returns only counts whose turn is
-present; rules and scores are column expressions over their points and over the
+bar: all windows of a chunk advance together, as vectors. Chunks overlap by a
+window, which keeps a task small however long a symbol's history is. The fold
+returns only counts whose turn is present; rules and scores are column expressions over their points and over the
 bars joined by number.
 """
 
@@ -22,40 +22,76 @@ WINDOW, LEAST, BREAKOUT, PRESENT = 100, 34, 1.003, 1
 #: Least eligibility of an alert, and of a strong one.
 ALERT, STRONG = 75, 85
 #: Current bars of a task's chunk.
-CHUNK = 200
+CHUNK = 1000
 _POINTS = [f"{x}{k}" for k in range(9) for x in "qi"]  # turned prices and bar numbers of the points; null beyond the last
 _FOUND = "symbol string, interval string, now long, sensitivity double, kind string, direction string, turn long, end_idx long, end_price double, third double, " + ", ".join(f"{c} {'double' if c[0] == 'q' else 'long'}" for c in _POINTS)
 
 
-def _present(high, low, close, found: list[tuple[int, int]], now: int) -> list[tuple[str, int, int, list[tuple[int, float]]]]:
-    """(kind, sign, turn, points) of the counts among pivots whose turn is present at the last bar."""
-    out = []
-    price = {1: high, -1: low}
-    for n, kinds in ((5, ("IMPULSE", "V")), (8, ("C",))):
-        for sign in (1, -1):
-            # the last n alternating pivots that begin with a low (sign 1) or a high
-            start = next((k for k in (len(found) - n, len(found) - n - 1) if k >= 0 and found[k][1] == -sign), None)
-            if start is None:
-                continue
-            pts = [(i, float(price[g][i])) for i, g in found[start : start + n]]
-            last = pts[-1][0]
-            for kind in kinds:
-                if kind == "IMPULSE":
-                    level = pts[3][1] * BREAKOUT if sign > 0 else pts[3][1] / BREAKOUT
-                    beyond = np.flatnonzero((close[last + 1 :] - level) * sign > 0)
-                    turn, points = (last + 1 + int(beyond[0]) if len(beyond) else -1), pts
-                else:
-                    # the extreme before the current bar; V of a rising count is a high, C a low
-                    side = sign if kind == "V" else -sign
-                    if last + 1 >= now:
-                        continue
-                    at = last + 1 + int(np.argmax(price[side][last + 1 : now] * side))
-                    edge = low if side > 0 else high
-                    back = np.flatnonzero((close[at + 1 :] - edge[at:-1]) * -side > 0)
-                    turn, points = (at + 1 + int(back[0]) if len(back) else -1), [*pts, (at, float(price[side][at]))]
-                if turn >= 0 and now - turn <= PRESENT:
-                    out.append((kind, sign, turn, points))
-    return out
+def swing_windows(high: np.ndarray, low: np.ndarray, close: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The swings of many windows (one a row; shorter ones end in NaN), advanced together bar by bar.
+
+    Returns the pivots' columns per window (only the first `size` of a row count), size, and the
+    sign of the last pivot; signs alternate. Each row equals `waves.swings` of that window."""
+    n, width = high.shape
+    every, mid = np.arange(n), (high + low) / 2
+    side, top, bottom, best, size, last = (np.zeros(n, np.int64) for _ in range(6))
+    points = np.zeros((n, width), np.int64)
+    for i in range(1, width):
+        h, lo, c, m = high[:, i], low[:, i], close[:, i], mid[:, i]
+        fresh, up = side == 0, side == 1
+        ahead, back, held = np.where(up, h, lo), np.where(up, lo, h), np.where(up, high[every, best], low[every, best])
+        further = ~fresh & ((ahead - held) * side >= 0)
+        best, held = np.where(further, i, best), np.where(further, ahead, held)
+        turns = ~fresh & ((held - back) * side >= reach[every, best]) & ((best < i) | ((c - m) * side <= 0))
+        before = points[every, size - 1]
+        like = last == side
+        better = turns & like & ((held - np.where(up, high[every, before], low[every, before])) * side > 0)
+        points[better, size[better] - 1] = best[better]
+        more = turns & ~like & (before != best)
+        points[more, size[more]] = best[more]
+        size, last = size + more, np.where(more, side, last)
+        side, best = np.where(turns, -side, side), np.where(turns, i, best)
+        # no leg yet: the first one begins once the extremes are far enough apart
+        top, bottom = np.where(fresh & (h >= high[every, top]), i, top), np.where(fresh & (lo <= low[every, bottom]), i, bottom)
+        begins = fresh & (high[every, top] - low[every, bottom] >= np.maximum(reach[every, top], reach[every, bottom]))
+        rises = (bottom < top) | ((bottom == top) & (c >= m))
+        points[begins, 0] = np.where(rises, bottom, top)[begins]
+        side, best = np.where(begins, np.where(rises, 1, -1), side), np.where(begins, np.where(rises, top, bottom), best)
+        size, last = np.where(begins, 1, size), np.where(begins, -side, last)
+    return points, size, last
+
+
+def window_volatility(high: np.ndarray, low: np.ndarray, close: np.ndarray, atr: np.ndarray) -> np.ndarray:
+    """`waves.volatility` of many windows, one a row."""
+    lacks = ~(atr > 0)
+    before = np.concatenate([close[:, :1], close[:, :-1]], axis=1)
+    true = np.maximum(np.maximum(high - low, np.maximum(np.abs(high - before), np.abs(low - before))), 1e-6)
+    used, total = np.where(lacks, true, atr), np.zeros_like(atr)
+    for k in range(14):
+        total[:, k:] += used[:, : used.shape[1] - k]
+    return np.where(lacks, total / np.minimum(np.arange(atr.shape[1]) + 1, 14), atr)
+
+
+def _first(hit: np.ndarray) -> np.ndarray:
+    """Column of each row's first True; -1 without one."""
+    return np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
+
+
+def _turned(kind: str, sign: np.ndarray, points: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(turn, end) of each row's count: columns of the bar that turns and of the last point; turn -1 without one."""
+    every, column, last = np.arange(len(now)), np.arange(high.shape[1]), points[:, -1]
+    if kind == "IMPULSE":
+        third = np.where(sign > 0, high[every, points[:, 3]], low[every, points[:, 3]])
+        level = np.where(sign > 0, third * BREAKOUT, third / BREAKOUT)
+        return _first((column > last[:, None]) & ((close - level[:, None]) * sign[:, None] > 0)), last
+    # the extreme before the current bar; V of a rising count is a high, C a low
+    side = (sign if kind == "V" else -sign)[:, None]
+    open_ = (column > last[:, None]) & (column < now[:, None])
+    at = np.where(open_, np.where(side > 0, high, -low), -np.inf).argmax(axis=1)
+    edge = np.where(side > 0, low, high)
+    behind = np.concatenate([np.full((len(now), 1), np.nan), edge[:, :-1]], axis=1)
+    turn = _first((column > at[:, None]) & ((close - behind) * -side > 0))
+    return np.where(open_.any(axis=1), turn, -1), at
 
 
 def present_counts(enriched: DataFrame, sensitivities: tuple[float, ...] = V.SENSITIVITIES) -> DataFrame:
@@ -64,23 +100,39 @@ def present_counts(enriched: DataFrame, sensitivities: tuple[float, ...] = V.SEN
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx")
         idx = rows["idx"].to_numpy(np.int64)
-        high, low, close, atr = (rows[c].to_numpy(float) for c in ("high", "low", "close", "atr"))
-        first, out = int(rows["chunk"].iloc[0]) * CHUNK + 1, []
-        for k in np.flatnonzero(idx >= first).tolist():
-            a = max(0, k - WINDOW + 1)
-            if k - a + 1 < LEAST:
-                continue
-            h, lo, c = high[a : k + 1], low[a : k + 1], close[a : k + 1]
-            reach, seen = V.volatility(h, lo, c, atr[a : k + 1]), set()
-            for s in sensitivities:
-                found = V.swings(h, lo, c, np.maximum(reach * s, np.abs(c) * 0.0125 * s))
-                if len(found) < 5 or tuple(found) in seen:
-                    continue
-                seen.add(tuple(found))
-                for kind, sign, turn, points in _present(h, lo, c, found, k - a):
-                    flat = [x for i, p in points for x in (p * sign, int(idx[a + i]))]
-                    end, price = points[-1]
-                    out.append((rows["symbol"].iloc[0], rows["interval"].iloc[0], int(idx[k]), s, kind, "BULLISH" if sign > 0 else "BEARISH", int(idx[a + turn]), int(idx[a + end]), price, points[3][1], *flat, *[None] * (18 - len(flat))))
+        own = np.flatnonzero((idx >= int(rows["chunk"].iloc[0]) * CHUNK + 1) & (np.minimum(np.arange(len(idx)) + 1, WINDOW) >= LEAST))
+        begin = np.maximum(0, own - WINDOW + 1)
+        at = begin[:, None] + np.arange(WINDOW)
+        inside = at <= own[:, None]
+        high, low, close, atr = (np.where(inside, rows[c].to_numpy(float)[np.minimum(at, len(idx) - 1)], np.nan) for c in ("high", "low", "close", "atr"))
+        reach, seen, out = window_volatility(high, low, close, atr), [], []
+        for s in sensitivities:
+            points, size, last = swing_windows(high, low, close, np.maximum(reach * s, np.abs(close) * 0.0125 * s))
+            held = np.where(np.arange(WINDOW) < size[:, None], points, -1)
+            signed = held * 2 + (last[:, None] > 0)  # with equal columns and sizes, the last sign tells all signs
+            # the same pivots count once, for the smallest sensitivity
+            again = np.zeros(len(own), bool)
+            for other in seen:
+                again |= (signed == other).all(axis=1)
+            seen.append(signed)
+            for n, kinds in ((5, ("IMPULSE", "V")), (8, ("C",))):
+                for sign in (1, -1):
+                    # the last n alternating pivots that begin with a low (sign 1) or a high
+                    begins = np.where(last * (1 if n % 2 else -1) == -sign, size - n, size - n - 1)
+                    ok = np.flatnonzero((size >= 5) & ~again & (size >= n) & (begins >= 0))
+                    if not len(ok):
+                        continue
+                    pts = points[ok[:, None], begins[ok][:, None] + np.arange(n)]
+                    h, lo, c, now = high[ok], low[ok], close[ok], own[ok] - begin[ok]
+                    for kind in kinds:
+                        turn, end = _turned(kind, np.full(len(ok), sign), pts, h, lo, c, now)
+                        for k in np.flatnonzero((turn >= 0) & (now - turn <= PRESENT)).tolist():
+                            cols = pts[k].tolist() + ([int(end[k])] if kind != "IMPULSE" else [])
+                            # points alternate, from a low (sign 1) or a high
+                            prices = [float((lo if (j % 2 == 0) == (sign > 0) else h)[k, i]) for j, i in enumerate(cols)]
+                            flat = [x for i, p in zip(cols, prices, strict=True) for x in (p * sign, int(idx[begin[ok[k]] + i]))]
+                            first = int(begin[ok[k]])
+                            out.append((rows["symbol"].iloc[0], rows["interval"].iloc[0], int(idx[own[ok[k]]]), s, kind, "BULLISH" if sign > 0 else "BEARISH", int(idx[first + turn[k]]), int(idx[first + end[k]]), prices[-1], prices[3], *flat, *[None] * (18 - len(flat))))
         return pd.DataFrame(out, columns=["symbol", "interval", "now", "sensitivity", "kind", "direction", "turn", "end_idx", "end_price", "third", *_POINTS]).astype({c: "float64" if c[0] == "q" else "Int64" for c in _POINTS})
 
     own = F.floor((F.col("idx") - 1) / CHUNK)
