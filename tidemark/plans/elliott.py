@@ -9,6 +9,7 @@ from tidemark.operators import elliott as L
 from tidemark.operators import indicators as I
 from tidemark.operators import waves as V
 from tidemark.plans import elliott_sql as Q
+from tidemark.plans import wave_sql as W
 from tidemark.plans.catalog import query
 from tidemark.sources import market as M
 from tidemark.sources.files import written
@@ -91,34 +92,35 @@ def weekly_signals(spark, sf_dir):
 
 
 _SIGNAL = ["symbol", "interval", "ts", "pattern", "side", "eligibility", "price"]
+_SHOWN = 'symbol, "interval", ts, pattern, side, eligibility, price'
 
 
-@query("impulse_breakout")
+@query("impulse_breakout", W.over(body=f"SELECT {_SHOWN}, idx - turn AS age, third AS level FROM wl WHERE kind = 'IMPULSE'"))
 def impulse_breakout(spark, sf_dir):
     return weekly_signals(spark, sf_dir).filter("kind = 'IMPULSE'").select(*_SIGNAL, (F.col("idx") - F.col("turn")).alias("age"), F.col("third").alias("level"))
 
 
-@query("wave_v_end")
+@query("wave_v_end", W.over(body=f"SELECT {_SHOWN}, idx - turn AS age, end_idx, end_price FROM wl WHERE kind = 'V'"))
 def wave_v_end(spark, sf_dir):
     return weekly_signals(spark, sf_dir).filter("kind = 'V'").select(*_SIGNAL, (F.col("idx") - F.col("turn")).alias("age"), "end_idx", "end_price")
 
 
-@query("correction_end")
+@query("correction_end", W.over(body=f"SELECT {_SHOWN}, idx - turn AS age, end_idx, end_price FROM wl WHERE kind = 'C'"))
 def correction_end(spark, sf_dir):
     return weekly_signals(spark, sf_dir).filter("kind = 'C'").select(*_SIGNAL, (F.col("idx") - F.col("turn")).alias("age"), "end_idx", "end_price")
 
 
-@query("elliott_v1_score")
+@query("elliott_v1_score", W.over(body=f"SELECT {_SHOWN} FROM wl"))
 def elliott_v1_score(spark, sf_dir):
     return weekly_signals(spark, sf_dir).select(*_SIGNAL)
 
 
-@query("elliott_v2_score")
+@query("elliott_v2_score", W.over(body="SELECT * EXCLUDE (third, kind) FROM wl"))
 def elliott_v2_score(spark, sf_dir):
     return weekly_signals(spark, sf_dir).drop("third", "sensitivity", "kind")
 
 
-@query("elliott_alerts")
+@query("elliott_alerts", W.over(body=f"SELECT {_SHOWN}, score, strength FROM wl WHERE eligibility >= {L.ALERT} AND kind IN ('V', 'C')"))
 def elliott_alerts(spark, sf_dir):
     return L.alerts(weekly_signals(spark, sf_dir)).select(*_SIGNAL, "score", "strength")
 
