@@ -265,6 +265,12 @@ def name() -> Column:
     return F.concat_ws("_", F.lit("ELLIOTT"), F.col("direction"), F.coalesce(ending, flat))
 
 
+def variant_of(pattern: Column) -> Column:
+    """Variant of the structure that a pattern of `name` asks for."""
+    flat = F.when(pattern.contains("EXPANDED_FLAT"), "EXPANDED_FLAT").when(pattern.contains("RUNNING_FLAT"), "RUNNING_FLAT").otherwise("STANDARD")
+    return F.when(pattern.endswith("CORRECTION"), flat).otherwise(F.when(pattern.contains("TRUNCATED"), "TRUNCATED").otherwise("FULL"))
+
+
 def signals(enriched: DataFrame) -> DataFrame:
     """All signals of every bar, the best (by eligibility) of each kind and side, with the
     scores of both models: eligibility, score and its families, strength."""

@@ -15,6 +15,52 @@ def match_rules(signals: DataFrame, rules: DataFrame, recorded: DataFrame) -> Da
     return found.join(recorded.select("rule_id", "pattern", "ts"), ["rule_id", "pattern", "ts"], "left_anti")
 
 
+def match_wave_rules(signals: DataFrame, rules: DataFrame, recorded: DataFrame) -> DataFrame:
+    """First signal of each cycle and stage for every active wave rule on symbol, interval and side,
+    without cycles and stages that the rule has recorded (rule_id, cycle_key, stage).
+
+    signals have symbol, interval, direction (the side), cycle_key, stage, ts, pattern; those without
+    a cycle match nothing. Signals are cut to the first of each cycle and stage before rules meet them."""
+    cycle = ["symbol", "interval", "direction", "cycle_key", "stage"]
+    first = signals.filter("cycle_key IS NOT NULL").groupBy(*cycle).agg(F.min(F.struct("ts", "pattern")).alias("s")).select(*cycle, "s.ts", "s.pattern")
+    live = rules.filter("active AND family = 'ELLIOTT'").select("rule_id", "user_id", "symbol", "interval", F.col("side").alias("direction"))
+    return first.join(live, ["symbol", "interval", "direction"]).join(recorded.select("rule_id", "cycle_key", "stage"), ["rule_id", "cycle_key", "stage"], "left_anti")
+
+
+def with_read(events: DataFrame, reads: DataFrame) -> DataFrame:
+    """events (user_id, symbol, sent_at and more) with read_at: when their user first opened the
+    symbol (reads: user_id, symbol, read_at) at or after they were sent; null while unread.
+
+    An as-of join by one window over both, from the newest back, so that no event meets
+    every later reading. Readings or events without user, symbol or time match nothing."""
+    more = [c for c in events.columns if c not in ("user_id", "symbol", "sent_at")]
+    e = events.select("user_id", "symbol", F.col("sent_at").alias("_at"), F.lit(1).alias("_asks"), F.lit(None).cast("timestamp").alias("read_at"), F.struct(F.lit(True).alias("_is"), *more).alias("_event"))
+    r = reads.filter("user_id IS NOT NULL AND symbol IS NOT NULL AND read_at IS NOT NULL")
+    r = r.select("user_id", "symbol", F.col("read_at").cast("timestamp").alias("_at"), F.lit(0).alias("_asks"), F.col("read_at").cast("timestamp").alias("read_at"), F.lit(None).cast(e.schema["_event"].dataType).alias("_event")).distinct()
+    w = Window.partitionBy("user_id", "symbol").orderBy(F.desc_nulls_first("_at"), "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    both = e.unionByName(r).withColumn("read_at", F.when(F.col("_at").isNotNull(), F.last("read_at", ignorenulls=True).over(w)))
+    return both.filter("_asks = 1").select("user_id", "symbol", F.col("_at").alias("sent_at"), *[F.col(f"_event.{c}").alias(c) for c in more], "read_at")
+
+
+def company_board(rules: DataFrame, events: DataFrame) -> DataFrame:
+    """Per symbol: rules, active ones, their intervals, families and sides, and unread events of active
+    rules. events have rule_id and read_at; they are counted per rule before the join."""
+    unread = events.filter("read_at IS NULL").groupBy("rule_id").agg(F.count("*").alias("unread"))
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    held = rules.join(unread, "rule_id", "left")
+    return held.groupBy("symbol").agg(
+        F.count("*").alias("rules"), F.count_if("active").alias("live"), names("interval").alias("intervals"), names("family").alias("families"), names("side").alias("sides"),
+        F.coalesce(F.sum(F.when(F.col("active"), F.col("unread"))), F.lit(0)).cast("long").alias("unread"),
+    )
+
+
+def latest_signals(rules: DataFrame, events: DataFrame, k: int = 8) -> DataFrame:
+    """Newest k unread events of each user's active rules (then by pattern, then rule)."""
+    mine = events.filter("read_at IS NULL").join(rules.filter("active").select("rule_id"), "rule_id", "left_semi")
+    w = Window.partitionBy("user_id").orderBy(F.desc("sent_at"), "pattern", "rule_id")
+    return mine.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
 def congress_fanout(trades: DataFrame, subscriptions: DataFrame, deliveries: DataFrame) -> DataFrame:
     """Deliveries to make: active followers whose baseline is done, of trades seen
     since the baseline and disclosed since the activation, not delivered yet."""

@@ -6,12 +6,17 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import backtest as BT
+from tidemark.operators import elliott as L
 from tidemark.operators import indicators as I
 from tidemark.operators import matching as J
 from tidemark.operators import patterns as P
+from tidemark.operators import waves as V
+from tidemark.plans import elliott as PE
+from tidemark.plans import elliott_sql as E
 from tidemark.plans import patterns as Q
 from tidemark.plans import signals as SG
 from tidemark.plans import sql as S
+from tidemark.plans import wave_sql as W
 from tidemark.plans.catalog import query
 from tidemark.sources import market as M
 from tidemark.sources.files import written
@@ -31,6 +36,33 @@ def match_rules(spark, sf_dir):
     return J.match_rules(s, r, done).select("rule_id", "symbol", "interval", "ts", "pattern", "direction")
 
 
+_DONE = "rule_id % 4 = 1"  # rules whose signals of before 1998 are recorded already
+CYCLES = f"""held AS (WITH RECURSIVE {", ".join((*E.BASE, E.STRUCTURES, E.CONFIRMATION, E.CONFIRMED))} SELECT symbol, direction, stage, variant, cycle_key, quality, start_idx, end_idx, confirm_ts FROM cs),
+asked AS (SELECT w.symbol, w."interval", w.ts, w.pattern, w.side, h.cycle_key, h.stage
+  FROM (SELECT *, CASE WHEN kind = 'V' THEN CASE WHEN contains(pattern, 'TRUNCATED') THEN 'TRUNCATED' ELSE 'FULL' END WHEN contains(pattern, 'FLAT') THEN replace(split_part(pattern, direction || '_', 2), '_CORRECTION', '') ELSE 'STANDARD' END AS variant
+    FROM wl WHERE eligibility >= {L.ALERT} AND kind IN ('V', 'C')) w
+  JOIN held h ON h.symbol = w.symbol AND h.direction = w.direction AND h.stage = w.kind AND h.variant = w.variant AND h.confirm_ts <= w.ts
+  QUALIFY row_number() OVER (PARTITION BY w.symbol, w.ts, w.pattern, w.side ORDER BY h.confirm_ts DESC, h.quality DESC, h.end_idx - h.start_idx DESC, h.cycle_key DESC) = 1)"""
+
+
+@query("match_wave_rules", W.over(CYCLES, S.RULES, body=f"""SELECT rule_id, symbol, "interval", side AS direction, cycle_key, stage, ts, pattern FROM (
+  SELECT * FROM asked QUALIFY row_number() OVER (PARTITION BY symbol, side, cycle_key, stage ORDER BY ts, pattern) = 1) f JOIN rules r USING (symbol, "interval", side)
+WHERE active AND family = 'ELLIOTT' AND NOT ({_DONE} AND EXISTS (SELECT 1 FROM asked p WHERE p.symbol = f.symbol AND p.cycle_key = f.cycle_key AND p.stage = f.stage AND p.ts < TIMESTAMP '1998-01-01'))"""))
+def match_wave_rules(spark, sf_dir):
+    """Wave alerts under the structure of their kind that was confirmed last, matched once per cycle and stage."""
+    bars = written(M.bars(spark, sf_dir), "bars")
+    alerts = L.alerts(L.signals(I.enrich(bars, "1wk"))).withColumnRenamed("kind", "stage")
+    e = written(I.with_atr(I.indexed(bars), I.PROFILES["1d"]["atr"]), "ranges")
+    s = V.confirmed(PE.structures(e), e)
+    asks = written(alerts.select("symbol", "interval", "direction", "stage", L.variant_of(F.col("pattern")).alias("variant"), "ts", "side", "pattern"), "asks")
+    kind = ["symbol", "interval", "direction", "stage", "variant", "ts"]
+    found = V.structure_for_signal(s, asks.select(*kind).distinct()).select(*kind, "cycle_key")
+    signals = asks.join(found, kind).select("symbol", "interval", F.col("side").alias("direction"), "cycle_key", "stage", "ts", "pattern")
+    rules = M.rules(spark, sf_dir)
+    done = signals.filter("ts < '1998-01-01'").join(rules.filter(_DONE).select("rule_id", "symbol"), "symbol").select("rule_id", "cycle_key", "stage").distinct()
+    return J.match_wave_rules(signals, rules, done).select("rule_id", "symbol", "interval", "direction", "cycle_key", "stage", "ts", "pattern")
+
+
 @query("event_dim_join", S.over(*Q.PREP, Q.DETECTED, S.ASSETS, body="SELECT d.symbol, ts, pattern, company, instrument_type FROM d JOIN assets a ON a.symbol = d.symbol WHERE direction = 'BUY'"))
 def event_dim_join(spark, sf_dir):
     return _signals(spark, sf_dir).filter("direction = 'BUY'").join(M.assets(spark, sf_dir), "symbol").select("symbol", "ts", "pattern", "company", "instrument_type")
@@ -97,10 +129,30 @@ def followed_state(spark, sf_dir):
     return M.assets(spark, sf_dir).join(s, "symbol", "left").groupBy("symbol", "company").agg(F.count("user_id").alias("followers"), F.coalesce(F.bool_or(F.col("user_id") == 26), F.lit(False)).alias("mine"))
 
 
-@query("company_board", S.over(S.RULES, body="SELECT symbol, count(*) AS rules, count(*) FILTER (active) AS live, array_to_string(list_sort(list_distinct(list(\"interval\"))), ',') AS intervals, array_to_string(list_sort(list_distinct(list(family))), ',') AS families FROM rules GROUP BY symbol"))
+EVENTS = f"""sent AS (SELECT rule_id, user_id, d.symbol, d.ts AS sent_at, pattern FROM d JOIN rules r ON d.symbol = r.symbol AND d."interval" = r."interval" AND d.direction = r.side WHERE active AND family = 'CANDLESTICK'),
+opened AS (SELECT user_id, 'Brand#' || {S.brand('user_id')} AS symbol, TIMESTAMP '1996-01-01' + to_days(CAST(event_id % 2000 AS INTEGER)) AS read_at FROM events WHERE event_type = 'view'),
+ev AS (SELECT s.*, (SELECT min(read_at) FROM opened o WHERE o.user_id = s.user_id AND o.symbol = s.symbol AND o.read_at >= s.sent_at) AS read_at FROM sent s)"""
+
+
+def sent_events(spark, sf_dir):
+    """Events of rules with the time they were read: the users' views open their own symbol."""
+    s = J.match_rules(_signals(spark, sf_dir), M.rules(spark, sf_dir), spark.createDataFrame([], "rule_id long, pattern string, ts timestamp"))
+    viewed = M.table(spark, sf_dir, "events").filter("event_type = 'view'")
+    day = F.date_add(F.lit("1996-01-01").cast("date"), (F.col("event_id") % 2000).cast("int")).cast("timestamp")
+    reads = viewed.select("user_id", F.concat(F.lit("Brand#"), M.brand(F.col("user_id"))).alias("symbol"), day.alias("read_at"))
+    return J.with_read(s.select("rule_id", "user_id", "symbol", F.col("ts").alias("sent_at"), "pattern"), reads)
+
+
+@query("read_state", S.over(*Q.PREP, Q.DETECTED, S.RULES, EVENTS, body="SELECT * FROM ev"))
+def read_state(spark, sf_dir):
+    return sent_events(spark, sf_dir)
+
+
+@query("company_board", S.over(*Q.PREP, Q.DETECTED, S.RULES, EVENTS, body="""SELECT symbol, count(*) AS rules, count(*) FILTER (active) AS live, array_to_string(list_sort(list_distinct(list("interval"))), ',') AS intervals, array_to_string(list_sort(list_distinct(list(family))), ',') AS families,
+  array_to_string(list_sort(list_distinct(list(side))), ',') AS sides, CAST(coalesce(sum(unread) FILTER (active), 0) AS BIGINT) AS unread
+FROM rules LEFT JOIN (SELECT rule_id, count(*) AS unread FROM ev WHERE read_at IS NULL GROUP BY rule_id) USING (rule_id) GROUP BY symbol"""))
 def company_board(spark, sf_dir):
-    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return M.rules(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("rules"), F.count_if("active").alias("live"), names("interval").alias("intervals"), names("family").alias("families"))
+    return J.company_board(M.rules(spark, sf_dir), sent_events(spark, sf_dir))
 
 
 @query("tracked_counts", S.over(S.RULES, S.SUBSCRIPTIONS, body="SELECT user_id, count(DISTINCT symbol) AS tracked FROM (SELECT user_id, symbol FROM rules WHERE active UNION ALL SELECT user_id, symbol FROM subscriptions WHERE active) GROUP BY user_id"))
@@ -164,13 +216,9 @@ def archive_sorts(spark, sf_dir):
     return out
 
 
-@query("latest_signals", S.over(*Q.PREP, Q.DETECTED, S.RULES, body="SELECT user_id, d.symbol, d.ts, pattern FROM d JOIN rules r ON d.symbol = r.symbol AND d.direction = r.side WHERE active QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY d.ts DESC, pattern) <= 8"))
+@query("latest_signals", S.over(*Q.PREP, Q.DETECTED, S.RULES, EVENTS, body="SELECT user_id, symbol, sent_at, pattern, CAST(row_number() OVER w AS INTEGER) AS place FROM ev WHERE read_at IS NULL WINDOW w AS (PARTITION BY user_id ORDER BY sent_at DESC, pattern, rule_id) QUALIFY place <= 8"))
 def latest_signals(spark, sf_dir):
-    from pyspark.sql import Window
-
-    r = M.rules(spark, sf_dir).filter("active").select("user_id", "symbol", F.col("side").alias("direction"))
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "pattern")
-    return _signals(spark, sf_dir).join(r, ["symbol", "direction"]).withColumn("_n", F.row_number().over(w)).filter("_n <= 8").select("user_id", "symbol", "ts", "pattern")
+    return J.latest_signals(M.rules(spark, sf_dir), sent_events(spark, sf_dir)).select("user_id", "symbol", "sent_at", "pattern", "place")
 
 
 _NAMES = "SELECT p_partkey, upper(p_name) AS name_key, 'P' || p_partkey AS symbol FROM part"
