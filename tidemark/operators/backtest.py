@@ -125,6 +125,38 @@ def lifecycle_resolve(initial: DataFrame, bars: DataFrame, window: int = 3) -> D
     return df.select(*keys, status.alias("status"), F.coalesce("at", F.when(F.col("seen") >= window, F.lit(window))).alias("resolution_offset"))
 
 
+def scan_context(bars: DataFrame, lookback: int, window: int = 3) -> DataFrame:
+    """Adds _left (bars from this one to the newest, counted up to lookback + 1) and _ahead (ts and close of the next `window` bars)."""
+    return bars.withColumns({"_left": F.count("*").over(W().rowsBetween(0, lookback)), "_ahead": F.collect_list(F.struct("ts", "close")).over(W().rowsBetween(1, window))})
+
+
+def historical_scan(signals: DataFrame, lookback: int, fwd: int, move: float, window: int = 3) -> DataFrame:
+    """Signals of each symbol's newest `lookback` bars with formation, lifecycle and outcome, in the
+    order of the scan (place: newest first, then pattern).
+
+    Needs the columns of with_future and scan_context on the signals' bars. While fewer than `fwd` bars
+    follow, the outcome is PENDING, `remaining` says how many are missing and what is measured is
+    null. The lifecycle is resolved by the bars at hand, as in lifecycle_resolve, without a join."""
+    s = lifecycle_init(signals.filter(F.col("_left") <= lookback))
+    buy, pending, entry = F.col("direction") == "BUY", F.col("exit_ts").isNull(), F.col("close")
+
+    def hit(c: Column) -> Column:
+        return F.when(F.when(buy, c > F.col("trigger")).otherwise(c < F.col("trigger")), "CONFIRMED").when(F.when(buy, c < F.col("invalidation")).otherwise(c > F.col("invalidation")), "INVALIDATED")
+
+    hits = F.transform("_ahead", lambda x: F.coalesce(hit(x["close"]), F.lit("")))
+    at = F.coalesce(*[F.when(F.get("_hits", F.lit(k)) != "", k + 1) for k in range(window)], F.when(F.size("_hits") >= window, window))
+    s = s.withColumn("_hits", hits).withColumn("resolution_offset", at.cast("int")).withColumn("_at", F.get("_ahead", F.col("resolution_offset") - 1))
+    found = F.get("_hits", F.col("resolution_offset") - 1)
+    change, up, down = signed(F.col("direction"), (F.col("exit_close") - entry) / entry * 100.0), (F.col("max_high") - entry) / entry * 100.0, (F.col("min_low") - entry) / entry * 100.0
+    w = Window.partitionBy("symbol", "interval").orderBy(F.desc("ts"), "pattern")
+    return s.select(
+        "symbol", "interval", F.row_number().over(w).alias("place"), "ts", "pattern", "direction", "close", F.col("size").alias("formation_bars"), "formation_high", "formation_low", "trigger", "invalidation",
+        F.when(pending, "PENDING").otherwise(outcome(change, move)).alias("outcome"), F.when(pending, F.lit(fwd + 1) - F.col("_left")).cast("int").alias("remaining"),
+        F.col("exit_ts").alias("evaluation_ts"), F.col("exit_close").alias("evaluation_close"), change.alias("directional_return"), F.when(buy, up).otherwise(-down).alias("best_move"), F.when(buy, down).otherwise(-up).alias("worst_move"),
+        F.when(F.col("resolution_offset").isNull(), "DETECTED").when(found == "", "EXPIRED").otherwise(found).alias("status"), "resolution_offset", F.col("_at.ts").alias("resolution_ts"), F.col("_at.close").alias("resolution_close"),
+    )
+
+
 def resampled(bars: DataFrame, to: str, label: str = "first") -> DataFrame:
     """Daily bars to weeks or months; ts is the first or the last daily ts."""
     unit = {"1wk": "week", "1mo": "month"}[to]

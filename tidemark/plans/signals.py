@@ -216,15 +216,23 @@ def result_path(spark, sf_dir):
     return s.select("symbol", "ts", "pattern", "offset", (F.round(B.signed(F.col("direction"), (F.col("c") - F.col("close")) / F.col("close") * 100), 6) + 0.0).alias("change"), F.round(F.col("c") - F.col("close"), 6).alias("difference"))
 
 
-@query("historical_scan", S.over(*Q.PREP, Q.DETECTED, FUTURE, body=f"""SELECT d.symbol, d.ts, pattern, direction, CASE WHEN exit_ts IS NULL THEN 'PENDING' WHEN r >= {MOVE} THEN 'SUCCESS' WHEN r <= -{MOVE} THEN 'FAILURE' ELSE 'INCONCLUSIVE' END AS outcome
-FROM (SELECT d.*, exit_ts, CASE WHEN direction = 'BUY' THEN (exit_close - close) / close * 100 ELSE -((exit_close - close) / close * 100) END AS r, max(idx) OVER (PARTITION BY symbol) AS q FROM d JOIN fu USING (symbol, ts)) d
-JOIN (SELECT symbol, max(idx) AS last FROM b GROUP BY symbol) z USING (symbol) WHERE d.idx > z.last - 104 AND direction <> 'HOLD'"""))
+LOOKBACK = 104
+_ROUNDED = ("directional_return", "best_move", "worst_move")
+
+
+@query("historical_scan", S.over(*Q.PREP, Q.DETECTED, FUTURE, INIT, RESOLVE, body=f"""SELECT symbol, "interval", CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, pattern) AS INTEGER) AS place, ts, pattern, direction, close, formation_bars, formation_high, formation_low, trigger, invalidation,
+  CASE WHEN evaluation_ts IS NULL THEN 'PENDING' WHEN directional_return >= {MOVE} THEN 'SUCCESS' WHEN directional_return <= -{MOVE} THEN 'FAILURE' ELSE 'INCONCLUSIVE' END AS outcome, CASE WHEN evaluation_ts IS NULL THEN CAST({FWD} - (last - idx) AS INTEGER) END AS remaining,
+  evaluation_ts, evaluation_close, round(directional_return, 6) AS directional_return, round(best_move, 6) AS best_move, round(worst_move, 6) AS worst_move, status, resolution_offset, resolution_ts, resolution_close
+FROM (SELECT d.symbol, d."interval", d.ts, d.idx, d.pattern, d.direction, d.close, d.size AS formation_bars, d.fh AS formation_high, d.fl AS formation_low, d.trigger, d.invalidation, z.last, exit_ts AS evaluation_ts, exit_close AS evaluation_close,
+  CASE WHEN d.direction = 'BUY' THEN (exit_close - d.close) / d.close * 100 ELSE -((exit_close - d.close) / d.close * 100) END AS directional_return,
+  CASE WHEN exit_ts IS NULL THEN NULL WHEN d.direction = 'BUY' THEN (max_high - d.close) / d.close * 100 ELSE -((min_low - d.close) / d.close * 100) END AS best_move,
+  CASE WHEN exit_ts IS NULL THEN NULL WHEN d.direction = 'BUY' THEN (min_low - d.close) / d.close * 100 ELSE -((max_high - d.close) / d.close * 100) END AS worst_move,
+  lr.status, lr.resolution_offset, n.ts AS resolution_ts, n.close AS resolution_close
+  FROM li d JOIN fu USING (symbol, ts) JOIN lr ON lr.symbol = d.symbol AND lr.ts = d.ts AND lr.pattern = d.pattern JOIN (SELECT symbol, max(idx) AS last FROM b GROUP BY symbol) z ON z.symbol = d.symbol
+  LEFT JOIN b n ON n.symbol = d.symbol AND n.idx = d.idx + lr.resolution_offset WHERE d.idx > z.last - {LOOKBACK})"""))
 def historical_scan(spark, sf_dir):
-    newest = I.W().rowsBetween(0, 104)
-    p = future(spark, sf_dir).withColumn("_left", F.count("*").over(newest))
-    r = B.signed(F.col("direction"), (F.col("exit_close") - F.col("close")) / F.col("close") * 100)
-    s = P.detected(p, hold=False).filter("_left <= 104")
-    return s.select("symbol", "ts", "pattern", "direction", F.when(F.col("exit_ts").isNull(), "PENDING").otherwise(B.outcome(r, MOVE)).alias("outcome"))
+    s = P.detected(B.scan_context(future(spark, sf_dir), LOOKBACK), hold=False)
+    return B.historical_scan(s, LOOKBACK, FWD, MOVE).withColumns({c: F.round(c, 6) for c in _ROUNDED})
 
 
 # Bootstraps: draw d of replicate r on an axis is cluster md5(seed:r:axis:d) mod n
