@@ -8,8 +8,8 @@ from tidemark.functions import text as T
 from tidemark.operators import ingest as G
 from tidemark.plans import sql as S
 from tidemark.plans.catalog import query
+from tidemark.sources import files, store, universe
 from tidemark.sources import market as M
-from tidemark.sources import store
 
 B = (S.TICKS, S.bars())
 COLS = 'symbol, "interval", ts, open, high, low, close, volume'
@@ -237,9 +237,22 @@ def universe_eligibility(spark, sf_dir):
     return G.universe(M.bars(spark, sf_dir, "1d"), 1000, 1500)
 
 
-@query("load_universe", S.over(S.ASSETS, body="SELECT instrument_type, count(*) AS symbols, count(DISTINCT company) AS companies FROM assets GROUP BY instrument_type"))
+@query("load_universe", S.over(S.TICKS, S.bars("1d"), S.ASSETS, body="""SELECT kind, value, count(*) AS rows, count(DISTINCT symbol) AS symbols, CAST(0 AS BIGINT) AS bad, CAST(sum(n) AS BIGINT) AS daily_candles, count(DISTINCT symbol) FILTER (core) AS shared FROM (
+  SELECT symbol, n, instrument_type = 'ETF' AS core, unnest([{'kind': 'ALL', 'value': 'ALL'}, {'kind': 'role', 'value': CASE WHEN k % 5 = 0 THEN 'HOLDOUT' ELSE 'DEVELOPMENT' END},
+    {'kind': 'cap_tier', 'value': CASE k % 3 WHEN 0 THEN 'LARGE' WHEN 1 THEN 'MID' ELSE 'SMALL' END}, {'kind': 'cohort', 'value': CASE WHEN last >= TIMESTAMP '2001-10-31' THEN 'ACTIVE' ELSE 'ENDED' END}], recursive := true)
+  FROM (SELECT symbol, count(*) AS n, max(ts) AS last, CAST(split_part(symbol, '#', 2) AS INTEGER) AS k FROM bars GROUP BY symbol) JOIN assets USING (symbol)) GROUP BY kind, value"""))
 def load_universe(spark, sf_dir):
-    return M.assets(spark, sf_dir).groupBy("instrument_type").agg(F.count("*").alias("symbols"), F.count_distinct("company").alias("companies"))
+    """The assets with daily bars as a manifest, written, read back and checked against a core list (the funds)."""
+    a, k = M.assets(spark, sf_dir), F.split_part("symbol", F.lit("#"), F.lit(2)).cast("int")
+    held = M.bars(spark, sf_dir, "1d").groupBy("symbol").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("daily_candles"), F.sum("volume").alias("traded")).join(a, "symbol")
+    manifest = held.select(
+        "symbol", F.col("company").alias("name"), F.split_part("kind", F.lit(" "), F.lit(1)).alias("sector"), F.when(k % 3 == 0, "LARGE").when(k % 3 == 1, "MID").otherwise("SMALL").alias("cap_tier"),
+        F.when(F.col("last") >= "2001-10-31", "ACTIVE").otherwise("ENDED").alias("cohort"), F.when(k % 5 == 0, "HOLDOUT").otherwise("DEVELOPMENT").alias("role"),
+        F.to_date("first").alias("first_date"), F.to_date("last").alias("last_date"), "daily_candles", F.when(k % 2 == 0, F.col("traded")).alias("market_cap_usd"),
+    )
+    at = files.shared_folder(spark, "universe")
+    universe.write_manifest(manifest, at)
+    return universe.counts(universe.load_manifest(spark, at), a.filter("instrument_type = 'ETF'"))
 
 
 @query("latest_quote", S.over(*B, body="SELECT symbol, \"interval\", ts, close, round((close - coalesce(p, open)) / coalesce(p, open) * 100, 6) AS change FROM (SELECT *, lag(close) OVER w AS p, lead(ts) OVER w AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)) WHERE n IS NULL"))
