@@ -88,3 +88,32 @@ def test_present_counts_equal_one_window_at_a_time(spark, monkeypatch):
             sign = 1 if x.direction == "BULLISH" else -1
             assert all(x[f"q{k}"] == sign * (low if (k % 2 == 0) == (sign > 0) else high)[x[f"i{k}"] - 1] for k in range(9) if x[f"i{k}"] is not None)
     assert L.present_counts(bars.limit(0)).count() == 0
+
+
+def test_outcomes_and_their_statistics(spark):
+    high, low, close = walk(8, 130)
+    times = pd.date_range("2015-01-05", periods=130, freq="7D")
+    bars = spark.createDataFrame([("A", "1wk", i + 1, times[i].to_pydatetime(), float(high[i]), float(low[i]), float(close[i])) for i in range(130)], "symbol string, interval string, idx long, ts timestamp, high double, low double, close double")
+    asked = [(i, side, pattern, score) for i, side, pattern, score in ((98, "BUY", "X_WAVE_V_END", 90), (99, "BUY", "X_WAVE_V_END", 91), (100, "SELL", "X_CORRECTION", 76), (117, "SELL", "X_WAVE_V_END", 85), (118, "BUY", "X_CORRECTION", 99))]
+    alerts = spark.createDataFrame([("A", "1wk", i + 1, times[i].to_pydatetime(), p, s, n) for i, s, p, n in asked], "symbol string, interval string, idx long, ts timestamp, pattern string, side string, score int")
+    want, windows = {}, L.OUTCOMES["1wk"]
+    for i, side, _pattern, _ in asked:
+        if i + 1 < L.WINDOW or i + 12 >= 130:
+            continue
+        for n, m in windows:
+            move = lambda p, i=i: (p - close[i]) / close[i] * 100 * (1 if side == "BUY" else -1)  # noqa: B023, E731
+            ahead = slice(i + 1, i + n + 1)
+            ends = sorted((move(high[ahead].max()), move(low[ahead].min())))
+            change = move(close[i + n])
+            want[times[i], n] = (times[i + n], round(change, 9), round(ends[1], 9), round(ends[0], 9), "SUCCESS" if change >= m else "FAILURE" if change <= -m else "INCONCLUSIVE")
+    df = L.outcomes(alerts, bars, windows)
+    rows = df.collect()
+    assert {(pd.Timestamp(x.ts), x.horizon): (pd.Timestamp(x.exit_ts), round(x.close_return, 9), round(x.best_move, 9), round(x.worst_move, 9), x.outcome) for x in rows} == want and len(want) == 9
+    stats = {(x.horizon, x.least, x.stage): x for x in L.outcome_stats(df).collect()}
+    assert stats[4, 75, "ALL"].signals == 3 and stats[4, 80, "ALL"].signals == 2 and stats[4, 75, "C"].signals == 1 and (4, 80, "C") not in stats and stats[12, 90, "V"].signals == 1
+    for (n, least, stage), x in stats.items():
+        held = [r for r in rows if r.horizon == n and r.score >= least and (stage == "ALL" or r.pattern.endswith("CORRECTION") == (stage == "C"))]
+        won, lost = (sum(r.outcome == o for r in held) for o in ("SUCCESS", "FAILURE"))
+        assert (x.signals, x.successes, x.failures, x.inconclusive) == (len(held), won, lost, len(held) - won - lost)
+        assert x.precision == (round(won * 100 / (won + lost), 6) if won + lost else None) and abs(x.average_close_return - sum(r.close_return for r in held) / len(held)) < 1e-5
+    assert L.outcomes(alerts.limit(0), bars, windows).count() == 0

@@ -15,12 +15,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import backtest as B
 from tidemark.operators import waves as V
 
 # Bars looked at, least bars, breakout beyond wave III, bars that a turn stays present.
 WINDOW, LEAST, BREAKOUT, PRESENT = 100, 34, 1.003, 1
 #: Least eligibility of an alert, and of a strong one.
 ALERT, STRONG = 75, 85
+# Bars held and the move that decides, by interval; least scores of the statistics.
+OUTCOMES = {"1wk": ((4, 4.0), (8, 8.0), (12, 12.0)), "1mo": ((3, 6.0), (6, 12.0), (9, 18.0))}
+SCORES = (75, 80, 85, 90)
 #: Current bars of a task's chunk.
 CHUNK = 1000
 _POINTS = [f"{x}{k}" for k in range(9) for x in "qi"]  # turned prices and bar numbers of the points; null beyond the last
@@ -288,3 +292,36 @@ def signals(enriched: DataFrame) -> DataFrame:
 def alerts(signals: DataFrame) -> DataFrame:
     """Ends of wave V and of corrections whose eligibility is enough."""
     return signals.filter((F.col("eligibility") >= ALERT) & F.col("kind").isin("V", "C"))
+
+
+def outcomes(alerts: DataFrame, bars: DataFrame, windows: tuple[tuple[int, float], ...]) -> DataFrame:
+    """Alerts (with idx) by (bars held, deciding move): exit, signed close return, best and worst move, outcome.
+
+    Alerts before a full WINDOW of bars, or that not all horizons follow in full, drop out, so that every
+    horizon counts the same ones.
+    What follows a bar comes from frames over the bars; an alert meets one bar."""
+    w, fwd = B.W(), max(n for n, _ in windows)
+    held = [F.struct(F.lit(n).alias("horizon"), F.lit(m).alias("move"), F.lead("ts", n).over(w).alias("exit_ts"), F.lead("close", n).over(w).alias("exit_close"), F.max("high").over(w.rowsBetween(1, n)).alias("highest"), F.min("low").over(w.rowsBetween(1, n)).alias("lowest")) for n, m in windows]
+    follows = bars.select("symbol", "interval", "idx", "close", F.lead("ts", fwd).over(w).alias("_full"), F.array(*held).alias("_held")).filter((F.col("idx") >= WINDOW) & F.col("_full").isNotNull()).drop("_full")
+    rows = alerts.select("symbol", "interval", "idx", "ts", "pattern", "side", "score").join(follows, ["symbol", "interval", "idx"]).withColumn("o", F.explode("_held"))
+    move = lambda p: (p - F.col("close")) / F.col("close") * 100.0
+    high, low, buy = move(F.col("o.highest")), move(F.col("o.lowest")), F.col("side") == "BUY"
+    change = B.signed(F.col("side"), move(F.col("o.exit_close")))
+    decided = F.when(change >= F.col("o.move"), "SUCCESS").when(change <= -F.col("o.move"), "FAILURE").otherwise("INCONCLUSIVE")
+    return rows.select(
+        "symbol", "interval", "ts", "pattern", "side", "score", F.col("close").alias("entry_price"), "o.horizon", "o.move", "o.exit_ts",
+        change.alias("close_return"), F.when(buy, high).otherwise(-low).alias("best_move"), F.when(buy, low).otherwise(-high).alias("worst_move"), decided.alias("outcome"),
+    )
+
+
+def outcome_stats(outcomes: DataFrame) -> DataFrame:
+    """Per interval, horizon, least score and stage (ALL, V, C): counts, precision of the decided and mean moves."""
+    stage = F.when(F.col("pattern").endswith("CORRECTION"), "C").otherwise("V")
+    least = F.filter(F.array(*[F.lit(n) for n in SCORES]), lambda n: n <= F.col("score"))
+    each = outcomes.withColumn("stage", F.explode(F.array(F.lit("ALL"), stage))).withColumn("least", F.explode(least))
+    n = lambda x: F.count_if(F.col("outcome") == x)
+    decided = n("SUCCESS") + n("FAILURE")
+    return each.groupBy("interval", "horizon", "move", "least", "stage").agg(
+        F.count("*").alias("signals"), n("SUCCESS").alias("successes"), n("FAILURE").alias("failures"), n("INCONCLUSIVE").alias("inconclusive"),
+        F.round(F.when(decided > 0, n("SUCCESS") * 100.0 / decided), 6).alias("precision"), *[F.round(F.avg(c), 6).alias(f"average_{c}") for c in ("close_return", "best_move", "worst_move")],
+    )

@@ -12,7 +12,7 @@ from tidemark.plans import elliott_sql as Q
 from tidemark.plans import wave_sql as W
 from tidemark.plans.catalog import query
 from tidemark.sources import market as M
-from tidemark.sources.files import written
+from tidemark.sources.files import read_rows, shared_folder, write_rows, written
 
 
 def enriched(spark, sf_dir):
@@ -125,6 +125,39 @@ def elliott_alerts(spark, sf_dir):
     return L.alerts(weekly_signals(spark, sf_dir)).select(*_SIGNAL, "score", "strength")
 
 
+_WINDOWS = L.OUTCOMES["1wk"]
+_MOVES = ("close_return", "best_move", "worst_move")
+OUTCOMES = f"""wo AS (SELECT *, CASE WHEN close_return >= move THEN 'SUCCESS' WHEN close_return <= -move THEN 'FAILURE' ELSE 'INCONCLUSIVE' END AS outcome FROM (
+  SELECT symbol, "interval", ts, pattern, side, score, entry_price, horizon, move, exit_ts, CASE WHEN side = 'BUY' THEN x ELSE -x END AS close_return, CASE WHEN side = 'BUY' THEN hi ELSE -lo END AS best_move, CASE WHEN side = 'BUY' THEN lo ELSE -hi END AS worst_move FROM (
+    SELECT s.symbol, s."interval", s.ts, pattern, side, score, s.price AS entry_price, horizon, move, e.ts AS exit_ts, (e.close - s.price) / s.price * 100.0::DOUBLE AS x,
+      ((SELECT max(f.high) FROM b f WHERE f.symbol = s.symbol AND f.idx BETWEEN s.idx + 1 AND s.idx + horizon) - s.price) / s.price * 100.0::DOUBLE AS hi,
+      ((SELECT min(f.low) FROM b f WHERE f.symbol = s.symbol AND f.idx BETWEEN s.idx + 1 AND s.idx + horizon) - s.price) / s.price * 100.0::DOUBLE AS lo
+    FROM wl s CROSS JOIN (VALUES {', '.join(f'({n}, {m}::DOUBLE)' for n, m in _WINDOWS)}) h(horizon, move) JOIN b e ON e.symbol = s.symbol AND e.idx = s.idx + horizon JOIN b z ON z.symbol = s.symbol AND z.idx = s.idx + {max(n for n, _ in _WINDOWS)}
+    WHERE s.idx >= {L.WINDOW} AND eligibility >= {L.ALERT} AND kind IN ('V', 'C'))))"""
+
+
+def weekly_outcomes(spark, sf_dir):
+    """Weekly wave alerts and what followed; the bars are written once for both."""
+    e = written(I.enrich(M.bars(spark, sf_dir), "1wk"), "enriched")
+    return L.outcomes(L.alerts(L.signals(e)), e, _WINDOWS)
+
+
+@query("write_wave_signals", W.over(OUTCOMES, body="SELECT symbol, \"interval\", ts, pattern, side, score, entry_price, horizon, move, exit_ts, " + ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in _MOVES) + ", outcome FROM wo"))
+def write_wave_signals(spark, sf_dir):
+    """Wave alerts by horizon through CSV files and back."""
+    rows = weekly_outcomes(spark, sf_dir).withColumns({c: F.round(c, 6) + 0.0 for c in _MOVES})
+    at = shared_folder(spark, "rows")
+    write_rows(rows, at, ["interval", "symbol", "ts", "pattern", "horizon"])
+    return read_rows(spark, at, rows)
+
+
+@query("wave_score_stats", W.over(OUTCOMES, body=f"""SELECT "interval", horizon, move, least, stage, count(*) AS signals, count(*) FILTER (outcome = 'SUCCESS') AS successes, count(*) FILTER (outcome = 'FAILURE') AS failures, count(*) FILTER (outcome = 'INCONCLUSIVE') AS inconclusive,
+  round(CASE WHEN count(*) FILTER (outcome <> 'INCONCLUSIVE') > 0 THEN count(*) FILTER (outcome = 'SUCCESS') * 100.0::DOUBLE / count(*) FILTER (outcome <> 'INCONCLUSIVE') END, 6) AS precision, {', '.join(f'round(avg({c}), 6) AS average_{c}' for c in _MOVES)}
+FROM (SELECT *, unnest(['ALL', CASE WHEN ends_with(pattern, 'CORRECTION') THEN 'C' ELSE 'V' END]) AS stage FROM wo) JOIN (SELECT unnest({list(L.SCORES)}) AS least) ON score >= least GROUP BY ALL"""))
+def wave_score_stats(spark, sf_dir):
+    return L.outcome_stats(weekly_outcomes(spark, sf_dir))
+
+
 # --------------------------------------------------------------- structures
 
 
