@@ -41,6 +41,7 @@ CHOSEN = [
     "insider_fanout", "followed_trades", "candidate_rank", "archive_page", "stream_bars", "stream_dedupe", "stream_lifecycle", "stream_changed_bars", "stream_rule_match", "stream_fanout", "horizon_guidance",
     "load_adjusted_csv", "avp_select", "avp_freeze", "calibration_points", "observed_outcome", "signal_excursion", "write_trades", "write_signals",
     "ind_volume_profile", "setup_score", "threshold_sweep", "avp_value_area",
+    "elliott_v2_score", "match_wave_rules", "wave_score_stats", "company_board", "latest_signals", "historical_scan", "load_universe",
 ]
 
 
