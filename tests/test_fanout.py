@@ -50,3 +50,22 @@ def test_pairs_are_not_shuffled(spark):
         plan = job(t, s, done)._jdf.queryExecution().executedPlan().toString()
         above = plan.split("Generate explode(")[0]
         assert "Generate explode(" in plan and "Exchange" not in above and "Join" not in above
+
+
+def test_stream_log_of_changing_audiences(spark, tmp_path):
+    """Batches come twice, trades again, subscriptions change between batches; each delivery is made once,
+    by the first batch that was due, and trades that come again alike aren't logged again."""
+    path, want = str(tmp_path / "log"), {}
+    subs, trades = tables(3)
+    other = [(u, s, not a if u % 7 == 0 else a, x, b, g) for u, s, a, x, b, g in subs]
+    for epoch, (people, ids) in enumerate([(subs, range(0, 30)), (subs, range(20, 40)), (other, range(10, 50)), (subs, range(0, 60))]):
+        batch = [x for x in trades if x[0] in ids]
+        for pair in due(people, batch):
+            want.setdefault(pair, epoch)
+        write = T.fanout_batches(path, spark.createDataFrame(people, SUBSCRIPTIONS))
+        for _ in range(1 + (epoch % 2)):
+            write(spark.createDataFrame(batch + batch[:3], TRADES), epoch)
+        if epoch == 1:
+            assert spark.read.parquet(f"{path}/trades").count() == 40
+    assert {(r.trade_id, r.user_id): r.epoch for r in T.delivered(spark, path).collect()} == want
+    assert T.delivered(spark, path).count() == len(want)
