@@ -60,3 +60,25 @@ def test_catalog_search(spark):
             want += [(q, i, min(ranks))] if ranks else []
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert spark.range(1).select(J.prefixes(F.lit("ABCDEF")).alias("p")).first().p == ["A", "AB", "ABC", "ABCD"]
+
+
+def test_catalog_search_indexes_distinct_values_by_asked_parts(spark, tmp_path):
+    """Entries that share values add no parts to the index: what is met by parts grows with the values alone."""
+    entries = spark.range(3000).selectExpr("id AS symbol", "array('SMALL BRASS', concat('BRAND ', id % 5)) AS values")
+    queries = spark.createDataFrame([("BRASS",), ("ALL B",), ("BRAND 3",), ("X",)], "query string")
+    found = J.catalog_search(entries, queries)
+    assert found.groupBy("query", "rank").count().count() == 3 and found.count() == 3000 + 3000 + 600
+    found.write.parquet(str(tmp_path / "found"))
+    nodes, rows = [found._jdf.queryExecution().executedPlan()], []
+    found.collect()
+    while nodes:
+        n = nodes.pop()
+        kids = n.children()
+        nodes += [kids.apply(k) for k in range(kids.size())]
+        if n.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            nodes.append(n.executedPlan())
+        elif n.getClass().getSimpleName().endswith("QueryStageExec"):
+            nodes.append(n.plan())
+        elif n.getClass().getSimpleName() == "GenerateExec" and "gram" in n.toString().split("\n")[0]:
+            rows.append(n.metrics().apply("numOutputRows").value())
+    assert rows and max(rows) < 1000

@@ -189,14 +189,16 @@ def catalog_search(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """query, symbol, rank of every entry (symbol, values: array of keys) of which a value equals (0),
     begins with (1) or contains (2) the query (a key, too; empty ones find nothing).
 
-    Values are indexed by all their parts of up to GRAM letters; a query is looked up by its
-    first part and verified.
+    Distinct values are indexed by those of their parts of up to GRAM letters with which a query
+    begins (so few that they are broadcast); a query is looked up by its first part and verified,
+    and the values that it finds lead back to their entries.
     """
-    a = catalog.select("symbol", F.explode("values").alias("value")).withColumn("gram", F.explode(grams(F.col("value"))))
+    held = catalog.select("symbol", F.explode("values").alias("value"))
     q = queries.select("query").distinct().filter("query <> ''").withColumn("gram", F.substring("query", 1, GRAM))
+    index = held.select("value").distinct().withColumn("gram", F.explode(grams(F.col("value")))).join(F.broadcast(q.select("gram").distinct()), "gram", "left_semi")
     v, x = F.col("value"), F.col("query")
-    hit = q.join(a, "gram").filter(v.contains(x))
-    return hit.groupBy("query", "symbol").agg(F.min(F.when(v == x, 0).when(v.startswith(x), 1).otherwise(2)).alias("rank"))
+    hit = q.join(index, "gram").filter(v.contains(x)).select("query", "value", F.when(v == x, 0).when(v.startswith(x), 1).otherwise(2).alias("rank"))
+    return hit.join(held, "value").groupBy("query", "symbol").agg(F.min("rank").alias("rank"))
 
 
 # Ranks of an exact symbol, of the symbol with a venue's suffix, of the same
