@@ -66,6 +66,6 @@ def test_stream_log_of_changing_audiences(spark, tmp_path):
         for _ in range(1 + (epoch % 2)):
             write(spark.createDataFrame(batch + batch[:3], TRADES), epoch)
         if epoch == 1:
-            assert spark.read.parquet(f"{path}/trades").count() == 40
+            assert spark.read.parquet(f"{path}/trades").count() == len([x for x in trades[:40] if x[1]])
     assert {(r.trade_id, r.user_id): r.epoch for r in T.delivered(spark, path).collect()} == want
     assert T.delivered(spark, path).count() == len(want)
