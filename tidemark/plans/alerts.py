@@ -86,9 +86,10 @@ ANCHOR = "1998-01-01"
 def feeds(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Daily, weekly and 15-minute bars; the last from the shipments' line numbers, for equities alone."""
     equity = M.assets(spark, sf_dir).filter("instrument_type = 'EQUITY'").select("symbol")
+    finest = M.finest_bars(spark, sf_dir)
     at = F.timestamp_add("MINUTE", (F.col("k2") - 1) * 15, F.col("ts").cast("timestamp"))
-    fine = M.ticks(spark, sf_dir).join(equity, "symbol").groupBy("symbol", at.alias("at")).agg(F.min_by("price", "rn").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "rn").alias("close"), F.sum("volume").alias("volume"))
-    return M.bars(spark, sf_dir, "1d"), M.bars(spark, sf_dir), fine.select("symbol", F.lit(V.INTRADAY).alias("interval"), F.col("at").alias("ts"), "open", "high", "low", "close", "volume")
+    day, week = (M.rolled_up(finest, k, F.date_trunc(M.UNITS[k], "ts")) for k in ("1d", "1wk"))
+    return day, week, M.rolled_up(finest.join(equity, "symbol"), V.INTRADAY, at)
 
 
 def profile_rows(spark, sf_dir, frozen: bool):
