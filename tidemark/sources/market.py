@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.chunked import moving_sums
+from tidemark.operators.chunked import chunk_groups, moving_sums, whole_groups
 from tidemark.sources import store
 from tidemark.sources.files import written
 
@@ -31,20 +31,38 @@ def chunk_unit(rows: int) -> str:
     return "year" if rows < BY_MONTH else "month" if rows < BY_DAY else "day"
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, ts, k1..k4, volume, flag, price, rn: one trade per line item, in order."""
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, ts, k1..k4, volume, flag, step, chunk: one trade per line item."""
     line = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    t = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_brand").alias("symbol"), F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("k1"),
         F.col("l_linenumber").alias("k2"), F.col("l_partkey").alias("k3"), F.col("l_suppkey").alias("k4"),
         F.col("l_quantity").cast("long").alias("volume"), F.col("l_returnflag").alias("flag"),
         (F.round(F.col("l_extendedprice") * 100).cast("long") % 401 - 200).alias("step"),
         F.coalesce(F.date_trunc(chunk_unit(line.count()), "l_shipdate"), F.lit("0001-01-01").cast("timestamp")).alias("chunk"),
     )
-    t = moving_sums(t, "symbol", "chunk", ["ts", "k1", "k2", "k3", "k4"], "step", STEPS)
-    price = (F.lit(10000) + F.col("moving")).cast("double") / F.lit(100.0)
-    return t.select("symbol", "ts", "k1", "k2", "k3", "k4", "volume", "flag", price.alias("price"), "rn")
+
+
+ORDER = ["ts", "k1", "k2", "k3", "k4"]
+
+
+def _price(moving: str) -> Column:
+    return (F.lit(10000) + F.col(moving)).cast("double") / F.lit(100.0)
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, ts, k1..k4, volume, flag, price, rn: one trade per line item, in order."""
+    t = moving_sums(trades(spark, sf_dir), "symbol", "chunk", ORDER, "step", STEPS)
+    return t.select("symbol", *ORDER, "volume", "flag", _price("moving").alias("price"), "rn")
+
+
+def summed(spark: SparkSession, sf_dir: str, **by: Column) -> DataFrame:
+    """symbol, `by`, first and last rn, open, high, low, close, volume of the trades' groups by expressions over them, from one
+    pass over the trades; written once."""
+    groups = written(chunk_groups(trades(spark, sf_dir), "symbol", "chunk", ORDER, "step", STEPS, by, "volume"), "groups")
+    t = whole_groups(groups, "symbol", "chunk", STEPS, list(by))
+    return written(t.select("symbol", *by, "first", "last", *[_price(c).alias(c) for c in ("open", "high", "low", "close")], F.col("total").alias("volume")), "bars")
 
 
 BAR = ["symbol", "interval", "ts", "open", "high", "low", "close", "volume"]
@@ -71,11 +89,7 @@ def _grouped(t: DataFrame) -> DataFrame:
 
 def finest_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of each symbol, time and line number (symbol, ts, k2, first and last rn), written once; coarser ones are rolled up from them."""
-    t = ticks(spark, sf_dir).groupBy("symbol", "ts", "k2").agg(
-        F.min("rn").alias("first"), F.max("rn").alias("last"), F.min_by("price", "rn").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", "rn").alias("close"), F.sum("volume").alias("volume"),
-    )
-    return written(t, "finest")
+    return summed(spark, sf_dir, ts=F.col("ts"), k2=F.col("k2"))
 
 
 def rolled_up(finest: DataFrame, interval: str, at: Column) -> DataFrame:
