@@ -70,21 +70,14 @@ BAR = ["symbol", "interval", "ts", "open", "high", "low", "close", "volume"]
 
 def bars(spark: SparkSession, sf_dir: str, interval: str = "1wk") -> DataFrame:
     """Bars of an interval, written once: they are few beside the trades, and most queries read them more than once."""
-    return written(_grouped(ticks(spark, sf_dir).withColumns({"interval": F.lit(interval), "at": F.date_trunc(UNITS[interval], "ts")})), "bars")
+    return summed(spark, sf_dir, ts=F.date_trunc(UNITS[interval], "ts")).withColumn("interval", F.lit(interval)).select(*BAR)
 
 
 def all_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of all intervals, from one pass over the trades."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("interval"), F.date_trunc(unit, "ts").alias("at")) for k, unit in UNITS.items()]))
-    return _grouped(ticks(spark, sf_dir).withColumn("b", each).select("symbol", "price", "rn", "volume", "b.*"))
-
-
-def _grouped(t: DataFrame) -> DataFrame:
-    grouped = t.groupBy("symbol", "interval", "at").agg(
-        F.min_by("price", "rn").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", "rn").alias("close"), F.sum("volume").alias("volume"),
-    )
-    return grouped.withColumnRenamed("at", "ts").select(*BAR)
+    """Bars of all intervals, rolled up from daily ones of one pass over the trades."""
+    day = summed(spark, sf_dir, ts=F.date_trunc("day", "ts"))
+    week, month = (rolled_up(day, k, F.date_trunc(UNITS[k], "ts")) for k in ("1wk", "1mo"))
+    return day.withColumn("interval", F.lit("1d")).select(*BAR).unionByName(week).unionByName(month)
 
 
 def finest_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
