@@ -634,3 +634,22 @@ def test_pipeline_is_its_stages(spark):
     o = odd(spark)
     for _, stage in pipeline.STAGES:
         stage(spark, o, SF).count()
+
+
+def test_packing_merges_new_words_together_as_the_tokenizer_does(monkeypatch):
+    source = bpe.read_vocabulary()
+    t, r = packing.Tokens(source), random.Random(8)
+    words = ["".join(r.choice("aehinorstß éñ'&#.7"[: r.randint(3, 18)]) for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    texts = [*words, "thththth" * 8, "a" * 64, "é" * 32, "&" * 64, "", "  x\t\n y ", "The theatre"]
+    want = [[*t.outer.encode(x, add_special_tokens=False).ids, packing.END] for x in texts]
+    # words of letters, digits and signs need no call of the tokenizer
+    monkeypatch.setattr(t, "ids", None)
+    ids, at = t.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+
+
+def test_packing_leaves_long_and_other_words_to_the_tokenizer():
+    t = packing.Tokens(bpe.read_vocabulary())
+    texts = ["a" * 65, "ab" * 500 + "!", "İstanbul ŁÓDŹ", "x\x01y", "<|endoftext|>a", "日本", "é" * 33]
+    ids, at = t.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*t.outer.encode(x, add_special_tokens=False).ids, packing.END] for x in texts]

@@ -16,6 +16,7 @@ powers of two, which need no padding; so there is no padding at all.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 # A word of plain and Western European letters, digits and signs; its pre-tokens.
 _EASY = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_EASY_WORDS = re.compile("[ -~À-ÖØ-öø-ÿ]*")
 _PIECE = re.compile("\x01|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9\x01]+")
 
 
@@ -83,6 +86,101 @@ class Ids:
         return self.flat[np.repeat(self.at[index] - upto[:-1], size) + np.arange(upto[-1])], upto
 
 
+class Merges:
+    """Byte-level BPE of many pre-tokens at once. In a round each pre-token's merge of least rank, the
+    leftmost of equal ones, is done, as the tokenizer does one after another; all of them as numpy vectors."""
+
+    #: Longest pre-token (in bytes): its merges are as many rounds.
+    LONGEST = 64
+    NONE = 1 << 30
+
+    def __init__(self, source: str):
+        model = json.loads(source)["model"]
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letter = dict(zip(shown, map(chr, shown), strict=True)) | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+        self.first = np.array([vocab.get(letter[b], -1) for b in range(256)])
+        self.last = np.array([vocab.get(letter[b] + suffix, -1) for b in range(256)])
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        prefix = len(model.get("continuing_subword_prefix") or "")
+        # what these rounds don't cover is left to the tokenizer
+        self.usable = model["type"] == "BPE" and not (model.get("dropout") or model.get("ignore_merges") or prefix) and min(self.first.min(), self.last.min()) >= 0 and len(set(map(tuple, pairs))) == len(pairs) > 0
+        if self.usable:
+            self.made = np.array([vocab[a + b] for a, b in pairs])
+            self._place(np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64))
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _place(self, keys: np.ndarray) -> None:
+        """A hash table of pairs: slots one after another are tried until one is free."""
+        self.bits = int(4 * len(keys)).bit_length()
+        self.key, self.rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.NONE, np.int64)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.key[slot[left]] < 0]
+            _, one = np.unique(slot[free], return_index=True)
+            self.key[slot[free[one]]], self.rank[slot[free[one]]] = keys[free[one]], free[one]
+            left = np.setdiff1d(left, free[one], assume_unique=True)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair, or NONE."""
+        key = left << 32 | right
+        slot = self._slot(key)
+        found = self.key[slot]
+        out = np.where(found == key, self.rank[slot], self.NONE)
+        ask = np.flatnonzero((found != key) & (found >= 0))
+        while len(ask):
+            slot[ask] = (slot[ask] + 1) & ((1 << self.bits) - 1)
+            found = self.key[slot[ask]]
+            hit = found == key[ask]
+            out[ask[hit]] = self.rank[slot[ask[hit]]]
+            ask = ask[~hit & (found >= 0)]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, their number per piece). No piece is empty."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        end, which = np.cumsum(size), np.arange(len(pieces))
+        ids = self.first[data]
+        ids[end - 1] = self.last[data[end - 1]]
+        rank = np.full(len(ids), self.NONE, np.int64)
+        rank[:-1] = self.ranks(ids[:-1], ids[1:])
+        rank[end - 1] = self.NONE
+        done = []
+        while len(which):
+            begin = end - size
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), begin)
+            go = best < self.NONE << 32
+            if not go.all():
+                of = np.repeat(go, size)
+                done.append((which[~go], size[~go], ids[~of]))
+                # positions move down by the symbols of finished pieces before them
+                best = best[go] - np.cumsum(np.where(go, 0, size))[go]
+                ids, rank, which, size = ids[of], rank[of], which[go], size[go]
+            at = best & 0xFFFFFFFF
+            ids[at] = self.made[best >> 32]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, rank, at, size = ids[keep], rank[keep], at - np.arange(len(at)), size - 1
+            end = np.cumsum(size)
+            rank[at] = self.NONE
+            x = at[at < end - 1]
+            rank[x] = self.ranks(ids[x], ids[x + 1])
+            x = at[at > end - size] - 1
+            rank[x] = self.ranks(ids[x], ids[x + 1])
+        number, place = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        upto = 0
+        for w, n, _ in done:
+            number[w], place[w] = n, upto + np.cumsum(n) - n
+            upto += int(n.sum())
+        flat = np.concatenate([x for *_, x in done]) if done else ids
+        first = np.cumsum(number) - number
+        return flat[np.repeat(place - first, number) + np.arange(upto)].astype(np.uint32), number
+
+
 class Tokens:
     """Ids of texts. The tokenizer never joins over white space, so each distinct
     word goes through it once and is then looked up."""
@@ -100,6 +198,7 @@ class Tokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         (self.mark,) = self.outer.encode("\x01", add_special_tokens=False).ids
+        self.merges = Merges(source)
         self.clear()
 
     def clear(self) -> None:
@@ -114,21 +213,43 @@ class Tokens:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.outer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
+    def learn_pieces(self, pieces: list[str]) -> None:
+        """Lower-case pre-tokens, none known."""
+        short, long = pieces, []
+        coded = [p.encode() for p in pieces]
+        if not self.merges.usable:
+            short, coded, long = [], [], pieces
+        elif coded and max(map(len, coded)) > Merges.LONGEST:
+            long = [p for p, c in zip(pieces, coded, strict=True) if len(c) > Merges.LONGEST]
+            short = [p for p, c in zip(pieces, coded, strict=True) if len(c) <= Merges.LONGEST]
+            coded = [c for c in coded if len(c) <= Merges.LONGEST]
+        if short:
+            self.pieces.add(short, *self.merges.encode(coded))
+        if long:
+            # each is one pre-token, so its last id, and no other, ends a word
+            ids = self.ids(" ".join(long))
+            self.pieces.add(long, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+
+    def learn_easy(self, words: list[bytes], marked: str) -> None:
+        """Words that fall into pieces (letters, digit, signs), of which fewer are new; `marked`: each followed by a mark."""
+        pieces = _PIECE.findall(marked)
+        unknown = list(set(pieces).difference(self.pieces.known))
+        if unknown:
+            self.learn_pieces(unknown)
+        index = self.pieces.index(pieces)
+        ids, upto = self.pieces.gather(index)
+        ends = upto[1:][index == 0]
+        self.words.add(words, ids, np.diff(ends, prepend=0))
+
     def learn(self, new: list[bytes]) -> None:
+        joined = b" ".join(new).decode()
+        if new and _EASY_WORDS.fullmatch(joined) and "<|" not in joined:
+            self.learn_easy(new, joined.lower().replace(" ", " \x01 ") + " \x01")
+            return
         words = [w.decode() for w in new]
         easy = [i for i, w in enumerate(words) if _EASY.fullmatch(w) and "<|" not in w]
         if easy:
-            # words fall into pieces (letters, digit, signs), of which fewer are new
-            pieces = _PIECE.findall(" \x01 ".join([words[i] for i in easy]).lower() + " \x01")
-            unknown = list(set(pieces).difference(self.pieces.known))
-            if unknown:
-                # each is one pre-token, so its last id, and no other, ends a word
-                ids = self.ids(" ".join(unknown))
-                self.pieces.add(unknown, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
-            index = self.pieces.index(pieces)
-            ids, upto = self.pieces.gather(index)
-            ends = upto[1:][index == 0]
-            self.words.add([new[i] for i in easy], ids, np.diff(ends, prepend=0))
+            self.learn_easy([new[i] for i in easy], " \x01 ".join([words[i] for i in easy]).lower() + " \x01")
         taken = set(easy)
         rest = [i for i in range(len(words)) if i not in taken and "\x01" not in words[i]]
         if rest:
@@ -137,22 +258,26 @@ class Tokens:
             ids = np.array(self.outer.encode(words[i], add_special_tokens=False).ids, np.uint32)
             self.words.add([new[i]], ids, np.array([len(ids)]))
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each ended by END; offsets)."""
-        split = [t.split() for t in texts]
-        words = [w for s in split for w in s]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each ended by END; offsets). No text is null."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        data, offsets = text_buffers(coded.dictionary)
+        data, offsets = data.tobytes(), offsets.tolist()
+        words = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         index = np.fromiter(map(self.words.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(index < 0)
         if len(missing):
-            new = {words[i] for i in missing}
-            if len(self.words) + len(self.pieces) + len(new) > CACHE_WORDS or self.words.held + self.pieces.held > CACHE_BYTES:
+            if len(self.words) + len(self.pieces) + len(missing) > CACHE_WORDS or self.words.held + self.pieces.held > CACHE_BYTES:
                 self.clear()
-                new, missing = set(words), np.arange(len(words))
-            self.learn(list(new))
-            index[missing] = self.words.index([words[i] for i in missing])
-        ids, upto = self.words.gather(index)
-        ends = upto[np.cumsum([len(s) for s in split], dtype=np.int64)] if split else np.zeros(0, np.int64)
-        return np.insert(ids, ends, END), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+                missing = np.arange(len(words))
+            new = [words[i] for i in missing]
+            self.learn(new)
+            index[missing] = self.words.index(new)
+        ids, upto = self.words.gather(index[coded.indices.to_numpy()])
+        at = split.offsets.to_numpy()
+        ends = upto[at - at[0]]
+        return np.insert(ids, ends[1:], END), ends + np.arange(len(ends))
 
 
 _held: dict[str, Tokens] = {}
@@ -176,10 +301,9 @@ def cut(docs: DataFrame, source) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, done = tokens(source.value), TaskContext.get().partitionId() << 40
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            doc_ids = batch.column(0).to_pylist()
-            for a, b in steps(offsets):
-                ids, at = enc.encode([data[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)])
+            texts, doc_ids = batch.column(1).fill_null(""), batch.column(0).to_pylist()
+            for a, b in steps(text_buffers(texts)[1]):
+                ids, at = enc.encode(texts.slice(a, b - a))
                 rows = []
                 for i in range(b - a):
                     x = ids[at[i] : at[i + 1]]
@@ -201,6 +325,11 @@ def tokens_of(ids: bytes, length: int) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * length else "<u4")
 
 
+def narrow(keys: np.ndarray, most: int) -> np.ndarray:
+    """Keys below `most` in four bytes where they fit: these sort in half the time."""
+    return keys.astype(np.int32) if most < 1 << 31 else keys
+
+
 class Corpus:
     """Number and mean length of all pieces, and how many hold each token."""
 
@@ -239,7 +368,9 @@ def corpus(pieces: DataFrame) -> Corpus:
                 size = [len(p) for p in ids]
                 term = np.concatenate(ids).astype(np.int64)
                 span = int(term.max()) + 1
-                count = np.bincount(np.unique(np.repeat(np.arange(len(ids)), size) * span + term) % span, minlength=len(df))
+                # with counts numpy sorts, which is many times faster here than its hash table
+                held, _ = np.unique(narrow(np.repeat(np.arange(len(ids)), size) * span + term, len(ids) * span), return_counts=True)
+                count = np.bincount(held % span, minlength=len(df))
                 count[: len(df)] += df
                 df, n, total = count, n + len(ids), total + len(term)
         at = np.flatnonzero(df)
@@ -294,8 +425,8 @@ class Index:
         size = np.array([len(p) for p in pieces], np.float64)
         owner, term = np.repeat(np.arange(n), size.astype(np.int64)), np.concatenate(pieces).astype(np.int64)
         span = int(term.max()) + 1
-        key, tf = np.unique(owner * span + term, return_counts=True)
-        owner, term = key // span, key % span
+        key, tf = np.unique(narrow(owner * span + term, n * span), return_counts=True)
+        owner, term = np.divmod(key.astype(np.int64), span)
         df = np.bincount(term, minlength=span)
         idf = np.log1p((corpus.n - corpus.df[:span] + 0.5) / (corpus.df[:span] + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / corpus.mean))
