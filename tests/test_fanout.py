@@ -69,3 +69,37 @@ def test_stream_log_of_changing_audiences(spark, tmp_path):
             assert spark.read.parquet(f"{path}/trades").count() == len([x for x in trades[:40] if x[1]])
     assert {(r.trade_id, r.user_id): r.epoch for r in T.delivered(spark, path).collect()} == want
     assert T.delivered(spark, path).count() == len(want)
+
+
+def test_files_of_pairs_are_small(spark, tmp_path):
+    """A block of followers meets one trade after the other, so that ids recur in runs and in one order."""
+    subs = [(u * 7919 % 100003, "a", True, DAY, DAY, u % 2) for u in range(6000)]
+    trades = [(t * 104729 % 1000003, "a", DAY, DAY) for t in range(480)]
+    s, t = spark.createDataFrame(subs, SUBSCRIPTIONS), spark.createDataFrame(trades, TRADES)
+    done = spark.createDataFrame([(trades[0][0], 0)], "trade_id long, segment long")
+    for k, job in enumerate((J.congress_fanout, J.insider_fanout)):
+        job(t, s, done).write.parquet(f"{tmp_path}/{k}")
+        size = sum(f.stat().st_size for f in (tmp_path / str(k)).glob("*.parquet"))
+        assert spark.read.parquet(f"{tmp_path}/{k}").count() == 6000 * 480 - 3000
+        assert size < 0.5 * (6000 * 480 - 3000)
+
+
+def test_pairs_are_made_after_the_join(spark):
+    """Compiled into one step with the join, all pairs of a row of its left side would be held before any is written."""
+    subs, trades = tables(4)
+    s, t = spark.createDataFrame(subs, SUBSCRIPTIONS), spark.createDataFrame(trades, TRADES)
+    for job in (J.congress_fanout, J.insider_fanout):
+        df = job(t, s, spark.createDataFrame([(1, 0)], "trade_id long, segment long"))
+        df.collect()
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert "*(" in next(x for x in lines if "Generate explode(users" in x)
+        assert "*(" not in next(x for x in lines if "SortMergeJoin" in x)
+
+
+def test_followers_without_segment(spark):
+    """A follower who is in no segment has no trade from a segment's delivery."""
+    s = spark.createDataFrame([(1, "a", True, DAY, DAY, 0), (2, "a", True, DAY, DAY, None)], SUBSCRIPTIONS)
+    t = spark.createDataFrame([(5, "a", DAY, DAY)], TRADES)
+    done = spark.createDataFrame([(5, 0)], "trade_id long, segment long")
+    for job in (J.congress_fanout, J.insider_fanout):
+        assert [tuple(x) for x in job(t, s, done).collect()] == [(5, 2)]
