@@ -103,3 +103,31 @@ def test_followers_without_segment(spark):
     done = spark.createDataFrame([(5, 0)], "trade_id long, segment long")
     for job in (J.congress_fanout, J.insider_fanout):
         assert [tuple(x) for x in job(t, s, done).collect()] == [(5, 2)]
+
+
+def test_logs_of_all_audiences_meet_before_pairs(spark, tmp_path):
+    """When subscriptions change, all trades that come again are logged again: their pairs aren't shuffled to find the
+    first delivery, but for a trade that comes with another symbol."""
+    subs, trades = tables(5, 400)
+    subs += [(u, "abc"[("abc".index(s) + 1) % 3], a, x, b, g) for u, s, a, x, b, g in subs if u % 2]
+    other = [(u, s, not a if u % 7 == 0 else a, x, b, g) for u, s, a, x, b, g in subs]
+    moved = [(*trades[k][:1], "b" if trades[k][1] == "a" else "a", *trades[k][2:]) if k in (4, 5, 6) else trades[k] for k in range(60)]
+    want, path = {}, str(tmp_path / "log")
+    for epoch, (people, batch) in enumerate([(subs, trades), (other, trades), (subs, moved)]):
+        for pair in due(people, batch):
+            want.setdefault(pair, epoch)
+        T.fanout_batches(path, spark.createDataFrame(people, SUBSCRIPTIONS))(spark.createDataFrame(batch, TRADES), epoch)
+    df = T.delivered(spark, path)
+    rows = df.collect()
+    assert {(r.trade_id, r.user_id): r.epoch for r in rows} == want and len(rows) == len(want)
+    read, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:  # rows that go into the grouping of pairs
+        node = nodes.pop()
+        inner = {"AdaptiveSparkPlan": "executedPlan", "ShuffleQueryStage": "plan", "ResultQueryStage": "plan"}.get(node.nodeName())
+        if inner:
+            nodes.append(getattr(node, inner)())
+            continue
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Exchange" and "hashpartitioning(trade_id" in node.toString().split("\n")[0] and "user_id" in node.toString().split("\n")[0]:
+            read += node.metrics().apply("shuffleRecordsWritten").value()
+    assert read <= sum(len(due(p, [x for x in b if x[0] in (4, 5, 6)])) for p, b in ((subs, trades), (other, trades), (subs, moved)))
