@@ -131,3 +131,14 @@ def test_logs_of_all_audiences_meet_before_pairs(spark, tmp_path):
         if node.nodeName() == "Exchange" and "hashpartitioning(trade_id" in node.toString().split("\n")[0] and "user_id" in node.toString().split("\n")[0]:
             read += node.metrics().apply("shuffleRecordsWritten").value()
     assert read <= sum(len(due(p, [x for x in b if x[0] in (4, 5, 6)])) for p, b in ((subs, trades), (other, trades), (subs, moved)))
+
+
+def test_files_of_insider_pairs_are_small(spark, tmp_path):
+    """As above with the insiders' ids, which are texts, and one segment of two that is delivered."""
+    s = spark.createDataFrame([(u * 7919 % 100003, "a", True, DAY, DAY, u % 2) for u in range(12000)], SUBSCRIPTIONS)
+    t = spark.createDataFrame([(f"{k * 104729 % 1000003}-{k % 7}-{k * 31}-{k * 17}-{k}", "a") for k in range(480)], "trade_id string, symbol string")
+    done = t.selectExpr("trade_id", "0L AS segment")
+    J.insider_fanout(t, s, done).write.parquet(f"{tmp_path}/pairs")
+    out = spark.read.parquet(f"{tmp_path}/pairs")
+    assert out.distinct().count() == out.count() == 6000 * 480
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 6000 * 480
